@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     sample = labelled_sample(docs, labels, label, rows, text_col=text_col, **names)
     held = append_columns(sample, ["text"], [T.StructField("x", T.BinaryType())], lambda: lambda t: [[r.tobytes() for r in pooled(t, known.value)]])
     got = sorted((r["id"], r["label"], bytes(r["x"])) for r in held.select("id", "label", "x").collect())
-    x = np.array([np.frombuffer(g[2], dtype=np.float32) for g in got], dtype=np.float64).reshape(len(got), -1)
+    x = np.array([np.frombuffer(g[2], dtype=np.float32) for g in got], dtype=np.float64).reshape(len(got), 2 * DIM + len(SHAPES) + 2)
     return vectors, fit(x, np.array([g[1] for g in got], dtype=np.float64))
 
 

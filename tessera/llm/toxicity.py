@@ -63,7 +63,7 @@ class Sparse:
 class Ftrl:
     """FTRL-proximal for 0/1 features: each coordinate has its own rate, and L1 keeps most weights at zero."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.01):
         self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
@@ -100,16 +100,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     return texts.join(F.broadcast(known), "id").select("id", "text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, epochs: int = 4, bits: int = BITS, **names) -> Sparse:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, epochs: int = 12, bits: int = BITS, **names) -> Sparse:
     """A model of the labelled documents outside the held-out fold; the fit is on the driver, on `rows` rows at most."""
     sample = labelled_sample(docs, labels, label, rows, **names)
     held = append_columns(sample, ["text"], [T.StructField("f", T.BinaryType())], lambda: lambda t: [[x.tobytes() for x in distinct_features(t, bits)]])
     got = sorted((r["id"], r["label"], bytes(r["f"])) for r in held.select("id", "label", "f").collect())
     made = Ftrl(bits)
     rng = np.random.default_rng(17)
+    seen = np.zeros(1 << bits, dtype=np.int32)
+    for _, _, f in got:
+        seen[np.frombuffer(f, dtype="<u4")] += 1
+    # a feature of one row says nothing of other rows
+    each = [(f[seen[f] > 1], label) for f, label in ((np.frombuffer(f, dtype="<u4"), label) for _, label, f in got)]
     for _ in range(epochs):
-        for i in rng.permutation(len(got)):
-            made.learn(np.frombuffer(got[i][2], dtype="<u4"), got[i][1])
+        for i in rng.permutation(len(each)):
+            made.learn(*each[i])
     return made.sparse()
 
 

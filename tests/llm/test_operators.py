@@ -160,7 +160,7 @@ def test_toxicity_features_are_the_stated_ones():
 
 
 def test_ftrl_is_sparse():
-    f = toxicity.Ftrl(bits=10)
+    f = toxicity.Ftrl(bits=10, alpha=0.15, l1=1.5, l2=1.0)
     rng = np.random.default_rng(1)
     for _ in range(400):
         y = int(rng.random() < 0.5)
