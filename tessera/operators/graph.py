@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import kept
+
 
 def callers(edges: DataFrame, entity: str) -> DataFrame:
     return edges.where(F.col("target_entity") == entity)
@@ -31,11 +33,6 @@ def without_file(edges: DataFrame, path: str) -> DataFrame:
     return edges.where(~hit)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage between levels where the cluster names a shared folder; elsewhere keep the plan."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 def reach(edges: DataFrame, start: str, hops: int, directed: bool = False) -> DataFrame:
     """(node, depth): what can be reached in so many hops, each node at its least depth, `start` at 0.
 
@@ -50,7 +47,7 @@ def reach(edges: DataFrame, start: str, hops: int, directed: bool = False) -> Da
     frontier = seen
     for depth in range(1, hops + 1):
         frontier = e.join(frontier.select("node"), "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = _kept(frontier)
+        frontier = kept(frontier)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -82,7 +79,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 5, direct
     frontier, levels = spark.createDataFrame([(start,)], "node string"), []
     for _ in range(min(10, depth)):
         step = e.join(frontier, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).join(seen, "node", "left_anti")
-        step = _kept(step)
+        step = kept(step)
         levels.append(step)
         if step.where(F.col("node") == end).count():
             path, at = [], end

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators.filters import at
+from tessera.plans.lineage import kept
 from tessera.plans.schemas import REFERENCES
 
 #: Said of attempts that the engine settles itself, where nothing was said before.
@@ -163,14 +164,15 @@ def abandon(tasks: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
 def roll_up(tasks: DataFrame, ids: DataFrame, as_of: str, levels: int = 10) -> DataFrame:
     """Parents of `ids` whose children are all done are completed, then theirs, `levels` up at most.
 
-    The work of a level is a join on the parent; the climb stops when no task is left to look at.
+    The work of a level is a join on the parent; the climb stops when no task is left to look at. Who climbs is kept
+    after each level, so the plan grows by a join a level only.
     """
     climbing = ids.select("id").distinct()
     for _ in range(levels):
         parents = tasks.join(climbing, "id", "left_semi").where("parent_task_id is not null").select(F.col("parent_task_id").alias("id")).distinct()
         children = tasks.join(parents.withColumnRenamed("id", "parent_task_id"), "parent_task_id", "left_semi")
         done = children.groupBy("parent_task_id").agg(F.bool_and(F.col("status").isin("completed", "abandoned")).alias("ok")).where("ok").select(F.col("parent_task_id").alias("id"))
-        climbing = tasks.join(done, "id", "left_semi").select("id")
+        climbing = kept(tasks.join(done, "id", "left_semi").select("id"))
         if climbing.isEmpty():
             break
         tasks = complete(tasks, climbing, as_of)
