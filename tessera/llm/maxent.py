@@ -20,7 +20,7 @@ HEAD = (CLASSES - TIERS - 1) * WIDTH
 #: Words whose counts every task holds (12 bytes each); counts of other words are joined.
 LOOKUP = 1 << 21
 #: Weight rows (features are hashed to them), tokens of a gradient step, rounds of distributed training, the rate.
-ROWS, STEP, ROUNDS, RATE = 1 << 15, 8192, 2, 0.25
+ROWS, STEP, ROUNDS, RATE = 1 << 15, 1 << 14, 2, 0.25
 BLOCKS = 32
 #: Context words beyond the head are told apart by so many hash buckets.
 BUCKETS = 1 << 13
@@ -156,27 +156,31 @@ class Learner:
         self.squares = np.full(w.shape, 0.5, dtype=np.float32)
         self.seen = np.zeros(len(w), dtype=np.float32)
 
-    def step(self, rows: np.ndarray, p: np.ndarray, target: np.ndarray) -> None:
-        p[np.arange(len(target)), target] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        at = flat[order]
-        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        g = np.add.reduceat(p[order // FEATURES], cut, axis=0)
-        u, n = at[cut], np.diff(np.append(cut, len(at)))
-        self.squares[u] += g * g / n[:, None]
-        self.w[u] -= RATE * g / np.sqrt(n[:, None] * self.squares[u])
-        self.seen[u] += n
+    def step(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """One update from parts (rows, gradient of the logits); sums by row are taken a column at a time."""
+        flat = np.concatenate([rows.T.ravel() for rows, _ in parts])
+        n = np.bincount(flat, minlength=ROWS).astype(np.float32)[:, None]
+        g = np.empty((WIDTH, ROWS), dtype=np.float32)
+        for j in range(WIDTH):
+            g[j] = np.bincount(flat, weights=np.concatenate([np.tile(p[:, j], FEATURES) for _, p in parts]), minlength=ROWS)
+        g = np.ascontiguousarray(g.T)
+        self.seen += n[:, 0]
+        np.maximum(n, 1, out=n)
+        self.squares += g * g / n
+        self.w -= RATE * g / np.sqrt(n * self.squares)
 
     def learn(self, voc: Vocabulary, f: np.ndarray, cls: np.ndarray, rank: np.ndarray) -> None:
         for i in range(0, len(cls), STEP):
             ff, c, r = f[i : i + STEP], cls[i : i + STEP], rank[i : i + STEP]
-            rows = _class_rows(ff)
-            self.step(rows, _probability(self.w, rows, voc.class_bias), c)
             head = np.flatnonzero((r >= 0) & (r < HEAD))
-            if len(head):
-                rows = _word_rows(ff[head], c[head])
-                self.step(rows, _probability(self.w, rows, voc.word_bias[c[head]]), r[head] % WIDTH)
+            parts = [(_class_rows(ff), voc.class_bias, c)]
+            parts += [(_word_rows(ff[head], c[head]), voc.word_bias[c[head]], r[head] % WIDTH)] if len(head) else []
+            grads = []
+            for rows, bias, target in parts:
+                p = _probability(self.w, rows, bias)
+                p[np.arange(len(target)), target] -= 1
+                grads.append((rows, p))
+            self.step(grads)
 
 
 def encoded(voc: Vocabulary, texts: pa.Array) -> tuple:
