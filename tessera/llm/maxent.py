@@ -18,7 +18,7 @@ from tessera.llm.common import LOWER, crc_mod, hash_words, mix, odd_constants, p
 CLASSES, WIDTH, TIERS = 32, 32, 3
 HEAD = (CLASSES - TIERS - 1) * WIDTH
 #: Words whose counts every task holds (12 bytes each); counts of other words are joined.
-LOOKUP = 1 << 21
+LOOKUP = 1 << 19
 #: Weight rows (features are hashed to them), tokens of a gradient step, rounds of distributed training, the rate.
 ROWS, STEP, ROUNDS, RATE = 1 << 15, 1 << 14, 2, 0.25
 BLOCKS = 32
