@@ -59,10 +59,37 @@ def crc_mod(col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(0)) % n
 
 
+#: Rows in an Arrow batch. Texts are long: with Spark's default of 10,000 a batch takes up to hundreds of MB in the JVM
+#: and again in Python, in every task.
+ARROW_ROWS = 2000
+
+
+def settle(spark: SparkSession) -> None:
+    """Set the size of Arrow batches for long texts, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def least_hashed(df: DataFrame, key: list[str], n: int, seed: int = 5) -> DataFrame:
+    """The n rows of least hash of `key`: a sample that is the same on every run.
+
+    A bound on the hash that lets about twice n rows pass comes first, so that tasks don't each send n rows on.
+    """
+    full = 1 << 40
+    ranked = df.withColumn("__h", F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key], F.lit(seed)), F.lit(full)))
+    rows = df.count()
+    below = ranked.where(F.col("__h") < int(full * min(1.0, (2 * n + 100) / max(1, rows))))
+    if 2 * n + 100 < rows and below.count() >= n:
+        ranked = below
+    return ranked.orderBy("__h", *key).limit(n).drop("__h")
+
+
 def pieces_of(batch: pa.RecordBatch, rows: int = STEP_ROWS, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of so many rows and bytes at most."""
     if batch.num_rows <= 1 or (batch.num_rows <= rows and batch.nbytes <= size):

@@ -22,6 +22,8 @@ LOOKUP = 1 << 19
 #: Weight rows (features are hashed to them), tokens of a gradient step, rounds of distributed training, the rate.
 ROWS, STEP, ROUNDS, RATE = 1 << 15, 1 << 14, 2, 0.25
 BLOCKS = 32
+#: Bytes of text whose features are in memory at a time (32 bytes a token, and as much for the way there).
+SLICE = 2 << 20
 #: Context words beyond the head are told apart by so many hash buckets.
 BUCKETS = 1 << 13
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
@@ -49,7 +51,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", flush: int = 1 << 21)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["h", "c"])
 
         for batch in batches:
-            for b in pieces_of(batch):
+            for b in pieces_of(batch, size=SLICE):
                 _, codes, h = token_hashes(b.column(0))
                 n = np.bincount(codes, minlength=len(h))
                 keys, back = np.unique(np.concatenate([keys, h[n > 0]]), return_inverse=True)
@@ -206,7 +208,7 @@ def train_weights(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, id_col
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             made, any_rows = Learner(shared.value), False
             for batch in batches:
-                for b in pieces_of(batch):
+                for b in pieces_of(batch, size=SLICE):
                     _, codes, _, rank, _, cls, f = encoded(known.value, b.column(0))
                     made.learn(known.value, f, cls[codes], rank[codes])
                     any_rows = True
@@ -249,7 +251,7 @@ def score_texts(docs: DataFrame, train: str = "crc32 mod 7 is not 2", id_col: st
         voc, w = known.value
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for b in pieces_of(batch):
+            for b in pieces_of(batch, size=SLICE):
                 first, codes, h, rank, count, cls, f = encoded(voc, b.column(1))
                 n = len(codes)
                 own = np.zeros(len(h))  # log probability of a word in its class, where the context has no say
