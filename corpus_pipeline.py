@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, ngram_join, packing, quality, toxicity
-from tessera.llm.common import staged, table
+from tessera.llm.common import settle, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    settle(spark)
     return ngram_join.drop_near_duplicates(docs)
 
 
@@ -37,6 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document and its place in a sequence."""
+    settle(spark)
     pieces = packing.token_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(staged(pieces, "pieces"))
 
