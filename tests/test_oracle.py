@@ -21,7 +21,7 @@ def sql():
 
 def canon(frame):
     def one(x):
-        if x is None or x != x or str(x) == "NaT":
+        if x is None or str(x) in ("nan", "NaT", "<NA>"):
             return ""
         if isinstance(x, (bool, np.bool_)):
             return str(bool(x))
