@@ -65,6 +65,21 @@ def count_tokens(docs: DataFrame, text_col: str = "text", flush: int = 1 << 21)
     return docs.select(text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """All words from some count on, `most` at most: the bound of what is sent to the driver and to every task.
+
+    The count is found from a histogram of a few thousand rows, so nothing is sorted.
+    """
+    bucket = F.floor(F.log2("c") * 64).cast("int")
+    total, least = 0, None
+    for b, n in sorted(map(tuple, counts.groupBy(bucket.alias("b")).count().collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = b
+    return counts.where(bucket >= least) if least is not None else counts.limit(0)
+
+
 @dataclass
 class Vocabulary:
     """The LOOKUP most frequent tokens: sorted hashes, counts and ranks; totals N and V of all training tokens."""
@@ -239,7 +254,7 @@ def score_texts(docs: DataFrame, train: str = "crc32 mod 7 is not 2", id_col: st
     learn = rows.where(~F.col("held_out"))
     counts = staged(count_tokens(learn), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(lookup).toArrow()  # the bound of what is broadcast
+    top = frequent(counts, lookup).toArrow()
     hashes, c = top["h"].to_numpy().view(np.uint64) if len(top) else np.empty(0, np.uint64), top["c"].to_numpy() if len(top) else np.empty(0, np.int64)
     by_count = np.lexsort((hashes.view(np.int64), -c))
     voc = Vocabulary.of(hashes[by_count], c[by_count], int(total), int(distinct))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import append_columns, crc_mod, mix, odd_constants, word_hashes
+from tessera.llm.common import append_columns, crc_mod, least_hashed, mix, odd_constants, word_hashes
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most, those whose hash is least: a documented bound.
@@ -95,7 +95,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where(f"id is not null and label is not null")
     known = known.where(crc_mod("id", folds) != held).groupBy("id").agg(F.max("label").alias("label"))
-    known = known.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(5)), "id").limit(rows)  # the bound
+    known = least_hashed(known, ["id"], rows)  # the bound
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(known), "id").select("id", "text", "label")
 

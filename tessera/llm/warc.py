@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, staged
+from tessera.llm.common import fresh_path, least_hashed, staged
 
 SKIPPABLE = 0x184D2A5D  # the skippable frame that holds a dictionary
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -248,7 +248,7 @@ def archive_pages(pages: DataFrame, least: int = 100, where: str | None = None,
         F.concat(F.lit("urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("record_id"), "url", "payload",
         F.when(~F.col("first").eqNullSafe(F.col("id")), F.concat(F.lit("urn:page:"), F.col("first").cast("string"))).alias("refers_to"),
     )
-    sample = pages.select(F.col(html_col).alias("x")).where(F.octet_length("x").between(1, 64 << 10)).orderBy(F.xxhash64("x"), "x").limit(DICTIONARY_SAMPLES)
+    sample = least_hashed(pages.select(F.col(html_col).alias("x")).where(F.octet_length("x").between(1, 64 << 10)), ["x"], DICTIONARY_SAMPLES)
     dictionary = train_dictionary([r[0].encode("utf-8", "surrogatepass") for r in sample.collect()])
     where = where or fresh_path(spark, "warc")
     return write_warc(rows, where, dictionary), where
