@@ -110,7 +110,8 @@ class Vocabulary:
         head = np.zeros(HEAD)
         head[: min(HEAD, len(by_rank))] = by_rank[:HEAD]
         self.word_bias = np.log(head + 0.1).reshape(-1, WIDTH).astype(np.float32)
-        self.word_bias[head.reshape(-1, WIDTH) == 0] = -30  # places without a word
+        self.word_bias -= self.word_bias.max(axis=1, keepdims=True)
+        self.word_bias[head.reshape(-1, WIDTH) == 0] = -60  # places without a word
         per = np.concatenate([head.reshape(-1, WIDTH).sum(1), mass, [self.tail_mass + 1.0]])
         self.class_bias = np.log(np.maximum(per, 1e-6) / per.sum()).astype(np.float32)
 
@@ -144,9 +145,10 @@ def contexts(first: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    """In place. Biases are at most 0, so bounded logits take the place of a shift by each row's largest."""
+    np.clip(z, -80, 80, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / (z @ np.ones(z.shape[1], dtype=z.dtype)))[:, None]
     return z
 
 
@@ -159,9 +161,9 @@ def _word_rows(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 def _probability(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = bias + w[rows[:, 0]]
+    z = bias + np.take(w, rows[:, 0], axis=0, mode="clip")
     for k in range(1, FEATURES):
-        z += w[rows[:, k]]
+        z += np.take(w, rows[:, k], axis=0, mode="clip")
     return _softmax(z)
 
 
@@ -176,15 +178,19 @@ class Learner:
     def step(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """One update from parts (rows, gradient of the logits); sums by row are taken a column at a time."""
         flat = np.concatenate([rows.T.ravel() for rows, _ in parts])
-        n = np.bincount(flat, minlength=ROWS).astype(np.float32)[:, None]
-        g = np.empty((WIDTH, ROWS), dtype=np.float32)
+        n = np.bincount(flat, minlength=ROWS)
+        met = np.flatnonzero(n)
+        n = n[met].astype(np.float32)[:, None]
+        columns = [np.ascontiguousarray(p.T, dtype=np.float64) for _, p in parts]
+        g = np.empty((WIDTH, len(met)), dtype=np.float32)
         for j in range(WIDTH):
-            g[j] = np.bincount(flat, weights=np.concatenate([np.tile(p[:, j], FEATURES) for _, p in parts]), minlength=ROWS)
+            weights = np.concatenate([np.tile(c[j], FEATURES) for c in columns])
+            g[j] = np.bincount(flat, weights=weights, minlength=ROWS)[met]
         g = np.ascontiguousarray(g.T)
-        self.seen += n[:, 0]
-        np.maximum(n, 1, out=n)
-        self.squares += g * g / n
-        self.w -= RATE * g / np.sqrt(n * self.squares)
+        self.seen[met] += n[:, 0]
+        squares = self.squares[met] + g * g / n
+        self.squares[met] = squares
+        self.w[met] -= RATE * g / np.sqrt(n * squares)
 
     def learn(self, voc: Vocabulary, f: np.ndarray, cls: np.ndarray, rank: np.ndarray) -> None:
         for i in range(0, len(cls), STEP):
