@@ -19,6 +19,8 @@ from tessera.llm.toxicity import FIT_ROWS, labelled_sample
 ROWS, DIM, NONZERO = 1 << 13, 64, 4
 WINDOW = 2
 BLOCKS = 32
+#: Bytes of text that are pooled at a time.
+SLICE = 1 << 20
 _SIGNS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+")
 #: What a word looks like, as words of their own: capitals only, a word said again, signs inside or at the end.
 SHAPES = ("\x01caps", "\x01again", "\x01signs", "\x01mark")
@@ -87,6 +89,12 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """The vectors of the texts, a slice at a time, as each distinct word of a text takes a row of floats on the way."""
+    parts = [_pooled(b.column(0), vectors) for b in pieces_of(pa.RecordBatch.from_arrays([texts], names=["t"]), size=SLICE)]
+    return np.concatenate(parts)
+
+
+def _pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """A vector for each text: the means of its words' context vectors and of its words' and shapes' index vectors, and
     the log of its length and its share of distinct words."""
     first, rows, bits = word_rows(texts)
