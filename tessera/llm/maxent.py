@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, crc_mod, hash_words, mix, odd_constants, pieces_of, release, split_words, staged, sum_blocks, translated
 
-#: Classes and words in each; the last four classes hold all other words: three by frequency, one for the rest.
+#: Classes and words in each; the last four classes hold all other words, as trees: three by frequency, one for the rest.
 CLASSES, WIDTH, TIERS = 32, 32, 3
 HEAD = (CLASSES - TIERS - 1) * WIDTH
 #: Words whose counts every task holds (12 bytes each); counts of other words are joined.
 LOOKUP = 1 << 19
-#: Weight rows (features are hashed to them), tokens of a gradient step, rounds of distributed training, the rate.
+#: Weight rows at least (features are hashed to them), tokens of a gradient step, rounds of distributed training, the rate.
 ROWS, STEP, ROUNDS, RATE = 1 << 15, 1 << 14, 2, 0.25
+#: A weight row for so many distinct words, up to the most that the tasks' memory and the exchange of a round allow.
+WORDS_A_ROW, MOST_ROWS = 8, 1 << 17
 BLOCKS = 32
 #: Bytes of text whose features are in memory at a time (32 bytes a token, and as much for the way there).
 SLICE = 2 << 20
-#: Context words beyond the head are told apart by so many hash buckets.
-BUCKETS = 1 << 13
+#: Words beyond the lookup are told apart by their context by hash buckets: one for so many of them, and the most.
+WORDS_A_BUCKET, MOST_BUCKETS = 32, 1 << 10
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 FEATURES = 4
 _MUL = odd_constants(8, 29)
@@ -80,21 +82,54 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(bucket >= least) if least is not None else counts.limit(0)
 
 
+def power_of_two(n: float, least: int, most: int) -> int:
+    """The power of two from n on, between two others."""
+    return min(most, max(least, 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))))
+
+
+def tree_of(weights: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman tree of WIDTH branches: node and branch of each leaf, parent and branch of each node, masses (nodes, WIDTH).
+
+    Nodes are numbered from `base` on, the root last with parent -1; a single leaf has no node (-1).
+    """
+    n = len(weights)
+    order = np.argsort(weights, kind="stable")
+    made = -(-max(0, n - 1) // (WIDTH - 1))
+    up, branch = np.full(n + made, -1, dtype=np.int32), np.zeros(n + made, dtype=np.int8)
+    mass, value = np.zeros((made, WIDTH)), [*weights[order].tolist(), *[0.0] * made]
+    leaf, node = 0, n  # the least leaf and the least node that have no parent
+    for k in range(made):
+        for j in range(2 + (n - 2) % (WIDTH - 1) if k == 0 else WIDTH):
+            if leaf < n and (node >= n + k or value[leaf] <= value[node]):
+                at, leaf = leaf, leaf + 1
+            else:
+                at, node = node, node + 1
+            up[at], branch[at], mass[k, j] = base + k, j, value[at]
+        value[n + k] = float(mass[k].sum())
+    back = np.empty(n, dtype=np.int64)
+    back[order] = np.arange(n)
+    return up[:n][back], branch[:n][back], up[n:], branch[n:], mass
+
+
 @dataclass
 class Vocabulary:
-    """The LOOKUP most frequent tokens: sorted hashes, counts and ranks; totals N and V of all training tokens."""
+    """The LOOKUP most frequent tokens: sorted hashes, counts and ranks; totals N and V of all training tokens.
+
+    `tail` has the slots of each hash bucket of the words beyond: their counts, one more for each, and one for the unknown.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
     ranks: np.ndarray
     total: int
     distinct: int
+    tail: np.ndarray | None = None
 
     @staticmethod
-    def of(hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> Vocabulary:
+    def of(hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, tail: np.ndarray | None = None) -> Vocabulary:
         """From hashes in falling order of counts."""
         order = np.argsort(hashes)
-        return Vocabulary(hashes[order], counts[order].astype(np.int64), np.arange(len(hashes), dtype=np.int32)[order], total, distinct)
+        return Vocabulary(hashes[order], counts[order].astype(np.int64), np.arange(len(hashes), dtype=np.int32)[order], total, distinct, tail)
 
     def __post_init__(self):
         by_rank = np.empty(len(self.counts), dtype=np.int64)
@@ -114,6 +149,44 @@ class Vocabulary:
         self.word_bias[head.reshape(-1, WIDTH) == 0] = -60  # places without a word
         per = np.concatenate([head.reshape(-1, WIDTH).sum(1), mass, [self.tail_mass + 1.0]])
         self.class_bias = np.log(np.maximum(per, 1e-6) / per.sum()).astype(np.float32)
+        if self.tail is None:
+            self.tail = np.array([self.tail_mass + self.tail_slots], dtype=np.float64)
+        #: the words of a tier and the buckets of the tail are leaves of trees, whose nodes are softmaxes as the classes are
+        trees, nodes = [], 0
+        for weights in [*(rest[self.tier_of == t] for t in range(TIERS)), self.tail]:
+            trees.append(tree_of(weights, nodes))
+            nodes += len(trees[-1][2])
+        self.leaf_node, self.leaf_branch, self.parent, self.parent_branch, mass = map(np.concatenate, zip(*trees, strict=True))
+        with np.errstate(divide="ignore"):
+            self.node_bias = np.maximum(np.log(mass / mass.max(axis=1, keepdims=True)), -60).astype(np.float32) if nodes else np.zeros((0, WIDTH), dtype=np.float32)
+
+    def leaves(self, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The leaf of each token: words by rank, then the buckets of the tail; -1 in the head."""
+        words = len(self.leaf_node) - len(self.tail)
+        bucket = (h & np.uint64(len(self.tail) - 1)).astype(np.int64)
+        return np.where(rank < 0, words + bucket, np.maximum(rank - HEAD, -1))
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in `leaf`, node, branch) of each decision from the leaves up to their roots."""
+        at = np.flatnonzero(leaf >= 0)
+        node, branch = self.leaf_node[leaf[at]], self.leaf_branch[leaf[at]]
+        out = []
+        while True:
+            inner = node >= 0
+            at, node, branch = at[inner], node[inner], branch[inner]
+            out.append((at, node, branch))
+            if not len(at):
+                return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+            node, branch = self.parent[node], self.parent_branch[node]
+
+    def decisions(self, f: np.ndarray, cls: np.ndarray, rank: np.ndarray, leaf: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What picks the words in their classes: token, weight rows, biases and branch of each softmax."""
+        head = np.flatnonzero((rank >= 0) & (rank < HEAD))
+        at, node, branch = self.paths(leaf)
+        tokens = np.concatenate([head, at])
+        which = np.concatenate([cls[head], CLASSES + node])
+        bias = np.concatenate([self.word_bias[cls[head]], self.node_bias[node]])
+        return tokens, _word_rows(f[tokens], which, rows), bias, np.concatenate([rank[head] % WIDTH, branch])
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, count) of each hash; rank -1 and count 0 beyond the lookup."""
@@ -152,12 +225,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _class_rows(f: np.ndarray) -> np.ndarray:
-    return (f % np.uint64(ROWS)).astype(np.int64)
+def _class_rows(f: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    return (f % np.uint64(rows)).astype(np.int64)
 
 
-def _word_rows(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return (mix(f + cls.astype(np.uint64)[:, None] * _MUL[5]) % np.uint64(ROWS)).astype(np.int64)
+def _word_rows(f: np.ndarray, cls: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    return (mix(f + cls.astype(np.uint64)[:, None] * _MUL[5]) % np.uint64(rows)).astype(np.int64)
 
 
 def _probability(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -178,26 +251,28 @@ class Learner:
     def step(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """One update from parts (rows, gradient of the logits); sums by row are taken a column at a time."""
         flat = np.concatenate([rows.T.ravel() for rows, _ in parts])
-        n = np.bincount(flat, minlength=ROWS)
+        n = np.bincount(flat, minlength=len(self.w))
         met = np.flatnonzero(n)
+        flat = (np.cumsum(n > 0) - 1)[flat]
         n = n[met].astype(np.float32)[:, None]
         columns = [np.ascontiguousarray(p.T, dtype=np.float64) for _, p in parts]
-        g = np.empty((WIDTH, len(met)), dtype=np.float32)
+        g = np.zeros((WIDTH, len(met)), dtype=np.float32)
         for j in range(WIDTH):
-            weights = np.concatenate([np.tile(c[j], FEATURES) for c in columns])
-            g[j] = np.bincount(flat, weights=weights, minlength=ROWS)[met]
+            i = 0
+            for c in columns:
+                for _ in range(FEATURES):
+                    g[j] += np.bincount(flat[i : i + c.shape[1]], weights=c[j], minlength=len(met))
+                    i += c.shape[1]
         g = np.ascontiguousarray(g.T)
         self.seen[met] += n[:, 0]
         squares = self.squares[met] + g * g / n
         self.squares[met] = squares
         self.w[met] -= RATE * g / np.sqrt(n * squares)
 
-    def learn(self, voc: Vocabulary, f: np.ndarray, cls: np.ndarray, rank: np.ndarray) -> None:
+    def learn(self, voc: Vocabulary, f: np.ndarray, cls: np.ndarray, rank: np.ndarray, leaf: np.ndarray) -> None:
         for i in range(0, len(cls), STEP):
             ff, c, r = f[i : i + STEP], cls[i : i + STEP], rank[i : i + STEP]
-            head = np.flatnonzero((r >= 0) & (r < HEAD))
-            parts = [(_class_rows(ff), voc.class_bias, c)]
-            parts += [(_word_rows(ff[head], c[head]), voc.word_bias[c[head]], r[head] % WIDTH)] if len(head) else []
+            parts = [(_class_rows(ff, len(self.w)), voc.class_bias, c), voc.decisions(ff, c, r, leaf[i : i + STEP], len(self.w))[1:]]
             grads = []
             for rows, bias, target in parts:
                 p = _probability(self.w, rows, bias)
@@ -209,9 +284,7 @@ class Learner:
 def encoded(voc: Vocabulary, texts: pa.Array) -> tuple:
     first, codes, h = token_hashes(texts)
     rank, count = voc.look(h)
-    cls = voc.classes(rank)
-    ctx = np.where((rank >= 0) & (rank < HEAD), rank, HEAD + (mix(h) % np.uint64(BUCKETS)).astype(np.int64))
-    return first, codes, h, rank, count, cls, contexts(first, ctx[codes])
+    return first, codes, h, rank, count, voc.classes(rank), voc.leaves(h, rank), contexts(first, h[codes])
 
 
 def train_weights(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -221,8 +294,9 @@ def train_weights(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, id_col
     tasks, row by row, weighted by how often the task met the row, and shared for the next round.
     """
     sc = docs.sparkSession.sparkContext
-    known, w = sc.broadcast(voc), np.zeros((ROWS, WIDTH), dtype=np.float32)
-    per = ROWS // BLOCKS
+    size = power_of_two(voc.distinct / WORDS_A_ROW, ROWS, MOST_ROWS)
+    known, w = sc.broadcast(voc), np.zeros((size, WIDTH), dtype=np.float32)
+    per = size // BLOCKS
     for k in range(rounds):
         shared = sc.broadcast(w)
 
@@ -230,8 +304,8 @@ def train_weights(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, id_col
             made, any_rows = Learner(shared.value), False
             for batch in batches:
                 for b in pieces_of(batch, size=SLICE):
-                    _, codes, _, rank, _, cls, f = encoded(known.value, b.column(0))
-                    made.learn(known.value, f, cls[codes], rank[codes])
+                    _, codes, _, rank, _, cls, leaf, f = encoded(known.value, b.column(0))
+                    made.learn(known.value, f, cls[codes], rank[codes], leaf[codes])
                     any_rows = True
             if any_rows:
                 change = np.concatenate([(made.w - made.start) * made.seen[:, None], made.seen[:, None]], axis=1)
@@ -241,7 +315,9 @@ def train_weights(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, id_col
         for r in sum_blocks(part.mapInArrow(run, "block int, data binary")).collect():
             change = np.frombuffer(bytes(r["data"]), dtype=np.float32).reshape(per, WIDTH + 1)
             w[r["block"] * per : (r["block"] + 1) * per] += change[:, :WIDTH] / np.maximum(change[:, WIDTH:], 1)
+        shared.destroy()  # each executor has a copy on disk
         w = w.copy()
+    known.destroy()
     return w
 
 
@@ -251,8 +327,8 @@ def score_texts(docs: DataFrame, train: str = "crc32 mod 7 is not 2", id_col: st
     Tokens are words between ASCII white space in lower case (A-Z only) and an end; null and empty texts have the end
     alone. Learning is from documents whose crc32 of the doc_id as text leaves another remainder than `held`. base_score
     is the add-one unigram log10 probability and score the model's: class given context, times word given class
-    and context for frequent words, or the word's share of its class for others. All tokens count: those beyond the
-    lookup get their counts by a join. Rows that repeat get equal scores; null ids count as remainder 0; other columns
+    and context, by a tree of softmaxes in the wide classes. All tokens count: those beyond the lookup are leaves by hash
+    bucket, times the word's share of its bucket by counts from a join. Rows that repeat get equal scores; null ids count as remainder 0; other columns
     are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -263,7 +339,12 @@ def score_texts(docs: DataFrame, train: str = "crc32 mod 7 is not 2", id_col: st
     top = frequent(counts, lookup).toArrow()
     hashes, c = top["h"].to_numpy().view(np.uint64) if len(top) else np.empty(0, np.uint64), top["c"].to_numpy() if len(top) else np.empty(0, np.int64)
     by_count = np.lexsort((hashes.view(np.int64), -c))
-    voc = Vocabulary.of(hashes[by_count], c[by_count], int(total), int(distinct))
+    buckets = power_of_two((distinct - len(top)) / WORDS_A_BUCKET, 1, MOST_BUCKETS)
+    tail = np.ones(buckets)  # a row a bucket from all words, less the lookup's
+    for b, n in counts.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg((F.sum("c") + F.count(F.lit(1))).alias("n")).collect():
+        tail[b] += n
+    tail -= np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), weights=c + 1.0, minlength=buckets)
+    voc = Vocabulary.of(hashes[by_count], c[by_count], int(total), int(distinct), tail)
     w = train_weights(learn, voc, rounds, "doc_id")
     known = spark.sparkContext.broadcast((voc, w))
     names = ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "model", "tail"]
@@ -273,20 +354,19 @@ def score_texts(docs: DataFrame, train: str = "crc32 mod 7 is not 2", id_col: st
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in pieces_of(batch, size=SLICE):
-                first, codes, h, rank, count, cls, f = encoded(voc, b.column(1))
+                first, codes, h, rank, count, cls, leaf, f = encoded(voc, b.column(1))
                 n = len(codes)
-                own = np.zeros(len(h))  # log probability of a word in its class, where the context has no say
-                mid = rank >= HEAD
-                own[mid] = np.log(count[mid] / voc.tier_mass[voc.tier_of[rank[mid] - HEAD]])
+                own = np.zeros(len(h))  # a word's share of its bucket of the tail, but for its count
+                own[rank < 0] = -np.log(voc.tail[(h[rank < 0] & np.uint64(len(voc.tail) - 1)).astype(np.int64)])
                 logp = own[codes]
                 for i in range(0, n, STEP):
-                    ff, cc, r = f[i : i + STEP], cls[codes[i : i + STEP]], rank[codes[i : i + STEP]]
-                    p = _probability(w, _class_rows(ff), voc.class_bias)
+                    part = codes[i : i + STEP]
+                    ff, cc = f[i : i + STEP], cls[part]
+                    p = _probability(w, _class_rows(ff, len(w)), voc.class_bias)
                     logp[i : i + STEP] += np.log(p[np.arange(len(cc)), cc])
-                    head = np.flatnonzero((r >= 0) & (r < HEAD))
-                    if len(head):
-                        p = _probability(w, _word_rows(ff[head], cc[head]), voc.word_bias[cc[head]])
-                        logp[i + head] += np.log(p[np.arange(len(head)), r[head] % WIDTH])
+                    tokens, rows, bias, branch = voc.decisions(ff, cc, rank[part], leaf[part], len(w))
+                    p = _probability(w, rows, bias)
+                    logp[i : i + STEP] += np.bincount(tokens, weights=np.log(p[np.arange(len(branch)), branch]), minlength=len(cc))
                 far = rank[codes] < 0
                 base = np.where(far, 0.0, np.log10(count + 1.0)[codes])
                 m = len(first) - 1
@@ -303,12 +383,12 @@ def score_texts(docs: DataFrame, train: str = "crc32 mod 7 is not 2", id_col: st
     done = staged(rows.select("doc_id", "text", "held_out").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, tail array<long>"), "scored")
     far = done.select("rid", F.explode("tail").alias("h")).groupBy("rid", "h").agg(F.count(F.lit(1)).alias("n"))
     far = far.join(counts, "h", "left").groupBy("rid").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("tail_base"), F.sum("n").alias("n_tail"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("tail_base"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
     )
     zero = F.lit(0)
-    out = done.drop("tail").join(far, "rid", "left").withColumns({c: F.coalesce(c, zero) for c in ("tail_base", "n_tail", "tail_known")})
+    out = done.drop("tail").join(far, "rid", "left").withColumns({c: F.coalesce(c, zero) for c in ("tail_base", "tail_known")})
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("tail_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("tail_base") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"),
-        (F.col("model") + F.col("tail_base") - F.col("n_tail") * float(np.log10(voc.tail_mass + voc.tail_slots))).alias("score"),
+        (F.col("model") + F.col("tail_base")).alias("score"),
     )

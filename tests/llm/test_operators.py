@@ -243,6 +243,35 @@ def test_lm_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_context_tells_words_apart_beyond_the_head():
+    hashes = maxent.mix(np.arange(1, 3001, dtype=np.uint64))
+    counts = np.sort(np.random.default_rng(0).integers(1, 50, 3000))[::-1]
+    bucket = (hashes[2500:] & np.uint64(3)).astype(int)
+    tail = np.bincount(bucket, weights=counts[2500:] + 1.0, minlength=4) + 1
+    voc = maxent.Vocabulary.of(hashes[:2500], counts[:2500], int(counts.sum()), 3000, tail)
+    rows = 2 * maxent.ROWS
+    w = np.random.default_rng(1).normal(0, 0.1, (rows, maxent.WIDTH)).astype(np.float32)
+    rank, _ = voc.look(hashes)
+    cls, leaf = voc.classes(rank), voc.leaves(hashes, rank)
+    given_context = []
+    for word in (5, 6):
+        f = np.repeat(maxent.contexts(np.array([0, 2]), np.array([word, 7], dtype=np.uint64))[1:], 3000, axis=0)
+        p = maxent._probability(w, maxent._class_rows(f, rows), voc.class_bias)[np.arange(3000), cls].astype(float)
+        tokens, at, bias, branch = voc.decisions(f, cls, rank, leaf, rows)
+        inner = np.exp(np.bincount(tokens, weights=np.log(maxent._probability(w, at, bias)[np.arange(len(branch)), branch]), minlength=3000))
+        inner[2500:] *= (counts[2500:] + 1) / tail[bucket]
+        unknown = p[-1] * sum(inner[2500:][bucket == b][0] / (counts[2500:][bucket == b][0] + 1) for b in range(4))  # a slot of each bucket
+        assert (p * inner).sum() + unknown == pytest.approx(1, abs=1e-4)
+        given_context.append(inner)
+    assert (np.abs(np.log(given_context[0] / given_context[1])) > 1e-6).all()
+
+
+def test_lm_weights_grow_with_the_vocabulary(spark):
+    voc = maxent.Vocabulary.of(np.arange(1, 4, dtype=np.uint64), np.array([3, 2, 1]), 6, 500_000)
+    one = spark.createDataFrame([(1, "a b a")], "doc_id long, text string")
+    assert maxent.train_weights(one, voc, rounds=1).shape == (1 << 16, maxent.WIDTH)
+
+
 # -- 5
 
 
