@@ -26,6 +26,21 @@ def case_metrics(cases: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def label_metrics(top: DataFrame, rows: DataFrame) -> DataFrame:
+    """As case_metrics, where a case expects all other rows of its label: from top (query_id, id, rank) and rows (id, label).
+
+    Labels are counted, so no list of what is expected is made. Cases whose label has no other row are left out.
+    """
+    own = rows.select(F.col("id").alias("query_id"), F.col("label").alias("want"))
+    sizes = rows.groupBy(F.col("label").alias("want")).agg((F.count(F.lit(1)) - 1).alias("expected")).where("expected > 0")
+    same = top.join(rows.select("id", "label"), "id").join(own, "query_id").join(sizes, "want").withColumn("hit", F.col("want") == F.col("label"))
+    hits = F.sum(F.col("hit").cast("long"))
+    return same.groupBy(F.col("query_id").alias("case_id")).agg(
+        (hits / F.count(F.lit(1))).alias("precision"), (hits / F.first("expected")).alias("recall"),
+        F.coalesce(F.lit(1.0) / F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0.0)).alias("rr"),
+    ).select("case_id", F.lit("vectors").alias("dataset"), "precision", "recall", "rr", F.lit(None).cast("boolean").alias("negative_pass"))
+
+
 def set_metrics(cases: DataFrame) -> DataFrame:
     """Set-based precision and recall of contexts, over distinct members."""
     hits = F.size(F.array_intersect("expected", "returned"))

@@ -70,6 +70,43 @@ def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: i
     return rows.groupBy("g", "lo", "hi").applyInPandas(pairs, f"a {kind}, b {kind}, similarity double")
 
 
+def nearest(queries: DataFrame, rows: DataFrame, k: int, others: bool = False, block: int = 1024, col: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank): for each row of queries the k rows of highest cosine; `others` leaves out its own id.
+
+    Both sides are cut into blocks of bounded size by a hash; a task multiplies two blocks and sends on k rows a query.
+    Exact; the id breaks ties (of cosines equal to 12 places); null vectors are left out.
+    """
+    sides, many = [], []
+    for df in (queries, rows):
+        sides.append(df.where(F.col(col).isNotNull()).select("id", F.col(col).alias("v")))
+        many.append(max(1, -(-sides[-1].count() // block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    asked = sides[0].select(F.lit(True).alias("asks"), "id", "v", own(many[0]).alias("left"), every(many[1]).alias("right"))
+    held = sides[1].select(F.lit(False).alias("asks"), "id", "v", own(many[1]).alias("right"), every(many[0]).alias("left"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        asks, ids = pdf["asks"].to_numpy(dtype=bool), pdf["id"].to_numpy()
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"query_id": ids[:0], "id": ids[:0], "score": np.empty(0)})
+        m = np.array(pdf["v"].tolist(), dtype=np.float64)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+        s = np.round(m[asks] @ m[~asks].T, 12)
+        if others:
+            s[ids[asks][:, None] == ids[~asks][None, :]] = -np.inf
+        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(s, at, axis=1).ravel()
+        found = pd.DataFrame({"query_id": np.repeat(ids[asks], at.shape[1]), "id": ids[~asks][at.ravel()], "score": score})
+        return found[score > -np.inf]
+
+    kind = rows.schema["id"].dataType.simpleString()
+    near = asked.unionByName(held).groupBy("left", "right").applyInPandas(best, f"query_id {kind}, id {kind}, score double")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return near.where(F.col("rank") <= k)
+
+
 # -- full text --------------------------------------------------------------------------------------------------------
 
 

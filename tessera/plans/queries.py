@@ -165,15 +165,10 @@ def code_hybrid(spark, sf):
 
 @query()
 def mmr_rerank(spark, sf):
-    """For a few queries, five of twenty candidates."""
-    vec = fx.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
-    out = None
-    for q in range(4):
-        v = query_vector(spark, sf, q)
-        top = retrieval.vector_top_k(vec, v, 20)
-        rows = retrieval.ranked(top, -F.col("score"), 20, "rank").join(F.broadcast(top.select("id", "embedding")), "id").select(F.lit(q).cast("long").alias("query_id"), F.array(*map(F.lit, v)).alias("query"), "id", "rank", "embedding")
-        out = rows if out is None else out.unionByName(rows)
-    return retrieval.mmr(out, 5, 0.3)
+    """For each vector as the query, five of twenty candidates."""
+    vec = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    near = retrieval.nearest(vec, vec, 20).join(vec.select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), "query_id").join(vec, "id")
+    return retrieval.mmr(near.select("query_id", "query", "id", "rank", "embedding"), 5, 0.3)
 
 
 @query(f""", c AS (SELECT id AS chunk_id, {COS} AS s FROM (SELECT f.id, CAST(embedding AS DOUBLE[]) AS embedding FROM code_files f JOIN embeddings ON f.id % 500 = vec_id) WHERE s >= {HIGH} ORDER BY s DESC, chunk_id LIMIT 20)
@@ -623,18 +618,41 @@ def _eval_cases(spark, sf):
     return top.join(want, "case_id").select("case_id", F.lit("vectors").alias("dataset"), "expected", "returned")
 
 
+def _all_cases(spark, sf):
+    """Every vector is a case."""
+    v = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    return evaluation.label_metrics(retrieval.nearest(v, v, 10, others=True), v)
+
+
 @query(EVAL + " SELECT q AS case_id, round(p, 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS rr FROM m")
 def precision_recall_mrr(spark, sf):
     return evaluation.case_metrics(_eval_cases(spark, sf)).select("case_id", r6("precision"), r6("recall"), r6("rr"))
 
 
-@query(EVAL + " , x AS (SELECT avg(p) AS p, avg(r) AS r, avg(rr) AS rr FROM m) SELECT 'vectors' AS dataset, metric, round(now - before, 6) AS delta, CASE WHEN now - before < -0.02 - 1e-12 THEN 'regression' ELSE 'ok' END AS verdict FROM (SELECT 'mean_precision' AS metric, p AS now, 0.5 AS before FROM x UNION ALL SELECT 'mean_recall', r, 0.0 FROM x UNION ALL SELECT 'mean_rr', rr, 1.0 FROM x UNION ALL SELECT 'negative_pass_rate', 0.0, 0.0)")
-def baseline_diff(spark, sf):
-    now = evaluation.melt(evaluation.dataset_metrics(evaluation.case_metrics(_eval_cases(spark, sf))))
+@query(EVAL.replace(" WHERE id < 20", "") + " SELECT q AS case_id, round(p, 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS rr FROM m")
+def precision_recall_mrr_all(spark, sf):
+    return _all_cases(spark, sf).select("case_id", r6("precision"), r6("recall"), r6("rr"))
+
+
+BASELINE_DIFF = " , x AS (SELECT avg(p) AS p, avg(r) AS r, avg(rr) AS rr FROM m) SELECT 'vectors' AS dataset, metric, round(now - before, 6) AS delta, CASE WHEN now - before < -0.02 - 1e-12 THEN 'regression' ELSE 'ok' END AS verdict FROM (SELECT 'mean_precision' AS metric, p AS now, 0.5 AS before FROM x UNION ALL SELECT 'mean_recall', r, 0.0 FROM x UNION ALL SELECT 'mean_rr', rr, 1.0 FROM x UNION ALL SELECT 'negative_pass_rate', 0.0, 0.0)"
+
+
+def _baseline_diff(spark, metrics):
+    now = evaluation.melt(evaluation.dataset_metrics(metrics))
     base = spark.createDataFrame([("vectors", "mean_precision", 0.5), ("vectors", "mean_recall", 0.0), ("vectors", "mean_rr", 1.0), ("vectors", "negative_pass_rate", 0.0)], "dataset string, metric string, value double")
     return evaluation.diff(now, base).withColumn("delta", F.round("delta", 6))
 
 
+@query(EVAL + BASELINE_DIFF)
+def baseline_diff(spark, sf):
+    return _baseline_diff(spark, evaluation.case_metrics(_eval_cases(spark, sf)))
+
+
+@query(EVAL.replace(" WHERE id < 20", "") + BASELINE_DIFF)
+def baseline_diff_all(spark, sf):
+    return _baseline_diff(spark, _all_cases(spark, sf))
+
+
 @query("""SELECT p.id AS project_id, '# Memory: ' || name || chr(10) || chr(10) || '## Rules' || chr(10) || chr(10)
     || coalesce((SELECT string_agg('- **' || category || '** ' || substr(content, 1, 100), chr(10) ORDER BY category, created_at, r.id) FROM rules r WHERE r.project_id = p.id AND valid_until IS NULL), '') || chr(10) || chr(10) || '## Tasks' || chr(10) || chr(10)
     || coalesce((SELECT string_agg('- [' || status || '] ' || description, chr(10) ORDER BY created_at, t.id) FROM tasks t WHERE t.project_id = p.id), '') || chr(10) AS markdown FROM projects p""")

@@ -133,6 +133,27 @@ def test_mmr_order(k, diversity, seed):
     assert len(set(got)) == len(got)
 
 
+def test_nearest_is_brute_force_in_blocks(spark):
+    v = np.random.default_rng(3).normal(size=(60, 8))
+    v[41] = v[7]  # a tie
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    got = {}
+    for r in retrieval.nearest(df, df, 5, others=True, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == {i: [j for j in np.lexsort((np.arange(60), -s[i])) if j != i][:5] for i in range(60)}
+
+
+def test_every_vector_is_a_query(spark):
+    from tessera.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r["query_id"] for r in QUERIES["mmr_rerank"](spark, sf).collect()} == ids
+    assert {r["case_id"] for r in QUERIES["precision_recall_mrr_all"](spark, sf).collect()} == ids
+
+
 def test_mmr_prefers_the_different():
     v = np.array([[1, 0, 0], [0.99, 0.01, 0], [0, 1, 0], [0.98, 0.02, 0]])
     assert retrieval.mmr_order(np.array([1.0, 0, 0]), v, 2, 0.8) == [0, 2]
