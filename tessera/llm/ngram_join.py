@@ -11,8 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import mix, odd_constants, pieces_of, staged, word_hashes
+from tessera.llm.common import append_columns, mix, odd_constants, pieces_of, staged, word_hashes
 from tessera.llm.components import components
 
 WORDS_A_GRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
@@ -156,6 +157,11 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS_A_GRAM, threshold: float
     are classes of their own; where doc_ids repeat, each row counts as a document (rows without links and with an equal
     doc_id then show one class_id); null ids come out as they are. An empty table gives none; other columns are ignored.
     """
+    return _classed(docs, size, threshold, recall, most_hashes, id_col, text_col).drop("label")
+
+
+def _classed(docs: DataFrame, size: int, threshold: float, recall: float, most_hashes: int, id_col: str, text_col: str) -> DataFrame:
+    """jaccard_classes with `label`, the least key of the class (null without words): doc_ids that repeat don't name a class."""
     spark = docs.sparkSession
     bands, rows = banding(threshold, recall, most_hashes)
     marked = staged(signed(docs, size, bands, rows, id_col, text_col), "signed")
@@ -196,25 +202,31 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS_A_GRAM, threshold: float
     each = nodes.select("key", "many", "first").join(label.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     each = staged(each.select("key", "many", "first", F.coalesce("label", "key").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "each")
     least = each.where("label <> key or links > 0").groupBy("label").agg(F.min("first").alias("class_id"))
-    each = each.join(least, "label", "left").select("key", F.coalesce("class_id", "first").alias("class_id"), (F.col("many") - 1 + F.col("links")).alias("n_links"))
+    each = each.join(least, "label", "left").select("key", "label", F.coalesce("class_id", "first").alias("class_id"), (F.col("many") - 1 + F.col("links")).alias("n_links"))
     out = marked.select("doc_id", "key").join(each, "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.lower(F.hex("key")).alias("set_key"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.lower(F.hex("key")).alias("set_key"), "label")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = WORDS_A_GRAM, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class: that with the least doc_id. All columns stay.
 
-    Of rows that repeat this doc_id, one stays; rows with a null doc_id all stay, as nothing tells them apart.
+    Where doc_ids repeat, a class is its texts' (of its rows with the least doc_id one stays), so no text goes without
+    one like it that stays; rows without words stay, and so do rows with a null doc_id, as nothing tells them apart.
     """
-    found = staged(jaccard_classes(docs, id_col=id_col, **how), "classes")
-    drop = found.where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("__drop")).distinct()
-    drop = staged(drop, "dropped")
-    kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, docs[id_col] == F.col("__drop"), "left_anti")
+    found = staged(_classed(docs, size, threshold, recall, most_hashes, id_col, text_col), "classes")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if again:  # a doc_id on several rows
+    if again:  # a doc_id on several rows: they are told apart by their sets
         from pyspark.sql import Window
 
-        plain = [c for c in kept.columns if c != id_col]
-        numbered = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`").cast("string") for c in plain])))
-        kept = numbered.where((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
-    return kept
+        least = found.where("doc_id is not null and label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "set_key")).alias("r"))
+        keep = least.select(F.col("r.doc_id").alias("__id"), F.col("r.set_key").alias("__set"))
+        key = T.StructField("__key", T.StringType())
+        keyed = append_columns(docs, [text_col], [key], lambda: lambda texts: [[set_key(s).hex() if len(s) else None for s in gram_sets(texts, size)]])
+        free = keyed.where(F.col(id_col).isNull() | F.col("__key").isNull()).drop("__key")
+        kept = keyed.where("__key is not null").join(keep, (keyed[id_col] == F.col("__id")) & (F.col("__key") == F.col("__set")), "left_semi")
+        plain = [c for c in docs.columns if c != id_col]
+        kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(*[F.col(f"`{c}`").cast("string") for c in plain])))
+        return kept.where("__n = 1").drop("__n", "__key").unionByName(free)
+    drop = found.where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("__drop")).distinct()
+    drop = staged(drop, "dropped")
+    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, docs[id_col] == F.col("__drop"), "left_anti")

@@ -475,3 +475,10 @@ def test_drop_near_duplicates(spark, awkward):
     assert got.columns == awkward.columns
     ids = Counter(r["doc_id"] for r in got.collect())
     assert ids == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, None: 1, 8: 1, 9: 1, 10: 1}
+
+
+def test_drop_near_duplicates_by_row(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    docs = spark.createDataFrame([(5, a), (7, a), (5, b), (3, b), (3, b), (3, "i j k l m n o")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in ngram_join.drop_near_duplicates(docs).collect())
+    assert got == [(3, "i j k l m n o"), (3, b), (5, a)]
