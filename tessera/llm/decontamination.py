@@ -37,7 +37,7 @@ def automaton(items: list[tuple[object, str | None]], size: int) -> ahocorasick.
     have: dict[str, set] = defaultdict(set)
     for item, text in items:
         for w in windows(text, size):
-            have[w].add(str(item))
+            have[w].update([] if item is None else [str(item)])
     if not have:
         return None
     found = ahocorasick.Automaton()
@@ -83,12 +83,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """docs (all columns and rows) with n_words, n_hit (longs), items (sorted strings), spans (of char offsets) and contaminated.
 
     A window is `window` consecutive words of an item (a shorter item is one window); a word inside an occurrence is a
-    hit. Ties don't arise: all windows and items count. Null and empty texts have no words; items without words or id
-    find nothing; repeated items count once; without documents there are no rows; columns of docs named like a new one
+    hit. Ties don't arise: all windows and items count. Null and empty texts have no words; items without words
+    find nothing, those without id make hits but aren't among the items; repeated items count once; without documents there are no rows; columns of docs named like a new one
     are replaced. No shuffle: the automaton's source goes to each task, in blocks whose size is bounded by block_bytes,
     and texts are scanned once for each block.
     """
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     state = [
@@ -98,7 +98,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     df = docs.withColumns({"__runs": F.lit(None).cast(state[0].dataType), "__items": F.lit(None).cast(state[1].dataType)})
     for k in range(blocks):
         # a block's items: bounded by block_bytes, as the hash deals them out evenly
-        block = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else items
+        block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
 
         def make(rows=rows):

@@ -419,6 +419,14 @@ def test_decontamination(spark, awkward, none, block):
     assert decontamination.find_contamination(awkward, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_counts_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "one two three four five six seven eight nine ten eleven"), (2, "a b c")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten y"), (2, "z a b c")], "doc_id long, text string")
+    for block in (1 << 24, 8):
+        got = decontamination.find_contamination(docs, bench, block_bytes=block).orderBy("doc_id").collect()
+        assert [(r["n_hit"], r["items"], r["contaminated"]) for r in got] == [(10, [], True), (3, ["2"], True)]
+
+
 # -- 10
 
 
