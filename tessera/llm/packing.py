@@ -20,7 +20,6 @@ from tessera.llm.common import pieces_of, split_words
 CAPACITY = 2048
 #: Pieces packed together by one task, about; a group wastes half a sequence at most on the whole.
 GROUP = 16_384
-ROUNDS = 3
 #: Room that an exchange may leave over.
 SLACK = 8
 
@@ -167,7 +166,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int | None = None) -> list[list[int]]:
     """Local search between underfull bins, until the bins are as few as the total allows or nothing improves.
 
     The emptiest bins give: an item moves to another bin, or it (or two items together) is exchanged for a smaller
@@ -190,15 +189,18 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: in
             for j in {lengths[j]: j for j in bins[b]}.values():
                 wanted.setdefault(lengths[j] + room, []).append((b, j, version[b]))
 
-    def find(table: dict[int, list], n: int, a: int) -> tuple[int, int] | None:
-        """An entry that still holds and whose bin is at least as full as a."""
+    def find(table: dict[int, list], n: int, a: int, below: int | None = None) -> tuple[int, int] | None:
+        """An entry that still holds, whose bin is at least as full as a and whose item is shorter than `below`."""
         entries = table.get(n, ())
         for k in range(len(entries) - 1, -1, -1):
             b, j, v = entries[k]
             if version[b] != v:
                 entries.pop(k)
             elif b != a and fill[b] >= fill[a]:
-                return b, j
+                if below is None or lengths[j] < below:
+                    return b, j
+                if not wide:
+                    break
         return None
 
     def shift(a: int, gives: tuple[int, ...], b: int, takes: int) -> None:
@@ -214,19 +216,25 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: in
         note(a)
         note(b)
 
+    def pair(a: int, slack: int) -> bool:
+        for i, k in itertools.combinations(bins[a], 2):
+            n = lengths[i] + lengths[k]
+            if (got := find(rooms, n + slack, a)) or (got := find(wanted, n + slack, a, n)):
+                shift(a, (i, k), *got)
+                return True
+        return False
+
     def step(a: int) -> bool:
         mine = sorted({lengths[i]: i for i in bins[a]}.items(), reverse=True)
         for slack in range(SLACK + 1):  # the room left over
             for n, i in mine:
-                if (got := find(rooms, n + slack, a)) or ((got := find(wanted, n + slack, a)) and lengths[got[1]] < n):
+                if (got := find(rooms, n + slack, a)) or (got := find(wanted, n + slack, a, n)):
                     shift(a, (i,), *got)
                     return True
-            if slack == 0:
-                for i, k in itertools.combinations(bins[a], 2):
-                    n = lengths[i] + lengths[k]
-                    if (got := find(rooms, n, a)) or ((got := find(wanted, n, a)) and lengths[got[1]] < n):
-                        shift(a, (i, k), *got)
-                        return True
+            if slack == 0 and pair(a, 0):
+                return True
+        if wide and any(pair(a, slack) for slack in range(1, SLACK + 1)):
+            return True
         for n, i in reversed(mine):  # any bin with room
             if fits := [r for r, entries in rooms.items() if r >= n and entries]:
                 for r in sorted(fits):
@@ -235,9 +243,10 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: in
                         return True
         return False
 
+    wide = False  # then also the exchanges that take a longer search
     for b in range(alive):
         note(b)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):  # ends, as the sum of squared fills grows
         changed = False
         for a in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
             if alive <= least:
@@ -246,11 +255,13 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: in
                 changed = True
             alive -= not bins[a]
         if not changed:
-            break
+            if wide:
+                break
+            wide = True
     return [b for b in bins if b]
 
 
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[list[int]]:
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY, rounds: int | None = None) -> list[list[int]]:
     return improve(best_fit(lengths, capacity), lengths, capacity, rounds)
 
 

@@ -304,6 +304,10 @@ def test_local_search_empties_bins():
     assert len(one) == 2
 
 
+def test_local_search_goes_on_until_nothing_changes():
+    assert len(packing.pack_lengths([38, 25, 32, 52, 24, 22], 100)) == 2
+
+
 def test_packing_tables(spark, awkward, none, real_tokenizer):
     got = packing.pack(packing.token_pieces(awkward), group=4).toPandas()
     want = Counter()
