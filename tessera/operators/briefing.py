@@ -70,6 +70,64 @@ def export_json(rules: DataFrame, tasks: DataFrame, attempts: DataFrame) -> Data
     return one(rules, "rule", F.col("id")).unionByName(one(tasks, "task", F.col("id"))).unionByName(one(attempts, "attempt", F.col("task_id")))
 
 
+def export_project_json(projects: DataFrame, rules: DataFrame, tasks: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(project_id, kind, id, json): a row for each rule in force, task and attempt; attempts have their task's project."""
+    one = lambda d, kind: d.select("project_id", F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.to_json(F.struct(*[F.col(c) for c in d.columns if c not in ("embedding", "reasoning_embedding")])).alias("json"))
+    own = attempts.drop("project_id").join(tasks.select(F.col("id").alias("task_id"), "project_id"), "task_id")
+    rows = one(rules.where(unsuperseded()), "rule").unionByName(one(tasks, "task")).unionByName(one(own, "attempt"))
+    return rows.join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi")
+
+
+def export_project_documents(projects: DataFrame, rules: DataFrame, tasks: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(project_id, json): one document a project, {"project_id", "rules", "tasks", "attempts"}, each list in the order of
+    ids. For projects that fit a row; export_project_json has no such bound."""
+    rows = export_project_json(projects, rules, tasks, attempts)
+    lists = rows.groupBy("project_id").pivot("kind", ["rule", "task", "attempt"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "json"))), lambda r: r["json"]), ","))
+    out = projects.select(F.col("id").alias("project_id")).join(lists, "project_id", "left")
+    part = lambda c: F.concat(F.lit("["), F.coalesce(F.col(c), F.lit("")), F.lit("]"))
+    return out.select("project_id", F.concat(F.lit('{"project_id":"'), F.col("project_id").cast("string"), F.lit('","rules":'), part("rule"), F.lit(',"tasks":'), part("task"), F.lit(',"attempts":'), part("attempt"), F.lit("}")).alias("json"))
+
+
+def export_report(projects: DataFrame, rules: DataFrame, tasks: DataFrame, attempts: DataFrame, title: str = "Memory Export") -> DataFrame:
+    """(project_id, section, seq, markdown): the whole report in parts, which in the order of section and seq make the text.
+
+    Rules in force with category, the first 80 chars, id and full content; tasks with status, description, id, dates and
+    attempts with their reasoning as quotes; totals in the headings. A part is one rule or one task, so a report of any
+    size needs no row of its own size.
+    """
+    from pyspark.sql import Window
+
+    own = lambda d: d.join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi")
+    rules, tasks = own(rules.where(unsuperseded())), own(tasks)
+    size = lambda d, c: d.groupBy("project_id").agg(F.count(F.lit(1)).alias(c))
+    heads = projects.select(F.col("id").alias("project_id"), "name").join(size(rules, "r"), "project_id", "left").join(size(tasks, "t"), "project_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    row = lambda section, seq, text: [F.lit(section).alias("section"), seq.cast("long").alias("seq"), text.alias("markdown")]
+    zero = F.lit(0)
+    out = heads.select("project_id", *row(0, zero, F.concat(F.lit(f"# {title} — "), F.coalesce("name", F.lit("Unknown")), F.lit("\n\n"))))
+    out = out.unionByName(heads.select("project_id", *row(1, zero, F.concat(F.lit("## Rules ("), n(F.col("r")), F.lit(" total)\n\n")))))
+    out = out.unionByName(heads.select("project_id", *row(3, zero, F.concat(F.lit("## Tasks ("), n(F.col("t")), F.lit(" total)\n\n")))))
+    at = F.row_number().over(Window.partitionBy("project_id").orderBy("created_at", "id"))
+    rule = F.concat(F.lit("### ["), F.initcap("category"), F.lit("] "), F.substring("content", 1, 80), F.lit("\n- **ID:** `"), F.col("id").cast("string"), F.lit("`\n- **Content:** "), F.col("content"), F.lit("\n\n"))
+    out = out.unionByName(rules.select("project_id", *row(2, at, rule)))
+    quoted = F.when(F.coalesce("reasoning", F.lit("")) == "", "").otherwise(F.concat(F.regexp_replace(F.regexp_replace("reasoning", r"\r?\n$", ""), r"(?m)^", "  > "), F.lit("\n")))
+    said = attempts.withColumn("line", F.concat(F.lit("- **"), F.initcap("outcome"), F.lit("** — "), F.col("approach_summary"), F.lit("\n"), quoted))
+    said = said.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "line"))), lambda x: x["line"]), "").alias("lines"))
+    when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm 'UTC'")
+    task = F.concat(
+        F.lit("### "), F.initcap("status"), F.lit(": "), F.col("description"), F.lit("\n- **ID:** `"), F.col("id").cast("string"), F.lit("`\n- **Created:** "), when("created_at"), F.lit("\n"),
+        F.coalesce(F.concat(F.lit("- **Completed:** "), when("completed_at"), F.lit("\n")), F.lit("")), F.coalesce(F.concat(F.lit("\n**Attempts:**\n\n"), F.col("lines")), F.lit("")), F.lit("\n"),
+    )
+    return out.unionByName(tasks.join(said, F.col("id") == F.col("task_id"), "left").select("project_id", *row(4, at, task)))
+
+
+def review_ledger(attempts: DataFrame, links: DataFrame, task_id: object, outcome: str | None = None) -> dict[str, DataFrame]:
+    """A task's attempts (of one outcome, if named), oldest first, and the links that touch the task."""
+    own = attempts.where(F.col("task_id") == task_id)
+    own = own if outcome is None else own.where(F.lower("outcome") == outcome.lower())
+    return {"attempts": own.orderBy("created_at", *[c for c in ("id",) if c in own.columns]), "task_links": graph.links_of(links, task_id)}
+
+
 def current_tasks(tasks: DataFrame) -> DataFrame:
     """The oldest active task of each project."""
     return ledger.latest(tasks.where("status = 'active'"), ["project_id"], [F.asc("created_at"), F.asc("id")])
@@ -89,14 +147,16 @@ def active_context(tasks: DataFrame, attempts: DataFrame, rules: DataFrame, fail
 
 
 def file_context(chunks: DataFrame, edges: DataFrame, links: DataFrame, rules: DataFrame, path: str) -> dict[str, DataFrame]:
-    """A file's structure, rules by best link, edges of its first five named chunks, and its communities."""
+    """A file's structure by line, rules by best link, edges of its first five named chunks, and its communities with
+    their sizes in the whole project."""
     own = chunks.where(F.col("file_path") == path)
+    near = [c for c in ("project_id", "community_id") if c in chunks.columns]
     named = own.where("chunk_name is not null").orderBy("start_line", "id").limit(5).select(F.col("chunk_name").alias("n")).distinct()
     best = ledger.latest(links.join(own.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi"), ["rule_id"], [F.desc("similarity"), F.asc("chunk_id")])
     return {
-        "structure": own.select("id", "chunk_name", "chunk_kind", F.concat_ws("-", "start_line", "end_line").alias("lines"), "community_id").orderBy("lines"),
+        "structure": own.select("id", "chunk_name", "chunk_kind", F.concat_ws("-", "start_line", "end_line").alias("lines"), "community_id", "start_line").orderBy("start_line", "id").drop("start_line"),
         "rules": best.join(rules.select(F.col("id").alias("rule_id"), "category", "content"), "rule_id"),
         "callers": edges.join(named, F.col("target_entity") == F.col("n"), "left_semi").dropDuplicates(["source_entity", "source_file"]),
         "callees": edges.join(named, F.col("source_entity") == F.col("n"), "left_semi").dropDuplicates(["target_entity", "target_file"]),
-        "communities": graph.community_sizes(own.where("community_id is not null")),
+        "communities": graph.community_sizes(chunks.join(own.where("community_id is not null").select(near).distinct(), near, "left_semi")),
     }

@@ -76,3 +76,79 @@ def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of `old` that aren't in `new` just so, for a baseline that may only grow."""
     canon = lambda d: d.select(F.to_json(F.struct(*sorted(d.columns))).alias("row"))
     return canon(old).join(canon(new), "row", "left_anti")
+
+
+# fixed values: what two runs must share for their metrics to be compared, and the metrics
+SHAPE = ["k", "num_cases", "num_recalls", "num_scored", "num_negative", "num_contexts", "num_contexts_scored", "num_contexts_negative"]
+METRICS = ["mean_precision_at_k", "mean_recall_at_k", "mean_mrr", "negative_pass_rate", "mean_context_precision", "mean_context_recall", "context_negative_pass_rate"]
+
+
+def summarised(recalls: DataFrame, contexts: DataFrame, k: int = 10) -> DataFrame:
+    """A row a dataset with all of SHAPE and METRICS, from case_metrics of recalls and set_metrics of contexts.
+
+    Means are over the recalls and contexts that are scored, not over cases; 0 where there is none.
+    """
+    rate = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
+    count = lambda c: F.count(c).cast("long")
+    r = recalls.groupBy("dataset").agg(
+        count(F.lit(1)).alias("num_recalls"), count("precision").alias("num_scored"), count("negative_pass").alias("num_negative"), rate("negative_pass").alias("negative_pass_rate"),
+        rate("precision").alias("mean_precision_at_k"), rate("recall").alias("mean_recall_at_k"), rate("rr").alias("mean_mrr"),
+    )
+    c = contexts.groupBy("dataset").agg(
+        count(F.lit(1)).alias("num_contexts"), count("context_precision").alias("num_contexts_scored"), count("context_negative_pass").alias("num_contexts_negative"),
+        rate("context_precision").alias("mean_context_precision"), rate("context_recall").alias("mean_context_recall"), rate("context_negative_pass").alias("context_negative_pass_rate"),
+    )
+    cases = recalls.select("dataset", "case_id").unionByName(contexts.select("dataset", "case_id")).groupBy("dataset").agg(F.count_distinct("case_id").alias("num_cases"))
+    out = cases.join(r, "dataset", "left").join(c, "dataset", "left")
+    return out.select("dataset", *[(F.lit(k) if n == "k" else F.coalesce(n, F.lit(0))).cast("long").alias(n) for n in SHAPE], *[F.coalesce(n, F.lit(0.0)).alias(n) for n in METRICS])
+
+
+def shape_mismatches(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(dataset, mismatch): "name: baseline=x current=y" for each of SHAPE that differs, for datasets that both have."""
+    j = current.alias("c").join(baseline.alias("b"), "dataset")
+    each = [F.when(~F.col(f"b.{n}").eqNullSafe(F.col(f"c.{n}")), F.concat(F.lit(f"{n}: baseline="), F.col(f"b.{n}").cast("string"), F.lit(" current="), F.col(f"c.{n}").cast("string"))) for n in SHAPE]
+    return j.select("dataset", F.explode(F.array_compact(F.array(*each))).alias("mismatch"))
+
+
+def compared(current: DataFrame, baseline: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """diff() of the seven metrics of two tables as summarised() makes them."""
+    long = lambda d: d.unpivot("dataset", METRICS, "metric", "value")
+    return diff(long(current), long(baseline), tolerance)
+
+
+def replay(spark, cases: list[dict], dataset: str, as_of: str, k: int = 10, dim: int = 384) -> tuple[DataFrame, DataFrame]:
+    """(recalls, contexts) of a tape of cases: what each search returned, ready for case_metrics and set_metrics.
+
+    A case has an id and events, in order: {"type": "rule", "label", "category", "content", "tags"?}, {"type": "recall",
+    "query", "expected": labels}, {"type": "context", "expected": labels} (the rules always given). Each case has a
+    project of its own; a search sees the rules before it. Labels that no rule has are misses. Cases are few and their
+    searches depend on what came before, so the driver goes through them one by one.
+    """
+    from tessera.operators.embed import hashed as hashed_vector
+    from tessera.operators import ledger, retrieval
+    from tessera.operators.filters import at
+    from tessera.plans.schemas import SCHEMAS
+
+    schema = SCHEMAS["semantic_rules"]
+    recalls, contexts = [], []
+    for project, case in enumerate(cases, 1):
+        rules, label = [], {}
+        for event in case["events"]:
+            kind = event["type"]
+            if kind == "rule":
+                i = len(rules) + 1
+                label[event["label"]] = i
+                row = {"id": i, "project_id": project, "category": event["category"], "content": event["content"], "embedding": [float(x) for x in hashed_vector(event["content"], dim)], "tags": event.get("tags", []), "hit_count": 0, "weight": 1.0, "is_always_injected": event["category"] == "instruction"}
+                rules.append(tuple(row.get(f.name) for f in schema.fields))
+                continue
+            if kind not in ("recall", "context"):
+                raise ValueError(f"unknown event: {kind}")
+            table = spark.createDataFrame(rules, schema).withColumns({"created_at": at(as_of), "valid_from": at(as_of)})
+            if kind == "recall":
+                got = [r["id"] for r in retrieval.hybrid_rules(table, hashed_vector(event["query"], dim), event["query"], k, as_of, project, english=True).collect()]
+            else:
+                got = [r["id"] for r in ledger.injected(table, as_of).collect()]
+            want = [label.get(x, -1 - n) for n, x in enumerate(event["expected"])]
+            (recalls if kind == "recall" else contexts).append((case["id"], dataset, want, got))
+    kind = "case_id string, dataset string, expected array<long>, returned array<long>"
+    return spark.createDataFrame(recalls, kind), spark.createDataFrame(contexts, kind)

@@ -175,9 +175,12 @@ def affected_communities(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def assign_communities(chunks: DataFrame, members: DataFrame) -> DataFrame:
-    """Chunks with the community of (name, file or any file): a match with the file first, then the smallest."""
-    m = members.select("chunk_name", F.col("file_path").alias("mf"), F.col("community_id").alias("mc"))
-    w = Window.partitionBy("project_id", "file_path", "start_line").orderBy(F.col("mf").isNull(), "mc")
-    j = chunks.join(m, "chunk_name", "left").where(F.col("mc").isNull() | F.col("mf").isNull() | (F.col("mf") == F.col("file_path")))
-    hit = j.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("project_id", "file_path", "start_line", "mc")
-    return chunks.join(hit, ["project_id", "file_path", "start_line"], "left").withColumn("community_id", F.coalesce("mc", "community_id")).select(chunks.columns)
+    """Chunks with the community of (name, file or any file): a match with the file first, then the smallest.
+
+    Members are brought to a row for each name and file first, so a common name multiplies nothing.
+    """
+    least = F.min("community_id")
+    here = members.where("file_path is not null").groupBy("chunk_name", "file_path").agg(least.alias("__here"))
+    anywhere = members.where("file_path is null").groupBy("chunk_name").agg(least.alias("__any"))
+    j = chunks.join(here, ["chunk_name", "file_path"], "left").join(anywhere, "chunk_name", "left")
+    return j.withColumn("community_id", F.coalesce("__here", "__any", "community_id")).select(chunks.columns)

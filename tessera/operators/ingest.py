@@ -99,7 +99,7 @@ class _Calls(ast.NodeVisitor):
         self.generic_visit(node)
 
     def visit_Import(self, node):
-        self.edges.append((self.path, node.names[0].name, "uses"))
+        self.edges += [(self.path, n.name, "uses") for n in node.names]
 
     def visit_ImportFrom(self, node):
         self.edges.append((self.path, "." * node.level + (node.module or ""), "uses"))

@@ -66,6 +66,22 @@ def next_steps(summaries: DataFrame, as_of: str, limit: int | None = None) -> Da
     return out if limit is None else out.limit(limit)
 
 
+# fixed values: what a step says
+STEP_SAYS = {
+    "pending": "[score=%.2f] %sTask '%s' has %d pending attempt(s) awaiting outcome resolution (%s)",
+    "active": "[score=%.2f] %sTask '%s' is active (%d attempts, %d rejected) — propose next approach (%s)",
+    "blocked": "[score=%.2f] %sTask '%s' is BLOCKED — needs unblocking (%s)",
+}
+
+
+def step_texts(steps: DataFrame) -> DataFrame:
+    """next_steps with `text`: score, ticket, description, counts and explanation in a sentence."""
+    ticket = F.coalesce(F.concat(F.lit("["), F.col("ticket_number"), F.lit("] ")), F.lit(""))
+    start = ["score", ticket, F.coalesce("description", F.lit(""))]
+    said = lambda kind, *more: F.format_string(STEP_SAYS[kind], *start, *more, "score_explanation")
+    return steps.withColumn("text", F.when(F.col("status") == "blocked", said("blocked")).when(F.col("pending_attempts") > 0, said("pending", "pending_attempts")).otherwise(said("active", "total_attempts", "rejected_attempts")))
+
+
 def brief(tasks: DataFrame, rules: DataFrame) -> DataFrame:
     """One row a project: active and blocked tasks, lessons in force."""
     t = tasks.groupBy("project_id").agg(F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") == "blocked").alias("blocked"))

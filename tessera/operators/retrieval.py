@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions.english import cover_density
 from tessera.functions.vectors import cosine_to
 from tessera.operators.filters import at, comparable, searchable
 
@@ -41,19 +42,7 @@ def similar_rules(rules: DataFrame, vector: Sequence[float], project: int, low:
     return found.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: int = 1024, col: str = "embedding") -> DataFrame:
-    """(a, b, similarity) of all pairs a < b with cosine >= low, of equal `within` where one is given.
-
-    Rows are cut into blocks of bounded size by a hash; a task multiplies two blocks of one group, so no task holds
-    more than two and each pair is met once. Exact; null and zero vectors pair with nothing.
-    """
-    keys = [F.col(within).alias("g")] if within else [F.lit(0).alias("g")]
-    rows = df.where(F.col(col).isNotNull()).select(*keys, F.col("id"), F.col(col).alias("v"))
-    sizes = rows.groupBy(F.col("g").alias("h")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("h"))).drop("h")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
-
+def _block_pairs(low: float):
     def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         m = np.array(pdf["v"].tolist(), dtype=np.float64)
@@ -66,8 +55,42 @@ def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: i
         once = a < b if key[1] == key[2] else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "similarity": s[once]})
 
+    return pairs
+
+
+def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: int = 1024, col: str = "embedding", fresh: str | None = None) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b with cosine >= low, of equal `within` where one is given.
+
+    Rows are cut into blocks of bounded size by a hash; a task multiplies two blocks of one group, so no task holds
+    more than two and each pair is met once. Exact; null and zero vectors pair with nothing. With `fresh`, a boolean
+    column, pairs of which neither is fresh are neither asked for nor made: blocks are of fresh rows or of others, and
+    others meet fresh blocks only.
+    """
+    if fresh:
+        return _fresh_pairs(df, low, within, block, col, fresh)
+    keys = [F.col(within).alias("g")] if within else [F.lit(0).alias("g")]
+    rows = df.where(F.col(col).isNotNull()).select(*keys, F.col("id"), F.col(col).alias("v"))
+    sizes = rows.groupBy(F.col("g").alias("h")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
+    rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("h"))).drop("h")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
+
     kind = df.schema["id"].dataType.simpleString()
-    return rows.groupBy("g", "lo", "hi").applyInPandas(pairs, f"a {kind}, b {kind}, similarity double")
+    return rows.groupBy("g", "lo", "hi").applyInPandas(_block_pairs(low), f"a {kind}, b {kind}, similarity double")
+
+
+def _fresh_pairs(df: DataFrame, low: float, within: str | None, block: int, col: str, fresh: str) -> DataFrame:
+    rows = df.where(F.col(col).isNotNull()).select((F.col(within) if within else F.lit(0)).alias("g"), "id", F.col(col).alias("v"), F.col(fresh).alias("fresh"))
+    blocks = lambda c, name: F.ceil(F.count_if(c) / block).cast("int").alias(name)
+    sizes = rows.groupBy(F.col("g").alias("h")).agg(blocks(F.col("fresh"), "kn"), blocks(~F.col("fresh"), "ko")).where("kn > 0")
+    rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("h"))).drop("h")
+    # blocks 0..kn-1 are fresh, kn..kn+ko-1 are not; a fresh block meets all, another the fresh ones
+    own = F.when(F.col("fresh"), F.pmod(F.xxhash64("id"), F.col("kn"))).otherwise(F.col("kn") + F.pmod(F.xxhash64("id"), F.col("ko"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("fresh"), F.col("kn") + F.col("ko") - 1).otherwise(F.col("kn") - 1))
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(others))
+    rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
+    kind = df.schema["id"].dataType.simpleString()
+    return rows.groupBy("g", "lo", "hi").applyInPandas(_block_pairs(low), f"a {kind}, b {kind}, similarity double")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, others: bool = False, block: int = 1024, col: str = "embedding") -> DataFrame:
@@ -131,6 +154,15 @@ def matches(content: str | Column, query: str) -> tuple[Column, Column]:
     return F.size(F.array_except(wanted, words)) == 0, F.size(F.filter(words, lambda w: F.array_contains(wanted, w)))
 
 
+def said_order(df: DataFrame, query: str, english: bool) -> tuple[DataFrame, Column]:
+    """The rows that match a query and the order of their text rank: by terms as they stand, or by stems and cover density."""
+    if english:
+        got = df.withColumn("__rank", cover_density("content", query)).where("__rank is not null")
+        return got, -F.col("__rank")
+    ok, count = matches("content", query)
+    return df.where(ok), -count
+
+
 def ranked(df: DataFrame, by: Column, limit: int, name: str) -> DataFrame:
     """(id, name): the first `limit` ranks in the order of `by`, then id. The limit is below the window, so its one
     partition never holds more than that."""
@@ -144,19 +176,19 @@ def fused(vector_ranks: DataFrame, text_ranks: DataFrame) -> DataFrame:
     return vector_ranks.join(text_ranks, "id", "full").select("id", part("vr").alias("v"), part("tr").alias("t"))
 
 
-def hybrid_rules(rules: DataFrame, vector: Sequence[float], query: str, k: int, as_of: str, project: int | None = None, only: DataFrame | None = None) -> DataFrame:
+def hybrid_rules(rules: DataFrame, vector: Sequence[float], query: str, k: int, as_of: str, project: int | None = None, only: DataFrame | None = None, english: bool = False) -> DataFrame:
     """Rules by weighted fusion of vector rank, text rank, category, age and hits, times weight and the project's boost.
 
     `only` narrows the candidates (project, tags and so on); the largest hit count is taken over all of `rules`, old
-    ones too. Without words in the query it is a vector search.
+    ones too. Without words in the query it is a vector search. `english` matches stems without stop words and ranks by
+    cover density.
     """
     if not sanitised(query):
         return vector_top_k((rules if only is None else only).where(searchable(as_of)), vector, k, project)
     k = max(1, k)
     pool = (rules if only is None else only).where(searchable(as_of))
-    ok, count = matches("content", query)
     near = ranked(pool.where(F.col("embedding").isNotNull()), -cosine_to("embedding", vector), k * OVERFETCH, "vr")
-    said = ranked(pool.where(ok), -count, k * OVERFETCH, "tr")
+    said = ranked(*said_order(pool, query, english), k * OVERFETCH, "tr")
     most = rules.agg(F.greatest(F.max("hit_count"), F.lit(1)).alias("most"))  # one row
     rows = pool.join(F.broadcast(fused(near, said)), "id").crossJoin(F.broadcast(most))  # 6k rows at most, and one row
     by = lambda table: F.element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.col("category"))
@@ -170,14 +202,13 @@ def hybrid_rules(rules: DataFrame, vector: Sequence[float], query: str, k: int,
     return rows.withColumn("score", total * boost).orderBy(F.desc("score"), "id").limit(k).drop("v", "t", "most")
 
 
-def hybrid_chunks(chunks: DataFrame, vector: Sequence[float], query: str, k: int, path: str | None = None) -> DataFrame:
-    """Chunks by the plain sum of reciprocal ranks; `path` is a LIKE pattern."""
+def hybrid_chunks(chunks: DataFrame, vector: Sequence[float], query: str, k: int, path: str | None = None, english: bool = False) -> DataFrame:
+    """Chunks by the plain sum of reciprocal ranks; `path` is a LIKE pattern; `english` as in hybrid_rules."""
     pool = chunks if path is None else chunks.where(F.col("file_path").like(path))
     if not has_words(query):
         return vector_top_k(pool, vector, k)
-    ok, count = matches("content", query)
     near = ranked(pool.where(F.col("embedding").isNotNull()), -cosine_to("embedding", vector), k * OVERFETCH, "vr")
-    said = ranked(pool.where(ok), -count, k * OVERFETCH, "tr")
+    said = ranked(*said_order(pool, query, english), k * OVERFETCH, "tr")
     scored = fused(near, said).select("id", (F.col("v") + F.col("t")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     return pool.join(F.broadcast(scored), "id")
 
@@ -238,6 +269,38 @@ def mmr(candidates: DataFrame, k: int = 5, diversity: float = 0.3) -> DataFrame:
     return candidates.groupBy("query_id").applyInPandas(pick, "query_id long, id long, rank int")
 
 
+def hybrid_chunks_diverse(chunks: DataFrame, vector: Sequence[float], query: str, k: int = 5, diversity: float = 0.3, path: str | None = None, english: bool = False) -> DataFrame:
+    """hybrid_chunks with several times k candidates, of which k are chosen by maximal marginal relevance: with `rank`."""
+    found = hybrid_chunks(chunks, vector, query, k * MMR_OVERFETCH, path, english)
+    order = Window.orderBy(F.desc("score"), "id")  # a few times k rows
+    asked = F.array(*[F.lit(float(x)) for x in vector])
+    rows = found.where(F.col("embedding").isNotNull()).select(F.lit(0).cast("long").alias("query_id"), asked.alias("query"), "id", F.row_number().over(order).alias("rank"), "embedding")
+    return found.join(F.broadcast(mmr(rows, k, diversity).select("id", "rank")), "id").orderBy("rank")
+
+
+def code_hits(chunks: DataFrame) -> DataFrame:
+    """What a search of code shows of a chunk: file, lines 'start:end', language, content, summary (null if none)."""
+    return chunks.select(F.col("file_path").alias("file"), F.concat_ws(":", "start_line", "end_line").alias("lines"), "language", "content", "summary")
+
+
+def decision_messages(decisions: DataFrame, rules: DataFrame, caps: DataFrame | None = None) -> DataFrame:
+    """insert_decisions with `previews` (100 chars of each duplicate) and `conflicts` (150 of each contradiction); with
+    caps (ledger.cap_levels after the insert) also cap_level and cap_count of the projects that near their cap."""
+    text = rules.select(F.col("id").alias("other"), "content")
+
+    def shown(ids: str, chars: int, name: str) -> DataFrame:
+        each = decisions.select("project_id", "id", F.posexplode(ids).alias("at", "other")).join(text, "other")  # five at most
+        return each.groupBy("project_id", "id").agg(F.array_sort(F.collect_list(F.struct("at", tx.preview("content", chars).alias("t")))).alias("x")).select("project_id", "id", F.transform("x", lambda r: r["t"]).alias(name))
+
+    out = decisions
+    for ids, chars, name in (("duplicates", 100, "previews"), ("contradictions", 150, "conflicts")):
+        out = out.join(shown(ids, chars, name), ["project_id", "id"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    if caps is None:
+        return out
+    near = caps.where("level is not null").select("project_id", F.col("level").alias("cap_level"), F.col("count").alias("cap_count"))
+    return out.join(near, "project_id", "left")
+
+
 # -- links ------------------------------------------------------------------------------------------------------------
 
 
@@ -260,7 +323,7 @@ def insert_decisions(new: DataFrame, existing: DataFrame, duplicate: float = DUP
     pool = existing.where(comparable()).select("id", "project_id", "embedding", F.lit(0).alias("fresh"))
     both = pool.unionByName(new.select("id", "project_id", "embedding", F.lit(1).alias("fresh")))
     fresh = new.select("id", "project_id")
-    pairs = similar_pairs(both.withColumnRenamed("project_id", "p"), low, "p")
+    pairs = similar_pairs(both.withColumnRenamed("project_id", "p").withColumn("fresh", F.col("fresh") == 1), low, "p", fresh="fresh")
     old = pool.select(F.col("id").alias("x"))
     seen = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     seen = seen.join(fresh.withColumnRenamed("id", "a"), "a").join(old, F.col("b") == F.col("x"), "left").select("a", "project_id", "b", "similarity", F.col("x").isNotNull().alias("old"))

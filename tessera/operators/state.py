@@ -51,10 +51,23 @@ def upsert_chunks(state: DataFrame, new: DataFrame) -> DataFrame:
     return state.alias("a").join(new.withColumn("__new", F.lit(1)).alias("b"), same(keys), "full").select(*cols)
 
 
-def upsert_links(state: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The new value for a key that is there, a new row for one that isn't."""
+def last_of(changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row of each key, so that changes that repeat a key don't multiply rows: the last write.
+
+    Later is what is larger in `order`, or in the first of the usual columns of time that is there; between equals, and
+    where there is none, all columns decide, so a run gives what another gives.
+    """
+    order = order or [c for c in ("updated_at", "created_at", "at", "seq") if c in changes.columns][:1]
+    rest = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(changes.columns)])).desc()]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order], *rest)
+    return changes.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def upsert_links(state: DataFrame, new: DataFrame, keys: list[str], value: str, order: list[str] | None = None) -> DataFrame:
+    """The new value for a key that is there, a new row for one that isn't; of several writes of a key the last."""
+    new = last_of(new, keys, order)
     cols = [F.coalesce(f"b.{c}", f"a.{c}").alias(c) if c in (*keys, value) else F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in state.columns]
-    return state.alias("a").join(new.dropDuplicates(keys).alias("b"), same(keys), "full").select(*cols)
+    return state.alias("a").join(new.alias("b"), same(keys), "full").select(*cols)
 
 
 def insert_ignore(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,21 +83,38 @@ def insert_strict(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
 
 
 def get_or_create_projects(projects: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Wanted (id, name, root_path) rows whose name and path are both new are added; known ones stay as they are."""
-    fresh = wanted.alias("w").join(projects.alias("p"), (F.col("w.name") == F.col("p.name")) | (F.col("w.root_path") == F.col("p.root_path")), "left_anti")
+    """Wanted (id, name, root_path) rows whose name and path are both new are added; known ones stay as they are.
+
+    Two anti joins by equality, so neither side is sent whole to every task. Of wanted rows that share a name or a path
+    the one with the least id is added.
+    """
+    fresh = wanted
+    for c in ("name", "root_path"):
+        fresh = fresh.join(projects.select(c).where(F.col(c).isNotNull()).distinct(), c, "left_anti")
+    for c in ("name", "root_path"):
+        w = Window.partitionBy(c).orderBy("id")
+        fresh = fresh.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | F.col(c).isNull()).drop("__n")
     return projects.unionByName(fresh.select([c for c in projects.columns if c in wanted.columns]), allowMissingColumns=True)
 
 
-def patch(state: DataFrame, changes: DataFrame, key: str, cols: list[str], scope: str | None = None) -> DataFrame:
-    """Columns changed where the change isn't null, for rows of the same `scope` (the project) if one is named."""
+def patch(state: DataFrame, changes: DataFrame, key: str, cols: list[str], scope: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """Columns changed where the change isn't null, for rows of the same `scope` (the project) if one is named.
+
+    Of several changes of a key the last counts.
+    """
     on = F.col(f"a.{key}") == F.col(f"b.{key}")
     if scope:
         on = on & (F.col(f"a.{scope}") == F.col(f"b.{scope}"))
+    changes = last_of(changes, [key, scope] if scope else [key], order)
     return state.alias("a").join(changes.alias("b"), on, "left").select(*[F.coalesce(f"b.{c}", f"a.{c}").alias(c) if c in cols else F.col(f"a.{c}") for c in state.columns])
 
 
 def patch_tasks(tasks: DataFrame, changes: DataFrame, cols: list[str]) -> DataFrame:
-    """Three-state changes: null keeps, an empty string clears, a value is set; a new description makes a new summary."""
+    """Three-state changes: null keeps, an empty string clears, a value is set; a new description makes a new summary.
+
+    Of several changes of a task the last counts.
+    """
+    changes = last_of(changes, ["id"])
 
     def new(c: str) -> Column:
         return F.when(F.col(f"b.{c}").isNull(), F.col(f"a.{c}")).when(F.col(f"b.{c}") == "", F.lit(None)).otherwise(F.col(f"b.{c}"))
@@ -100,7 +130,11 @@ def patch_tasks(tasks: DataFrame, changes: DataFrame, cols: list[str]) -> DataFr
 
 
 def log_outcomes(attempts: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:
-    """Outcome, reasoning and git_ref as given (null too), snippet and resolver where given; resolved now, whatever the outcome."""
+    """Outcome, reasoning and git_ref as given (null too), snippet and resolver where given; resolved now, whatever the outcome.
+
+    Of several outcomes of an attempt the last counts.
+    """
+    outcomes = last_of(outcomes, ["id"])
     hit = F.col("b.id").isNotNull()
     taken, kept = {"outcome", "reasoning", "git_ref"}, {"code_snippet", "resolved_by_agent_id", "resolved_by_session_id"}
     cols = []
@@ -227,3 +261,28 @@ def invalidate(chunks: DataFrame, version: int) -> DataFrame:
     """Vectors and summaries of older behaviour versions are cleared."""
     old = F.col("behavior_version") < version
     return chunks.withColumns({c: F.when(~old, F.col(c)) for c in ("embedding", "summary")})
+
+
+def defaults(kind: str, as_of: str) -> dict[str, Column]:
+    """What a new row has where nothing is said; all are created now."""
+    of_kind = {
+        "rules": {"valid_from": at(as_of), "tags": F.array().cast("array<string>"), "hit_count": F.lit(0), "weight": F.lit(1.0), "is_always_injected": F.coalesce(F.col("category") == "instruction", F.lit(False))},
+        "tasks": {"status": F.lit("active")},
+        "attempts": {"outcome": F.lit("pending"), "reasoning": F.lit("")},
+        "snapshots": {"wiped_at": at(as_of)},
+    }
+    return of_kind[kind] | {"created_at": at(as_of)}
+
+
+def insert(state: DataFrame, new: DataFrame, kind: str, as_of: str) -> DataFrame:
+    """New rows with defaults: created now; a rule is always given to sessions if it is an instruction, unless said
+    otherwise; a task has a summary of its description. Columns of the state that new rows lack are null."""
+    known = set(new.columns)
+    given = defaults(kind, as_of)
+    if kind == "tasks" and "description" in known:
+        given["summary"] = tx.summary("description")
+    cols = []
+    for f in state.schema.fields:
+        value = F.col(f.name) if f.name in known else F.lit(None)
+        cols.append((F.coalesce(value, given[f.name]) if f.name in given else value).cast(f.dataType).alias(f.name))
+    return state.unionByName(new.select(*cols))

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint where a shared folder is known, so that lost executors don't matter; else a cached table."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """A checkpoint in the folder that executors share, so that a lost one costs a step and not the loop.
+
+    Where all runs on one machine and no folder is set, one of our own is taken; on a cluster that fails.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()

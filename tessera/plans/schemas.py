@@ -71,10 +71,16 @@ CAPS = {"description": 4096, "approach": 2048, "reasoning": 4096, "summary": 512
 TTL_SECONDS = (1, 315_360_000)
 
 
-def problems(df: DataFrame, caps: dict[str, int], required: tuple[str, ...] = ()) -> Column:
-    """What is wrong with a row as one string, null where nothing is: blank required columns and byte caps passed."""
+CONFIDENCE = (0.0, 1.0)
+RANGES = {"confidence": CONFIDENCE, "ttl_secs": TTL_SECONDS}
+
+
+def problems(df: DataFrame, caps: dict[str, int], required: tuple[str, ...] = (), ranges: dict[str, tuple[float, float]] = RANGES) -> Column:
+    """What is wrong with a row as one string, null where nothing is: blank required columns, byte caps passed, and
+    numbers out of their range (nulls are in it; a NaN isn't)."""
     checks = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", F.lit(f"{c} must not be blank")) for c in required if c in df.columns]
     checks += [F.when(F.octet_length(F.col(c)) > n, F.lit(f"{c} exceeds {n} bytes")) for c, n in caps.items() if c in df.columns]
+    checks += [F.when(~F.col(c).between(a, b), F.lit(f"{c} must be between {a} and {b}")) for c, (a, b) in ranges.items() if c in df.columns]
     if not checks:
         return F.lit(None).cast("string")
     said = F.array_join(F.filter(F.array(*checks), lambda x: x.isNotNull()), "; ")
@@ -84,3 +90,12 @@ def problems(df: DataFrame, caps: dict[str, int], required: tuple[str, ...] = ()
 def all_of(*conditions: Column | None) -> Column:
     """The conjunction of the conditions that were given; a null argument makes no condition."""
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
+
+
+def scrubbed(df: DataFrame, caps: dict[str, int], required: tuple[str, ...] = (), scrub: bool = True) -> DataFrame:
+    """Inputs as they are stored: secrets taken out of every capped text first (if `scrub`), then `problem` found, so that
+    lengths are those of what is kept."""
+    from tessera.functions.text import scrub as redact
+
+    out = df.withColumns({c: redact(c) for c in caps if c in df.columns}) if scrub else df
+    return out.withColumn("problem", problems(out, caps, required))
