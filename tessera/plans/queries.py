@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.vectors import cosine, cosine_to
 from tessera.operators import briefing, embed, evaluation, filters, graph, ingest, ledger, retention, retrieval, state
+from tessera.plans import schemas
 from tessera.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -665,11 +666,165 @@ def export_json(spark, sf):
     return briefing.export_json(fx.rules(spark, sf), fx.tasks(spark, sf), fx.attempts(spark, sf))
 
 
-@query()
+LAST = """, l AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY created_at DESC, approach_summary DESC, reasoning DESC, outcome DESC) AS rn FROM attempts),
+la AS (SELECT task_id, list('  - [' || outcome || '] ' || approach_summary || CASE WHEN coalesce(reasoning, '') <> '' THEN ': ' || reasoning ELSE '' END ORDER BY created_at, approach_summary, reasoning, outcome) AS lines FROM l WHERE rn <= 5 GROUP BY task_id)"""
+
+
+@query(LAST + """, a AS (SELECT project_id, string_agg('### ' || description || chr(10) || '- **ID:** `' || id || '`' || CASE WHEN lines IS NOT NULL THEN chr(10) || '- **Recent attempts:**' || chr(10) || array_to_string(lines, chr(10)) ELSE '' END, chr(10) || chr(10) ORDER BY created_at, id) AS t FROM tasks LEFT JOIN la ON id = task_id WHERE status = 'active' GROUP BY project_id),
+b AS (SELECT project_id, string_agg('- `' || id || '`: ' || description, chr(10) ORDER BY created_at, id) AS t FROM tasks WHERE status = 'blocked' GROUP BY project_id),
+le AS (SELECT project_id, string_agg('- ' || substr(content, 1, 200), chr(10) ORDER BY created_at, id) AS t FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rn FROM rules WHERE valid_until IS NULL AND category = 'lesson') WHERE rn <= 5 GROUP BY project_id)
+SELECT p.id AS project_id, '# Handoff: ' || name || chr(10) || chr(10) || coalesce('## Active Tasks' || chr(10) || chr(10) || a.t || chr(10), '') || coalesce('## Blocked Tasks' || chr(10) || chr(10) || b.t || chr(10), '') || coalesce('## Recent Lessons' || chr(10) || chr(10) || le.t || chr(10), '') AS markdown
+FROM projects p LEFT JOIN a ON p.id = a.project_id LEFT JOIN b ON p.id = b.project_id LEFT JOIN le ON p.id = le.project_id""")
 def handoff(spark, sf):
     return briefing.handoff(fx.projects(spark, sf), fx.tasks(spark, sf), fx.attempts(spark, sf), fx.rules(spark, sf))
 
 
-@query()
+@query(LAST + """, o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN status = 'active' THEN 0 ELSE 1 END, created_at, id) AS rank FROM tasks WHERE status IN ('active', 'blocked'))
+SELECT project_id, rank, id, description, status, priority, ticket_number, coalesce(lines, []) AS lines FROM o LEFT JOIN la ON id = task_id WHERE rank <= 10""")
 def session_summary(spark, sf):
     return briefing.session_summary(fx.tasks(spark, sf), fx.attempts(spark, sf))
+
+
+# -- exports, inserts and changes that repeat a key -------------------------------------------------------------------
+
+ATTEMPT = "'- **' || upper(outcome[1]) || outcome[2:] || '** — ' || approach_summary || chr(10) || '  > ' || reasoning || chr(10)"
+
+
+@query(f""", r AS (SELECT * FROM rules WHERE valid_until IS NULL), rn AS (SELECT project_id, count(*) AS n FROM r GROUP BY ALL), tn AS (SELECT project_id, count(*) AS n FROM tasks GROUP BY ALL),
+said AS (SELECT task_id, string_agg({ATTEMPT}, '' ORDER BY created_at, {ATTEMPT}) AS lines FROM attempts GROUP BY task_id)
+SELECT id AS project_id, 0 AS section, 0::BIGINT AS seq, '# Memory Export — ' || name || chr(10) || chr(10) AS markdown FROM projects
+UNION ALL SELECT id, 1, 0, '## Rules (' || coalesce(n, 0) || ' total)' || chr(10) || chr(10) FROM projects LEFT JOIN rn ON id = project_id
+UNION ALL SELECT id, 3, 0, '## Tasks (' || coalesce(n, 0) || ' total)' || chr(10) || chr(10) FROM projects LEFT JOIN tn ON id = project_id
+UNION ALL SELECT project_id, 2, row_number() OVER (PARTITION BY project_id ORDER BY created_at, id), '### [' || upper(category[1]) || category[2:] || '] ' || substr(content, 1, 80) || chr(10) || '- **ID:** `' || id || '`' || chr(10) || '- **Content:** ' || content || chr(10) || chr(10) FROM r
+UNION ALL SELECT project_id, 4, row_number() OVER (PARTITION BY project_id ORDER BY created_at, id), '### ' || upper(status[1]) || status[2:] || ': ' || description || chr(10) || '- **ID:** `' || id || '`' || chr(10) || '- **Created:** ' || strftime(created_at, '%Y-%m-%d %H:%M UTC') || chr(10)
+    || coalesce('- **Completed:** ' || strftime(completed_at, '%Y-%m-%d %H:%M UTC') || chr(10), '') || coalesce(chr(10) || '**Attempts:**' || chr(10) || chr(10) || lines, '') || chr(10) FROM tasks LEFT JOIN said ON id = task_id""")
+def export_report(spark, sf):
+    return briefing.export_report(fx.projects(spark, sf), fx.rules(spark, sf), fx.tasks(spark, sf), fx.attempts(spark, sf))
+
+
+@query(CHUNKS + " SELECT file_path AS file, start_line || ':' || end_line AS lines, 'markdown' AS language, content, CASE WHEN id % 3 = 0 THEN 'x' END AS summary FROM ch")
+def code_hits(spark, sf):
+    c = _line_chunks(spark, sf).withColumns({"summary": F.when(F.col("id") % 3 == 0, F.lit("x")), "language": F.lit("markdown")})
+    return retrieval.code_hits(c)
+
+
+@query(CHUNKS + f" SELECT project_id, count(*) AS chunks, count(DISTINCT file_path) AS files, count(CASE WHEN id % 3 = 0 THEN 1 END) AS summarised, max(TIMESTAMP '{E}' + to_days(CAST(id % 5 AS INTEGER))) AS last_indexed FROM ch GROUP BY project_id")
+def index_stats_last(spark, sf):
+    c = _line_chunks(spark, sf).withColumns({"summary": F.when(F.col("id") % 3 == 0, F.lit("x")), "indexed_at": filters.at(E) + F.expr("make_dt_interval(cast(id % 5 as int))")})
+    return ledger.index_stats(c)
+
+
+@query(CHUNKS + " SELECT file_path, start_line, id, (SELECT greatest(count(*) - 40, 0) FROM ch WHERE id % 3 <> 0) AS remaining_after FROM ch WHERE id % 3 <> 0 ORDER BY file_path, start_line, id LIMIT 40")
+def summary_queue(spark, sf):
+    c = _line_chunks(spark, sf).withColumn("summary", F.when(F.col("id") % 3 == 0, F.lit("x")))
+    return ledger.summary_queue(c, 40).select("file_path", "start_line", "id", "remaining_after")
+
+
+@query(COUNTS + " SELECT project_id, CASE WHEN count(*) FILTER (status = 'completed') > 0 THEN printf('%.1f', sum(total_attempts) / count(*) FILTER (status = 'completed')) ELSE '—' END AS avg_attempts FROM s GROUP BY project_id")
+def average_attempts(spark, sf):
+    k = ledger.project_kpis(fx.projects(spark, sf), fx.tasks(spark, sf), fx.attempts(spark, sf), fx.rules(spark, sf))
+    return k.where("tasks > 0").select("project_id", "avg_attempts")
+
+
+@query(COUNTS + """ SELECT id, CASE WHEN status = 'blocked' THEN 'blocked' WHEN pending_attempts > 0 THEN 'pending' ELSE 'active' END AS kind,
+    '[' || ticket_number || '] Task ' || chr(39) || description || chr(39) || CASE WHEN status = 'blocked' THEN ' is BLOCKED' WHEN pending_attempts > 0 THEN ' has ' || pending_attempts || ' pending attempt(s) awaiting outcome resolution'
+    ELSE ' is active (' || total_attempts || ' attempts, ' || rejected_attempts || ' rejected)' END AS said FROM s WHERE status IN ('active', 'blocked')""")
+def step_texts(spark, sf):
+    t = ledger.step_texts(ledger.next_steps(_summaries(spark, sf), T))
+    kind = F.when(F.col("status") == "blocked", "blocked").when(F.col("pending_attempts") > 0, "pending").otherwise("active")
+    return t.select("id", kind.alias("kind"), F.regexp_replace(F.regexp_replace("text", r"^\[score=[0-9.]+\] ", ""), r"( —.*| \([A-Za-z][^()]*\))$", "").alias("said"))
+
+
+@query(", x AS (SELECT l_orderkey AS id, max(l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT t.id, 'line ' || n AS description, CASE WHEN n % 2 = 0 THEN NULL ELSE ticket_number END AS ticket_number FROM tasks t JOIN x ON t.id = x.id")
+def patch_last_change(spark, sf):
+    """Several changes of each task, of which the last counts; an empty string clears."""
+    line = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("line "), "l_linenumber").alias("description"), F.when(F.col("l_linenumber") % 2 == 0, "").alias("ticket_number"), F.col("l_linenumber").alias("seq"))
+    t = fx.tasks(spark, sf).join(line.select("id"), "id", "left_semi")
+    return state.patch_tasks(t, line, ["description", "ticket_number"]).select("id", "description", "ticket_number")
+
+
+@query(f", x AS (SELECT l_orderkey AS id, max_by(l_partkey, l_linenumber * 10000000 + l_partkey) AS p FROM lineitem GROUP BY 1) SELECT t.id, 'accepted' AS outcome, 'part ' || p AS reasoning, TIMESTAMP '{T}' AS resolved_at FROM tasks t JOIN x ON t.id = x.id")
+def log_outcomes(spark, sf):
+    said = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("accepted").alias("outcome"), F.concat(F.lit("part "), "l_partkey").alias("reasoning"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("seq"))
+    open_ones = fx.tasks(spark, sf).join(said.select("id"), "id", "left_semi").select("id", F.lit("pending").alias("outcome"), F.lit("").alias("reasoning"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"))
+    return state.log_outcomes(open_ones, said, T)
+
+
+@query("SELECT l_partkey AS rule_id, l_suppkey AS chunk_id, max_by(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity)::DOUBLE AS similarity FROM lineitem GROUP BY 1, 2")
+def upsert_links_last(spark, sf):
+    new = fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("rule_id"), F.col("l_suppkey").alias("chunk_id"), F.col("l_quantity").cast("double").alias("similarity"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity")).alias("seq"))
+    old = new.where("rule_id % 3 = 0").select("rule_id", "chunk_id", F.lit(-1.0).alias("similarity")).distinct()
+    return state.upsert_links(old, new, ["rule_id", "chunk_id"], "similarity")
+
+
+@query("SELECT id, name, root_path FROM projects UNION ALL SELECT 1000 + n_nationkey, lower(n_name), '/new/' || n_name FROM nation WHERE n_nationkey % 2 = 1")
+def get_or_create_projects(spark, sf):
+    p = fx.projects(spark, sf)
+    odd = F.col("id") % 2 == 1
+    wanted = p.select((F.col("id") + 1000).alias("id"), F.when(odd, F.lower("name")).otherwise(F.col("name")).alias("name"), F.when(odd, F.concat(F.lit("/new/"), "name")).otherwise(F.concat(F.lit("/x"), "name")).alias("root_path"))
+    return state.get_or_create_projects(p, wanted)
+
+
+@query(f"SELECT doc_id AS id, doc_id % 25 AS project_id, CASE WHEN doc_id % 5 = 1 THEN 'instruction' ELSE 'fact' END AS category, 0::BIGINT AS hit_count, 1.0::DOUBLE AS weight, doc_id % 5 = 1 AS is_always_injected, TIMESTAMP '{R}' AS created_at, TIMESTAMP '{R}' AS valid_from, 0::BIGINT AS n_tags FROM documents")
+def insert_defaults(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    new = d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 25).alias("project_id"), F.when(F.col("doc_id") % 5 == 1, "instruction").otherwise("fact").alias("category"), F.col("text").alias("content"))
+    got = state.insert(schemas.empty(spark, "semantic_rules"), new, "rules", R)
+    return got.select("id", "project_id", "category", "hit_count", "weight", "is_always_injected", "created_at", "valid_from", F.size("tags").cast("long").alias("n_tags"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 512 THEN 'text exceeds 512 bytes' || CASE WHEN doc_id % 4 > 2 THEN '; confidence must be between 0.0 and 1.0' ELSE '' END WHEN doc_id % 4 > 2 THEN 'confidence must be between 0.0 and 1.0' END AS problem FROM documents WHERE trim(text) <> ''")
+def input_problems(spark, sf):
+    d = fx.table(spark, sf, "documents").where(F.trim("text") != "").withColumn("confidence", (F.col("doc_id") % 4) / 2.0)
+    return schemas.scrubbed(d, {"text": 512}, ("text",), scrub=False).select("doc_id", "problem")
+
+
+@query("SELECT l_partkey AS source_task_id, l_suppkey AS target_task_id FROM lineitem WHERE l_partkey = 7 OR l_suppkey = 7")
+def links_of_task(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("source_task_id"), F.col("l_suppkey").alias("target_task_id"))
+    return graph.links_of(rows, 7)
+
+
+@query("SELECT task_id, approach_summary, reasoning, created_at FROM attempts WHERE task_id = 3 AND outcome = 'accepted'")
+def review_ledger(spark, sf):
+    none = spark.createDataFrame([], "source_task_id long, target_task_id long")
+    return briefing.review_ledger(fx.attempts(spark, sf), none, 3, "accepted")["attempts"].select("task_id", "approach_summary", "reasoning", "created_at")
+
+
+@query("SELECT * FROM (SELECT source_entity, target_entity, 'f' || substr(source_entity, 2, 1) AS source_file, CASE WHEN target_entity = 's1' THEN NULL ELSE 'f' || substr(target_entity, 2, 1) END AS target_file FROM supply_edges) WHERE source_file <> 'f1' AND (target_file IS NULL OR target_file <> 'f1')")
+def edges_without_file(spark, sf):
+    e = fx.supply_edges(spark, sf).withColumns({"source_file": F.concat(F.lit("f"), F.substring("source_entity", 2, 1)), "target_file": F.when(F.col("target_entity") != "s1", F.concat(F.lit("f"), F.substring("target_entity", 2, 1)))})
+    return graph.without_file(e, "f1")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' OR doc_id % 3 = 0")
+def affinity(spark, sf):
+    d = fx.table(spark, sf, "documents").withColumn("task_type_affinity", F.when(F.col("doc_id") % 3 != 0, F.array("lang", "source")))
+    return d.where(filters.suits("en")).select("doc_id")
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery') GROUP BY 1")
+def enumeration(spark, sf):
+    return fx.table(spark, sf, "customer").where(schemas.one_of("c_mktsegment", ["building", "machinery"])).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(LWW + " SELECT project_id, key, expires_at FROM e WHERE expires_at <= TIMESTAMP '2024-03-01'")
+def scratch_swept(spark, sf):
+    """What a sweep at a later moment takes away."""
+    now = state.upsert_scratch(None, fx.scratch_writes(spark, sf))
+    keys = ["project_id", "key"]
+    return now.join(retention.sweep_scratch(now, "2024-03-01 00:00:00").select(keys), keys, "left_anti").select("project_id", "key", "expires_at")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 900 WHEN doc_id % 3 = 0 THEN (SELECT min(doc_id % 7 + 100) FROM documents WHERE doc_id % 3 = 0) END::BIGINT AS community_id FROM documents")
+def assign_communities(spark, sf):
+    """Names that many members share: by file where one has it, else the smallest."""
+    d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("project_id"), F.col("doc_id").cast("string").alias("file_path"), F.lit(1).alias("start_line"), (F.col("doc_id") % 3).cast("string").alias("chunk_name"), F.lit(None).cast("long").alias("community_id"))
+    here = d.where("id % 4 = 0").select("chunk_name", "file_path", F.lit(900).cast("long").alias("community_id"))
+    anywhere = d.where("chunk_name = '0'").select("chunk_name", F.lit(None).cast("string").alias("file_path"), (F.col("id") % 7 + 100).alias("community_id"))
+    return graph.assign_communities(d, here.unionByName(anywhere)).select("id", "community_id")
+
+
+@query("SELECT count(*) FILTER (doc_id % 4 <> 3) AS files_scanned, count(*) FILTER (doc_id % 4 < 2) AS files_changed, count(*) FILTER (doc_id % 4 = 2) AS files_skipped, count(*) FILTER (doc_id % 4 = 3) AS files_deleted FROM documents")
+def index_counters(spark, sf):
+    return ingest.counters(index_plan(spark, sf))
