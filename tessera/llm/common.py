@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +26,13 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (tests only) one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine.
+
+    On a cluster without the setting this fails, as executors don't see a folder of the driver's.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     return (where or _own_dir()).rstrip("/")
 
 
@@ -54,21 +59,57 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions(df: DataFrame) -> int:
+    """The number of tasks that read df."""
+    return max(1, df.rdd.getNumPartitions())
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null keys count as 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(0)) % n
 
 
-#: Rows in an Arrow batch. Texts are long: with Spark's default of 10,000 a batch takes up to hundreds of MB in the JVM
-#: and again in Python, in every task.
-ARROW_ROWS = 2000
+#: Rows and bytes in an Arrow batch (a longer row is a batch of its own). Texts are long: with Spark's defaults of 10,000
+#: rows and no bound of bytes a batch takes up to hundreds of MB in the JVM and again in Python, in every task.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
 
 
 def settle(spark: SparkSession) -> None:
-    """Set the size of Arrow batches for long texts, unless the session has a size of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Set the size of Arrow batches for long texts, unless the session has sizes of its own."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
+    if int(spark.conf.get(size, str((1 << 31) - 1)).rstrip("b")) >= (1 << 31) - 1:
+        spark.conf.set(size, str(ARROW_BYTES))
+
+
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL(None)
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def let_go() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task, and others share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's function that lets memory go at its end."""
+
+    @wraps(run)
+    def done(*args):
+        try:
+            yield from run(*args)
+        finally:
+            let_go()
+
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,14 +152,17 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     schema = T.StructType([*kept, *fields])
     arrow = to_arrow_schema(schema)
     names = [f.name for f in kept]
-    carried = df.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
+    # an input that stays is sent once
+    place = {c: names.index(c) if c in names else len(names) + sum(x not in names for x in inputs[:i]) for i, c in enumerate(inputs)}
+    carried = df.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs) if c not in names])
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for b in pieces_of(batch):
-                got = work(*[b.column(f"__in{i}") for i in range(len(inputs))])
-                cols = [b.column(c) for c in names]
+                got = work(*[b.column(place[c]) for c in inputs])
+                cols = b.columns[: len(names)]
                 cols += [pa.array(x, type=arrow.field(len(names) + i).type) for i, x in enumerate(got)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
@@ -156,9 +200,18 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def hash_words(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each distinct word."""
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w, seed) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    """A 64-bit hash of each distinct word: its bytes times a constant for each place (multilinear), and then mixed."""
+    n = len(words)
+    _, offsets, data = words.buffers()
+    if not n or data is None:
+        return mix(np.full(n, seed, dtype=np.uint64))
+    at = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    x = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    size = np.diff(at)
+    place = np.arange(len(x)) - np.repeat(at[:-1], size)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(odd_constants(int(size.max()) + 1, 41)[place] * (x + np.uint64(1)))])
+    return mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
 def word_hashes(texts: pa.Array, by: bytes = WORDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -181,28 +234,46 @@ def odd_constants(n: int, seed: int, bits: int = 64) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.uint64 if bits == 64 else np.uint32) | (np.uint64(1) if bits == 64 else np.uint32(1))
 
 
-_BLOCK = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("data", T.BinaryType())])
+#: Parts that one task adds up, about, at each level of a sum.
+FAN = 8
 
 
-def sum_blocks(parts: DataFrame) -> DataFrame:
-    """Sums of float32 vectors (block int, data binary) by block, added up in float64 within a task.
+def sum_blocks(parts: DataFrame, read: Callable[[bytes, bytes], tuple[np.ndarray | slice, np.ndarray]], shape: tuple[int, ...], tasks: int) -> DataFrame:
+    """Sums of blocks of numbers by block: (block int, data binary: float64 of `shape`).
 
-    Vectors of one block have one length. Each task adds as it reads and holds one vector a block, so memory is
-    bounded by the size of the model, however many tasks there were; two levels keep the last one short.
+    parts has block, part (the task's number), at and data (binaries), of which `read` makes the places and the values to
+    be added there; so a part may hold only what its task touched. Values must be multiples of a fixed fraction, so that
+    their sums are exact and don't depend on the order of tasks. `tasks` is how many parts there are: each level adds
+    about FAN of them for each block, so no task reads more than FAN models, however many tasks there were.
     """
 
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(data.as_buffer(), dtype=np.float32)
-                if k in total:
-                    total[k] += x
-                else:
-                    total[k] = x.astype(np.float64)
-        for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "data"])
-
-    n = parallelism(parts.sparkSession)
-    once = parts.repartition(max(1, int(n**0.5)), "block", (F.rand(7) * n**0.5).cast("int")).mapInArrow(add, _BLOCK)
-    return once.repartition(max(1, min(n, 16)), "block").mapInArrow(add, _BLOCK)
+    def adder(read):
+        def row(key, x):
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([b""], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["block", "part", "at", "data"])
+
+        @tidy
+        def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, total = None, np.zeros(shape)
+            for b in batches:
+                for *key, at, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                    if key != held:
+                        if held is not None:
+                            yield row(held, total)
+                        held, total = key, np.zeros(shape)
+                    where, x = read(at.as_buffer(), data.as_buffer())
+                    total[where] += x
+            if held is not None:
+                yield row(held, total)
+
+        return add
+
+    def dense(at, data):
+        return slice(None), np.frombuffer(data, dtype=np.float64).reshape(shape)
+
+    kind, n = "block int, part int, at binary, data binary", parallelism(parts.sparkSession)
+    while True:
+        tasks = -(-tasks // FAN)
+        dealt = parts.withColumn("part", F.pmod("part", F.lit(tasks)).cast("int")).repartition(n, "block", "part").sortWithinPartitions("block", "part")
+        parts, read = dealt.mapInArrow(adder(read), kind), dense
+        if tasks == 1:
+            return parts.select("block", "data")

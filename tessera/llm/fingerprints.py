@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, parallelism, pieces_of
+from tessera.llm.common import mix, parallelism, pieces_of, tidy
 
 #: Bytes of a chunk: the least, where boundaries become likelier, the most.
 LEAST, NORMAL, MOST = 8, 32, 128
@@ -128,6 +128,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = with_next(docs, id_col, text_col)
     dealt = dealt.repartition(parallelism(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "sent", F.col("id").desc_nulls_last(), "text")
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # bucket, id, text, fingerprint of the row before
 

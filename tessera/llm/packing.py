@@ -14,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import pieces_of, split_words
+from tessera.llm.common import pieces_of, split_words, tidy
 
 CAPACITY = 2048
 #: Pieces packed together by one task, about; a group wastes half a sequence at most on the whole.
@@ -46,7 +47,7 @@ class WordTokenizer:
     PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
     BASE = 0x10000  # past the surrogates
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1 << 17):
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.words, self.runs = Tokenizer.from_file(path), most, {}, {}
@@ -118,11 +119,14 @@ def tokenizer(path: str) -> WordTokenizer:
 def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit, as binary).
 
+    Texts of any length are read whole, a few MB of shorter ones at a time.
+
     A document's ids are its text's (null: none) and end_id; only those longer than capacity are cut, and just the last
     piece may be shorter. Repeated rows each give pieces; other columns are ignored.
     """
     path = path or _default_tokenizer()
 
+    @tidy
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokenizer(path), np.array([end_id], dtype="<u4")
         for batch in batches:
@@ -269,15 +273,18 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, rounds: int | Non
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """pieces (doc_id, piece, length and what else there is) with sequence_id and offset (longs).
+    """pieces (doc_id, piece, start, length and what else there is) with sequence_id and offset (longs).
 
-    Pieces are dealt at random, by a hash of doc_id and piece, to groups of about `group`, each packed by one task, so
-    tasks are bounded and no key is hot. A length of 1..capacity is asked for; more fails. An empty table gives no rows.
+    Pieces are dealt by a hash of doc_id, piece, start and the row's number to groups of about `group`, each packed by
+    one task, so tasks are bounded and neither a repeated nor a null id is hot. pieces should be a stored table, as row
+    numbers follow its files. A length of 1..capacity is asked for; more fails. Columns of pieces named like a new one
+    are replaced; pieces of equal length may take each other's places; an empty table gives no rows.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     total = pieces.count()
     groups = max(1, -(-total // group))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
-    out = _schema(pieces)
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id()), F.lit(groups)))
+    out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "start"], kind="stable", ignore_index=True)
@@ -293,8 +300,3 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         return pdf.drop(columns="__group").assign(sequence_id=seq, offset=off)
 
     return dealt.groupBy("__group").applyInPandas(place, out)
-
-
-def _schema(pieces: DataFrame) -> str:
-    cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields]
-    return ", ".join([*cols, "sequence_id long", "offset long"])

@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import append_columns, hash_words, mix, pieces_of, split_words, sum_blocks
+from tessera.llm.common import append_columns, hash_words, mix, partitions, pieces_of, split_words, sum_blocks, tidy
 from tessera.llm.toxicity import FIT_ROWS, labelled_sample
 
 #: Rows of word vectors (words are hashed to them), their width, and the non-zeros of an index vector.
@@ -60,14 +61,17 @@ def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """(ROWS, DIM): for each row the sum of the index vectors of its words' neighbours, over all documents, at unit length.
 
-    Each task sums its own; the sums (of a fixed size) are added in a tree.
+    Each task sums its own, in whole numbers; the sums (of a fixed size) are added in levels. Null and empty texts add
+    nothing; without documents all vectors are zero.
     """
+    per = ROWS // BLOCKS
 
+    @tidy
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, sign = index_vectors()
         total = np.zeros(ROWS * DIM)
         for batch in batches:
-            for b in pieces_of(batch):
+            for b in pieces_of(batch, size=SLICE):
                 first, rows, _ = word_rows(b.column(0))
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 for gap in range(1, WINDOW + 1):
@@ -80,11 +84,19 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     for a, c in ((left, right), (right, left)):
                         for k in range(NONZERO):
                             total += np.bincount(a * DIM + where[c, k], weights=sign[c, k] * n, minlength=ROWS * DIM)
-        data = total.reshape(BLOCKS, -1).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in data], pa.binary())], names=["block", "data"])
-
-    got = {r["block"]: np.frombuffer(bytes(r["data"]), dtype=np.float32) for r in sum_blocks(docs.select(text_col).mapInArrow(gather, "block int, data binary")).collect()}
-    full = np.concatenate([got.get(k, np.zeros(ROWS * DIM // BLOCKS)) for k in range(BLOCKS)]).reshape(ROWS, DIM)
+        total, part = total.reshape(ROWS, DIM), TaskContext.get().partitionId()
+        for k in range(BLOCKS):
+            met = np.flatnonzero(total[k * per : (k + 1) * per].any(axis=1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([met.tobytes()], pa.binary()), pa.array([total[k * per + met].tobytes()], pa.binary())], names=["block", "part", "at", "data"])
+
+    def read(at, data):
+        return np.frombuffer(at, dtype=np.int32), np.frombuffer(data, dtype=np.float64).reshape(-1, DIM)
+
+    texts = docs.select(text_col)
+    summed = sum_blocks(texts.mapInArrow(gather, "block int, part int, at binary, data binary"), read, (per, DIM), partitions(texts))
+    full = np.zeros((ROWS, DIM))
+    for r in summed.collect():  # BLOCKS rows of a fixed size
+        full[r["block"] * per : (r["block"] + 1) * per] = np.frombuffer(bytes(r["data"])).reshape(per, DIM)
     return (full / np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -172,7 +184,11 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, batch:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, text_col: str = "text", **names) -> tuple[np.ndarray, Network]:
-    """Word vectors of all documents, and a network fitted on the driver to `rows` labelled rows at most, none held out."""
+    """Word vectors of all documents, and a network fitted on the driver to `rows` labelled rows at most, none held out.
+
+    Null and empty texts are the zero vector; whole texts are read; repeated rows count as labelled_sample says; where
+    labels are of one kind or none, every text gets their smoothed share; other columns are ignored.
+    """
     vectors = word_vectors(docs, text_col)
     known = docs.sparkSession.sparkContext.broadcast(vectors)
     sample = labelled_sample(docs, labels, label, rows, text_col=text_col, **names)

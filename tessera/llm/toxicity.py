@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import append_columns, crc_mod, least_hashed, mix, odd_constants, word_hashes
+from tessera.llm.common import append_columns, crc_mod, least_hashed, mix, odd_constants, staged, word_hashes
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most, those whose hash is least: a documented bound.
 FIT_ROWS = 8192
+#: Distinct features of those rows that the driver takes at most (4 bytes each): very long texts make the sample smaller.
+FIT_FEATURES = 1 << 24
 THRESHOLD = 0.7
 _MUL = odd_constants(4, 11)
 
@@ -88,22 +90,44 @@ class Ftrl:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
-    """(text, label) of at most `rows` labelled documents outside the held-out fold, those with the least hashes.
+    """(id, text, label) of at most `rows` labelled documents outside the held-out fold, those with the least hashes.
 
-    Null labels and ids are left out; where an id has several labels, the largest counts; where several documents have
-    an id, each is a row.
+    Null labels and ids are left out; where an id has several labels, the largest counts; null texts are as they are.
+    The sample is of labels that have a document. Where several documents have an id, each is a row, and rows are then
+    drawn by a hash of id and text, equal ones once; so the bound holds for rows, whatever repeats.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where(f"id is not null and label is not null")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
     known = known.where(crc_mod("id", folds) != held).groupBy("id").agg(F.max("label").alias("label"))
-    known = least_hashed(known, ["id"], rows)  # the bound
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(known), "id").select("id", "text", "label")
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, epochs: int = 12, bits: int = BITS, **names) -> Sparse:
-    """A model of the labelled documents outside the held-out fold; the fit is on the driver, on `rows` rows at most."""
+    known = known.join(texts.select("id"), "id", "left_semi")
+    known = staged(least_hashed(known, ["id"], rows), "labelled")  # the bound
+    sample = texts.join(F.broadcast(known), "id").select("id", "text", "label")
+    if texts.select("id").join(F.broadcast(known), "id").count() <= rows:
+        return sample
+    keyed = sample.withColumn("th", F.xxhash64("text"))
+    drawn = staged(least_hashed(keyed.select("id", "th").distinct(), ["id", "th"], rows), "drawn")
+    return keyed.join(F.broadcast(drawn), ["id", "th"], "left_semi").groupBy("id", "th", "label").agg(F.min("text").alias("text")).select("id", "text", "label")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, epochs: int = 12, bits: int = BITS, most: int = FIT_FEATURES, **names) -> Sparse:
+    """A model of the labelled documents outside the held-out fold; the fit is on the driver, on `rows` rows at most, of
+    `most` distinct features in all.
+
+    Null and empty texts are rows without features; whole texts are read; repeated rows count as labelled_sample says;
+    without labelled rows all scores are one half; other columns are ignored.
+    """
     sample = labelled_sample(docs, labels, label, rows, **names)
     held = append_columns(sample, ["text"], [T.StructField("f", T.BinaryType())], lambda: lambda t: [[x.tobytes() for x in distinct_features(t, bits)]])
+    held = staged(held.select("id", "label", "f", F.octet_length("f").alias("n"), F.xxhash64("id", "f").alias("h")), "features")
+    sizes = sorted((r["h"], r["id"], r["n"]) for r in held.select("h", "id", "n").collect())  # `rows` rows
+    total, past = 0, None
+    for h, _, n in sizes:
+        total += n
+        if total > 4 * most:
+            past = h
+            break
+    if past is not None:
+        held = held.where(F.col("h") < past)
     got = sorted((r["id"], r["label"], bytes(r["f"])) for r in held.select("id", "label", "f").collect())
     made = Ftrl(bits)
     rng = np.random.default_rng(17)
