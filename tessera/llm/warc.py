@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, least_hashed, staged
+from tessera.llm.common import fresh_path, least_hashed, staged, tidy
 
 SKIPPABLE = 0x184D2A5D  # the skippable frame that holds a dictionary
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -23,7 +23,8 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 ROLL_BYTES = 64 << 20
 #: Payloads that train the dictionary, its size, and the rows of a broadcast table of duplicates at most.
 DICTIONARY_SAMPLES, DICTIONARY_BYTES, BROADCAST_ROWS = 256, 64 << 10, 200_000
-READ = 1 << 20
+#: Bytes read at a time: what follows a frame is copied, so this is kept to a few records.
+READ = 1 << 16
 
 
 class WarcError(ValueError):
@@ -167,10 +168,14 @@ _MANIFEST = "path string, records long, bytes long"
 def write_warc(rows: DataFrame, where: str, dictionary: bytes, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Archives of rows (record_id, url, payload, refers_to) under `where`; a row (path, records, bytes) for each.
 
+    A null or empty payload is a record without one, however long a payload is it is one record, repeated rows are
+    records each, other columns are ignored, and without rows there is no archive.
+
     A task writes under a name of its own and renames at the end, so a repeated task replaces what the first left.
     """
     known = rows.sparkSession.sparkContext.broadcast(dictionary)
 
+    @tidy
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(where)
         fs.create_dir(base, recursive=True)
@@ -213,6 +218,7 @@ def read_warc(paths: DataFrame, where: str, with_payload: bool = True) -> DataFr
     """
     fields = [("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
 
+    @tidy
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(where)
         for b in batches:
@@ -243,7 +249,11 @@ def archive_pages(pages: DataFrame, least: int = 100, where: str | None = None,
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2(F.col("payload").cast("binary"), 256))))
     groups = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     groups = staged(groups.select("digest", "first"), "warc-groups")
-    rows = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "digest", "left")
+    if groups.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(groups), "digest", "left")
+    else:  # payloads without a digest aren't shuffled, and rows of one digest can be split, as `groups` is a stored table
+        alone = rows.where("digest is null").withColumn("first", F.lit(None).cast(groups.schema["first"].dataType))
+        rows = rows.where("digest is not null").join(groups, "digest", "left").unionByName(alone)
     rows = rows.select(
         F.concat(F.lit("urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("record_id"), "url", "payload",
         F.when(~F.col("first").eqNullSafe(F.col("id")), F.concat(F.lit("urn:page:"), F.col("first").cast("string"))).alias("refers_to"),
