@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces_of
+from tessera.llm.common import pieces_of, tidy
 from tessera.llm.packing import tokenizer
 
 KEYS = ["source", "lang", "tokenizer_version"]
@@ -34,9 +34,12 @@ class TokenRollup:
     """Totals kept in a folder: a folder of deltas for each committed batch, written beside and renamed into place.
 
     A batch is committed once: a repeated commit of its id changes nothing, whether the first came from this process or
-    another, and a batch that failed half-way leaves nothing that is read.
+    another, and a batch that failed half-way leaves nothing that is read. compact() folds all batches so far into a base
+    that also holds their ids, so totals read the base and what came after it, not all of history.
     """
 
+    SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.jvm = spark._jvm.org.apache.hadoop.fs
@@ -45,41 +48,80 @@ class TokenRollup:
     def _at(self, name: str):
         return self.jvm.Path(f"{self.path}/{name}" if name else self.path)
 
-    def committed(self) -> list[str]:
+    def _names(self, prefix: str) -> list[str]:
         if not self.fs.exists(self._at("")):
             return []
         names = [s.getPath().getName() for s in self.fs.listStatus(self._at(""))]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
+        return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+    def _base(self) -> str | None:
+        return f"base={top[-1]}" if (top := self._names("base=")) else None
+
+    def _folded(self) -> set[str]:
+        base = self._base()
+        return {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{base}/ids").collect()} if base else set()
+
+    def committed(self) -> list[str]:
+        return sorted({*self._folded(), *self._names("batch=")})
+
+    def _place(self, beside: str, name: str) -> bool:
+        """Whether the folder was renamed to a name that was free; of two that try at once, one finds its own inside."""
+        if self.fs.exists(self._at(name)) or not self.fs.rename(self._at(beside), self._at(name)):
+            self.fs.delete(self._at(beside), True)
+            return False
+        if self.fs.exists(self._at(f"{name}/{beside}")):  # moved into the other's
+            self.fs.delete(self._at(f"{name}/{beside}"), True)
+            return False
+        return True
 
     def commit(self, batch: str, events: DataFrame) -> bool:
-        """Whether the batch was new."""
+        """Whether the batch was new. An empty batch is a batch, too."""
         if not batch or "/" in batch:
             raise ValueError("a batch id is a name")
         if batch in self.committed():
             return False
         beside = f"_pending-{uuid.uuid4().hex}"
         signed_deltas(events).write.parquet(f"{self.path}/{beside}")
-        self.fs.mkdirs(self._at(""))
-        if batch in self.committed() or not self.fs.rename(self._at(beside), self._at(f"batch={batch}")):
-            self.fs.delete(self._at(beside), True)
+        return self._place(beside, f"batch={batch}")
+
+    def _rows(self) -> tuple[DataFrame | None, list[str]]:
+        """Deltas and base that make the totals, and the batches in them."""
+        base, folded = self._base(), self._folded()
+        fresh = [b for b in self._names("batch=") if b not in folded]
+        paths = [*([f"{self.path}/{base}/totals"] if base else []), *(f"{self.path}/batch={b}" for b in fresh)]
+        return (self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else None), sorted({*folded, *fresh})
+
+    def compact(self) -> bool:
+        """Fold what is committed into a new base; the folded batches' folders go. One process at a time compacts; a commit
+        meanwhile is safe, and a compaction that fails half-way leaves the old base and all batches as they were."""
+        rows, ids = self._rows()
+        if rows is None:
+            return False
+        beside, old = f"_pending-{uuid.uuid4().hex}", self._base()
+        rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{self.path}/{beside}/totals")
+        self.spark.createDataFrame([(i,) for i in ids], "batch string").coalesce(1).write.parquet(f"{self.path}/{beside}/ids")
+        if not self._place(beside, f"base={int(old.removeprefix('base=')) + 1 if old else 1:08d}"):
             return False
+        for name in [*(f"batch={b}" for b in ids), *([old] if old else [])]:
+            self.fs.delete(self._at(name), True)
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens; groups that have come to nothing are left out."""
-        done = self.committed()
-        if not done:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
-        rows = self.spark.read.schema("source string, lang string, tokenizer_version string, n_docs long, n_tokens long").parquet(*[f"{self.path}/batch={b}" for b in done])
+        rows, _ = self._rows()
+        if rows is None:
+            return self.spark.createDataFrame([], self.SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 
 def token_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(source, lang, text_bytes, n_tokens, n_words): the ids a tokenizers file gives each whole text, and its words.
 
-    Null and empty texts have none.
+    Null and empty texts have none; texts of any length are read whole; repeated rows are rows each; other columns are
+    ignored.
     """
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
