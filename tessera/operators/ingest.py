@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,12 +43,66 @@ def indexable(path: str | Column) -> Column:
     return ~(ext.isin(BINARY) | skip | p.rlike(r"(^|/)\.[^/]"))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, content) of a folder's text files; bytes that aren't UTF-8 leave a file out."""
+def ignore_pattern(line: str, folder: str = "") -> tuple[str, bool] | None:
+    """A line of an ignore file that stands in `folder`, as a regular expression of paths and whether it takes a path back
+    in; None for blank lines and comments."""
+    line = re.sub(r"(?<!\\)\s+$", "", line)
+    if not line or line.startswith("#"):
+        return None
+    back, line = line.startswith("!"), line.removeprefix("!")
+    anchored = "/" in line[:-1]
+    body, out, i = line.strip("/"), "", 0
+    while i < len(body):
+        if body.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            c = body[i]
+            end = body.find("]", i + 2) if c == "[" else -1
+            if end > 0:
+                out, i = out + "[" + body[i + 1 : end].replace("!", "^", 1) + "]", end
+            else:
+                out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
+            i += 1
+    start = re.escape(folder.strip("/")) + "/" if folder.strip("/") else ""
+    return f"^{start}{'' if anchored else '(?:.*/)?'}{out}{'/.*' if line.endswith('/') else '(?:/.*)?'}$", back
+
+
+def ignored(path: str | Column, rules: dict[str, list[str]]) -> Column:
+    """Whether ignore files (folder -> lines, '' for the root) leave a path out: the last rule that fits decides, and those
+    of deeper folders come later."""
+    p, out = F.col(path) if isinstance(path, str) else path, F.lit(False)
+    for folder in sorted(rules, key=lambda f: (f.strip("/").count("/") + bool(f.strip("/")), f)):
+        for found in filter(None, (ignore_pattern(line, folder) for line in rules[folder])):
+            out = F.when(p.rlike(found[0]), F.lit(not found[1])).otherwise(out)
+    return out
+
+
+def ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> dict[str, list[str]]:
+    """The ignore files under a folder, as `ignored` wants them; they are few and small."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, out = fs.makeQualified(at).toString().rstrip("/") + "/", fs.listFiles(at, True), {}
+    while found.hasNext():
+        where = found.next().getPath()
+        if where.getName() == name:
+            stream = fs.open(where)
+            try:
+                lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            out[where.getParent().toString().removeprefix(base.rstrip("/")).strip("/")] = lines.splitlines()
+    return out
+
+
+def scan(spark: SparkSession, root: str, ignore: dict[str, list[str]] | None = None) -> DataFrame:
+    """(file_path, content) of a folder's text files but those that `ignore` (see ignore_files) leaves out; bytes that
+    aren't UTF-8 leave a file out."""
     base = root.rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.substring_index(F.col("path"), base, -1)
-    rows = rows.select(path.alias("file_path"), "content").where(indexable("file_path")).where(F.is_valid_utf8(F.col("content").cast("string")))
+    rows = rows.select(path.alias("file_path"), "content").where(indexable("file_path") & ~ignored("file_path", ignore or {})).where(F.is_valid_utf8(F.col("content").cast("string")))
     return rows.select("file_path", F.col("content").cast("string").alias("content"))
 
 
@@ -146,6 +201,60 @@ def python_chunks(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "file_path string, chunk_name string, chunk_kind string, start_line int, end_line int")
 
 
+#: What defines something, by language: visibility, kind and name of a line.
+DEFINED = {
+    "rust": r"^\s*(pub)?(?:\([^)]*\))?\s*(?:(?:async|unsafe|const|extern \"C\")\s+)*(fn|struct|enum|trait|mod|type|impl)\s+(?:<[^>]*>\s*)?([A-Za-z_]\w*)",
+    "python": r"^\s*()(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)",
+    "javascript": r"^\s*(export)?\s*(?:default\s+)?(?:async\s+)?(function|class|interface|enum|type|const)\b\*?\s+([A-Za-z_$][\w$]*)",
+    "go": r"^()(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
+    "java": r"^\s*(public|private|protected)?\s*(?:(?:static|final|abstract|sealed|data|open|override|suspend)\s+)*(class|interface|enum|record|object|fun)\s+([A-Za-z_]\w*)",
+    "c": r"^\s*()(struct|class|namespace|enum|union)\s+([A-Za-z_]\w*)",
+    "ruby": r"^\s*()(def|class|module)\s+(?:self\.)?([A-Za-z_]\w*)",
+    "php": r"^\s*(public|private|protected)?\s*(?:(?:static|final|abstract)\s+)*(function|class|interface|trait)\s+([A-Za-z_]\w*)",
+    "swift": r"^\s*(public|private|internal|open|fileprivate)?\s*(?:(?:static|final)\s+)*(func|class|struct|enum|protocol)\s+([A-Za-z_]\w*)",
+}
+LIKE = {"typescript": "javascript", "kotlin": "java", "cpp": "c"}
+KINDS = {"fn": "function", "def": "function", "func": "function", "fun": "function"}
+NOT_CALLS = "if for while switch match return catch function fn def func fun class sizeof defined elif and or not in is await yield new assert with lambda".split()
+_IMPORT = r"^\s*(?:pub\s+)?(?:use\s|import\s|from\s\S+\simport\s)"
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    rows = files.select("project_id", "file_path", tx.language("file_path").alias("language"), F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    grammar = F.col("language")
+    for language, other in LIKE.items():
+        grammar = F.when(F.col("language") == language, other).otherwise(grammar)
+    rows = rows.withColumn("__g", grammar)
+    part = lambda k: F.coalesce(*[F.when(F.col("__g") == g, F.regexp_extract("line", rx, k)) for g, rx in DEFINED.items()])
+    return rows.withColumns({"visibility": part(1), "kind": part(2), "name": part(3)}).drop("__g").withColumn("start_line", F.col("at") + 1)
+
+
+def definitions(files: DataFrame) -> DataFrame:
+    """(project_id, file_path, chunk_name, chunk_kind, visibility, start_line) of all languages, from the lines that define
+    something. 'public' is what the line says, in Go a capital, in Python no leading underscore; otherwise 'private'."""
+    rows = _lines(files).where("name <> ''")
+    said = F.col("visibility").isin("pub", "public", "export", "open")
+    shown = F.when(F.col("language") == "go", F.col("name").rlike("^[A-Z]")).when(F.col("language") == "python", ~F.col("name").startswith("_")).when(F.col("language").isin("c", "cpp", "ruby"), F.lit(True)).otherwise(said)
+    kind = F.col("kind")
+    for word, name in KINDS.items():
+        kind = F.when(F.col("kind") == word, name).otherwise(kind)
+    return rows.select("project_id", "file_path", F.col("name").alias("chunk_name"), kind.alias("chunk_kind"), F.when(shown, "public").otherwise("private").alias("visibility"), "start_line")
+
+
+def line_edges(files: DataFrame) -> DataFrame:
+    """As python_edges for files of all other languages, line by line: imports by the file, calls by the last definition
+    before them. Without a parser, words in comments and strings that look like calls count as such."""
+    rows = _lines(files.where(F.coalesce(tx.language("file_path") != "python", F.lit(False)))).where(F.col("language").isin(*DEFINED, *LIKE))
+    before = Window.partitionBy("project_id", "file_path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("within", F.coalesce(F.last(F.when(F.col("name") != "", F.col("name")), ignorenulls=True).over(before), F.lit("<module>")))
+    imports = rows.where(F.col("line").rlike(_IMPORT)).select("project_id", F.col("file_path").alias("source_entity"), tx.import_path(F.regexp_replace(F.trim("line"), r"^pub\s+", "")).alias("target_entity"), F.lit("uses").alias("edge_type"), F.col("file_path").alias("source_file"))
+    called = F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][\w$]*(?:(?:::|\.)[A-Za-z_$][\w$]*)*)!?\s*\("), 1)).alias("called")
+    calls = rows.where(~F.col("line").rlike(_IMPORT)).select("project_id", "file_path", "within", "name", called)
+    calls = calls.where((F.col("called") != F.col("name")) & ~F.col("called").isin(NOT_CALLS))
+    calls = calls.select("project_id", F.col("within").alias("source_entity"), callee("called").alias("target_entity"), F.lit("calls").alias("edge_type"), F.col("file_path").alias("source_file"))
+    return calls.unionByName(imports.where("target_entity <> ''")).distinct()
+
+
 def callee(name: str | Column) -> Column:
     """The last two segments of a path by double colons."""
     c = F.col(name) if isinstance(name, str) else name

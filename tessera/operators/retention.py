@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.filters import at, live, older_than
@@ -58,13 +58,16 @@ def sweep_scratch(scratch: DataFrame, as_of: str) -> DataFrame:
 def consolidate(tasks: DataFrame, attempts: DataFrame, as_of: str, days: int = 14, accepted: int = 2, most: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(lessons, attempts left): completed tasks with enough old accepted attempts become one lesson each.
 
-    The lesson lists rejected and accepted approaches by age; those attempts are then gone. A task's attempts are few
-    and meet in one row; the join is on the task.
+    The lesson lists rejected and accepted approaches by age, as many as it holds; those attempts are then gone.
     """
     old = attempts.where(F.col("outcome").isin("accepted", "rejected") & older_than("resolved_at", as_of, days))
     line = F.concat(F.lit("- "), "approach_summary", F.when(F.coalesce("reasoning", F.lit("")) != "", F.concat(F.lit(": "), "reasoning")).otherwise(""), F.lit("\n"))
-    pick = lambda o: F.array_sort(F.collect_list(F.when(F.col("outcome") == o, F.struct("created_at", F.col("line")))))
-    by_task = old.withColumn("line", line).groupBy("task_id").agg(F.count_if(F.col("outcome") == "accepted").alias("n"), pick("rejected").alias("rej"), pick("accepted").alias("acc")).where(F.col("n") >= accepted)
+    old = old.withColumn("line", line)
+    # lines beyond what a lesson holds aren't gathered
+    before = Window.partitionBy("task_id", "outcome").orderBy("created_at", "line").rowsBetween(Window.unboundedPreceding, -1)
+    old = old.withColumn("line", F.when(F.coalesce(F.sum(F.char_length("line")).over(before), F.lit(0)) < most, F.col("line")))
+    pick = lambda o: F.array_sort(F.collect_list(F.when((F.col("outcome") == o) & F.col("line").isNotNull(), F.struct("created_at", F.col("line")))))
+    by_task = old.groupBy("task_id").agg(F.count_if(F.col("outcome") == "accepted").alias("n"), pick("rejected").alias("rej"), pick("accepted").alias("acc")).where(F.col("n") >= accepted)
     rows = by_task.join(tasks.where("status = 'completed'").select(F.col("id").alias("task_id"), "project_id", "description"), "task_id")
     part = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(title), F.array_join(F.transform(c, lambda r: r["line"]), ""))).otherwise("")
     content = F.concat(F.lit("## Task: "), "description", F.lit("\n"), part("### Rejected approaches:\n", F.col("rej")), part("### Accepted approach:\n", F.col("acc")))

@@ -194,3 +194,37 @@ def test_replay_and_baseline(spark, tmp_path):
     (tmp_path / "broken.json").write_text(json.dumps([{"id": "a", "events": [], "x": 1}]))
     with pytest.raises(files.FormatError):
         files.read_cases(str(tmp_path / "broken.json"))
+
+
+def test_ignore_rules(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".gitignore").write_text("# notes\n*.log\n/top.txt\nout/\n!keep.log\n")
+    (tmp_path / "sub" / ".gitignore").write_text("*.tmp\n!../x\na/**/z.py\n")
+    for name in ("a.log", "keep.log", "top.txt", "sub/top.txt", "sub/b.log", "sub/c.tmp", "c.tmp", "out/x.py", "sub/out/y.py", "sub/a/b/z.py", "sub/a/z.py", "sub/q.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    rules = ingest.ignore_files(spark, str(tmp_path))
+    assert set(rules) == {"", "sub"}
+    got = {r["file_path"] for r in ingest.scan(spark, str(tmp_path), rules).collect()}
+    assert got == {"keep.log", "sub/top.txt", "c.tmp", "sub/q.py"}
+
+
+def test_definitions_and_edges_of_other_languages(spark):
+    files = [
+        (1, "a.rs", "use std::io::{Read};\npub fn load(x: u8) {\n    let y = parse::inner::deep(x);\n    if (y) { helper(y) }\n}\nstruct Own;\nimpl Own {\n  fn hidden() { load(1); }\n}"),
+        (1, "b.ts", "import { x } from './mod';\nexport class Box {\n  go() { x.run(); }\n}\nconst make = () => Box();"),
+        (1, "c.go", "import \"fmt\"\nfunc Main() {\n  fmt.Println(low())\n}\nfunc low() int { return 1 }"),
+        (1, "D.java", "import java.util.List;\npublic class D {\n}"),
+        (1, "e.py", "def f():\n    g()\nclass _C: pass"),
+        (1, "n.md", "call(me)"),
+    ]
+    df = spark.createDataFrame(files, "project_id long, file_path string, content string")
+    got = {(r["file_path"], r["chunk_name"], r["chunk_kind"], r["visibility"], r["start_line"]) for r in ingest.definitions(df).collect()}
+    assert got == {
+        ("a.rs", "load", "function", "public", 2), ("a.rs", "Own", "struct", "private", 6), ("a.rs", "Own", "impl", "private", 7), ("a.rs", "hidden", "function", "private", 8),
+        ("b.ts", "Box", "class", "public", 2), ("b.ts", "make", "const", "private", 5), ("c.go", "Main", "function", "public", 2), ("c.go", "low", "function", "private", 5),
+        ("D.java", "D", "class", "public", 2), ("e.py", "f", "function", "public", 1), ("e.py", "_C", "class", "private", 3),
+    }
+    edges = {(r["source_entity"], r["target_entity"], r["edge_type"]) for r in ingest.line_edges(df).collect()}
+    assert {("a.rs", "std::io", "uses"), ("load", "inner::deep", "calls"), ("load", "helper", "calls"), ("hidden", "load", "calls"), ("b.ts", "./mod", "uses"), ("Box", "x.run", "calls"), ("make", "Box", "calls"), ("Main", "fmt.Println", "calls"), ("Main", "low", "calls"), ("D.java", "java.util.List", "uses")} <= edges
+    assert not any(e[0] in ("f", "<module>") or e[1] == "if" for e in edges if e[2] == "calls" and e[1] != "go")
