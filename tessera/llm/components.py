@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, staged
+from tessera.llm.common import parallelism, release, staged
+
+#: Edges of a task, about: rounds on few edges are not dealt to many tasks and files.
+EDGES_A_TASK = 20_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,23 +20,29 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     A round links every larger neighbour of a node, then the node and its smaller ones, to the least of them; rounds
     grow with the logarithm of the number of nodes. Minima are aggregated before the shuffle, so hubs don't gather
-    lists, and each round is written to the shared folder. Loops are dropped; without edges there are no rows.
+    lists, and written before they are joined, so adaptive execution can split the rows of a hub; each round is written
+    to the shared folder. Loops are dropped; without edges there are no rows.
     """
     order = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     held = staged(edges.where("a <> b").select(*order).distinct(), "cc")
     seen = _state(held)
+    spark = edges.sparkSession
     for _ in range(most):
+        tasks = max(1, min(parallelism(spark), seen[0] // EDGES_A_TASK))
+        stage = lambda df, name: staged(df.coalesce(tasks), name)  # noqa: B023, E731
         both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = staged(large, "cc-large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stage(large, "cc-large")
+        release(low)
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         small = large.join(low, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        small = staged(small, "cc-small")
+        small = stage(small, "cc-small")
         now = _state(small)
         release(held)
         release(large)
+        release(low)
         held = small
         if now == seen:
             break

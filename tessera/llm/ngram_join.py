@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import append_columns, mix, odd_constants, pieces_of, staged, word_hashes
+from tessera.llm.common import append_columns, mix, odd_constants, pieces_of, staged, tidy, word_hashes
 from tessera.llm.components import components
 
 WORDS_A_GRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
-#: Members of a block; a task verifies the pairs of two blocks at most.
-BLOCK = 256
-#: Rows of a broadcast table of candidates at most (about 40 bytes each).
-BROADCAST_ROWS = 500_000
+#: Members of a block and grams in it, about; a task verifies the pairs of two blocks at most.
+BLOCK, BLOCK_GRAMS = 256, 1 << 20
+#: Members of a band that are compared by their sketches in one piece; larger bands are cut into such blocks.
+BAND_BLOCK = 1024
+#: Rows of a broadcast table at most (about 40 bytes each).
+BROADCAST_ROWS = 200_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -60,14 +62,15 @@ class Bander:
         self.fold = odd_constants(rows, 7)
         self.own = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
-    def keys(self, grams: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each band, which also tells bands apart."""
+    def keys(self, grams: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """A 64-bit key for each band, which also tells bands apart; and the sketch: eight bits of each MinHash."""
         x = (grams >> np.uint64(32)).astype(np.uint32)
         low = np.empty(self.bands * self.rows, dtype=np.uint32)
         step = max(1, min(len(low), (1 << 17) // max(1, len(x))))
         for i in range(0, len(low), step):
             low[i : i + step] = ((x[None, :] ^ self.flip[i : i + step, None]) * self.mul[i : i + step, None]).min(axis=1)
-        return mix((low.astype(np.uint64).reshape(self.bands, self.rows) * self.fold).sum(axis=1) + self.own).view(np.int64)
+        sketch = (low & np.uint32(255)).astype(np.uint8).tobytes()
+        return mix((low.astype(np.uint64).reshape(self.bands, self.rows) * self.fold).sum(axis=1) + self.own).view(np.int64), sketch
 
 
 def set_key(grams: np.ndarray) -> bytes:
@@ -75,18 +78,126 @@ def set_key(grams: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, bands): the key of each document's set of grams and its band keys (null without words)."""
+    """(doc_id, th, key, n_grams, bands, sketch): a hash of each document's text; the key and size of its set of grams,
+    its band keys and sketch (null without words)."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Bander(bands, rows)
         for batch in batches:
             for b in pieces_of(batch):
-                sets = gram_sets(b.column(1), size)
-                keys = [set_key(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array([made.keys(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+                sets = gram_sets(b.column(2), size)
+                got = [(set_key(s), len(s), *made.keys(s)) if len(s) else (None,) * 4 for s in sets]
+                key, n, keys, sketch = zip(*got, strict=True) if got else ((),) * 4
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "th", "key", "n_grams", "bands", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, th long, key binary, n_grams int, bands array<long>, sketch binary")
+
+
+def likely(threshold: float, hashes: int) -> float:
+    """The share of equal MinHashes below which a pair at the threshold falls in about one of 300,000 cases."""
+    return threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / hashes)
+
+
+def leaders(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges (member, other) of a forest that connects all whose sketches are alike, so there are fewer than members.
+
+    A member is compared with the leaders, and one that is like none of them leads; then members of groups that nothing
+    connects so far are compared with each other. Copies of one text are one group, so they make no pairs.
+    """
+    n = len(sketches)
+    group, every, out = np.full(n, -1), np.arange(n), []  # group: the leader of the connected groups
+    need = least * sketches.shape[1]
+
+    def like(i: int, at: np.ndarray) -> np.ndarray:
+        return at[(sketches[at] == sketches[i]).sum(axis=1) >= need]
+
+    def connect(i: int, hit: np.ndarray) -> None:
+        """One edge from i to each group among the hits, which become one with its own."""
+        for g in np.unique(group[hit]).tolist():
+            if g != group[i]:
+                out.append((int(hit[group[hit] == g][0]), i))
+                group[group == g] = group[i]
+
+    led = np.zeros(n, dtype=bool)
+    for i in range(n):
+        if group[i] < 0:
+            group[i] = i
+            hit = like(i, every)
+            fresh = hit[group[hit] < 0]
+            out += [(j, i) for j in fresh.tolist()]
+            group[fresh], led[fresh] = i, True
+            connect(i, hit)
+    for i in np.flatnonzero(led).tolist():
+        if len(np.unique(group)) == 1:
+            break
+        rest = np.flatnonzero(led & (group != group[i]))
+        if len(rest):
+            connect(i, like(i, rest))
+    return out
+
+
+def _connect(least: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["band", "key"], ignore_index=True)
+        keys, band = pdf["key"].to_numpy(), pdf["band"].to_numpy()
+        sketches = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(len(pdf), -1)
+        first = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        size = np.diff(first, append=len(band))
+        edges = []
+        few = size[np.searchsorted(first, np.arange(len(band)), side="right") - 1] <= 16
+        for gap in range(1, 16):  # pairs of small bands, all bands at a time
+            i = np.flatnonzero(few[: len(band) - gap] & (band[gap:] == band[: len(band) - gap]))
+            if not len(i):
+                break
+            i = i[(sketches[i] == sketches[i + gap]).mean(axis=1) >= least]
+            edges += zip((i + gap).tolist(), i.tolist(), strict=True)
+        for a, n in zip(first.tolist(), size.tolist(), strict=True):
+            if n > 16:
+                edges += [(a + j, a + i) for j, i in leaders(sketches[a : a + n], least)]
+        # of the edges of all bands, a forest leaves the task
+        number, _ = pd.factorize(keys)
+        root, forest = list(range(len(keys))), []
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for a, b in edges:
+            x, y = top(int(number[a])), top(int(number[b]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                forest.append((a, b))
+        a, b = np.array(forest, dtype=np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": keys[a], "b": keys[b]})
+
+    return run
+
+
+def alike_in_bands(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): edges between keys of nodes that share a band and whose sketches are alike, enough to connect all such pairs.
+
+    Bands of one node are dropped. Small bands share tasks; a band of more than BAND_BLOCK nodes is cut into blocks, of
+    which a task gets two, so no band meets in one task. Only keys and sketches are sent.
+    """
+    posted = nodes.select("key", "sketch", F.explode("bands").alias("band"))
+    shared = staged(posted.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    count, rows = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if count <= BROADCAST_ROWS:
+        near = posted.join(F.broadcast(shared), "band")
+    else:  # bands of so many nodes are few, and their rows aren't dealt by band
+        hot = shared.where(F.col("n") > max(BAND_BLOCK, rows // BROADCAST_ROWS))
+        near = posted.join(F.broadcast(hot), "band")
+        near = near.unionByName(posted.join(F.broadcast(hot.select("band")), "band", "left_anti").join(shared, "band"))
+    groups = max(1, rows // (4 * BAND_BLOCK))
+    near = near.withColumn("k", F.ceil(F.col("n") / BAND_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("k")).cast("int"))
+    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    task = F.when(F.col("k") == 1, F.pmod(F.xxhash64("band"), F.lit(groups))).otherwise(F.xxhash64("band"))
+    near = near.withColumns({"task": task, "wide": F.col("k") > 1, "low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    near = near.select("task", "wide", "low", "high", "band", "key", "sketch")
+    return near.groupBy("task", "wide", "low", "high").applyInPandas(_connect(least), "a binary, b binary")
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, cluster: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -151,9 +262,10 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS_A_GRAM, threshold: float
     n_links is the number of other documents whose n-gram sets have a Jaccard similarity of `threshold` or more, equal
     ones included; class_id is the least doc_id among all that such links connect (its own for a document without).
 
-    Documents with equal sets are one node with a count, so copies aren't compared. Nodes that share a band are
-    joined to clusters; within a cluster all pairs are verified on whole sets, in blocks of bounded size, of which
-    only counts and a spanning forest leave the task. Null and empty texts, and texts without words, have no links and
+    Documents with equal sets are one node with a count, so copies aren't compared. Nodes that share a band are compared
+    by their sketches (eight bits of each MinHash), and those alike enough to reach the threshold are joined to clusters,
+    so what merely shares a band links nothing; within a cluster all pairs are verified on whole sets, in blocks of
+    bounded size, of which only counts and a spanning forest leave the task. Null and empty texts, and texts without words, have no links and
     are classes of their own; where doc_ids repeat, each row counts as a document (rows without links and with an equal
     doc_id then show one class_id); null ids come out as they are. An empty table gives none; other columns are ignored.
     """
@@ -162,25 +274,28 @@ def jaccard_classes(docs: DataFrame, size: int = WORDS_A_GRAM, threshold: float
 
 def _classed(docs: DataFrame, size: int, threshold: float, recall: float, most_hashes: int, id_col: str, text_col: str) -> DataFrame:
     """jaccard_classes with `label`, the least key of the class (null without words): doc_ids that repeat don't name a class."""
-    spark = docs.sparkSession
     bands, rows = banding(threshold, recall, most_hashes)
     marked = staged(signed(docs, size, bands, rows, id_col, text_col), "signed")
-    nodes = staged(marked.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")  # the row whose text is read again
+    nodes = marked.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("many"), rep, F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = staged(nodes.select("key", "many", F.col("rep.doc_id").alias("first"), F.col("rep.th").alias("th"), "n_grams", "bands", "sketch"), "nodes")
 
-    posted = nodes.select("key", F.explode("bands").alias("band"))
-    hubs = posted.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    near = posted.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    near = staged(alike_in_bands(nodes, likely(threshold, bands * rows)), "near")
     cluster = staged(components(near), "clusters").withColumnsRenamed({"node": "key", "label": "cluster"})
 
     # members of a cluster in blocks by hash; each pair of blocks is a tile, and small clusters share tiles
-    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    members = cluster.join(blocks, "cluster").join(nodes.select("key", "many", "first"), "key")
+    members = cluster.join(nodes.select("key", "many", "first", "th", "n_grams"), "key")
+    members = staged(members, "cluster-members")
+    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("k"))
+    members = members.join(staged(blocks, "cluster-blocks"), "cluster")
     members = staged(members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("k")).cast("int")), "members")
-    total = members.count()
-    text = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text"))
+    total, n_grams = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_grams"), F.lit(0))).first()
+    text = docs.select(F.col(id_col).alias("first"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     side = F.broadcast(members) if total <= BROADCAST_ROWS else members
-    found = text.alias("t").join(side.alias("m"), F.col("t.first").eqNullSafe(F.col("m.first"))).select("m.key", "m.cluster", "m.k", "m.block", "m.many", "t.text")
+    same_row = F.col("t.first").eqNullSafe(F.col("m.first")) & (F.col("t.th") == F.col("m.th"))
+    found = text.alias("t").join(side.alias("m"), same_row).select("m.key", "m.cluster", "m.k", "m.block", "m.many", "t.text")
 
+    @tidy
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces_of(batch):
@@ -191,7 +306,7 @@ def _classed(docs: DataFrame, size: int, threshold: float, recall: float, most_h
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "cluster", "k", "block", "many", "grams"]).filter(same)
 
     found = found.mapInArrow(grams, "key binary, cluster binary, k int, block int, many long, grams binary")
-    shared = max(1, total // BLOCK)
+    shared = max(1, total // BLOCK, n_grams // BLOCK_GRAMS)
     tile = F.when(F.col("k") == 1, F.pmod(F.xxhash64("cluster"), F.lit(shared)).cast("string")).otherwise(F.hex("cluster"))
     tiles = found.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     tiles = tiles.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
@@ -201,7 +316,7 @@ def _classed(docs: DataFrame, size: int, threshold: float, recall: float, most_h
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     each = nodes.select("key", "many", "first").join(label.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     each = staged(each.select("key", "many", "first", F.coalesce("label", "key").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), "each")
-    least = each.where("label <> key or links > 0").groupBy("label").agg(F.min("first").alias("class_id"))
+    least = staged(each.where("label <> key or links > 0").groupBy("label").agg(F.min("first").alias("class_id")), "least")
     each = each.join(least, "label", "left").select("key", "label", F.coalesce("class_id", "first").alias("class_id"), (F.col("many") - 1 + F.col("links")).alias("n_links"))
     out = marked.select("doc_id", "key").join(each, "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.lower(F.hex("key")).alias("set_key"), "label")
