@@ -93,20 +93,20 @@ def _fresh_pairs(df: DataFrame, low: float, within: str | None, block: int, col:
     return rows.groupBy("g", "lo", "hi").applyInPandas(_block_pairs(low), f"a {kind}, b {kind}, similarity double")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, others: bool = False, block: int = 1024, col: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, others: bool = False, block: int = 1024, col: str = "embedding", within: str | None = None, digits: int = 12) -> DataFrame:
     """(query_id, id, score, rank): for each row of queries the k rows of highest cosine; `others` leaves out its own id.
 
     Both sides are cut into blocks of bounded size by a hash; a task multiplies two blocks and sends on k rows a query.
-    Exact; the id breaks ties (of cosines equal to 12 places); null vectors are left out.
+    With `within` only rows of the query's own group are looked at, by blocks of the group. Exact; the id breaks ties (of
+    cosines equal to `digits` places); null vectors are left out.
     """
-    sides, many = [], []
-    for df in (queries, rows):
-        sides.append(df.where(F.col(col).isNotNull()).select("id", F.col(col).alias("v")))
-        many.append(max(1, -(-sides[-1].count() // block)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    asked = sides[0].select(F.lit(True).alias("asks"), "id", "v", own(many[0]).alias("left"), every(many[1]).alias("right"))
-    held = sides[1].select(F.lit(False).alias("asks"), "id", "v", own(many[1]).alias("right"), every(many[0]).alias("left"))
+    sides = [df.where(F.col(col).isNotNull()).select((F.col(within) if within else F.lit(0)).alias("g"), "id", F.col(col).alias("v")) for df in (queries, rows)]
+    sizes = [d.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n)) for d, n in zip(sides, ("kq", "kr"), strict=True)]
+    many = sizes[0].join(sizes[1], "g")  # a row a group that has both
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    asked = sides[0].join(many, "g").select("g", F.lit(True).alias("asks"), "id", "v", own("kq").alias("left"), every("kr").alias("right"))
+    held = sides[1].join(many, "g").select("g", F.lit(False).alias("asks"), "id", "v", own("kr").alias("right"), every("kq").alias("left"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
@@ -116,7 +116,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, others: bool = False, b
         m = np.array(pdf["v"].tolist(), dtype=np.float64)
         n = np.linalg.norm(m, axis=1, keepdims=True)
         m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        s = np.round(m[asks] @ m[~asks].T, 12)
+        s = np.round(m[asks] @ m[~asks].T, digits)
         if others:
             s[ids[asks][:, None] == ids[~asks][None, :]] = -np.inf
         at = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -125,7 +125,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, others: bool = False, b
         return found[score > -np.inf]
 
     kind = rows.schema["id"].dataType.simpleString()
-    near = asked.unionByName(held).groupBy("left", "right").applyInPandas(best, f"query_id {kind}, id {kind}, score double")
+    near = asked.unionByName(held).groupBy("g", "left", "right").applyInPandas(best, f"query_id {kind}, id {kind}, score double")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return near.where(F.col("rank") <= k)
 

@@ -184,9 +184,8 @@ LINKS = ", l AS (SELECT r.id AS rule_id, c.id AS chunk_id, list_cosine_similarit
 
 @query(LINKS + " SELECT rule_id, chunk_id, round(s, 6) AS similarity FROM l QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY round(s, 9) DESC, chunk_id) = 1")
 def best_link_per_rule(spark, sf):
-    r, c = fx.rules(spark, sf).select(F.col("id").alias("rule_id"), "project_id", F.col("embedding").alias("a")), _chunks(spark, sf).select(F.col("id").alias("chunk_id"), "project_id", F.col("embedding").alias("b"))
-    links = r.join(c, "project_id").withColumn("similarity", cosine("a", "b")).where("similarity >= 0.2")
-    return ledger.latest(links, ["rule_id"], [F.desc(F.round("similarity", 9)), F.asc("chunk_id")]).select("rule_id", "chunk_id", r6("similarity"))
+    near = retrieval.nearest(fx.rules(spark, sf), _chunks(spark, sf), 1, within="project_id", digits=9).where("score >= 0.2")
+    return near.select(F.col("query_id").alias("rule_id"), F.col("id").alias("chunk_id"), r6("score", "similarity"))
 
 
 # -- rules ------------------------------------------------------------------------------------------------------------
