@@ -12,24 +12,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, crc_mod, hash_words, mix, odd_constants, pieces_of, release, split_words, staged, sum_blocks, translated
+from tessera.llm.common import LOWER, crc_mod, hash_words, mix, odd_constants, partitions, pieces_of, split_words, staged, sum_blocks, tidy, translated
 
-#: Classes and words in each; the last four classes hold all other words, as trees: three by frequency, one for the rest.
-CLASSES, WIDTH, TIERS = 32, 32, 3
-HEAD = (CLASSES - TIERS - 1) * WIDTH
-#: Words whose counts every task holds (12 bytes each); counts of other words are joined.
+#: Branches of each softmax: the root's are the classes, theirs are classes again, and so on down to the words.
+WIDTH = 16
+#: Words that have places of their own and whose counts every task holds (20 bytes each); counts of other words are joined.
 LOOKUP = 1 << 19
 #: Weight rows at least (features are hashed to them), tokens of a gradient step, rounds of distributed training, the rate.
-ROWS, STEP, ROUNDS, RATE = 1 << 15, 1 << 14, 2, 0.25
+ROWS, STEP, ROUNDS, RATE = 1 << 16, 1 << 15, 2, 0.13
 #: A weight row for so many distinct words, up to the most that the tasks' memory and the exchange of a round allow.
-WORDS_A_ROW, MOST_ROWS = 8, 1 << 17
+WORDS_A_ROW, MOST_ROWS = 2, 1 << 18
 BLOCKS = 32
+#: Tokens that a task of a round learns from at least, about, and tasks below which there may be fewer each: what the
+#: tasks send is a model each at most, and so stays in proportion to the text.
+TOKENS_A_TASK, LEAST_TASKS = 4 << 20, 8
+#: Tasks tell what they changed in whole numbers of these parts, so that sums don't depend on the order of tasks.
+PARTS = 1 << 12
 #: Bytes of text whose features are in memory at a time (32 bytes a token, and as much for the way there).
 SLICE = 2 << 20
 #: Words beyond the lookup are told apart by their context by hash buckets: one for so many of them, and the most.
 WORDS_A_BUCKET, MOST_BUCKETS = 32, 1 << 10
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
-FEATURES = 4
+FEATURES = 3
 _MUL = odd_constants(8, 29)
 
 
@@ -46,8 +50,15 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_tokens(docs: DataFrame, text_col: str = "text", flush: int = 1 << 21) -> DataFrame:
     """(h, c): how often each token occurs, by its hash; each task adds up before the shuffle."""
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        keys, sums, more = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), []
+
+        def merge():
+            nonlocal keys, sums
+            keys, back = np.unique(np.concatenate([keys, *(h for h, _ in more)]), return_inverse=True)
+            sums = np.bincount(back, weights=np.concatenate([sums, *(n for _, n in more)]), minlength=len(keys)).astype(np.int64)
+            more.clear()
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["h", "c"])
@@ -56,11 +67,13 @@ def count_tokens(docs: DataFrame, text_col: str = "text", flush: int = 1 << 21)
             for b in pieces_of(batch, size=SLICE):
                 _, codes, h = token_hashes(b.column(0))
                 n = np.bincount(codes, minlength=len(h))
-                keys, back = np.unique(np.concatenate([keys, h[n > 0]]), return_inverse=True)
-                sums = np.bincount(back, weights=np.concatenate([sums, n[n > 0]]), minlength=len(keys)).astype(np.int64)
+                more.append((h[n > 0], n[n > 0]))
+                if sum(len(h) for h, _ in more) > max(1 << 18, len(keys)):
+                    merge()
                 if len(keys) >= flush:
                     yield rows()
                     keys, sums = keys[:0], sums[:0]
+        merge()
         if len(keys):
             yield rows()
 
@@ -68,17 +81,23 @@ def count_tokens(docs: DataFrame, text_col: str = "text", flush: int = 1 << 21)
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """All words from some count on, `most` at most: the bound of what is sent to the driver and to every task.
+    """The most frequent words, `most` at most: the bound of what is sent to the driver and to every task.
 
-    The count is found from a histogram of a few thousand rows, so nothing is sorted.
+    The least count is found from a histogram of a few thousand rows, so nothing is sorted. Of the words of the last
+    bucket of the histogram, which has more of them than there is room for, those of the least hashes are taken.
     """
-    bucket = F.floor(F.log2("c") * 64).cast("int")
+    bucket, share = F.floor(F.log2("c") * 64).cast("int"), F.pmod(F.xxhash64("h"), F.lit(4096))
     total, least = 0, None
     for b, n in sorted(map(tuple, counts.groupBy(bucket.alias("b")).count().collect()), reverse=True):
-        total += n
-        if total > most:
-            break
-        least = b
+        if total + n > most:
+            past = 0
+            for s, n in sorted(map(tuple, counts.where(bucket == b).groupBy(share.alias("s")).count().collect())):
+                total += n
+                if total > most:
+                    break
+                past = s + 1
+            return counts.where((bucket > b) | ((bucket == b) & (share < past)))
+        total, least = total + n, b
     return counts.where(bucket >= least) if least is not None else counts.limit(0)
 
 
@@ -87,10 +106,10 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))))
 
 
-def tree_of(weights: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tree_of(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A Huffman tree of WIDTH branches: node and branch of each leaf, parent and branch of each node, masses (nodes, WIDTH).
 
-    Nodes are numbered from `base` on, the root last with parent -1; a single leaf has no node (-1).
+    The root is the last node and has parent -1; a single leaf has no node (-1).
     """
     n = len(weights)
     order = np.argsort(weights, kind="stable")
@@ -104,7 +123,7 @@ def tree_of(weights: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.
                 at, leaf = leaf, leaf + 1
             else:
                 at, node = node, node + 1
-            up[at], branch[at], mass[k, j] = base + k, j, value[at]
+            up[at], branch[at], mass[k, j] = k, j, value[at]
         value[n + k] = float(mass[k].sum())
     back = np.empty(n, dtype=np.int64)
     back[order] = np.arange(n)
@@ -116,6 +135,7 @@ class Vocabulary:
     """The LOOKUP most frequent tokens: sorted hashes, counts and ranks; totals N and V of all training tokens.
 
     `tail` has the slots of each hash bucket of the words beyond: their counts, one more for each, and one for the unknown.
+    Words and buckets are the leaves of one tree, whose nodes are classes of classes with a softmax each.
     """
 
     hashes: np.ndarray
@@ -134,42 +154,20 @@ class Vocabulary:
     def __post_init__(self):
         by_rank = np.empty(len(self.counts), dtype=np.int64)
         by_rank[self.ranks] = self.counts
-        rest = by_rank[HEAD:]
-        share = np.cumsum(rest) - rest
-        #: tiers of equal mass, by falling count
-        self.tier_of = np.minimum(share * TIERS // max(1, rest.sum()), TIERS - 1)
-        mass = np.bincount(self.tier_of, weights=rest, minlength=TIERS)
-        self.tier_mass = np.maximum(mass, 1.0)
-        self.tail_mass = self.total - int(by_rank.sum())
-        self.tail_slots = self.distinct - len(by_rank) + 1
-        head = np.zeros(HEAD)
-        head[: min(HEAD, len(by_rank))] = by_rank[:HEAD]
-        self.word_bias = np.log(head + 0.1).reshape(-1, WIDTH).astype(np.float32)
-        self.word_bias -= self.word_bias.max(axis=1, keepdims=True)
-        self.word_bias[head.reshape(-1, WIDTH) == 0] = -60  # places without a word
-        per = np.concatenate([head.reshape(-1, WIDTH).sum(1), mass, [self.tail_mass + 1.0]])
-        self.class_bias = np.log(np.maximum(per, 1e-6) / per.sum()).astype(np.float32)
         if self.tail is None:
-            self.tail = np.array([self.tail_mass + self.tail_slots], dtype=np.float64)
-        #: the words of a tier and the buckets of the tail are leaves of trees, whose nodes are softmaxes as the classes are
-        trees, nodes = [], 0
-        for weights in [*(rest[self.tier_of == t] for t in range(TIERS)), self.tail]:
-            trees.append(tree_of(weights, nodes))
-            nodes += len(trees[-1][2])
-        self.leaf_node, self.leaf_branch, self.parent, self.parent_branch, mass = map(np.concatenate, zip(*trees, strict=True))
+            self.tail = np.array([self.total - int(by_rank.sum()) + self.distinct - len(by_rank) + 1], dtype=np.float64)
+        self.leaf_node, self.leaf_branch, self.parent, self.parent_branch, mass = tree_of(np.concatenate([by_rank, self.tail]))
         with np.errstate(divide="ignore"):
-            self.node_bias = np.maximum(np.log(mass / mass.max(axis=1, keepdims=True)), -60).astype(np.float32) if nodes else np.zeros((0, WIDTH), dtype=np.float32)
+            self.node_bias = np.maximum(np.log(mass / mass.max(axis=1, keepdims=True)), -60).astype(np.float32) if len(mass) else np.zeros((0, WIDTH), dtype=np.float32)
 
     def leaves(self, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """The leaf of each token: words by rank, then the buckets of the tail; -1 in the head."""
-        words = len(self.leaf_node) - len(self.tail)
+        """The leaf of each token: words by rank, then the buckets of the tail."""
         bucket = (h & np.uint64(len(self.tail) - 1)).astype(np.int64)
-        return np.where(rank < 0, words + bucket, np.maximum(rank - HEAD, -1))
+        return np.where(rank < 0, len(self.hashes) + bucket, rank)
 
     def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in `leaf`, node, branch) of each decision from the leaves up to their roots."""
-        at = np.flatnonzero(leaf >= 0)
-        node, branch = self.leaf_node[leaf[at]], self.leaf_branch[leaf[at]]
+        """(place in `leaf`, node, branch) of each decision from the leaves up to the root."""
+        at, node, branch = np.arange(len(leaf)), self.leaf_node[leaf], self.leaf_branch[leaf]
         out = []
         while True:
             inner = node >= 0
@@ -179,14 +177,10 @@ class Vocabulary:
                 return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
             node, branch = self.parent[node], self.parent_branch[node]
 
-    def decisions(self, f: np.ndarray, cls: np.ndarray, rank: np.ndarray, leaf: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What picks the words in their classes: token, weight rows, biases and branch of each softmax."""
-        head = np.flatnonzero((rank >= 0) & (rank < HEAD))
+    def decisions(self, f: np.ndarray, leaf: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What picks the classes and the words in them: token, weight rows, biases and branch of each softmax."""
         at, node, branch = self.paths(leaf)
-        tokens = np.concatenate([head, at])
-        which = np.concatenate([cls[head], CLASSES + node])
-        bias = np.concatenate([self.word_bias[cls[head]], self.node_bias[node]])
-        return tokens, _word_rows(f[tokens], which, rows), bias, np.concatenate([rank[head] % WIDTH, branch])
+        return at, _rows(f[at], node, rows), self.node_bias[node], branch
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, count) of each hash; rank -1 and count 0 beyond the lookup."""
@@ -196,41 +190,32 @@ class Vocabulary:
         same = self.hashes[at] == h
         return np.where(same, self.ranks[at], -1), np.where(same, self.counts[at], 0)
 
-    def classes(self, rank: np.ndarray) -> np.ndarray:
-        out = np.where(rank < 0, CLASSES - 1, rank // WIDTH)
-        mid = rank >= HEAD
-        out[mid] = HEAD // WIDTH + self.tier_of[rank[mid] - HEAD]
-        return out
-
 
 def contexts(first: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """(tokens, FEATURES): hashed features of the tokens before each: the last, the last two, the last but one, but two."""
+    """(tokens, FEATURES): hashed features of the tokens before each: the last, the last two, and the last but one (a skip)."""
     n = len(ids)
     place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
     before = []
-    for gap in (1, 2, 3):
+    for gap in (1, 2):
         w = np.full(n, 1, dtype=np.uint64)  # before the text
         w[gap:] = ids[: n - gap].astype(np.uint64) + np.uint64(2)
         w[place < gap] = 1
         before.append(w)
-    a, b, c = before
-    return np.stack([mix(a * _MUL[0]), mix(a * _MUL[1] + b * _MUL[2]), mix(b * _MUL[3]), mix(c * _MUL[4])], axis=1)
+    a, b = before
+    return np.stack([mix(a * _MUL[0]), mix(a * _MUL[1] + b * _MUL[2]), mix(b * _MUL[3])], axis=1)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     """In place. Biases are at most 0, so bounded logits take the place of a shift by each row's largest."""
     np.clip(z, -80, 80, out=z)
     np.exp(z, out=z)
-    z *= (1 / (z @ np.ones(z.shape[1], dtype=z.dtype)))[:, None]
+    z *= (1 / np.einsum("ij->i", z))[:, None]
     return z
 
 
-def _class_rows(f: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    return (f % np.uint64(rows)).astype(np.int64)
-
-
-def _word_rows(f: np.ndarray, cls: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    return (mix(f + cls.astype(np.uint64)[:, None] * _MUL[5]) % np.uint64(rows)).astype(np.int64)
+def _rows(f: np.ndarray, node: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """The weight row of each feature at a node."""
+    return (mix(f + (node + 1).astype(np.uint64)[:, None] * _MUL[5]) & np.uint64(rows - 1)).astype(np.int64)
 
 
 def _probability(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -241,82 +226,91 @@ def _probability(w: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarra
 
 
 class Learner:
-    """Gradient steps with a rate for each weight, from shared weights on; keeps how often each row was touched."""
+    """Gradient steps with a rate for each weight row, from shared weights on; keeps how often each row was touched."""
 
     def __init__(self, w: np.ndarray):
         self.start, self.w = w, w.copy()
-        self.squares = np.full(w.shape, 0.5, dtype=np.float32)
-        self.seen = np.zeros(len(w), dtype=np.float32)
+        self.squares = np.full(len(w), 0.5 * WIDTH, dtype=np.float32)
+        self.seen = np.zeros(len(w), dtype=np.int64)
 
-    def step(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """One update from parts (rows, gradient of the logits); sums by row are taken a column at a time."""
-        flat = np.concatenate([rows.T.ravel() for rows, _ in parts])
+    def step(self, rows: np.ndarray, p: np.ndarray) -> None:
+        """One update from weight rows and the gradient of the logits; sums by row are taken a column at a time, into all
+        rows, as a step meets most of them."""
+        flat = rows.T.ravel()
         n = np.bincount(flat, minlength=len(self.w))
-        met = np.flatnonzero(n)
-        flat = (np.cumsum(n > 0) - 1)[flat]
-        n = n[met].astype(np.float32)[:, None]
-        columns = [np.ascontiguousarray(p.T, dtype=np.float64) for _, p in parts]
-        g = np.zeros((WIDTH, len(met)), dtype=np.float32)
-        for j in range(WIDTH):
-            i = 0
-            for c in columns:
-                for _ in range(FEATURES):
-                    g[j] += np.bincount(flat[i : i + c.shape[1]], weights=c[j], minlength=len(met))
-                    i += c.shape[1]
-        g = np.ascontiguousarray(g.T)
-        self.seen[met] += n[:, 0]
-        squares = self.squares[met] + g * g / n
-        self.squares[met] = squares
-        self.w[met] -= RATE * g / np.sqrt(n * squares)
-
-    def learn(self, voc: Vocabulary, f: np.ndarray, cls: np.ndarray, rank: np.ndarray, leaf: np.ndarray) -> None:
-        for i in range(0, len(cls), STEP):
-            ff, c, r = f[i : i + STEP], cls[i : i + STEP], rank[i : i + STEP]
-            parts = [(_class_rows(ff, len(self.w)), voc.class_bias, c), voc.decisions(ff, c, r, leaf[i : i + STEP], len(self.w))[1:]]
-            grads = []
-            for rows, bias, target in parts:
-                p = _probability(self.w, rows, bias)
-                p[np.arange(len(target)), target] -= 1
-                grads.append((rows, p))
-            self.step(grads)
+        g = np.empty((WIDTH, len(self.w)), dtype=np.float32)
+        for j, c in enumerate(np.ascontiguousarray(p.T, dtype=np.float64)):
+            g[j] = np.bincount(flat, weights=np.tile(c, FEATURES), minlength=len(self.w))
+        self.seen += n
+        n = np.maximum(n, 1).astype(np.float32)
+        self.squares += np.einsum("ji,ji->i", g, g) / n
+        g *= RATE * np.sqrt(WIDTH / (n * self.squares))
+        self.w -= g.T
+
+    def learn(self, voc: Vocabulary, f: np.ndarray, leaf: np.ndarray) -> None:
+        for i in range(0, len(leaf), STEP):
+            _, rows, bias, branch = voc.decisions(f[i : i + STEP], leaf[i : i + STEP], len(self.w))
+            p = _probability(self.w, rows, bias)
+            p[np.arange(len(branch)), branch] -= 1
+            self.step(rows, p)
+
+    def changes(self, blocks: int = BLOCKS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(block, rows in it, how often met, change in PARTS) of what was touched."""
+        per = len(self.w) // blocks
+        for k in range(blocks):
+            met = k * per + np.flatnonzero(self.seen[k * per : (k + 1) * per])
+            change = np.clip(np.rint((self.w[met] - self.start[met]) * PARTS), -(1 << 15) + 1, (1 << 15) - 1)
+            yield k, (met - k * per).astype(np.int32), self.seen[met], change.astype(np.int16)
 
 
 def encoded(voc: Vocabulary, texts: pa.Array) -> tuple:
     first, codes, h = token_hashes(texts)
     rank, count = voc.look(h)
-    return first, codes, h, rank, count, voc.classes(rank), voc.leaves(h, rank), contexts(first, h[codes])
+    return first, codes, h, rank, count, voc.leaves(h, rank), contexts(first, h[codes])
 
 
 def train_weights(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Weights learned from all of docs, a part in each round.
 
     In a round each task takes gradient steps over its rows from the shared weights; what it changed is averaged over
-    tasks, row by row, weighted by how often the task met the row, and shared for the next round.
+    tasks, row by row, weighted by how often the task met the row, and shared for the next round. A task sends the rows
+    that it met only. Null and empty texts are an end token each; rows that repeat count as often as they stand there.
     """
     sc = docs.sparkSession.sparkContext
     size = power_of_two(voc.distinct / WORDS_A_ROW, ROWS, MOST_ROWS)
     known, w = sc.broadcast(voc), np.zeros((size, WIDTH), dtype=np.float32)
     per = size // BLOCKS
+
+    def read(at, data):
+        at = np.frombuffer(at, dtype=np.int32)
+        seen = np.frombuffer(data, dtype=np.int64, count=len(at))
+        change = np.frombuffer(data, dtype=np.int16, offset=8 * len(at)).reshape(len(at), WIDTH)
+        return at, np.concatenate([change * seen[:, None].astype(np.float64), seen[:, None]], axis=1)
+
     for k in range(rounds):
         shared = sc.broadcast(w)
 
+        @tidy
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            made, any_rows = Learner(shared.value), False
+            made = None
             for batch in batches:
                 for b in pieces_of(batch, size=SLICE):
-                    _, codes, _, rank, _, cls, leaf, f = encoded(known.value, b.column(0))
-                    made.learn(known.value, f, cls[codes], rank[codes], leaf[codes])
-                    any_rows = True
-            if any_rows:
-                change = np.concatenate([(made.w - made.start) * made.seen[:, None], made.seen[:, None]], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([change[i * per : (i + 1) * per].tobytes() for i in range(BLOCKS)], pa.binary())], names=["block", "data"])
+                    made = made or Learner(shared.value)
+                    _, codes, _, _, _, leaf, f = encoded(known.value, b.column(0))
+                    made.learn(known.value, f, leaf[codes])
+            part = TaskContext.get().partitionId()
+            for block, at, seen, change in made.changes() if made else ():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([seen.tobytes() + change.tobytes()], pa.binary())], names=["block", "part", "at", "data"])
 
         part = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(rounds)) == k).select(text_col)
-        for r in sum_blocks(part.mapInArrow(run, "block int, data binary")).collect():
-            change = np.frombuffer(bytes(r["data"]), dtype=np.float32).reshape(per, WIDTH + 1)
-            w[r["block"] * per : (r["block"] + 1) * per] += change[:, :WIDTH] / np.maximum(change[:, WIDTH:], 1)
-        shared.destroy()  # each executor has a copy on disk
+        tasks = min(partitions(part), max(LEAST_TASKS, voc.total // (rounds * TOKENS_A_TASK)))
+        part = part.coalesce(tasks)
+        summed = sum_blocks(part.mapInArrow(run, "block int, part int, at binary, data binary"), read, (per, WIDTH + 1), tasks)
         w = w.copy()
+        for r in summed.collect():  # BLOCKS rows of a fixed size
+            change = np.frombuffer(bytes(r["data"])).reshape(per, WIDTH + 1)
+            w[r["block"] * per : (r["block"] + 1) * per] += change[:, :WIDTH] / (PARTS * np.maximum(change[:, WIDTH:], 1))
+        shared.destroy()  # each executor has a copy on disk
     known.destroy()
     return w
 
@@ -326,10 +320,10 @@ def score_texts(docs: DataFrame, train: str = "crc32 mod 7 is not 2", id_col: st
 
     Tokens are words between ASCII white space in lower case (A-Z only) and an end; null and empty texts have the end
     alone. Learning is from documents whose crc32 of the doc_id as text leaves another remainder than `held`. base_score
-    is the add-one unigram log10 probability and score the model's: class given context, times word given class
-    and context, by a tree of softmaxes in the wide classes. All tokens count: those beyond the lookup are leaves by hash
-    bucket, times the word's share of its bucket by counts from a join. Rows that repeat get equal scores; null ids count as remainder 0; other columns
-    are ignored; an empty table gives no rows.
+    is the add-one unigram log10 probability and score the model's: class given context, times class or word given class
+    and context, down the tree of classes. All tokens count: those beyond the lookup are leaves by hash bucket, times the
+    word's share of its bucket by counts from a join. Rows that repeat get equal scores; null ids count as remainder 0;
+    other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(id_col, folds) == held).alias("held_out"))
@@ -349,24 +343,21 @@ def score_texts(docs: DataFrame, train: str = "crc32 mod 7 is not 2", id_col: st
     known = spark.sparkContext.broadcast((voc, w))
     names = ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "model", "tail"]
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, w = known.value
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in pieces_of(batch, size=SLICE):
-                first, codes, h, rank, count, cls, leaf, f = encoded(voc, b.column(1))
+                first, codes, h, rank, count, leaf, f = encoded(voc, b.column(1))
                 n = len(codes)
                 own = np.zeros(len(h))  # a word's share of its bucket of the tail, but for its count
                 own[rank < 0] = -np.log(voc.tail[(h[rank < 0] & np.uint64(len(voc.tail) - 1)).astype(np.int64)])
                 logp = own[codes]
                 for i in range(0, n, STEP):
-                    part = codes[i : i + STEP]
-                    ff, cc = f[i : i + STEP], cls[part]
-                    p = _probability(w, _class_rows(ff, len(w)), voc.class_bias)
-                    logp[i : i + STEP] += np.log(p[np.arange(len(cc)), cc])
-                    tokens, rows, bias, branch = voc.decisions(ff, cc, rank[part], leaf[part], len(w))
+                    tokens, rows, bias, branch = voc.decisions(f[i : i + STEP], leaf[codes[i : i + STEP]], len(w))
                     p = _probability(w, rows, bias)
-                    logp[i : i + STEP] += np.bincount(tokens, weights=np.log(p[np.arange(len(branch)), branch]), minlength=len(cc))
+                    logp[i : i + STEP] += np.bincount(tokens, weights=np.log(p[np.arange(len(branch)), branch]), minlength=min(STEP, n - i))
                 far = rank[codes] < 0
                 base = np.where(far, 0.0, np.log10(count + 1.0)[codes])
                 m = len(first) - 1
