@@ -20,6 +20,8 @@ def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a model of the labelled rows outside the held-out fold; null and empty texts get the
+    bias alone, repeated rows equal scores."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
@@ -44,39 +46,50 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probabilities by the unigram and the model of the documents outside the held-out fold; null
+    and empty texts are an end token."""
     return maxent.score_texts(table(spark, sf_dir, "documents"))
 
 
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences; null and empty texts are an end token, repeated rows give
+    pieces each."""
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
     slim = staged(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return packing.pack(slim)
 
 
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot by a permutation of row numbers; null texts have no bytes, repeated rows a place each."""
     return feistel.shard(table(spark, sf_dir, "documents"))
 
 
 def op7_cdc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text; null texts are empty, equal texts have equal fingerprints."""
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside a benchmark window and the items found; null texts have no words."""
     found = decontamination.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op9_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by a model of the labelled rows outside the held-out fold; null and empty texts get the
+    score of the zero vector, repeated rows equal scores."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates and its number of links; texts without words are classes of their own."""
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of the corpus pipeline over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -97,4 +110,19 @@ ORACLES: dict[str, str] = {
                CASE WHEN g.first <> d.page_id THEN g.first END AS refers_to
         FROM d LEFT JOIN g USING (payload_digest)
     """,
+    "op8_decontamination": r"""
+        WITH t AS (SELECT 'd' AS kind, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'b', item_id::VARCHAR, text FROM benchmark),
+        words AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+        d AS (SELECT id, w FROM words WHERE kind = 'd'),
+        starts AS (SELECT id AS item, w, least(10, len(w)) AS k, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM words WHERE kind = 'b' AND len(w) > 0),
+        windows AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM starts),
+        sizes AS (SELECT DISTINCT k FROM windows),
+        places AS (SELECT id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM d, sizes WHERE len(w) >= k),
+        hits AS (SELECT id, item, k, p FROM (SELECT id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS g FROM places) JOIN windows USING (k, g)),
+        n AS (SELECT id, count(*) AS n_hit FROM (SELECT DISTINCT id, unnest(generate_series(p, p + k - 1)) AS q FROM hits) GROUP BY id),
+        found AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM hits WHERE item IS NOT NULL) GROUP BY id)
+        SELECT id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (id) LEFT JOIN found USING (id)
+    """,
 }

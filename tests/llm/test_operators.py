@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, feistel, fingerprints, maxent, ngram_join, packing, quality, rollup, toxicity, warc
-from tessera.llm.common import append_columns, split_words, translated, WORDS
+from tessera.llm.common import append_columns, fresh_path, hash_words, split_words, translated, WORDS
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, row_number int"
@@ -60,6 +60,13 @@ def test_split_words_is_python_split():
     assert [[words[c] for c in codes[a:b]] for a, b in itertools.pairwise(first)] == [[w.decode() for w in t.encode().split()] for t in texts]
 
 
+@given(st.lists(st.text(max_size=12), max_size=30, unique=True), st.integers(0, 3))
+@settings(max_examples=100, deadline=None)
+def test_word_hashes_depend_on_the_word_alone(words, k):
+    got = hash_words(pa.array(words, pa.string()).slice(k))
+    assert len(set(got.tolist())) == len(got) and got.tolist() == [int(hash_words(pa.array([w]))[0]) for w in words[k:]]
+
+
 @given(st.lists(st.one_of(st.none(), st.text(max_size=40)), max_size=8), st.integers(0, 3))
 @settings(max_examples=60, deadline=None)
 def test_translated_on_slices(texts, k):
@@ -96,6 +103,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(empty, where).count() == 0
 
 
+def test_warc_with_groups_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([(i, "u", "x" * 120 if i % 3 else "y") for i in range(30)], "page_id long, url string, html string")
+    got = [r["record_type"] for r in warc.read_warc(*warc.archive_pages(df)).collect()]
+    assert len(got) == 30 and got.count("revisit") == 19
+
+
 def test_warc_archive_bytes():
     dictionary = warc.train_dictionary([(f"<html><p>page {i} common text of all pages</p>" * 20).encode() for i in range(200)], 2048)
     assert dictionary
@@ -153,6 +167,61 @@ def test_classifiers_hold_out(spark, awkward, none, module, label):
     assert module.score(awkward, one).count() == len(AWKWARD)
 
 
+def test_classifier_sample_is_bounded_after_the_join(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 90}") for i in range(300)] + [(i, "other") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(-500, 60)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", rows=50).collect()
+    assert 20 < len(got) <= 50 and len({(r["id"], r["text"]) for r in got}) == len(got)
+    few = toxicity.labelled_sample(docs.where("doc_id > 1"), labels, "toxic", rows=50).collect()
+    assert {r["id"] for r in few} == {i for i in range(2, 40) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert toxicity.train(docs, labels, rows=50, most=40).bits == toxicity.BITS
+
+
+def test_toxicity_score_by_hand(spark):
+    """The score is the logistic of the bias and the weights of the text's distinct features, one at a time."""
+    docs, labels = labelled(spark, 600)
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model.index.tolist(), model.weight.astype(float).tolist(), strict=True))
+    h = lambda w: np.array([toxicity.word_hashes(pa.array([w]))[1][0]], dtype=np.uint64)
+    for r in toxicity.score(docs, model).limit(40).collect():
+        w, found = lower(r["text"]).split(), set()
+        w = [re.sub("[^a-z0-9]", "", x) for x in w]
+        for i in range(len(w)):
+            found.add(int(toxicity.mix(h(w[i]) * toxicity._MUL[0])[0]) >> (64 - model.bits))
+            for gap in (1, 2):
+                if i >= gap:
+                    found.add(int(toxicity.mix(h(w[i - gap]) * toxicity._MUL[gap] + h(w[i]) * toxicity._MUL[3] + np.uint64(gap))[0]) >> (64 - model.bits))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.bias + sum(weight.get(f, 0.0) for f in found)))), abs=1e-5)
+
+
+def test_quality_vectors_and_score_by_hand(spark):
+    """Word vectors from neighbours, one word at a time, and the network on the pooled text."""
+    docs, labels = labelled(spark, 90)
+    texts = [r["text"] for r in docs.collect()]
+    where, sign = quality.index_vectors()
+    want = np.zeros((quality.ROWS, quality.DIM))
+    for t in texts:
+        _, rows_, _ = quality.word_rows(pa.array([t]))
+        for i in range(len(rows_)):
+            for j in range(max(0, i - quality.WINDOW), min(len(rows_), i + quality.WINDOW + 1)):
+                if j != i:
+                    np.add.at(want[rows_[i]], where[rows_[j]], sign[rows_[j]])
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    vectors, net = quality.train(docs, labels)
+    assert np.abs(vectors - want).max() < 1e-6
+    for r in quality.score(docs, (vectors, net)).limit(20).collect():
+        _, rows_, bits = quality.word_rows(pa.array([r["text"]]))
+        x = np.zeros(2 * quality.DIM + len(quality.SHAPES) + 2)
+        for k, row in enumerate(rows_):
+            x[: quality.DIM] += vectors[row] / len(rows_)
+            np.add.at(x[quality.DIM : 2 * quality.DIM], where[row], sign[row] / len(rows_))
+            for s in range(len(quality.SHAPES)):
+                x[2 * quality.DIM + s] += (int(bits[k]) >> s & 1) / len(rows_)
+        x[-2:] = np.log1p(len(rows_)) / 10, len(set(rows_.tolist())) / len(rows_)
+        logit = float(np.tanh((x - net.mean) / net.scale @ net.w1 + net.b1) @ net.w2 + net.b2)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)), abs=1e-4)
+
+
 def test_toxicity_features_are_the_stated_ones():
     (got,) = toxicity.distinct_features(pa.array(["a b c a b"]))
     assert len(got) == 3 + 3 + 3  # words; ab bc ca; a.c b.a c.b
@@ -184,9 +253,14 @@ def test_rollup(spark, tmp_path):
     assert kept.commit("3", df())
     got = {(r["source"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in rollup.TokenRollup(spark, str(tmp_path / "r")).totals().collect()}
     assert got == {("a", "v1"): (2, 13), (None, "v1"): (1, 0)}
+    again = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    assert again.compact() and again.committed() == ["1", "2", "3"] and not again.commit("2", first)
+    assert {(r["source"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in again.totals().collect()} == got
+    assert again.commit("2b", df(("insert", "a", "en", "v1", 1, None))) and again.compact() and again.committed() == ["1", "2", "2b", "3"]
+    assert {r["source"]: r["n_tokens"] for r in again.totals().collect()} == {"a": 14, None: 0} and again._names("batch=") == [] and len(again._names("base=")) == 1
     with pytest.raises(Exception, match="unknown op"):
         kept.commit("4", df(("upsert", "a", "en", "v1", 1, None)))
-    assert kept.committed() == ["1", "2", "3"]
+    assert kept.committed() == ["1", "2", "2b", "3"]
 
 
 def test_rollup_query_counts_all(spark):
@@ -223,53 +297,81 @@ def test_lm_base_scores_and_gain(spark, docs, awkward, none):
     assert maxent.score_texts(none).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    hashes = np.arange(1, 3001, dtype=np.uint64) * np.uint64(1 << 50)
-    counts = np.sort(np.random.default_rng(0).integers(1, 50, 3000))[::-1]
-    voc = maxent.Vocabulary.of(hashes[:2500], counts[:2500], int(counts.sum()), 3000)
-    w = np.random.default_rng(1).normal(0, 0.1, (maxent.ROWS, maxent.WIDTH)).astype(np.float32)
-    f = maxent.contexts(np.array([0, 1]), np.array([5]))
-    p = maxent._probability(w, maxent._class_rows(f), voc.class_bias)[0].astype(float)
-    total = 0.0
-    for cls in range(maxent.HEAD // maxent.WIDTH):
-        inner = maxent._probability(w, maxent._word_rows(f, np.array([cls])), voc.word_bias[[cls]])[0]
-        total += p[cls] * inner.sum()
-    rank, count = voc.look(hashes)
-    mid = rank >= maxent.HEAD
-    tier = voc.tier_of[rank[mid] - maxent.HEAD]
-    total += (p[maxent.HEAD // maxent.WIDTH + tier] * count[mid] / voc.tier_mass[tier]).sum()
-    tail = counts[2500:]
-    total += p[-1] * ((tail + 1).sum() + 1) / (voc.tail_mass + voc.tail_slots)  # and one slot for all unknown words
-    assert total == pytest.approx(1, abs=1e-4)
-
-
-def test_lm_context_tells_words_apart_beyond_the_head():
+def lm_inner(voc, w, f, hashes):
+    """The probability of each word's leaf given the contexts f, one a word."""
+    rank, _ = voc.look(hashes)
+    tokens, at, bias, branch = voc.decisions(f, voc.leaves(hashes, rank), len(w))
+    return np.exp(np.bincount(tokens, weights=np.log(maxent._probability(w, at, bias)[np.arange(len(branch)), branch]), minlength=len(hashes)))
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_lm_probabilities_sum_to_one_and_depend_on_context(buckets):
     hashes = maxent.mix(np.arange(1, 3001, dtype=np.uint64))
     counts = np.sort(np.random.default_rng(0).integers(1, 50, 3000))[::-1]
-    bucket = (hashes[2500:] & np.uint64(3)).astype(int)
-    tail = np.bincount(bucket, weights=counts[2500:] + 1.0, minlength=4) + 1
+    bucket = (hashes[2500:] & np.uint64(buckets - 1)).astype(int)
+    tail = np.bincount(bucket, weights=counts[2500:] + 1.0, minlength=buckets) + 1
     voc = maxent.Vocabulary.of(hashes[:2500], counts[:2500], int(counts.sum()), 3000, tail)
     rows = 2 * maxent.ROWS
     w = np.random.default_rng(1).normal(0, 0.1, (rows, maxent.WIDTH)).astype(np.float32)
-    rank, _ = voc.look(hashes)
-    cls, leaf = voc.classes(rank), voc.leaves(hashes, rank)
     given_context = []
     for word in (5, 6):
         f = np.repeat(maxent.contexts(np.array([0, 2]), np.array([word, 7], dtype=np.uint64))[1:], 3000, axis=0)
-        p = maxent._probability(w, maxent._class_rows(f, rows), voc.class_bias)[np.arange(3000), cls].astype(float)
-        tokens, at, bias, branch = voc.decisions(f, cls, rank, leaf, rows)
-        inner = np.exp(np.bincount(tokens, weights=np.log(maxent._probability(w, at, bias)[np.arange(len(branch)), branch]), minlength=3000))
-        inner[2500:] *= (counts[2500:] + 1) / tail[bucket]
-        unknown = p[-1] * sum(inner[2500:][bucket == b][0] / (counts[2500:][bucket == b][0] + 1) for b in range(4))  # a slot of each bucket
-        assert (p * inner).sum() + unknown == pytest.approx(1, abs=1e-4)
+        inner = lm_inner(voc, w, f, hashes)
+        share = inner.copy()
+        share[2500:] *= (counts[2500:] + 1) / tail[bucket]
+        unknown = sum(inner[2500:][bucket == b][0] / tail[b] for b in range(buckets))  # a slot of each bucket
+        assert share.sum() + unknown == pytest.approx(1, abs=1e-4)
         given_context.append(inner)
     assert (np.abs(np.log(given_context[0] / given_context[1])) > 1e-6).all()
 
 
+def test_lm_score_is_the_stated_product(spark):
+    """score against a slow version: for each token the softmaxes from the root down to its leaf, one at a time."""
+    texts = [(i, " ".join(f"v{(i * k * 7 + k) % 23}" for k in range(i % 40))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = {}
+    real = maxent.train_weights
+    try:
+        maxent.train_weights = lambda docs, voc, *a: kept.setdefault("w", (voc, real(docs, voc, *a)))[1]
+        got = {r["doc_id"]: r["score"] for r in maxent.score_texts(docs, lookup=12).collect()}
+    finally:
+        maxent.train_weights = real
+    voc, w = kept["w"]
+    learned = Counter(t for i, x in texts if zlib.crc32(str(i).encode()) % 7 != 2 for t in [*x.split(), None])
+    h = lambda t: maxent.END if t is None else hash_words(pa.array([t]))[0]
+    for i, x in texts:
+        tokens, total = [*x.split(), None], 0.0
+        f = maxent.contexts(np.array([0, len(tokens)]), np.array([h(t) for t in tokens], dtype=np.uint64))
+        for k, t in enumerate(tokens):
+            at = np.flatnonzero(voc.hashes == h(t))
+            bucket = int(h(t)) & (len(voc.tail) - 1)
+            leaf = int(voc.ranks[at[0]]) if len(at) else len(voc.hashes) + bucket
+            if not len(at):
+                total += np.log10((learned[t] + 1) / voc.tail[bucket])
+            node, branch = int(voc.leaf_node[leaf]), int(voc.leaf_branch[leaf])
+            while node >= 0:
+                z = voc.node_bias[node].astype(float) + sum(w[int(maxent.mix(np.array([(int(x) + (node + 1) * int(maxent._MUL[5])) % 2**64], dtype=np.uint64))[0]) % len(w)].astype(float) for x in f[k])
+                total += (z[branch] - np.logaddexp.reduce(z)) / np.log(10)
+                node, branch = int(voc.parent[node]), int(voc.parent_branch[node])
+        assert got[i] == pytest.approx(total, abs=1e-3)
+
+
+def test_lm_beats_the_unigram_on_held_out_texts(spark):
+    rows_ = maxent.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert rows_[0] / rows_[2] > rows_[1] / rows_[2] + 0.1
+
+
+def test_lm_frequent_fills_up_to_its_bound(spark):
+    counts = spark.createDataFrame([(i, 1 + (i < 10)) for i in range(5000)], "h long, c long")
+    got = [r["h"] for r in maxent.frequent(counts, 1000).collect()]
+    assert set(range(10)) <= set(got) and 900 < len(got) <= 1000 and sorted(got) == sorted(r["h"] for r in maxent.frequent(counts.repartition(3), 1000).collect())
+    assert maxent.frequent(counts, 5000).count() == 5000 and maxent.frequent(counts.limit(0), 10).count() == 0
+
+
 def test_lm_weights_grow_with_the_vocabulary(spark):
     voc = maxent.Vocabulary.of(np.arange(1, 4, dtype=np.uint64), np.array([3, 2, 1]), 6, 500_000)
     one = spark.createDataFrame([(1, "a b a")], "doc_id long, text string")
-    assert maxent.train_weights(one, voc, rounds=1).shape == (1 << 16, maxent.WIDTH)
+    assert maxent.train_weights(one, voc, rounds=1).shape == (1 << 18, maxent.WIDTH)
 
 
 # -- 5
@@ -320,6 +422,45 @@ def test_packing_tables(spark, awkward, none, real_tokenizer):
     assert packing.pack(packing.token_pieces(none)).count() == 0
 
 
+@given(st.lists(st.integers(1, 10), max_size=7))
+@settings(max_examples=80, deadline=None)
+def test_pack_lengths_against_the_optimum(lengths):
+    """Small cases against all partitions: never more than one bin beyond the fewest."""
+
+    def fewest(rest, rooms):
+        if not rest:
+            return len(rooms)
+        n, out = rest[0], fewest(rest[1:], (*rooms, 10 - rest[0]))
+        for k, r in enumerate(rooms):
+            if r >= n:
+                out = min(out, fewest(rest[1:], (*rooms[:k], r - n, *rooms[k + 1 :])))
+        return out
+
+    assert fewest(sorted(lengths, reverse=True), ()) <= len(packing.pack_lengths(lengths, 10)) <= fewest(sorted(lengths, reverse=True), ()) + 1
+
+
+def test_packing_query_ids_by_hand(spark):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.queries import op5_bestfit_packing
+
+    tok = Tokenizer.from_file(packing._default_tokenizer())
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        want += [(r["doc_id"], k, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], dtype="<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+    got = op5_bestfit_packing(spark, SF).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    assert len({r["sequence_id"] for r in got}) <= -(-sum(w[3] for w in want) // 2048) + 1  # none has fewer than the total needs
+
+
+def test_packing_deals_repeated_ids_to_all_groups(spark):
+    pieces = spark.createDataFrame([(None, 0, 0, 1 + i % 7, 5, "x") for i in range(900)], "doc_id long, piece int, start long, length long, offset int, sequence_id string")
+    pieces.write.parquet(path := fresh_path(spark, "pieces"))
+    got = packing.pack(spark.read.parquet(path), group=100).collect()
+    assert len({r["sequence_id"] >> 32 for r in got}) == 9 and sum(r["length"] for r in got) == sum(1 + i % 7 for i in range(900))
+
+
 # -- 6
 
 
@@ -344,6 +485,19 @@ def test_sharding(spark, awkward, none):
     assert feistel.shard(none).count() == 0
 
 
+def test_sharding_columns_by_hand(spark):
+    from tessera.llm.queries import op6_feistel_sharding
+
+    want = {r["doc_id"]: ((r["text"] or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = op6_feistel_sharding(spark, SF).collect()
+    assert {r["doc_id"] for r in got} == set(want) and len(got) == len(want)
+    order = {d: k for k, d in enumerate(sorted(want))}
+    for r in got:
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(want[r["doc_id"]]) + 8, zlib.crc32(want[r["doc_id"]]), "rows", None)
+        place = int(feistel.permute(np.array([order[r["doc_id"]]]), len(want), 20240229)[0])
+        assert (r["shard"], r["slot"]) == (place % 24, place // 24)
+
+
 # -- 7
 
 
@@ -431,6 +585,33 @@ def test_decontamination_counts_items_without_id(spark):
         assert [(r["n_hit"], r["items"], r["contaminated"]) for r in got] == [(10, [], True), (3, ["2"], True)]
 
 
+@given(st.lists(st.lists(st.integers(0, 5), max_size=14), max_size=5), st.lists(st.lists(st.integers(0, 6), max_size=40), max_size=4), st.integers(1, 10))
+@settings(max_examples=200, deadline=None)
+def test_scanner_finds_every_window(items, texts, window):
+    items = [(i, " ".join(f"w{x}" for x in item)) for i, item in enumerate(items)]
+    texts = [" ".join(f"w{x}" for x in t) for t in texts]
+    scanner = decontamination.Scanner(decontamination.Items.of([i for i, _ in items], pa.array([t for _, t in items], pa.string()), window))
+    many, runs, found = scanner.scan(pa.array(texts, pa.string()))
+    got = [(int(n), sum(b - a for a, b in r), f) for n, r, f in zip(many, runs, found, strict=True)]
+    assert got == [hits_slow(t, items, window) for t in texts]
+
+
+def test_scanner_takes_memory_in_proportion_to_the_items():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(1000)]
+    s = decontamination.Scanner(decontamination.Items.of(list(range(1000)), pa.array(texts), 10))
+    assert s.found.get_stats()["total_size"] < 30 * sum(map(len, texts)) and len(s.places) <= 10 * 1000  # all windows: 51 for each
+
+
+def test_decontamination_of_a_text_of_many_steps(spark):
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(1_200_000))  # 10 MB
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, long + " " + item), (2, item.upper() + " " + long[:1000])], "doc_id long, text string")
+    got = decontamination.find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == [(1_200_010, 10, ["1"]), (10 + len(long[:1000].split()), 10, ["1"])]
+
+
 # -- 10
 
 
@@ -464,9 +645,11 @@ def test_banding_meets_its_recall():
     assert bands * rows_ <= 256 and 1 - (1 - 0.8**rows_) ** bands >= 0.999
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_jaccard_classes(spark, awkward, none, monkeypatch, block):
+@pytest.mark.parametrize("block,band,rows_", [(256, 1024, 200_000), (3, 4, 0)])
+def test_jaccard_classes(spark, awkward, none, monkeypatch, block, band, rows_):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BAND_BLOCK", band)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", max(1, rows_))
     rng = np.random.default_rng(9)
     base = [f"t{i}" for i in rng.integers(0, 5000, 200)]
     near = []
@@ -482,6 +665,40 @@ def test_jaccard_classes(spark, awkward, none, monkeypatch, block):
     assert ngram_join.jaccard_classes(none).count() == 0
 
 
+@given(st.lists(st.lists(st.integers(0, 2), min_size=6, max_size=6), min_size=1, max_size=14), st.sampled_from([0.5, 0.8]))
+@settings(max_examples=150, deadline=None)
+def test_leaders_connect_what_pairs_connect(sketches, least):
+    x = np.array(sketches, dtype=np.uint8)
+
+    def classes(edges):
+        root = list(range(len(x)))
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in edges:
+            root[max(top(i), top(j))] = min(top(i), top(j))
+        return [top(i) for i in range(len(x))]
+
+    assert classes(ngram_join.leaders(x, least)) == classes([(i, j) for i, j in itertools.combinations(range(len(x)), 2) if (x[i] == x[j]).sum() >= least * 6])
+
+
+def test_join_recall_against_all_rows(spark):
+    """Links of the rows whose id is divisible by 50 against all rows, by brute force: at least 0.99 of them are counted."""
+    sf = "/root/testdata/sf0.01"
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    sets = {}
+    for i, t in texts:
+        w = WORD.findall(lower(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.jaccard_classes(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    want = {i: sum(1 for j, b in sets.items() if j != i and a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)) for i, a in sets.items() if i % 50 == 0 or i % 7 == 0}
+    assert all(got[i] <= n for i, n in want.items()) and sum(want.values()) > 0
+    assert sum(got[i] for i in want) >= 0.99 * sum(want.values())
+
+
 def test_drop_near_duplicates(spark, awkward):
     got = ngram_join.drop_near_duplicates(awkward)
     assert got.columns == awkward.columns

@@ -41,6 +41,22 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_stages_leave_columns_alone(spark):
+    """Columns named like what the operators make come out as they went in."""
+    from pyspark.sql import functions as F
+
+    names = ["score", "predicted", "n_words", "n_hit", "items", "spans", "contaminated", "label", "key", "bands", "__runs"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.concat(F.lit(f"{c}-"), "doc_id") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in names)
+    clash = docs.withColumns({"sequence_id": F.lit("x"), "offset": F.lit("y"), "piece": F.lit("z")})
+    packed = corpus_pipeline.STAGES[-1][1](spark, clash, SF)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and packed.count() >= docs.count()
+
+
 def fast_clean(texts, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
