@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, feistel, fingerprints, maxent, ngram_join, packing, quality, rollup, toxicity, warc
+from tessera.llm import decontamination, feistel, fingerprints, maxent, ngram_join, packing, quality, rollup, suffix_dedup, toxicity, warc
 from tessera.llm.common import crc_mod, fresh_path, staged, table
 
 
@@ -88,6 +88,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages of 200 bytes that start twice anywhere; null texts are empty,
+    rows with equal texts of 200 bytes or more lose all of them."""
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -97,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_roundtrip, op2_toxicity_ftrl, op3_token_rollup, op4_maxent_lm, op5_bestfit_packing, op6_feistel_sharding, op7_cdc_fingerprints, op8_decontamination, op9_quality_network, op10_ngram_jaccard, pipeline)
+    for f in (op1_warc_roundtrip, op2_toxicity_ftrl, op3_token_rollup, op4_maxent_lm, op5_bestfit_packing, op6_feistel_sharding, op7_cdc_fingerprints, op8_decontamination, op9_quality_network, op10_ngram_jaccard, op11_suffix_dedup, pipeline)
 }
 
 ORACLES: dict[str, str] = {
