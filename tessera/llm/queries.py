@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, feistel, fingerprints, maxent, ngram_join, packing, quality, rollup, suffix_dedup, toxicity, warc
+from tessera.llm import decontamination, feistel, filter_audit, fingerprints, maxent, ngram_join, packing, quality, rollup, suffix_dedup, toxicity, vector_codes, warc
 from tessera.llm.common import crc_mod, fresh_path, staged, table
 
 
@@ -96,6 +96,42 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors whose components are finite, their errors, and a digest of the codebooks; null labels
+    are a label, repeated rows are coded alike, no vectors give no rows."""
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    got = vector_codes.with_label_errors(staged(coded, "codes"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return got.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in every order; null texts are empty, null sources the empty string, null
+    ids never repeat a text, repeated rows count each."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op12_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds of op12 written one after another: every part of every vector against every entry."""
+    sql = [
+        f"""WITH RECURSIVE kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, [floor(x::DOUBLE * 1024) for x in embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        points AS (SELECT row, vec_id, label, p, list_slice(v, p * (len(v) // {parts}) + 1, (p + 1) * (len(v) // {parts})) AS x FROM kept, range({parts}) t(p)),
+        book0 AS (SELECT p, row - 1 AS e, x AS c FROM points WHERE row <= {entries})"""
+    ]
+    for r in range(rounds + 1):
+        sql.append(f"near{r} AS (SELECT row, p, any_value(x) AS x, min(struct_pack(d := list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x, c)]), e := e)) AS m FROM points JOIN book{r} USING (p) GROUP BY row, p)")
+        if r < rounds:
+            sql.append(f"mean{r} AS (SELECT p, m.e AS e, i, floor(sum(x[i]) / count(*)) AS c FROM near{r}, range(1, 1000) t(i) WHERE i <= len(x) GROUP BY p, m.e, i)")
+            sql.append(f"new{r} AS (SELECT p, e, list(c ORDER BY i) AS c FROM mean{r} GROUP BY p, e)")
+            sql.append(f"book{r + 1} AS (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM book{r} b LEFT JOIN new{r} n ON b.p = n.p AND b.e = n.e)")
+    sql.append(
+        f"""coded AS (SELECT row, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM near{rounds} GROUP BY row),
+        digest AS (SELECT sha256(string_agg(array_to_string([x::BIGINT::VARCHAR for x in c], ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})"""
+    )
+    return ",\n".join(sql) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (row), digest"
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -105,7 +141,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_roundtrip, op2_toxicity_ftrl, op3_token_rollup, op4_maxent_lm, op5_bestfit_packing, op6_feistel_sharding, op7_cdc_fingerprints, op8_decontamination, op9_quality_network, op10_ngram_jaccard, op11_suffix_dedup, pipeline)
+    for f in (op1_warc_roundtrip, op2_toxicity_ftrl, op3_token_rollup, op4_maxent_lm, op5_bestfit_packing, op6_feistel_sharding, op7_cdc_fingerprints, op8_decontamination, op9_quality_network, op10_ngram_jaccard, op11_suffix_dedup, op12_vector_codes, op13_filter_audit, pipeline)
 }
 
 ORACLES: dict[str, str] = {
@@ -133,4 +169,35 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN n USING (id) LEFT JOIN found USING (id)
     """,
+    "op11_suffix_dedup": """
+        WITH t AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        blocks AS (SELECT row, 256 * k AS base, h[512 * k + 1 : 512 * k + 512 + 398] AS h, least(256, len(h) // 2 - 256 * k) AS n FROM (SELECT row, h, unnest(range(0, (len(h) // 2 + 255) // 256)) AS k FROM t)),
+        places AS (SELECT row, base, h, unnest(range(0, n)) AS j FROM blocks),
+        bytes AS (SELECT row, base + j AS i, h[2 * j + 1 : 2 * j + 2] AS b, CASE WHEN 2 * j + 400 <= len(h) THEN md5_number(h[2 * j + 1 : 2 * j + 400]) END AS s FROM places),
+        counted AS (SELECT row, i, b, CASE WHEN s IS NOT NULL AND count(*) OVER (PARTITION BY s) > 1 THEN i END AS again FROM bytes),
+        covered AS (SELECT row, i, b, max(again) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM counted),
+        edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row ORDER BY i), false) AS begins FROM covered),
+        sums AS (SELECT row, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM edges GROUP BY row)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM t LEFT JOIN sums USING (row)
+    """,
+    "op12_vector_codes": _op12_sql(),
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+                     + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(first < w.doc_id, false)::INT AS mask
+              FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+        f(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        steps AS (SELECT filter_order, s AS step, bits[s] AS own, coalesce(list_sum(bits[1 : s - 1]), 0)::INT AS before FROM orders, range(1, 6) t(s)),
+        got AS (SELECT part, filter_order, step, own, sum(n) FILTER (mask & (before | own) = 0) AS kept, sum(n) FILTER (mask & own > 0 AND mask & before = 0) AS removed, sum(n) FILTER (mask & own > 0 AND mask & before > 0) AS redundant,
+                       sum(n) FILTER (mask = own) AS unique_fails, sum(good) FILTER (mask & own > 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & own > 0 AND mask & before = 0) AS toxic_lost
+                FROM cells, steps GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+        FROM got
+    """,
 }
