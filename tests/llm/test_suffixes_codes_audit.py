@@ -221,7 +221,7 @@ def test_swaps_visit_every_order_once(n):
 
 
 def audited(docs, labels):
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
     first = {}
     for i, t, _ in docs:
         if i is not None:
