@@ -16,15 +16,15 @@ from pyspark.sql import types as T
 from tessera.llm.common import append_columns, hash_words, mix, partitions, pieces_of, split_words, sum_blocks, tidy
 from tessera.llm.toxicity import FIT_ROWS, labelled_sample
 
-#: Rows of word vectors (words are hashed to them), their width, and the non-zeros of an index vector.
+#: Rows of word vectors (tokens are hashed to them), their width, and the non-zeros of an index vector.
 ROWS, DIM, NONZERO = 1 << 13, 64, 4
 WINDOW = 2
 BLOCKS = 32
 #: Bytes of text that are pooled at a time.
 SLICE = 1 << 20
-_SIGNS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+")
-#: What a word looks like, as words of their own: capitals only, a word said again, signs inside or at the end.
-SHAPES = ("\x01caps", "\x01again", "\x01signs", "\x01mark")
+_PIECES = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+")
+#: Tokens beside words and signs: before a word in capitals, after a word that says the one before again.
+CAPITALS, AGAIN = "\x01capitals", "\x01again"
 
 
 def index_vectors(rows: int = ROWS, dim: int = DIM, nonzero: int = NONZERO) -> tuple[np.ndarray, np.ndarray]:
@@ -37,29 +37,45 @@ def _row(h: np.ndarray) -> np.ndarray:
     return (mix(h) % np.uint64(ROWS)).astype(np.int64)
 
 
-def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of each text, the row of each word, and the shapes of each word as bits.
+def _rows_of(words: list[str]) -> np.ndarray:
+    return _row(hash_words(pa.array(words, pa.string())))
 
-    A word is cut at white space; its row is that of its letters in lower case, or of its signs where it has none.
+
+def token_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First token of each text (and the end), and the row of each token.
+
+    Texts are cut at white space, and then into runs of letters and digits, in lower case, and runs of signs; a token of
+    its own says that a word has two capitals or more and no small letter, another that a word is said again. So case,
+    signs and repetition have vectors like any word, and count by these alone.
     """
     first, codes, words = split_words(pc.fill_null(texts, ""))
-    raw = [w.encode() for w in words.to_pylist()]
-    bare = [_SIGNS.sub(b"", w) for w in raw]
-    rows = _row(hash_words(pa.array([(b or w).decode("utf-8", "replace").lower() for b, w in zip(bare, raw, strict=True)], pa.string()))) if raw else np.empty(0, dtype=np.int64)
-    caps = np.fromiter((len(b) > 1 and b.decode("utf-8", "replace").isupper() for b in bare), dtype=bool, count=len(raw))
-    cut = np.fromiter((len(w) - len(b) for b, w in zip(bare, raw, strict=True)), dtype=np.int64, count=len(raw))
-    shape = caps * 1 + (cut > 1) * 4 + (cut == 1) * 8
-    bits = shape[codes] if raw else np.empty(0, dtype=np.int64)
-    rows = rows[codes] if raw else rows
-    if len(rows) > 1:
-        again = np.concatenate([[False], rows[1:] == rows[:-1]])
-        again[first[:-1][first[:-1] < len(rows)]] = False
-        bits = bits + 2 * again
-    return first, rows, bits
+    if not len(words):
+        return first, np.empty(0, dtype=np.int64)
+    tokens, sizes = [], []
+    for w in words.to_pylist():
+        at = len(tokens)
+        for piece in _PIECES.findall(w.encode()):
+            said = piece.decode("utf-8", "replace")
+            if len(said) > 1 and said.isupper():
+                tokens.append(CAPITALS)
+            tokens.append(said.lower())
+        sizes.append(len(tokens) - at)
+    of_word, size = _rows_of(tokens), np.array(sizes)
+    start = np.cumsum(size) - size
+    folded = pa.array([w.lower() for w in words.to_pylist()], pa.string()).dictionary_encode().indices.to_numpy()[codes]
+    again = np.zeros(len(codes), dtype=np.int64)
+    again[1:] = folded[1:] == folded[:-1]
+    again[first[:-1][first[:-1] < len(codes)]] = 0
+    many = size[codes] + again
+    ends = np.concatenate([[0], np.cumsum(many)])
+    inside = np.arange(ends[-1]) - np.repeat(ends[:-1], many)
+    rows = of_word[np.minimum(np.repeat(start[codes], many) + inside, len(of_word) - 1)]
+    rows[(ends[1:] - 1)[again == 1]] = int(_rows_of([AGAIN])[0])
+    return ends[first], rows
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """(ROWS, DIM): for each row the sum of the index vectors of its words' neighbours, over all documents, at unit length.
+    """(ROWS, DIM): for each row the sum of the index vectors of its tokens' neighbours, over all documents, at unit length.
 
     Each task sums its own, in whole numbers; the sums (of a fixed size) are added in levels. Null and empty texts add
     nothing; without documents all vectors are zero.
@@ -72,7 +88,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(ROWS * DIM)
         for batch in batches:
             for b in pieces_of(batch, size=SLICE):
-                first, rows, _ = word_rows(b.column(0))
+                first, rows = token_rows(b.column(0))
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 for gap in range(1, WINDOW + 1):
                     if len(rows) <= gap:
@@ -101,33 +117,26 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """The vectors of the texts, a slice at a time, as each distinct word of a text takes a row of floats on the way."""
+    """The vectors of the texts, a slice at a time, as each distinct token of a text takes a row of floats on the way."""
     parts = [_pooled(b.column(0), vectors) for b in pieces_of(pa.RecordBatch.from_arrays([texts], names=["t"]), size=SLICE)]
     return np.concatenate(parts)
 
 
 def _pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """A vector for each text: the means of its words' context vectors and of its words' and shapes' index vectors, and
-    the log of its length and its share of distinct words."""
-    first, rows, bits = word_rows(texts)
+    """A vector for each text: the means of its tokens' context vectors and of its tokens' index vectors."""
+    first, rows = token_rows(texts)
     n, width = len(first) - 1, vectors.shape[1]
     size = np.diff(first)
-    doc = np.repeat(np.arange(n), size)
-    pair, count = np.unique(doc * ROWS + rows, return_counts=True)
+    pair, count = np.unique(np.repeat(np.arange(n), size) * ROWS + rows, return_counts=True)
     d, r = pair // ROWS, pair % ROWS
-    out = np.zeros((n, 2 * width + len(SHAPES) + 2))
-    starts = np.searchsorted(d, np.arange(n))
+    out = np.zeros((n, 2 * width))
     full = np.flatnonzero(size)
     if len(full):
         where, sign = index_vectors()
-        out[full, :width] = np.add.reduceat(vectors[r] * count[:, None], starts[full], axis=0)
+        out[full, :width] = np.add.reduceat(vectors[r] * count[:, None], np.searchsorted(d, full), axis=0)
         for k in range(NONZERO):
-            out[:, width : 2 * width] += np.bincount(d * width + where[r, k], weights=sign[r, k] * count, minlength=n * width).reshape(n, width)
-        for k in range(len(SHAPES)):
-            out[:, 2 * width + k] = np.bincount(doc, weights=(bits >> k) & 1, minlength=n)
+            out[:, width:] += np.bincount(d * width + where[r, k], weights=sign[r, k] * count, minlength=n * width).reshape(n, width)
         out[full] /= size[full, None]
-        out[full, -2] = np.log1p(size[full]) / 10
-        out[full, -1] = np.bincount(d, minlength=n)[full] / size[full]
     return out.astype(np.float32)
 
 
@@ -194,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     sample = labelled_sample(docs, labels, label, rows, text_col=text_col, **names)
     held = append_columns(sample, ["text"], [T.StructField("x", T.BinaryType())], lambda: lambda t: [[r.tobytes() for r in pooled(t, known.value)]])
     got = sorted((r["id"], r["label"], bytes(r["x"])) for r in held.select("id", "label", "x").collect())
-    x = np.array([np.frombuffer(g[2], dtype=np.float32) for g in got], dtype=np.float64).reshape(len(got), 2 * DIM + len(SHAPES) + 2)
+    x = np.array([np.frombuffer(g[2], dtype=np.float32) for g in got], dtype=np.float64).reshape(len(got), 2 * DIM)
     return vectors, fit(x, np.array([g[1] for g in got], dtype=np.float64))
 
 

@@ -194,14 +194,33 @@ def test_toxicity_score_by_hand(spark):
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.bias + sum(weight.get(f, 0.0) for f in found)))), abs=1e-5)
 
 
+def quality_tokens(text):
+    """The tokens of a text, one word at a time."""
+    out, before = [], None
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        for piece in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff]+", w):
+            out += [quality.CAPITALS] * (len(piece) > 1 and piece.isupper()) + [piece.lower()]
+        out += [quality.AGAIN] * (w.lower() == before)
+        before = w.lower()
+    return out
+
+
+def test_quality_tokens_keep_case_signs_and_repeats():
+    assert quality_tokens("Buy buy NOW!!! é-É A don't") == ["buy", "buy", quality.AGAIN, quality.CAPITALS, "now", "!!!", "é", "-", "é", "a", "don", "'", "t"]
+    texts = [None, "", "Buy buy NOW!!! é-É A don't", " \t", "x", "X x\x0bx y", "$$ $$ $$"]
+    first, got = quality.token_rows(pa.array(texts))
+    assert [got[a:b].tolist() for a, b in itertools.pairwise(first)] == [[int(quality._rows_of([t])[0]) for t in quality_tokens(x)] for x in texts]
+
+
 def test_quality_vectors_and_score_by_hand(spark):
-    """Word vectors from neighbours, one word at a time, and the network on the pooled text."""
+    """Word vectors from neighbours, one token at a time, and the network on the pooled text."""
     docs, labels = labelled(spark, 90)
     texts = [r["text"] for r in docs.collect()]
     where, sign = quality.index_vectors()
     want = np.zeros((quality.ROWS, quality.DIM))
+    rows_of = lambda t: [int(quality._rows_of([x])[0]) for x in quality_tokens(t)]
     for t in texts:
-        _, rows_, _ = quality.word_rows(pa.array([t]))
+        rows_ = rows_of(t)
         for i in range(len(rows_)):
             for j in range(max(0, i - quality.WINDOW), min(len(rows_), i + quality.WINDOW + 1)):
                 if j != i:
@@ -210,18 +229,39 @@ def test_quality_vectors_and_score_by_hand(spark):
     vectors, net = quality.train(docs, labels)
     assert np.abs(vectors - want).max() < 1e-6
     for r in quality.score(docs, (vectors, net)).limit(20).collect():
-        _, rows_, bits = quality.word_rows(pa.array([r["text"]]))
-        x = np.zeros(2 * quality.DIM + len(quality.SHAPES) + 2)
-        for k, row in enumerate(rows_):
+        x = np.zeros(2 * quality.DIM)
+        rows_ = rows_of(r["text"])
+        for row in rows_:
             x[: quality.DIM] += vectors[row] / len(rows_)
-            np.add.at(x[quality.DIM : 2 * quality.DIM], where[row], sign[row] / len(rows_))
-            for s in range(len(quality.SHAPES)):
-                x[2 * quality.DIM + s] += (int(bits[k]) >> s & 1) / len(rows_)
-        x[-2:] = np.log1p(len(rows_)) / 10, len(set(rows_.tolist())) / len(rows_)
+            np.add.at(x[quality.DIM :], where[row], sign[row] / len(rows_))
         logit = float(np.tanh((x - net.mean) / net.scale @ net.w1 + net.b1) @ net.w2 + net.b2)
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)), abs=1e-4)
 
 
+def area(got, label):
+    """The share of pairs of a row of each kind whose scores stand in the right order."""
+    ranks = got["score"].rank()
+    n = int((got[label] == 1).sum())
+    return (ranks[got[label] == 1].sum() - n * (n + 1) / 2) / (n * (len(got) - n))
+
+
+def test_quality_comes_through_its_vectors(spark):
+    """Context vectors alone tell the held-out rows apart, and nothing is left where all words share one vector."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    vectors, net = quality.train(docs, labels)
+    held = docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    got = lambda v, n: quality.score(held, (v, n)).toPandas()
+    assert area(got(vectors, net), "quality") > 0.95
+    context_alone = quality.Network(net.mean, net.scale, net.w1.copy(), net.b1, net.w2, net.b2, net.temperature)
+    context_alone.w1[quality.DIM :] = 0
+    assert area(got(vectors, context_alone), "quality") > 0.9
+    same = np.repeat(vectors.mean(axis=0, keepdims=True), quality.ROWS, axis=0).astype(np.float32)
+    assert area(got(same, context_alone), "quality") < 0.7
+    mixed = vectors[np.random.default_rng(0).permutation(quality.ROWS)]
+    assert area(got(mixed, context_alone), "quality") < 0.9
+
+
 def test_toxicity_features_are_the_stated_ones():
     (got,) = toxicity.distinct_features(pa.array(["a b c a b"]))
     assert len(got) == 3 + 3 + 3  # words; ab bc ca; a.c b.a c.b
