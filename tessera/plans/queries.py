@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.vectors import cosine, cosine_to
-from tessera.operators import briefing, embed, evaluation, filters, graph, ingest, ledger, retention, retrieval, state
+from tessera.operators import briefing, embed, evaluation, filters, graph, ingest, ledger, retention, retrieval, state, vector_index
 from tessera.plans import schemas
+from tessera.plans.lineage import shared_folder
 from tessera.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +96,46 @@ def insert_decisions(spark, sf):
     return retrieval.insert_decisions(rows.where("id % 10 = 1"), rows.where("id % 10 <> 1"), 0.3, 0.2)
 
 
+def _asked(spark, sf):
+    """All vectors, and those of ids divisible by 50 as queries."""
+    rows = fx.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    return rows, rows.where("id % 50 = 0")
+
+
+NEAREST = """, v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.id AS query_id, r.id, r.label, round(list_cosine_similarity(q.e, r.e), 12) AS score FROM v q JOIN v r ON q.id % 50 = 0)"""
+
+
+@query(NEAREST + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10")
+def nearest_exact(spark, sf):
+    rows, asked = _asked(spark, sf)
+    return retrieval.nearest(asked, rows, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), r6("score"))
+
+
+@query()
+def vector_index_topk(spark, sf):
+    """The ten nearest of every query, by an index of all vectors."""
+    rows, asked = _asked(spark, sf)
+    return vector_index.VectorIndex.build(rows, shared_folder(spark, "vector-index")).search(asked, 10)
+
+
+@query()
+def vector_index_recall(spark, sf):
+    """How many of each query's ten nearest the index finds."""
+    rows, asked = _asked(spark, sf)
+    found = vector_index.VectorIndex.build(rows, shared_folder(spark, "vector-index")).search(asked, 10)
+    return vector_index.recall(found, retrieval.nearest(asked, rows, 10), 10)
+
+
+@query(NEAREST + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM s WHERE label % 2 = 0 AND query_id <> id QUALIFY rank <= 5")
+def vector_index_filtered(spark, sf):
+    """All cells probed and every row re-ranked: the exact rows, through the index, of those that pass a filter."""
+    rows, asked = _asked(spark, sf)
+    index = vector_index.VectorIndex.build(rows, shared_folder(spark, "vector-index"), carry=["label"])
+    found = index.search(asked, 5, probes=vector_index.MOST_CELLS, shortlist=1 << 30, where="label % 2 = 0", others=True)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), r6("score"))
+
+
 # -- text and hybrid --------------------------------------------------------------------------------------------------
 
 TOK = "[x FOR x IN regexp_extract_all(lower(content), '[a-z0-9]+') IF x IN ('the', 'that')]"
