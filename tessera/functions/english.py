@@ -137,7 +137,11 @@ def density(text: str | None, terms: frozenset[str]) -> float | None:
 
     None where not all terms occur, or there are none.
     """
-    places = [(i, s) for i, s in enumerate(stems(text)) if s in terms]
+    return density_at([(i, s) for i, s in enumerate(stems(text)) if s in terms], terms)
+
+
+def density_at(places: list[tuple[int, str]], terms: frozenset[str]) -> float | None:
+    """density() of a text of which the places of terms are known."""
     if not terms or len({s for _, s in places}) < len(terms):
         return None
     return sum(PLAIN / (1 + (b - a) - (n - 1)) for a, b, n in covers(places, terms))

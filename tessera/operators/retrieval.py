@@ -13,6 +13,7 @@ from tessera.functions import text as tx
 from tessera.functions.english import cover_density
 from tessera.functions.vectors import cosine_to
 from tessera.operators.filters import at, comparable, searchable
+from tessera.plans.lineage import kept
 
 # fixed values
 DUPLICATE, CONTRADICTION, CLUSTER, LINK = 0.95, 0.80, 0.88, 0.80
@@ -170,30 +171,62 @@ def ranked(df: DataFrame, by: Column, limit: int, name: str) -> DataFrame:
     return top.select("id", F.row_number().over(Window.orderBy("__by", "id")).alias(name))
 
 
+def first_ranks(df: DataFrame, orders: dict[str, Column], limit: int) -> DataFrame:
+    """(kind, id, at): the first `limit` ranks of each kind, by its order (null: not ranked) and then the id, in one pass
+    over df. Each task sends on `limit` rows a kind at most."""
+    each = F.array(*[F.when(by.isNotNull(), F.struct(F.lit(kind).alias("kind"), by.cast("double").alias("by"))) for kind, by in orders.items()])
+    rows = df.select("id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("id", "x.kind", "x.by")
+    at = F.row_number().over(Window.partitionBy("kind").orderBy("by", "id"))
+    return rows.withColumn("at", at).where(F.col("at") <= limit)
+
+
+def fused_ranks(ranks: DataFrame) -> DataFrame:
+    """(id, v, t): reciprocal ranks of the kinds v and t, 0 where one lacks the id; ranks are few."""
+    part = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.lit(1.0) / (RRF_K + F.col("at")))), F.lit(0.0)).alias(kind)
+    return ranks.where(F.col("kind").isin("v", "t")).groupBy("id").agg(part("v"), part("t"))
+
+
+def _text_side(pool: DataFrame, query: str, english: bool, index) -> tuple[DataFrame, Column]:
+    """pool and the order of its text rank, null where the text doesn't match; with a text index no text is read."""
+    if index is not None:
+        said = index.matches(query).select("id", F.col("rank").alias("__said"))
+        return pool.join(said, "id", "left"), -F.col("__said")
+    if english:
+        return pool.withColumn("__said", cover_density("content", query)), -F.col("__said")
+    ok, count = matches("content", query)
+    return pool, F.when(ok, -count)
+
+
 def fused(vector_ranks: DataFrame, text_ranks: DataFrame) -> DataFrame:
     """(id, v, t): reciprocal ranks of both sides, 0 where one lacks the id."""
     part = lambda c: F.coalesce(F.lit(1.0) / (RRF_K + F.col(c)), F.lit(0.0))
     return vector_ranks.join(text_ranks, "id", "full").select("id", part("vr").alias("v"), part("tr").alias("t"))
 
 
-def hybrid_rules(rules: DataFrame, vector: Sequence[float], query: str, k: int, as_of: str, project: int | None = None, only: DataFrame | None = None, english: bool = False) -> DataFrame:
+def hybrid_rules(rules: DataFrame, vector: Sequence[float], query: str, k: int, as_of: str, project: int | None = None, only: DataFrame | None = None, english: bool = False, text_index=None) -> DataFrame:
     """Rules by weighted fusion of vector rank, text rank, category, age and hits, times weight and the project's boost.
 
     `only` narrows the candidates (project, tags and so on); the largest hit count is taken over all of `rules`, old
     ones too. Without words in the query it is a vector search. `english` matches stems without stop words and ranks by
-    cover density.
+    cover density; a TextIndex over the rules gives the text ranks (by its own kind of terms) without reading texts.
     """
     if not sanitised(query):
         return vector_top_k((rules if only is None else only).where(searchable(as_of)), vector, k, project)
     k = max(1, k)
     pool = (rules if only is None else only).where(searchable(as_of))
-    near = ranked(pool.where(F.col("embedding").isNotNull()), -cosine_to("embedding", vector), k * OVERFETCH, "vr")
-    said = ranked(*said_order(pool, query, english), k * OVERFETCH, "tr")
-    most = rules.agg(F.greatest(F.max("hit_count"), F.lit(1)).alias("most"))  # one row
-    rows = pool.join(F.broadcast(fused(near, said)), "id").crossJoin(F.broadcast(most))  # 6k rows at most, and one row
+    # ranks of both sides and, where all rules are looked at anyway, the largest hit count, in one pass
+    seen, text = _text_side(rules if only is None else pool, query, english, text_index)
+    mine = searchable(as_of) if only is None else F.lit(True)
+    orders = {"v": F.when(mine & F.col("embedding").isNotNull(), -cosine_to("embedding", vector)), "t": F.when(mine, text)}
+    if only is None:
+        orders["m"] = -F.coalesce("hit_count", F.lit(0))
+    ranks = kept(first_ranks(seen, orders, k * OVERFETCH))  # 9k rows at most
+    top = ranks.where("kind = 'm' AND at = 1").select((-F.col("by")).alias("m")) if only is None else rules.select(F.col("hit_count").alias("m"))
+    most = top.agg(F.greatest(F.max("m"), F.lit(1)).alias("most"))  # one row
+    rows = pool.join(F.broadcast(fused_ranks(ranks)), "id").crossJoin(F.broadcast(most))  # 6k rows at most, and one row
     by = lambda table: F.element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.col("category"))
-    seen = F.coalesce("last_used_at", "created_at")
-    age = (F.unix_micros(at(as_of).cast("timestamp")) - F.unix_micros(seen.cast("timestamp"))) / 86_400_000_000.0
+    used = F.coalesce("last_used_at", "created_at")
+    age = (F.unix_micros(at(as_of).cast("timestamp")) - F.unix_micros(used.cast("timestamp"))) / 86_400_000_000.0
     total = (
         WEIGHT["vector"] * F.col("v") + WEIGHT["text"] * F.col("t") + WEIGHT["category"] * by(CATEGORY) + WEIGHT["age"] * F.exp(-by(DECAY) * age)
         + WEIGHT["hits"] * F.log1p("hit_count") / F.log1p("most")
@@ -202,14 +235,14 @@ def hybrid_rules(rules: DataFrame, vector: Sequence[float], query: str, k: int,
     return rows.withColumn("score", total * boost).orderBy(F.desc("score"), "id").limit(k).drop("v", "t", "most")
 
 
-def hybrid_chunks(chunks: DataFrame, vector: Sequence[float], query: str, k: int, path: str | None = None, english: bool = False) -> DataFrame:
-    """Chunks by the plain sum of reciprocal ranks; `path` is a LIKE pattern; `english` as in hybrid_rules."""
+def hybrid_chunks(chunks: DataFrame, vector: Sequence[float], query: str, k: int, path: str | None = None, english: bool = False, text_index=None) -> DataFrame:
+    """Chunks by the plain sum of reciprocal ranks; `path` is a LIKE pattern; `english` and text_index as in hybrid_rules."""
     pool = chunks if path is None else chunks.where(F.col("file_path").like(path))
     if not has_words(query):
         return vector_top_k(pool, vector, k)
-    near = ranked(pool.where(F.col("embedding").isNotNull()), -cosine_to("embedding", vector), k * OVERFETCH, "vr")
-    said = ranked(*said_order(pool, query, english), k * OVERFETCH, "tr")
-    scored = fused(near, said).select("id", (F.col("v") + F.col("t")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    seen, text = _text_side(pool, query, english, text_index)
+    ranks = first_ranks(seen, {"v": F.when(F.col("embedding").isNotNull(), -cosine_to("embedding", vector)), "t": text}, k * OVERFETCH)
+    scored = fused_ranks(ranks).select("id", (F.col("v") + F.col("t")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     return pool.join(F.broadcast(scored), "id")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.vectors import cosine, cosine_to
-from tessera.operators import briefing, embed, evaluation, filters, graph, ingest, ledger, retention, retrieval, state, vector_index
+from tessera.operators import briefing, embed, evaluation, filters, graph, ingest, ledger, retention, retrieval, state, text_index, vector_index
 from tessera.plans import schemas
 from tessera.plans.lineage import shared_folder
 from tessera.sources import fixtures as fx
@@ -192,6 +192,33 @@ def hit_count_updates(spark, sf):
     return state.apply_hits(rules, retrieval.hit_updates(hits, R)).join(F.broadcast(hits.select("id")), "id", "left_semi").select("id", "hit_count")
 
 
+def _rule_index(spark, sf, english=False):
+    return text_index.TextIndex.build(fx.rules(spark, sf).select("id", "content"), shared_folder(spark, "text-index"), english)
+
+
+@query(f"SELECT id, len({TOK}) AS n FROM rules WHERE {MATCH}")
+def text_index_match(spark, sf):
+    return _rule_index(spark, sf).matches(WORDS).select("id", F.col("rank").cast("long").alias("n"))
+
+
+@query(f"SELECT id, len({TOK}) AS n FROM rules WHERE {MATCH} ORDER BY n DESC, id LIMIT 25")
+def text_index_topk(spark, sf):
+    return _rule_index(spark, sf).top(WORDS, 25).select("id", F.col("rank").cast("long").alias("n"))
+
+
+@query()
+def text_index_english(spark, sf):
+    """The first 25 rules by cover density, from positions."""
+    return _rule_index(spark, sf, english=True).top("erin thea", 25)
+
+
+@query(f", {HYBRID} SELECT id, round(score, 6) AS score FROM hits")
+def hybrid_indexed(spark, sf):
+    """hybrid_weighted with the text ranks of an index."""
+    got = retrieval.hybrid_rules(fx.rules(spark, sf), query_vector(spark, sf), WORDS, 10, R, project=3, text_index=_rule_index(spark, sf))
+    return got.select("id", r6("score"))
+
+
 def _chunks(spark, sf):
     files = fx.code_files(spark, sf).join(fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), "embedding"), F.col("id") % 500 == F.col("v"))
     return files.select("id", "project_id", "file_path", "content", "embedding")
