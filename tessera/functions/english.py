@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 
 # fixed values: the usual English stop list of full-text search
 STOP = frozenset(
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
-    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had "
-    "having do does did doing a an the and but if or because as until while of at by for with about against between into through "
-    "during before after above below to from up down in out on off over under again further then once here there when where why how "
-    "all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
-)
+    [
+        "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his",
+        "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what",
+        "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has",
+        "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of",
+        "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before", "after", "above", "below", "to",
+        "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+        "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only",
+        "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+    ]
+)
 # fixed values of the published stemmer
 WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", **{w: w for w in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")}}
-DONE = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+DONE = frozenset(["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"])
 STEP2 = {
     "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate",
     "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble",

