@@ -161,3 +161,13 @@ def cover_density(content: str | Column, query: str) -> Column:
         return pd.Series([density(t, terms) for t in texts], dtype="float64").astype(object).where(lambda x: x.notna(), None)
 
     return run(F.col(content) if isinstance(content, str) else content)
+
+
+def cover_density_of(content: str | Column, query: str | Column) -> Column:
+    """cover_density() where each row has a query of its own."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series, queries: pd.Series) -> pd.Series:
+        return pd.Series([density(t, wanted(q or "")) for t, q in zip(texts, queries, strict=True)], dtype="float64").astype(object).where(lambda x: x.notna(), None)
+
+    return run(*(F.col(c) if isinstance(c, str) else c for c in (content, query)))

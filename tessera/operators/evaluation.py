@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import stored
+
 TOLERANCE = 0.02  # fixed value: a metric may fall by so much
 
 
@@ -116,39 +122,123 @@ def compared(current: DataFrame, baseline: DataFrame, tolerance: float = TOLERAN
     return diff(long(current), long(baseline), tolerance)
 
 
-def replay(spark, cases: list[dict], dataset: str, as_of: str, k: int = 10, dim: int = 384) -> tuple[DataFrame, DataFrame]:
-    """(recalls, contexts) of a tape of cases: what each search returned, ready for case_metrics and set_metrics.
+# fixed values: what an event of a tape can be
+EVENTS = ["start_task", "propose_attempt", "log_outcome", "remember_rule", "recall_rules", "get_active_context"]
+OUTCOMES = ["accepted", "rejected", "pending"]
+CASES = """id string, dataset string, events array<struct<kind:string,task_ref:string,description:string,approach:string,attempt_ref:string,outcome:string,reasoning:string,
+    content:string,category:string,label:string,always_inject:boolean,query:string,expected_hits:array<string>,expected_procedural_labels:array<string>>>"""
+
+
+def taped(cases: DataFrame) -> DataFrame:
+    """The events of cases (see CASES), a row each: case_id, dataset, seq (from 0), what the event has, and the reference
+    that an attempt gets: '<task>-a<N>', N from 1."""
+    rows = cases.select(F.col("id").alias("case_id"), "dataset", F.posexplode("events").alias("seq", "e")).select("case_id", "dataset", "seq", "e.*")
+    own = Window.partitionBy("case_id", "task_ref", "kind").orderBy("seq")
+    return rows.withColumn("own_ref", F.when(F.col("kind") == "propose_attempt", F.concat("task_ref", F.lit("-a"), F.row_number().over(own).cast("string"))))
+
+
+def tape_problems(events: DataFrame) -> DataFrame:
+    """(case_id, seq, problem) of events of an unknown kind or outcome, and of references to a task or an attempt that no
+    earlier event of the case made."""
+    made = events.where("kind IN ('start_task', 'propose_attempt')").groupBy("case_id", F.coalesce("own_ref", "task_ref").alias("ref"), "kind").agg(F.min("seq").alias("made"))
+    used = events.where("kind IN ('propose_attempt', 'log_outcome')").select("case_id", "seq", F.when(F.col("kind") == "log_outcome", F.col("attempt_ref")).otherwise(F.col("task_ref")).alias("ref"), F.when(F.col("kind") == "log_outcome", "propose_attempt").otherwise("start_task").alias("kind"))
+    lost = used.join(made, ["case_id", "ref", "kind"], "left").where("made IS NULL OR made > seq")
+    lost = lost.select("case_id", "seq", F.concat(F.when(F.col("kind") == "start_task", "unknown task: ").otherwise("unknown attempt: "), F.coalesce("ref", F.lit("null"))).alias("problem"))
+    known = F.coalesce(F.col("kind").isin(EVENTS), F.lit(False))
+    odd = events.where(~known).select("case_id", "seq", F.concat(F.lit("unknown event: "), F.coalesce("kind", F.lit("null"))).alias("problem"))
+    ended = events.where((F.col("kind") == "log_outcome") & ~F.coalesce(F.col("outcome").isin(OUTCOMES), F.lit(False)))
+    return lost.unionByName(odd).unionByName(ended.select("case_id", "seq", F.concat(F.lit("unknown outcome: "), F.coalesce("outcome", F.lit("null"))).alias("problem")))
 
-    A case has an id and events, in order: {"type": "rule", "label", "category", "content", "tags"?}, {"type": "recall",
-    "query", "expected": labels}, {"type": "context", "expected": labels} (the rules always given). Each case has a
-    project of its own; a search sees the rules before it. Labels that no rule has are misses. Cases are few and their
-    searches depend on what came before, so the driver goes through them one by one.
+
+@dataclass
+class Replay:
+    """What a tape leads to: labels (case_id, label, id: the seq that made it), deduplicated (case_id, label), recalls and
+    contexts (case_id, seq, dataset, expected, returned) for case_metrics and set_metrics, and attempts with their outcomes."""
+
+    labels: DataFrame
+    deduplicated: DataFrame
+    recalls: DataFrame
+    contexts: DataFrame
+    attempts: DataFrame
+
+
+def replay(cases: DataFrame, as_of: str, k: int = 10, dim: int = 384, procedural: bool = False, make: Callable | None = None) -> Replay:
+    """A tape of cases (see CASES) gone through: each case has a project of its own, whose events apply in order.
+
+    A rule is stored unless one that was stored before in the case is as similar as 0.95; a search sees the rules stored
+    before it, and adds a hit to those it returns, which later searches of the case weigh. Labels that no stored rule has
+    are misses. Contexts are the standing rules if `procedural`, else empty. All cases go together: rules are decided in
+    rounds, searches by their number within a case, of which there are few. A tape with problems fails, saying the first.
     """
-    from tessera.operators.embed import hashed as hashed_vector
-    from tessera.operators import ledger, retrieval
+    from tessera.functions.english import cover_density_of
+    from tessera.functions.vectors import cosine
+    from tessera.operators import embed, ledger, retrieval
     from tessera.operators.filters import at
-    from tessera.plans.schemas import SCHEMAS
-
-    schema = SCHEMAS["semantic_rules"]
-    recalls, contexts = [], []
-    for project, case in enumerate(cases, 1):
-        rules, label = [], {}
-        for event in case["events"]:
-            kind = event["type"]
-            if kind == "rule":
-                i = len(rules) + 1
-                label[event["label"]] = i
-                row = {"id": i, "project_id": project, "category": event["category"], "content": event["content"], "embedding": [float(x) for x in hashed_vector(event["content"], dim)], "tags": event.get("tags", []), "hit_count": 0, "weight": 1.0, "is_always_injected": event["category"] == "instruction"}
-                rules.append(tuple(row.get(f.name) for f in schema.fields))
-                continue
-            if kind not in ("recall", "context"):
-                raise ValueError(f"unknown event: {kind}")
-            table = spark.createDataFrame(rules, schema).withColumns({"created_at": at(as_of), "valid_from": at(as_of)})
-            if kind == "recall":
-                got = [r["id"] for r in retrieval.hybrid_rules(table, hashed_vector(event["query"], dim), event["query"], k, as_of, project, english=True).collect()]
-            else:
-                got = [r["id"] for r in ledger.injected(table, as_of).collect()]
-            want = [label.get(x, -1 - n) for n, x in enumerate(event["expected"])]
-            (recalls if kind == "recall" else contexts).append((case["id"], dataset, want, got))
-    kind = "case_id string, dataset string, expected array<long>, returned array<long>"
-    return spark.createDataFrame(recalls, kind), spark.createDataFrame(contexts, kind)
+
+    events = stored(taped(cases), "tape")
+    for p in tape_problems(events).orderBy("case_id", "seq").limit(1).collect():
+        raise ValueError(f"case {p['case_id']}, event {p['seq']}: {p['problem']}")
+    make = make or (lambda: embed.provider("hashed", dim))
+    said = events.where("kind = 'remember_rule'").select("case_id", "seq", "label", "content", "category", F.coalesce("always_inject", F.col("category") == "instruction").alias("is_always_injected"))
+    # an id a rule: cases in the order of their ids, events in theirs
+    numbered = events.select("case_id").distinct().select("case_id", F.xxhash64("case_id").alias("project_id"))
+    rules = embed.embed(said.join(numbered, "case_id"), make=make).withColumn("id", F.concat("case_id", F.lit("#"), F.lpad(F.col("seq").cast("string"), 10, "0")))
+    rules = stored(rules, "tape-rules")
+    near = retrieval.similar_pairs(rules.select("id", "project_id", "embedding"), retrieval.DUPLICATE, "project_id")
+    taken = retrieval.first_independent(rules.select("id"), near.select(F.col("b").alias("id"), F.col("a").alias("earlier")))
+    rules = stored(rules.join(taken, "id"), "taped-rules")
+    kept_rules, copies = rules.where("stored").drop("stored", "id"), rules.where("NOT stored").select("case_id", "label")
+
+    order = Window.partitionBy("case_id").orderBy("seq")
+    asked = events.where("kind = 'recall_rules'").select("case_id", "dataset", "seq", "query", F.col("expected_hits").alias("expected"), F.row_number().over(order).alias("number"))
+    asked = stored(embed.embed(asked, "query", "asked", make), "tape-recalls")
+    most = asked.agg(F.max("number")).first()[0] or 0
+    hits = kept_rules.select("case_id", F.col("seq").alias("rule"), F.lit(0).cast("long").alias("hits"))
+    found = []
+    for number in range(1, most + 1):
+        q = asked.where(F.col("number") == number).select("case_id", F.col("seq").alias("at"), "query", "asked")
+        pairs = kept_rules.join(q, "case_id").where("seq < at").withColumnRenamed("seq", "rule").join(hits, ["case_id", "rule"])
+        pairs = pairs.withColumns({"sim": cosine("embedding", "asked"), "said": cover_density_of("content", "query")})
+        within = Window.partitionBy("case_id")
+        rank = lambda by: F.when(by.isNotNull(), F.row_number().over(within.orderBy(by.asc_nulls_last(), "rule")))
+        pairs = pairs.withColumns({"v": rank(-F.col("sim")), "t": rank(-F.col("said")), "most": F.greatest(F.max("hits").over(within), F.lit(1))})
+        part = lambda c: F.when(F.col(c) <= k * retrieval.OVERFETCH, 1.0 / (retrieval.RRF_K + F.col(c))).otherwise(0.0)
+        weight = F.element_at(F.create_map(*[F.lit(x) for p in retrieval.CATEGORY.items() for x in p]), F.col("category"))
+        w = retrieval.WEIGHT
+        fused = w["vector"] * part("v") + w["text"] * part("t") + w["category"] * weight + w["age"] + w["hits"] * F.log1p("hits") / F.log1p("most")
+        words = F.regexp_replace("query", r"['\\\\:&|!()\s]", "") != ""
+        either = (F.coalesce("v", F.lit(1 << 30)) <= k * retrieval.OVERFETCH) | (F.coalesce("t", F.lit(1 << 30)) <= k * retrieval.OVERFETCH)
+        pairs = pairs.withColumn("score", F.when(words, fused).otherwise(F.col("sim"))).where(either)
+        pairs = pairs.withColumn("rank", F.row_number().over(within.orderBy(F.desc("score"), "rule"))).where(F.col("rank") <= k)
+        got = stored(pairs.select("case_id", "at", "rule", "rank"), "tape-hits")
+        found.append(got)
+        if number < most:
+            more = got.select("case_id", "rule", F.lit(1).alias("one"))
+            hits = stored(hits.join(more, ["case_id", "rule"], "left").select("case_id", "rule", (F.col("hits") + F.coalesce("one", F.lit(0))).alias("hits")), "tape-counts")
+    kind = "case_id string, at int, rule int, rank int"
+    returned = reduce(DataFrame.unionByName, found, cases.sparkSession.createDataFrame([], kind))
+
+    contexts = events.where("kind = 'get_active_context'").select("case_id", "dataset", "seq", F.col("expected_procedural_labels").alias("expected"))
+    standing = kept_rules.join(contexts.select("case_id", F.col("seq").alias("at")), "case_id").where("seq < at" if procedural else "false")
+    now = {"created_at": at(as_of), "valid_from": at(as_of), "valid_until": F.lit(None).cast("timestamp_ntz"), "expires_at": F.lit(None).cast("timestamp_ntz")}
+    standing = standing.withColumns(now | {"project_id": F.struct("case_id", "at"), "id": F.col("seq")})
+    given = ledger.injected(standing, as_of).select("project_id.case_id", "project_id.at", F.col("id").alias("rule"), F.col("id").alias("rank"))
+
+    last = Window.partitionBy("case_id", "label").orderBy(F.desc("seq"))
+    of_rule = kept_rules.select("case_id", "label", F.col("seq").alias("id"))
+    made = events.where("kind IN ('start_task', 'propose_attempt')").select("case_id", F.when(F.col("kind") == "start_task", F.concat(F.lit("task-"), "task_ref")).otherwise(F.concat(F.lit("attempt-"), "own_ref")).alias("label"), F.col("seq").alias("id"))
+    labels = of_rule.unionByName(made).withColumn("n", F.row_number().over(last.orderBy(F.desc("id")))).where("n = 1").drop("n")
+
+    def resolved(asks: DataFrame, answers: DataFrame) -> DataFrame:
+        """Expected labels as ids (below zero for those of no rule), and what came back in the order of ranks."""
+        each = asks.select("case_id", "dataset", "seq", F.posexplode_outer("expected").alias("n", "label")).join(labels, ["case_id", "label"], "left")
+        want = F.when(F.col("n").isNotNull(), F.struct("n", F.coalesce(F.col("id"), -1 - F.col("n")).cast("long").alias("id")))
+        wanted = each.groupBy("case_id", "dataset", "seq").agg(F.transform(F.array_sort(F.collect_list(want)), lambda x: x["id"]).alias("expected"))
+        back = answers.groupBy("case_id", F.col("at").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("rule").cast("long").alias("rule")))), lambda x: x["rule"]).alias("returned"))
+        return wanted.join(back, ["case_id", "seq"], "left").withColumn("returned", F.coalesce("returned", F.array().cast("array<long>")))
+
+    outcomes = events.where("kind = 'log_outcome'").select("case_id", F.col("attempt_ref").alias("own_ref"), "seq", "outcome", "reasoning")
+    newest = Window.partitionBy("case_id", "own_ref").orderBy(F.desc("seq"))
+    outcomes = outcomes.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "seq")
+    attempts = events.where("kind = 'propose_attempt'").select("case_id", "task_ref", "own_ref", "approach").join(outcomes, ["case_id", "own_ref"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("pending")))
+    return Replay(labels, copies, resolved(asked, returned), resolved(contexts, given), attempts)

@@ -13,7 +13,7 @@ from tessera.functions import text as tx
 from tessera.functions.english import cover_density
 from tessera.functions.vectors import cosine_to
 from tessera.operators.filters import at, comparable, searchable
-from tessera.plans.lineage import kept
+from tessera.plans.lineage import kept, stored
 
 # fixed values
 DUPLICATE, CONTRADICTION, CLUSTER, LINK = 0.95, 0.80, 0.88, 0.80
@@ -346,32 +346,58 @@ def rule_chunk_links(rules: DataFrame, chunks: DataFrame, vector: Sequence[float
     return rules.where(own).select(F.col("id").alias("rule_id")).crossJoin(F.broadcast(near))
 
 
+def first_independent(nodes: DataFrame, before: DataFrame) -> DataFrame:
+    """(id, stored): which nodes are taken if they are gone through in order and one with a taken neighbour before it isn't.
+
+    before (id, earlier) has each pair of neighbours once, by the later and the earlier one. Decided in rounds for all
+    nodes at once: a node is out as soon as one before it is in, and in when all before it are out; what is decided is
+    joined no more. The rounds are as many as the longest chain of neighbours that alternate, not as the nodes.
+    """
+    state = nodes.select("id", F.lit(True).alias("stored")).join(before.select("id").distinct(), "id", "left_anti")
+    open_ = stored(before, "open-pairs")
+    taken = stored(state, "taken")
+    done = [taken]
+    while not open_.isEmpty():
+        out = stored(open_.join(taken.select(F.col("id").alias("earlier")), "earlier", "left_semi").select("id").distinct(), "left-out")
+        # pairs of what is out tell no more, as the later or as the earlier one
+        rest = open_.join(out, "id", "left_anti")
+        waits = stored(rest.join(out.select(F.col("id").alias("earlier")), "earlier", "left_anti").select("id", "earlier"), "open-pairs")
+        taken = stored(rest.select("id").distinct().join(waits.select("id").distinct(), "id", "left_anti"), "taken")
+        done += [out.select("id", F.lit(False).alias("stored")), taken.select("id", F.lit(True).alias("stored"))]
+        open_ = waits
+    decided = done[0].select("id", F.lit(True).alias("stored"))
+    for d in done[1:]:
+        decided = decided.unionByName(d)
+    return decided
+
+
 def insert_decisions(new: DataFrame, existing: DataFrame, duplicate: float = DUPLICATE, low: float = CONTRADICTION) -> DataFrame:
     """For new rules (id, project_id, content, embedding), in the order of their ids: stored or not, and why.
 
     A rule isn't stored if a stored one of its project is as similar as `duplicate`, earlier new ones that were stored
-    included; if stored, those from `low` on contradict it. One project is decided in one task, over the similarities
-    of the new rules alone: those to existing ones are found in parallel before.
+    included; if stored, those from `low` on contradict it: (project_id, id, stored, duplicates, contradictions), five
+    of each at most, the most similar first. Similarities are found in blocks and decided in rounds, so no project and no
+    rule is a task of its own.
     """
-    pool = existing.where(comparable()).select("id", "project_id", "embedding", F.lit(0).alias("fresh"))
-    both = pool.unionByName(new.select("id", "project_id", "embedding", F.lit(1).alias("fresh")))
+    pool = existing.where(comparable()).select("id", "project_id", "embedding", F.lit(False).alias("fresh"))
+    both = pool.unionByName(new.select("id", "project_id", "embedding", F.lit(True).alias("fresh")))
+    pairs = similar_pairs(both.withColumnRenamed("project_id", "p"), low, "p", fresh="fresh")
+    seen = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
     fresh = new.select("id", "project_id")
-    pairs = similar_pairs(both.withColumnRenamed("project_id", "p").withColumn("fresh", F.col("fresh") == 1), low, "p", fresh="fresh")
-    old = pool.select(F.col("id").alias("x"))
-    seen = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    seen = seen.join(fresh.withColumnRenamed("id", "a"), "a").join(old, F.col("b") == F.col("x"), "left").select("a", "project_id", "b", "similarity", F.col("x").isNotNull().alias("old"))
-    rows = fresh.join(seen.groupBy("a").agg(F.collect_list(F.struct("b", "similarity", "old")).alias("near")), F.col("id") == F.col("a"), "left").select("project_id", "id", "near")
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        stored, out = set(), []
-        for p, i, near in pdf.sort_values("id").itertuples(index=False):
-            near = [(n["b"], n["similarity"]) for n in (near if near is not None else []) if n["old"] or n["b"] in stored]
-            near.sort(key=lambda x: (-x[1], x[0]))
-            dup = [b for b, s in near if s >= duplicate][:5]
-            if not dup:
-                stored.add(i)
-            out.append((p, i, not dup, dup, [] if dup else [b for b, _ in near][:5]))
-        return pd.DataFrame(out, columns=["project_id", "id", "stored", "duplicates", "contradictions"])
-
-    return rows.groupBy("project_id").applyInPandas(decide, "project_id long, id long, stored boolean, duplicates array<long>, contradictions array<long>")
-
+    seen = seen.join(fresh.select("id"), "id", "left_semi").join(pool.select(F.col("id").alias("other"), F.lit(True).alias("old")), "other", "left")
+    seen = stored(seen.withColumn("old", F.coalesce("old", F.lit(False))).where("old OR other < id"), "near-rules")
+    close = seen.where(F.col("similarity") >= duplicate)
+    known = stored(close.where("old").select("id").distinct(), "known-duplicates")
+    free = fresh.join(known, "id", "left_anti")
+    # what duplicates an old rule is out from the start, and neither waits nor makes others wait
+    between = close.where("NOT old").join(known, "id", "left_anti").join(known.select(F.col("id").alias("other")), "other", "left_anti")
+    state = stored(first_independent(free, between.select("id", F.col("other").alias("earlier"))), "decisions")
+    state = state.unionByName(known.select("id", F.lit(False).alias("stored")))
+    near = seen.join(state.where("stored").select(F.col("id").alias("other"), F.lit(True).alias("in")), "other", "left").where("old OR `in`")
+    near = near.join(state, "id").where(F.col("stored") | (F.col("similarity") >= duplicate))
+    first = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    near = near.withColumn("at", F.row_number().over(first)).where("at <= 5")
+    lists = near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "other"))), lambda x: x["other"]).alias("near"))  # five at most
+    none = F.array().cast("array<long>")
+    out = fresh.join(state, "id").join(lists, "id", "left").withColumn("near", F.coalesce("near", none))
+    return out.select("project_id", "id", "stored", F.when(F.col("stored"), none).otherwise(F.col("near")).alias("duplicates"), F.when(F.col("stored"), F.col("near")).otherwise(none).alias("contradictions"))

@@ -90,10 +90,41 @@ def duplicate_rules(spark, sf):
     return retrieval.similar_pairs(fx.rules(spark, sf).where(filters.comparable()), 0.25, "project_id").select("a", "b", r6("similarity"))
 
 
-@query()
+def _decisions_sql(rounds: int = 6) -> str:
+    """The rounds of the decisions written one after another; more than the test tables need."""
+    sql = [""", n AS (SELECT * FROM rules WHERE id % 10 = 1), o AS (SELECT * FROM rules WHERE id % 10 <> 1 AND valid_until IS NULL),
+    pool AS (SELECT id, project_id, embedding, false AS old FROM n UNION ALL SELECT id, project_id, embedding, true FROM o),
+    near AS (SELECT a.id, b.id AS other, b.old, list_cosine_similarity(a.embedding, b.embedding) AS s FROM n a JOIN pool b ON a.project_id = b.project_id AND (b.old OR b.id < a.id) WHERE s >= 0.2),
+    known AS (SELECT DISTINCT id FROM near WHERE old AND s >= 0.3), e AS (SELECT id, other FROM near WHERE NOT old AND s >= 0.3 AND id NOT IN (FROM known) AND other NOT IN (FROM known)),
+    in0 AS (SELECT id FROM n WHERE id NOT IN (FROM known) AND id NOT IN (SELECT id FROM e)), out0 AS (SELECT id FROM known)"""]
+    for r in range(rounds):
+        sql.append(f"out{r + 1} AS (SELECT id FROM out{r} UNION SELECT id FROM e WHERE other IN (FROM in{r}))")
+        sql.append(f"in{r + 1} AS (SELECT id FROM in{r} UNION SELECT id FROM e WHERE id NOT IN (FROM out{r + 1}) GROUP BY id HAVING bool_and(other IN (FROM out{r + 1})))")
+    say = lambda c: f"coalesce(string_agg(CASE WHEN {c} THEN CAST(other AS VARCHAR) END, ',' ORDER BY s DESC, other), '')"
+    sql.append(f"""t AS (SELECT near.id, other, s, near.id IN (FROM in{rounds}) AS stored FROM near WHERE (old OR other IN (FROM in{rounds})) AND (near.id IN (FROM in{rounds}) OR s >= 0.3) QUALIFY row_number() OVER (PARTITION BY near.id ORDER BY s DESC, other) <= 5)
+    SELECT n.project_id, n.id, n.id IN (FROM in{rounds}) AS stored, {say('NOT t.stored')} AS duplicates, {say('t.stored')} AS contradictions FROM n LEFT JOIN t USING (id) GROUP BY n.project_id, n.id""")
+    return ", ".join(sql)
+
+
+@query(_decisions_sql())
 def insert_decisions(spark, sf):
     rows = fx.rules(spark, sf)
-    return retrieval.insert_decisions(rows.where("id % 10 = 1"), rows.where("id % 10 <> 1"), 0.3, 0.2)
+    got = retrieval.insert_decisions(rows.where("id % 10 = 1"), rows.where("id % 10 <> 1"), 0.3, 0.2)
+    return got.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("duplicates", "contradictions")})
+
+
+@query()
+def replay_documents(spark, sf):
+    """A tape of ten documents a case: each is a rule, and the first words of two are asked for."""
+    d = fx.table(spark, sf, "documents").where("text IS NOT NULL").withColumn("case", F.expr("doc_id div 10"))
+    rule = F.struct(F.lit("remember_rule").alias("kind"), F.col("text").alias("content"), F.element_at(F.array(*map(F.lit, retrieval.CATEGORY)), (F.col("doc_id") % 5 + 1).cast("int")).alias("category"), F.concat(F.lit("d"), F.col("doc_id")).alias("label"), F.lit(None).cast("string").alias("query"), F.lit(None).cast("array<string>").alias("expected_hits"))
+    asks = F.struct(F.lit("recall_rules").alias("kind"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("label"), F.substring_index("text", " ", 2).alias("query"), F.array(F.concat(F.lit("d"), F.col("doc_id"))).alias("expected_hits"))
+    each = d.select("case", F.explode(F.when(F.col("doc_id") % 5 == 0, F.array(F.struct(F.lit(0).alias("o"), "doc_id", rule.alias("e")), F.struct(F.lit(1).alias("o"), "doc_id", asks.alias("e")))).otherwise(F.array(F.struct(F.lit(0).alias("o"), "doc_id", rule.alias("e"))))).alias("x"))
+    tape = each.groupBy("case").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("events"))  # twelve events at most
+    null = lambda c, t="string": F.lit(None).cast(t).alias(c)
+    events = F.transform("events", lambda e: F.struct(e["kind"].alias("kind"), null("task_ref"), null("description"), null("approach"), null("attempt_ref"), null("outcome"), null("reasoning"), e["content"].alias("content"), e["category"].alias("category"), e["label"].alias("label"), null("always_inject", "boolean"), e["query"].alias("query"), e["expected_hits"].alias("expected_hits"), null("expected_procedural_labels", "array<string>")))
+    run = evaluation.replay(tape.select(F.concat(F.lit("case-"), "case").alias("id"), F.lit("documents").alias("dataset"), events.alias("events")), R)
+    return evaluation.case_metrics(run.recalls)
 
 
 def _asked(spark, sf):

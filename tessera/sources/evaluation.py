@@ -7,10 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators.evaluation import METRICS, SHAPE
+from tessera.operators.evaluation import CASES, METRICS, SHAPE
 
 VERSION = 1
-_CASE = {"id", "events"}
 _BASELINE = {"version", "metadata", "datasets"}
 
 
@@ -28,16 +27,13 @@ def _known(what: str, value: object, allowed: set[str], needed: set[str]) -> dic
     return value
 
 
-def read_cases(path: str) -> list[dict]:
-    """Cases of a JSON array: each with an id and events, of which one at least is a search."""
-    cases = json.loads(Path(path).read_text(encoding="utf-8"))
-    if not isinstance(cases, list):
-        raise FormatError("cases are an array")
-    for case in cases:
-        _known("a case", case, _CASE | {"description"}, _CASE)
-        if not case["id"] or not any(e.get("type") in ("recall", "context") for e in case["events"]):
-            raise FormatError(f"case {case['id']!r}: no id, or nothing to score")
-    return cases
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of JSON arrays in files that Spark reads (see evaluation.CASES): each with an id, a dataset and events."""
+    raw = spark.read.schema(CASES + ", _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+    broken = raw.select("*").where("_broken IS NOT NULL OR coalesce(id, '') = '' OR dataset IS NULL OR events IS NULL").select("id").limit(1).collect()
+    if broken:
+        raise FormatError(f"case {broken[0]['id']!r}: not a case with an id, a dataset and events")
+    return raw.drop("_broken")
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:

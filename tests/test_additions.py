@@ -164,15 +164,16 @@ def test_step_texts(spark):
 
 
 TAPE = [
-    {"id": "one", "events": [{"type": "rule", "label": "tabs", "category": "preference", "content": "indent with tabs"}, {"type": "rule", "label": "tests", "category": "instruction", "content": "run the tests before a commit"},
-                             {"type": "recall", "query": "running tests", "expected": ["tests"]}, {"type": "context", "expected": ["tests"]}]},
-    {"id": "two", "events": [{"type": "recall", "query": "anything", "expected": []}, {"type": "rule", "label": "x", "category": "fact", "content": "the sky is blue"}, {"type": "recall", "query": "blue skies", "expected": ["x", "unknown"]}]},
+    {"id": "one", "dataset": "own", "events": [{"kind": "remember_rule", "label": "tabs", "category": "preference", "content": "indent with tabs"}, {"kind": "remember_rule", "label": "tests", "category": "instruction", "content": "run the tests before a commit"},
+                             {"kind": "recall_rules", "query": "running tests", "expected_hits": ["tests"]}, {"kind": "get_active_context", "expected_procedural_labels": ["tests"]}]},
+    {"id": "two", "dataset": "own", "events": [{"kind": "recall_rules", "query": "anything", "expected_hits": []}, {"kind": "remember_rule", "label": "x", "category": "fact", "content": "the sky is blue"}, {"kind": "recall_rules", "query": "blue skies", "expected_hits": ["x", "unknown"]}]},
 ]
 
 
 def test_replay_and_baseline(spark, tmp_path):
     (tmp_path / "cases.json").write_text(json.dumps(TAPE))
-    recalls, contexts = evaluation.replay(spark, files.read_cases(str(tmp_path / "cases.json")), "own", NOW)
+    run = evaluation.replay(files.read_cases(spark, str(tmp_path / "cases.json")), NOW, procedural=True)
+    recalls, contexts = run.recalls, run.contexts
     got = evaluation.summarised(evaluation.case_metrics(recalls), evaluation.set_metrics(contexts))
     r = got.first()
     # case one returns both rules, the wanted one first; case two passes its negative, then finds one of two
@@ -193,7 +194,7 @@ def test_replay_and_baseline(spark, tmp_path):
             files.read_baseline(spark, str(tmp_path / "broken.json"))
     (tmp_path / "broken.json").write_text(json.dumps([{"id": "a", "events": [], "x": 1}]))
     with pytest.raises(files.FormatError):
-        files.read_cases(str(tmp_path / "broken.json"))
+        files.read_cases(spark, str(tmp_path / "broken.json"))
 
 
 def test_ignore_rules(spark, tmp_path):
