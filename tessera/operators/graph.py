@@ -163,7 +163,8 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
 
 
 def community_sizes(members: DataFrame) -> DataFrame:
-    return members.groupBy("community_id").agg(F.count(F.lit(1)).alias("n"))
+    """(community_id, n), the largest first."""
+    return members.groupBy("community_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "community_id")
 
 
 def affected_communities(chunks: DataFrame, files: DataFrame) -> DataFrame:

@@ -127,11 +127,15 @@ def project_kpis(projects: DataFrame, tasks: DataFrame, attempts: DataFrame, rul
     )
 
 
-def follow_ups(tasks: DataFrame) -> DataFrame:
-    """(parent_id, child_id, project_id): children made after their completed parent was finished."""
+def follow_ups(tasks: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(parent_id, child_id, project_id): children made after their completed parent was finished, but those that links
+    (source_task_id, target_task_id) already has."""
     p = tasks.where("status = 'completed' and completed_at is not null").select(F.col("id").alias("parent_id"), "project_id", F.col("completed_at").alias("finished"))
     c = tasks.where("parent_task_id is not null").select(F.col("id").alias("child_id"), F.col("parent_task_id").alias("parent_id"), F.col("created_at").alias("made"))
-    return p.join(c, "parent_id").where("made > finished").select("parent_id", "child_id", "project_id")
+    found = p.join(c, "parent_id").where("made > finished").select("parent_id", "child_id", "project_id")
+    if links is None:
+        return found
+    return found.join(links.select(F.col("source_task_id").alias("parent_id"), F.col("target_task_id").alias("child_id")), ["parent_id", "child_id"], "left_anti")
 
 
 def rejection_events(attempts: DataFrame, threshold: int) -> DataFrame:

@@ -80,6 +80,11 @@ def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: i
     return rows.groupBy("g", "lo", "hi").applyInPandas(_block_pairs(low), f"a {kind}, b {kind}, similarity double")
 
 
+def top_pairs(df: DataFrame, low: float = CLUSTER, k: int = 20, within: str | None = None, digits: int = 12) -> DataFrame:
+    """The k most similar pairs of similar_pairs(), as a report shows them; ids break ties."""
+    return similar_pairs(df, low, within).orderBy(F.desc(F.round("similarity", digits)), "a", "b").limit(k)
+
+
 def _fresh_pairs(df: DataFrame, low: float, within: str | None, block: int, col: str, fresh: str) -> DataFrame:
     rows = df.where(F.col(col).isNotNull()).select((F.col(within) if within else F.lit(0)).alias("g"), "id", F.col(col).alias("v"), F.col(fresh).alias("fresh"))
     blocks = lambda c, name: F.ceil(F.count_if(c) / block).cast("int").alias(name)

@@ -17,6 +17,8 @@ from tessera.sources import fixtures as fx
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 R, T, E = fx.RULES_AS_OF, fx.LEDGER_AS_OF, fx.EVENTS_AS_OF
+#: When some entries have expired and others haven't.
+LATER = "2024-02-08 00:00:00"
 #: Thresholds that the test vectors reach (their highest similarity is about a half).
 LOW, HIGH = 0.15, 0.35
 WORDS = "the that"
@@ -84,6 +86,11 @@ def duplicate_pairs(spark, sf):
     return retrieval.similar_pairs(fx.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), HIGH).select("a", "b", r6("similarity"))
 
 
+@query(", v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.id < b.id ORDER BY round(list_cosine_similarity(a.e, b.e), 12) DESC, a.id, b.id LIMIT 20")
+def duplicate_pairs_top(spark, sf):
+    return retrieval.top_pairs(fx.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), 0.2).select("a", "b", r6("similarity"))
+
+
 @query("""SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM rules a JOIN rules b
     ON a.project_id = b.project_id AND a.id < b.id WHERE a.valid_until IS NULL AND b.valid_until IS NULL AND list_cosine_similarity(a.embedding, b.embedding) >= 0.25""")
 def duplicate_rules(spark, sf):
@@ -297,7 +304,7 @@ def rules_list_tags_all(spark, sf):
 
 @query("SELECT p.name, r.id, r.category FROM rules r LEFT JOIN projects p ON r.project_id = p.id WHERE r.category = 'lesson'")
 def rules_with_project(spark, sf):
-    p = F.broadcast(fx.projects(spark, sf).select(F.col("id").alias("project_id"), "name"))  # one row a nation: 25
+    p = fx.projects(spark, sf).select(F.col("id").alias("project_id"), "name")
     return filters.rules_where(fx.rules(spark, sf), category="lesson").join(p, "project_id", "left").select("name", "id", "category")
 
 
@@ -461,6 +468,14 @@ def follow_up_inference(spark, sf):
     return ledger.follow_ups(fx.tasks(spark, sf)).select("parent_id", "child_id")
 
 
+@query(f", {FOLLOW} SELECT parent_id, child_id FROM f WHERE child_id % 2 = 1")
+def follow_up_links(spark, sf):
+    """Follow-ups that aren't linked yet; those of children of even ids are."""
+    t = fx.tasks(spark, sf)
+    have = t.where("id % 2 = 0").select(F.col("parent_task_id").alias("source_task_id"), F.col("id").alias("target_task_id"))
+    return ledger.follow_ups(t, have).select("parent_id", "child_id")
+
+
 @query(f", {FOLLOW} SELECT t.project_id, count(*) FILTER (status = 'completed') AS completed, CASE WHEN count(*) FILTER (status = 'completed') > 0 THEN (SELECT count(DISTINCT parent_id) FROM f WHERE f.project_id = t.project_id) * 100 // count(*) FILTER (status = 'completed') ELSE 0 END AS rate FROM tasks t GROUP BY t.project_id")
 def followups_rate(spark, sf):
     t = fx.tasks(spark, sf)
@@ -495,9 +510,9 @@ def scratch_live(spark, sf):
     return state.upsert_scratch(None, fx.scratch_writes(spark, sf)).where(filters.live(E)).select("project_id", "key", "value")
 
 
-@query(LWW + f" SELECT project_id, key, expires_at FROM e WHERE expires_at <= TIMESTAMP '{E}'")
+@query(LWW + f" SELECT project_id, key, expires_at FROM e WHERE expires_at <= TIMESTAMP '{LATER}'")
 def scratch_expired(spark, sf):
-    return state.upsert_scratch(None, fx.scratch_writes(spark, sf)).where(~filters.live(E)).select("project_id", "key", "expires_at")
+    return state.upsert_scratch(None, fx.scratch_writes(spark, sf)).where(~filters.live(LATER)).select("project_id", "key", "expires_at")
 
 
 @query(f""", p AS (SELECT *, CASE WHEN outcome = 'pending' THEN row_number() OVER (PARTITION BY task_id, outcome = 'pending' ORDER BY created_at DESC, approach_summary DESC, reasoning DESC) END AS rn FROM attempts)
@@ -726,21 +741,16 @@ def shortest_path_len(spark, sf):
 
 # -- evaluation and briefings -----------------------------------------------------------------------------------------
 
-EVAL = """, v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE id < 20),
+EVAL = """, v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v WHERE id % 50 = 0),
 top AS (SELECT q.id AS q, q.label AS want, v.label AS got, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.id) AS rn FROM q, v WHERE q.id <> v.id QUALIFY rn <= 10),
 n AS (SELECT q.id AS q, count(*) AS expected FROM q JOIN v ON q.label = v.label AND q.id <> v.id GROUP BY q.id),
 m AS (SELECT q, count(*) FILTER (want = got) / 10.0::DOUBLE AS p, count(*) FILTER (want = got)::DOUBLE / any_value(expected) AS r, coalesce(1.0::DOUBLE / min(rn) FILTER (want = got), 0) AS rr FROM top JOIN n USING (q) GROUP BY q)"""
 
 
 def _eval_cases(spark, sf):
-    """The ten nearest of twenty query vectors, and all of their label: the queries are a fixed set, sent to every task."""
+    """Every vector whose id is divisible by 50 is a case, against all."""
     v = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    q = F.broadcast(v.where("id < 20").select(F.col("id").alias("case_id"), F.col("label").alias("want"), F.col("embedding").alias("q")))  # twenty rows
-    near = q.join(v, F.col("case_id") != F.col("id")).select("case_id", "want", "id", "label", cosine("embedding", "q").alias("s"))
-    top = near.withColumn("rn", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("s"), "id"))).where("rn <= 10")
-    top = top.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda r: r["id"]).alias("returned"))
-    want = q.join(v, (F.col("want") == F.col("label")) & (F.col("case_id") != F.col("id"))).groupBy("case_id").agg(F.collect_list("id").alias("expected"))
-    return top.join(want, "case_id").select("case_id", F.lit("vectors").alias("dataset"), "expected", "returned")
+    return evaluation.label_metrics(retrieval.nearest(v.where("id % 50 = 0"), v, 10, others=True), v)
 
 
 def _all_cases(spark, sf):
@@ -751,10 +761,10 @@ def _all_cases(spark, sf):
 
 @query(EVAL + " SELECT q AS case_id, round(p, 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS rr FROM m")
 def precision_recall_mrr(spark, sf):
-    return evaluation.case_metrics(_eval_cases(spark, sf)).select("case_id", r6("precision"), r6("recall"), r6("rr"))
+    return _eval_cases(spark, sf).select("case_id", r6("precision"), r6("recall"), r6("rr"))
 
 
-@query(EVAL.replace(" WHERE id < 20", "") + " SELECT q AS case_id, round(p, 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS rr FROM m")
+@query(EVAL.replace(" WHERE id % 50 = 0", "") + " SELECT q AS case_id, round(p, 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS rr FROM m")
 def precision_recall_mrr_all(spark, sf):
     return _all_cases(spark, sf).select("case_id", r6("precision"), r6("recall"), r6("rr"))
 
@@ -770,10 +780,10 @@ def _baseline_diff(spark, metrics):
 
 @query(EVAL + BASELINE_DIFF)
 def baseline_diff(spark, sf):
-    return _baseline_diff(spark, evaluation.case_metrics(_eval_cases(spark, sf)))
+    return _baseline_diff(spark, _eval_cases(spark, sf))
 
 
-@query(EVAL.replace(" WHERE id < 20", "") + BASELINE_DIFF)
+@query(EVAL.replace(" WHERE id % 50 = 0", "") + BASELINE_DIFF)
 def baseline_diff_all(spark, sf):
     return _baseline_diff(spark, _all_cases(spark, sf))
 
@@ -850,13 +860,20 @@ def average_attempts(spark, sf):
     return k.where("tasks > 0").select("project_id", "avg_attempts")
 
 
-@query(COUNTS + """ SELECT id, CASE WHEN status = 'blocked' THEN 'blocked' WHEN pending_attempts > 0 THEN 'pending' ELSE 'active' END AS kind,
-    '[' || ticket_number || '] Task ' || chr(39) || description || chr(39) || CASE WHEN status = 'blocked' THEN ' is BLOCKED' WHEN pending_attempts > 0 THEN ' has ' || pending_attempts || ' pending attempt(s) awaiting outcome resolution'
-    ELSE ' is active (' || total_attempts || ' attempts, ' || rejected_attempts || ' rejected)' END AS said FROM s WHERE status IN ('active', 'blocked')""")
+def _fixed(x: str, places: int) -> str:
+    """x with so many places, halves of what is printed rounded away from zero."""
+    return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {places}) AS DECIMAL(18, {places})) AS VARCHAR)"
+
+
+@query(COUNTS + SCORE + f""", w AS (SELECT *, coalesce(nullif(concat_ws('+', CASE WHEN priority IS NOT NULL THEN priority || '=' || {_fixed('base', 1)} END, CASE WHEN rejected_attempts > 0 THEN 'rejections=' || {_fixed('rej', 1)} END,
+    CASE WHEN days >= 1 THEN 'stale=' || {_fixed('days * 0.1::DOUBLE', 1)} END), ''), 'base') AS why FROM u)
+    SELECT id, CASE WHEN status = 'blocked' THEN 'blocked' WHEN pending_attempts > 0 THEN 'pending' ELSE 'active' END AS kind,
+    '[score=' || {_fixed('(base + rej + days * 0.1::DOUBLE)', 2)} || '] [' || ticket_number || '] Task ' || chr(39) || description || chr(39) || CASE WHEN status = 'blocked' THEN ' is BLOCKED — needs unblocking'
+    WHEN pending_attempts > 0 THEN ' has ' || pending_attempts || ' pending attempt(s) awaiting outcome resolution' ELSE ' is active (' || total_attempts || ' attempts, ' || rejected_attempts || ' rejected) — propose next approach' END || ' (' || why || ')' AS said FROM w""")
 def step_texts(spark, sf):
     t = ledger.step_texts(ledger.next_steps(_summaries(spark, sf), T))
     kind = F.when(F.col("status") == "blocked", "blocked").when(F.col("pending_attempts") > 0, "pending").otherwise("active")
-    return t.select("id", kind.alias("kind"), F.regexp_replace(F.regexp_replace("text", r"^\[score=[0-9.]+\] ", ""), r"( —.*| \([A-Za-z][^()]*\))$", "").alias("said"))
+    return t.select("id", kind.alias("kind"), F.col("text").alias("said"))
 
 
 @query(", x AS (SELECT l_orderkey AS id, max(l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT t.id, 'line ' || n AS description, CASE WHEN n % 2 = 0 THEN NULL ELSE ticket_number END AS ticket_number FROM tasks t JOIN x ON t.id = x.id")
@@ -909,10 +926,14 @@ def links_of_task(spark, sf):
     return graph.links_of(rows, 7)
 
 
-@query("SELECT task_id, approach_summary, reasoning, created_at FROM attempts WHERE task_id = 3 AND outcome = 'accepted'")
+@query("""SELECT 'attempt' AS kind, task_id, approach_summary || ' ' || reasoning AS said, created_at FROM attempts WHERE task_id = 3 AND outcome = 'accepted'
+    UNION ALL SELECT 'link', l_partkey, CAST(l_suppkey AS VARCHAR), NULL FROM lineitem WHERE l_partkey = 3 OR l_suppkey = 3""")
 def review_ledger(spark, sf):
-    none = spark.createDataFrame([], "source_task_id long, target_task_id long")
-    return briefing.review_ledger(fx.attempts(spark, sf), none, 3, "accepted")["attempts"].select("task_id", "approach_summary", "reasoning", "created_at")
+    links = fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("source_task_id"), F.col("l_suppkey").alias("target_task_id"))
+    got = briefing.review_ledger(fx.attempts(spark, sf), links, 3, "accepted")
+    said = got["attempts"].select(F.lit("attempt").alias("kind"), "task_id", F.concat_ws(" ", "approach_summary", "reasoning").alias("said"), "created_at")
+    touched = got["task_links"].select(F.lit("link").alias("kind"), F.col("source_task_id").alias("task_id"), F.col("target_task_id").cast("string").alias("said"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    return said.unionByName(touched)
 
 
 @query("SELECT * FROM (SELECT source_entity, target_entity, 'f' || substr(source_entity, 2, 1) AS source_file, CASE WHEN target_entity = 's1' THEN NULL ELSE 'f' || substr(target_entity, 2, 1) END AS target_file FROM supply_edges) WHERE source_file <> 'f1' AND (target_file IS NULL OR target_file <> 'f1')")
