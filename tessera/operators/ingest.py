@@ -73,39 +73,34 @@ def ignore_pattern(line: str, folder: str = "") -> tuple[str, bool] | None:
 
 def ignored(path: str | Column, rules: dict[str, list[str]]) -> Column:
     """Whether ignore files (folder -> lines, '' for the root) leave a path out: the last rule that fits decides, and those
-    of deeper folders come later."""
-    p, out = F.col(path) if isinstance(path, str) else path, F.lit(False)
+    of deeper folders come later. Folders are decided first: nothing under an excluded one comes back."""
+    from tessera.sources.folder import rule_of
+
+    p = F.col(path) if isinstance(path, str) else path
+    found = []
     for folder in sorted(rules, key=lambda f: (f.strip("/").count("/") + bool(f.strip("/")), f)):
-        for found in filter(None, (ignore_pattern(line, folder) for line in rules[folder])):
-            out = F.when(p.rlike(found[0]), F.lit(not found[1])).otherwise(out)
-    return out
-
-
-def ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> dict[str, list[str]]:
-    """The ignore files under a folder, as `ignored` wants them; they are few and small."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    base, found, out = fs.makeQualified(at).toString().rstrip("/") + "/", fs.listFiles(at, True), {}
-    while found.hasNext():
-        where = found.next().getPath()
-        if where.getName() == name:
-            stream = fs.open(where)
-            try:
-                lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            out[where.getParent().toString().removeprefix(base.rstrip("/")).strip("/")] = lines.splitlines()
-    return out
+        found += [r for r in (rule_of(line, folder) for line in rules[folder]) if r]
+
+    def out(x: Column, is_folder: bool) -> Column:
+        said = F.lit(False)
+        for expression, back, only in found:
+            if is_folder or not only:
+                said = F.when(x.rlike(expression), F.lit(not back)).otherwise(said)
+        return said
+
+    parts = F.split(p, "/")
+    folders = F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda n: n < F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.exists(folders, lambda f: out(f, True)) | out(p, False)
 
 
 def scan(spark: SparkSession, root: str, ignore: dict[str, list[str]] | None = None) -> DataFrame:
-    """(file_path, content) of a folder's text files but those that `ignore` (see ignore_files) leaves out; bytes that
-    aren't UTF-8 leave a file out."""
-    base = root.rstrip("/") + "/"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.substring_index(F.col("path"), base, -1)
-    rows = rows.select(path.alias("file_path"), "content").where(indexable("file_path") & ~ignored("file_path", ignore or {})).where(F.is_valid_utf8(F.col("content").cast("string")))
-    return rows.select("file_path", F.col("content").cast("string").alias("content"))
+    """(file_path, content) of a folder's text files; what its ignore files, or `ignore` besides (see ignored), leave out
+    isn't read, nor are bytes that aren't UTF-8 returned. Folders are listed by the tasks that read them."""
+    from tessera.sources.folder import register
+
+    register(spark)
+    rows = spark.read.format("folder").load(root).select("file_path", "content")
+    return rows.where(~ignored("file_path", ignore)) if ignore else rows
 
 
 def chunk_lines(files: DataFrame, language: str | Column = "language", most: int = MAX_LINES) -> DataFrame:

@@ -204,9 +204,7 @@ def test_ignore_rules(spark, tmp_path):
     for name in ("a.log", "keep.log", "top.txt", "sub/top.txt", "sub/b.log", "sub/c.tmp", "c.tmp", "out/x.py", "sub/out/y.py", "sub/a/b/z.py", "sub/a/z.py", "sub/q.py"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x")
-    rules = ingest.ignore_files(spark, str(tmp_path))
-    assert set(rules) == {"", "sub"}
-    got = {r["file_path"] for r in ingest.scan(spark, str(tmp_path), rules).collect()}
+    got = {r["file_path"] for r in ingest.scan(spark, str(tmp_path)).collect()}
     assert got == {"keep.log", "sub/top.txt", "c.tmp", "sub/q.py"}
 
 
