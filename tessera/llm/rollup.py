@@ -54,15 +54,18 @@ class TokenRollup:
         names = [s.getPath().getName() for s in self.fs.listStatus(self._at(""))]
         return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
 
-    def _base(self) -> str | None:
-        return f"base={top[-1]}" if (top := self._names("base=")) else None
+    def _listed(self) -> tuple[str | None, list[str]]:
+        """The newest base and the batches, of one look at the folder."""
+        names = self._names("")
+        bases = [n for n in names if n.startswith("base=")]
+        return (bases[-1] if bases else None), [n.removeprefix("batch=") for n in names if n.startswith("batch=")]
 
-    def _folded(self) -> set[str]:
-        base = self._base()
+    def _ids(self, base: str | None) -> set[str]:
         return {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{base}/ids").collect()} if base else set()
 
     def committed(self) -> list[str]:
-        return sorted({*self._folded(), *self._names("batch=")})
+        base, batches = self._listed()
+        return sorted({*self._ids(base), *batches})
 
     def _place(self, beside: str, name: str) -> bool:
         """Whether the folder was renamed to a name that was free; of two that try at once, one finds its own inside."""
@@ -84,31 +87,45 @@ class TokenRollup:
         signed_deltas(events).write.parquet(f"{self.path}/{beside}")
         return self._place(beside, f"batch={batch}")
 
-    def _rows(self) -> tuple[DataFrame | None, list[str]]:
-        """Deltas and base that make the totals, and the batches in them."""
-        base, folded = self._base(), self._folded()
-        fresh = [b for b in self._names("batch=") if b not in folded]
+    def _rows(self) -> tuple[DataFrame | None, list[str], str | None]:
+        """Deltas and base that make the totals, the batches in them, and the base: of one listing, so a batch that a
+        compaction folds meanwhile is counted once, from where the listing had it."""
+        base, batches = self._listed()
+        folded = self._ids(base)
+        fresh = [b for b in batches if b not in folded]
         paths = [*([f"{self.path}/{base}/totals"] if base else []), *(f"{self.path}/batch={b}" for b in fresh)]
-        return (self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else None), sorted({*folded, *fresh})
+        return (self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else None), sorted({*folded, *fresh}), base
 
-    def compact(self) -> bool:
-        """Fold what is committed into a new base; the folded batches' folders go. One process at a time compacts; a commit
-        meanwhile is safe, and a compaction that fails half-way leaves the old base and all batches as they were."""
-        rows, ids = self._rows()
+    def compact(self, grace: float = 3600.0) -> bool:
+        """Fold what is committed into a new base. One process at a time compacts; a commit meanwhile is safe, and a
+        compaction that fails half-way leaves the old base and all batches as they were.
+
+        What is folded stays for readers that have begun with it: folders go with the first compaction that comes at least
+        `grace` seconds after the base that holds what they had.
+        """
+        rows, ids, old = self._rows()
         if rows is None:
             return False
-        beside, old = f"_pending-{uuid.uuid4().hex}", self._base()
+        beside = f"_pending-{uuid.uuid4().hex}"
         rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{self.path}/{beside}/totals")
         self.spark.createDataFrame([(i,) for i in ids], "batch string").coalesce(1).write.parquet(f"{self.path}/{beside}/ids")
         if not self._place(beside, f"base={int(old.removeprefix('base=')) + 1 if old else 1:08d}"):
             return False
-        for name in [*(f"batch={b}" for b in ids), *([old] if old else [])]:
-            self.fs.delete(self._at(name), True)
+        self.clean(grace)
         return True
 
+    def clean(self, grace: float = 3600.0) -> None:
+        """Remove bases before, and batches in, the newest base that is at least `grace` seconds old."""
+        now = self.spark._jvm.System.currentTimeMillis()
+        bases = [f"base={n}" for n in self._names("base=")]
+        aged = [b for b in bases if now - self.fs.getFileStatus(self._at(f"{b}/ids")).getModificationTime() >= 1000 * grace]
+        if aged:
+            for name in [*(f"batch={b}" for b in sorted(self._ids(aged[-1]))), *(b for b in bases if b < aged[-1])]:
+                self.fs.delete(self._at(name), True)
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens; groups that have come to nothing are left out."""
-        rows, _ = self._rows()
+        rows, _, _ = self._rows()
         if rows is None:
             return self.spark.createDataFrame([], self.SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")

@@ -182,12 +182,13 @@ def test_toxicity_score_by_hand(spark):
     docs, labels = labelled(spark, 600)
     model = toxicity.train(docs, labels)
     weight = dict(zip(model.index.tolist(), model.weight.astype(float).tolist(), strict=True))
-    h = lambda w: np.array([toxicity.word_hashes(pa.array([w]))[1][0]], dtype=np.uint64)
+    h = lambda w, seed=0: hash_words(pa.array([w]), seed)
     for r in toxicity.score(docs, model).limit(40).collect():
         w, found = lower(r["text"]).split(), set()
         w = [re.sub("[^a-z0-9]", "", x) for x in w]
         for i in range(len(w)):
             found.add(int(toxicity.mix(h(w[i]) * toxicity._MUL[0])[0]) >> (64 - model.bits))
+            found |= {int(toxicity.mix(h(w[i][:n], n) * toxicity._MUL[0])[0]) >> (64 - model.bits) for n in toxicity.STEMS if len(w[i]) > n}
             for gap in (1, 2):
                 if i >= gap:
                     found.add(int(toxicity.mix(h(w[i - gap]) * toxicity._MUL[gap] + h(w[i]) * toxicity._MUL[3] + np.uint64(gap))[0]) >> (64 - model.bits))
@@ -266,6 +267,18 @@ def test_toxicity_features_are_the_stated_ones():
     (got,) = toxicity.distinct_features(pa.array(["a b c a b"]))
     assert len(got) == 3 + 3 + 3  # words; ab bc ca; a.c b.a c.b
     assert [len(x) for x in toxicity.distinct_features(pa.array(["x y", None, "y"]))] == [3, 0, 1]
+    assert [len(x) for x in toxicity.distinct_features(pa.array(["abcde", "éééé", "ééééé abcde", "abcdefghi"]))] == [2, 1, 5, 4]
+    shared = [set(x.tolist()) for x in toxicity.distinct_features(pa.array(["nations", "national", "nation"]))]
+    assert len(shared[0] & shared[1]) == 2 and len(shared[0] & shared[2]) == 1
+
+
+def test_toxicity_held_out(spark):
+    """Most toxic rows outside the training folds are found, and hardly any other is."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    got = toxicity.score(held, toxicity.train(docs, labels)).toPandas()
+    assert got["predicted"][got["toxic"] == 1].mean() >= 0.8 and got["predicted"][got["toxic"] == 0].mean() <= 0.003
 
 
 def test_ftrl_is_sparse():
@@ -294,15 +307,38 @@ def test_rollup(spark, tmp_path):
     got = {(r["source"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in rollup.TokenRollup(spark, str(tmp_path / "r")).totals().collect()}
     assert got == {("a", "v1"): (2, 13), (None, "v1"): (1, 0)}
     again = rollup.TokenRollup(spark, str(tmp_path / "r"))
-    assert again.compact() and again.committed() == ["1", "2", "3"] and not again.commit("2", first)
+    assert again.compact(grace=0) and again.committed() == ["1", "2", "3"] and not again.commit("2", first)
     assert {(r["source"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in again.totals().collect()} == got
-    assert again.commit("2b", df(("insert", "a", "en", "v1", 1, None))) and again.compact() and again.committed() == ["1", "2", "2b", "3"]
+    assert again.commit("2b", df(("insert", "a", "en", "v1", 1, None))) and again.compact(grace=0) and again.committed() == ["1", "2", "2b", "3"]
     assert {r["source"]: r["n_tokens"] for r in again.totals().collect()} == {"a": 14, None: 0} and again._names("batch=") == [] and len(again._names("base=")) == 1
     with pytest.raises(Exception, match="unknown op"):
         kept.commit("4", df(("upsert", "a", "en", "v1", 1, None)))
     assert kept.committed() == ["1", "2", "2b", "3"]
 
 
+def test_rollup_readers_outlive_a_compaction(spark, tmp_path):
+    kept = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    df = lambda n: spark.createDataFrame([("insert", "a", "en", "v", n, None)], "op string, source string, lang string, tokenizer_version string, n_tokens long, old_tokens long")
+    kept.commit("1", df(1))
+    kept.commit("2", df(2))
+    read = lambda t: [(r["n_docs"], r["n_tokens"]) for r in t.collect()]
+    before = kept.totals()
+    assert kept.compact() and read(before) == [(2, 3)] == read(kept.totals())
+    assert kept._names("batch=") == ["1", "2"] and not kept.commit("1", df(1))
+    kept.commit("3", df(4))
+    later = kept.totals()  # reads the base and batch 3
+    assert kept.compact() and read(later) == [(3, 7)] == read(kept.totals()) and len(kept._names("base=")) == 2
+    # a compaction between a reader's listing and its reading loses no batch
+    slow = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    listed = slow._listed()
+    kept.commit("4", df(8))
+    kept.compact()
+    slow._listed = lambda: listed
+    assert read(slow.totals()) == [(3, 7)] and read(kept.totals()) == [(4, 15)]
+    kept.clean(grace=0)
+    assert kept._names("batch=") == [] and len(kept._names("base=")) == 1 and read(kept.totals()) == [(4, 15)] and kept.committed() == ["1", "2", "3", "4"]
+
+
 def test_rollup_query_counts_all(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
