@@ -11,7 +11,7 @@ from tessera.functions import text as tx
 from tessera.functions.vectors import cosine, cosine_to
 from tessera.operators import briefing, embed, evaluation, filters, graph, ingest, ledger, retention, retrieval, state, text_index, vector_index
 from tessera.plans import schemas
-from tessera.plans.lineage import shared_folder
+from tessera.plans.lineage import shared_folder, stored
 from tessera.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -702,8 +702,8 @@ def _similarity_edges(spark, sf):
 
 @query(f", {SIM}, s0 AS (SELECT min(a) AS n FROM sym), h1 AS (SELECT DISTINCT b AS n FROM sym WHERE a = (SELECT n FROM s0)), h2 AS (SELECT DISTINCT b AS n FROM sym WHERE a IN (SELECT n FROM h1)) SELECT n AS node, min(d) AS depth FROM (SELECT n, 0 AS d FROM s0 UNION ALL SELECT n, 1 FROM h1 UNION ALL SELECT n, 2 FROM h2) GROUP BY n")
 def k_hop_2(spark, sf):
-    e = _similarity_edges(spark, sf).persist()
-    start = e.select(F.least(F.min("source_entity"), F.min("target_entity"))).agg(F.first("least(min(source_entity), min(target_entity))")).first()[0]
+    e = stored(_similarity_edges(spark, sf), "similar")
+    start = e.agg(F.least(F.min("source_entity"), F.min("target_entity"))).first()[0]
     return graph.reach(e, start, 2)
 
 
