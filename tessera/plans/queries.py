@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.vectors import cosine, cosine_to
-from tessera.operators import briefing, embed, evaluation, filters, graph, ingest, ledger, retention, retrieval, state, text_index, vector_index
+from tessera.operators import briefing, bucketed, embed, evaluation, filters, graph, ingest, ledger, retention, retrieval, state, text_index, vector_index
 from tessera.plans import schemas
 from tessera.plans.lineage import shared_folder, stored
 from tessera.sources import fixtures as fx
@@ -373,6 +373,15 @@ def task_stats(spark, sf):
     return ledger.task_stats(fx.tasks(spark, sf), fx.attempts(spark, sf)).select("id", "total_attempts", "unknown_attempts", r6("resolution_minutes"))
 
 
+@query(COUNTS + " SELECT id, total_attempts, unknown_attempts, round(resolution_minutes, 6) AS resolution_minutes FROM s")
+def task_stats_bucketed(spark, sf):
+    """task_stats over tables that are written by task: neither the join nor the grouping shuffles them again."""
+    tasks, attempts = fx.tasks(spark, sf), fx.attempts(spark, sf)
+    n = bucketed.buckets_for(attempts.count())
+    by_task = [bucketed.Bucketed.write(d, k, n).read() for d, k in ((tasks, "id"), (attempts, "task_id"))]
+    return ledger.task_stats(*by_task).select("id", "total_attempts", "unknown_attempts", r6("resolution_minutes"))
+
+
 @query(COUNTS + """ SELECT count(*) AS total_tasks, CAST(sum(total_attempts) AS BIGINT) AS total_attempts, CAST(sum(accepted_attempts) AS BIGINT) AS accepted_attempts, CAST(sum(rejected_attempts) AS BIGINT) AS rejected_attempts,
     CAST(sum(pending_attempts) AS BIGINT) AS pending_attempts, CAST(sum(unknown_attempts) AS BIGINT) AS unknown_attempts, round(avg(resolution_minutes), 6) AS avg_resolution_minutes,
     round(sum(rejected_attempts)::DOUBLE / sum(accepted_attempts + rejected_attempts), 6) AS rejection_rate FROM s""")
