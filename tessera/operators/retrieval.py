@@ -13,7 +13,7 @@ from tessera.functions import text as tx
 from tessera.functions.english import cover_density
 from tessera.functions.vectors import cosine_to
 from tessera.operators.filters import at, comparable, searchable
-from tessera.plans.lineage import kept, stored
+from tessera.plans.lineage import stored
 
 # fixed values
 DUPLICATE, CONTRADICTION, CLUSTER, LINK = 0.95, 0.80, 0.88, 0.80
@@ -179,8 +179,10 @@ def ranked(df: DataFrame, by: Column, limit: int, name: str) -> DataFrame:
 def first_ranks(df: DataFrame, orders: dict[str, Column], limit: int) -> DataFrame:
     """(kind, id, at): the first `limit` ranks of each kind, by its order (null: not ranked) and then the id, in one pass
     over df. Each task sends on `limit` rows a kind at most."""
-    each = F.array(*[F.when(by.isNotNull(), F.struct(F.lit(kind).alias("kind"), by.cast("double").alias("by"))) for kind, by in orders.items()])
-    rows = df.select("id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("id", "x.kind", "x.by")
+    # each order is a column first, so that it is worked out once a row
+    slim = df.select("id", *[by.cast("double").alias(f"__by_{kind}") for kind, by in orders.items()])
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"__by_{kind}").alias("by")) for kind in orders])
+    rows = slim.select("id", F.explode(each).alias("x")).select("id", "x.kind", "x.by").where("by IS NOT NULL")
     at = F.row_number().over(Window.partitionBy("kind").orderBy("by", "id"))
     return rows.withColumn("at", at).where(F.col("at") <= limit)
 
@@ -198,8 +200,9 @@ def _text_side(pool: DataFrame, query: str, english: bool, index) -> tuple[DataF
         return pool.join(said, "id", "left"), -F.col("__said")
     if english:
         return pool.withColumn("__said", cover_density("content", query)), -F.col("__said")
-    ok, count = matches("content", query)
-    return pool, F.when(ok, -count)
+    asked = terms(query)
+    found = pool.withColumn("__said", F.filter(tx.tokens("content"), lambda w: w.isin(asked)))
+    return found, F.when(F.size(F.array_distinct("__said")) == len(asked), -F.size("__said"))
 
 
 def fused(vector_ranks: DataFrame, text_ranks: DataFrame) -> DataFrame:
@@ -219,15 +222,10 @@ def hybrid_rules(rules: DataFrame, vector: Sequence[float], query: str, k: int,
         return vector_top_k((rules if only is None else only).where(searchable(as_of)), vector, k, project)
     k = max(1, k)
     pool = (rules if only is None else only).where(searchable(as_of))
-    # ranks of both sides and, where all rules are looked at anyway, the largest hit count, in one pass
-    seen, text = _text_side(rules if only is None else pool, query, english, text_index)
-    mine = searchable(as_of) if only is None else F.lit(True)
-    orders = {"v": F.when(mine & F.col("embedding").isNotNull(), -cosine_to("embedding", vector)), "t": F.when(mine, text)}
-    if only is None:
-        orders["m"] = -F.coalesce("hit_count", F.lit(0))
-    ranks = kept(first_ranks(seen, orders, k * OVERFETCH))  # 9k rows at most
-    top = ranks.where("kind = 'm' AND at = 1").select((-F.col("by")).alias("m")) if only is None else rules.select(F.col("hit_count").alias("m"))
-    most = top.agg(F.greatest(F.max("m"), F.lit(1)).alias("most"))  # one row
+    # ranks of both sides in one pass; the largest hit count needs no column but its own
+    seen, text = _text_side(pool, query, english, text_index)
+    ranks = first_ranks(seen, {"v": F.when(F.col("embedding").isNotNull(), -cosine_to("embedding", vector)), "t": text}, k * OVERFETCH)
+    most = rules.agg(F.greatest(F.max("hit_count"), F.lit(1)).alias("most"))  # one row
     rows = pool.join(F.broadcast(fused_ranks(ranks)), "id").crossJoin(F.broadcast(most))  # 6k rows at most, and one row
     by = lambda table: F.element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.col("category"))
     used = F.coalesce("last_used_at", "created_at")
