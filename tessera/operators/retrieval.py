@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,9 @@ WEIGHT = {"vector": 0.35, "text": 0.25, "category": 0.20, "age": 0.10, "hits": 0
 CATEGORY = {"constraint": 1.0, "instruction": 0.80, "lesson": 0.75, "fact": 0.50, "preference": 0.25}
 DECAY = {"constraint": 0.0, "instruction": 0.005, "lesson": 0.01, "fact": 0.005, "preference": 0.02}
 BOOST = 2.0
+#: Components of the vectors of a block at most; blocks a group at least, so far as each has TILE rows; rows and columns of a
+#: product at a time, and pairs worked out at a time.
+HELD, SOME, TILE, CHUNK = 1 << 22, 8, 2048, 1 << 15
 
 
 def vector_top_k(df: DataFrame, vector: Sequence[float], k: int, project: int | None = None, col: str = "embedding") -> DataFrame:
@@ -43,52 +46,98 @@ def similar_rules(rules: DataFrame, vector: Sequence[float], project: int, low:
     return found.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def _block_pairs(low: float):
-    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        m = np.array(pdf["v"].tolist(), dtype=np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+def _blocks(block: int | None) -> Column:
+    """Into how many blocks a group of rows (v) is cut: of `block` rows, or as few as HELD allows, yet enough for SOME."""
+    n = F.count(F.lit(1))
+    return F.ceil(n / block if block else F.greatest(n * F.max(F.size("v")) / HELD, F.least(n / TILE, F.lit(SOME)))).cast("int")
+
+
+def _unit(vectors: Sequence) -> np.ndarray:
+    """Rows at unit length, each worked out by itself, so equal vectors give equal rows anywhere; zero vectors stay."""
+    m = np.array(list(vectors), dtype=np.float64)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """a[i] . b[j] for each place, the same wherever a pair stands (a matrix product's last digits depend on that)."""
+    out = np.empty(len(i))
+    for x in range(0, len(i), CHUNK):
+        out[x : x + CHUNK] = (a[i[x : x + CHUNK]] * b[j[x : x + CHUNK]]).sum(axis=1)
+    return out
+
+
+def _slack(width: int) -> float:
+    """How far a single-precision product of unit vectors may be off."""
+    return 1e-6 + width * 1.2e-7
+
+
+def _block_pairs(low: float, k: int | None = None, digits: int = 12):
+    """The pairs of two blocks from `low` on, tile by tile; with k only the k first, so the limit rises with what is found."""
+
+    def pairs(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least, best = low, pd.DataFrame({"a": [], "b": [], "similarity": []})
+        pdf = pd.concat(list(batches), ignore_index=True)
+        m, ids = _unit(pdf["v"]), pdf["id"].to_numpy()
+        slim, slack = m.astype(np.float32), _slack(m.shape[1])
         left, right = (np.flatnonzero(pdf["block"].to_numpy() == key[i]) for i in (1, 2))
-        s = m[left] @ m[right].T
-        i, j = np.nonzero(s >= low - 1e-12)
-        a, b, s = pdf["id"].to_numpy()[left[i]], pdf["id"].to_numpy()[right[j]], s[i, j]
-        once = a < b if key[1] == key[2] else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "similarity": s[once]})
+        for x in range(0, len(left), TILE):
+            for y in range(x if key[1] == key[2] else 0, len(right), TILE):
+                at, to = left[x : x + TILE], right[y : y + TILE]
+                i, j = np.nonzero(slim[at] @ slim[to].T >= least - slack)
+                if key[1] == key[2] and x == y:
+                    i, j = i[i < j], j[i < j]
+                i, j = at[i], to[j]
+                s = _dots(m, i, m, j)
+                near = s >= least - 1e-12
+                a, b, s = ids[i[near]], ids[j[near]], s[near]
+                swap, once = a > b, a != b
+                found = pd.DataFrame({"a": np.where(swap, b, a)[once], "b": np.where(swap, a, b)[once], "similarity": s[once]})
+                if k is None:
+                    yield found
+                elif len(found):
+                    best = pd.concat([best, found]) if len(best) else found
+                    best = best.assign(by=-best["similarity"].round(digits)).sort_values(["by", "a", "b"]).head(k).drop(columns="by")
+                    least = max(low, best["similarity"].min() - 2 * 10.0**-digits) if len(best) == k else low
+        if len(best):
+            yield best
 
     return pairs
 
 
-def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: int = 1024, col: str = "embedding", fresh: str | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: int | None = None, col: str = "embedding", fresh: str | None = None, k: int | None = None, digits: int = 12) -> DataFrame:
     """(a, b, similarity) of all pairs a < b with cosine >= low, of equal `within` where one is given.
 
-    Rows are cut into blocks of bounded size by a hash; a task multiplies two blocks of one group, so no task holds
-    more than two and each pair is met once. Exact; null and zero vectors pair with nothing. With `fresh`, a boolean
-    column, pairs of which neither is fresh are neither asked for nor made: blocks are of fresh rows or of others, and
-    others meet fresh blocks only.
+    Rows are cut into blocks of bounded size by a hash; a task compares two blocks of one group tile by tile, so no task
+    holds more than two and each pair is met once. A vector is copied once for each block of its group, and a block has
+    HELD components. Exact: what a single-precision product finds is worked out in double precision, pair by pair. Null
+    and zero vectors pair with nothing. With `fresh`, a boolean column, pairs of which neither is fresh are neither asked
+    for nor made: blocks are of fresh rows or of others, and others meet fresh blocks only. With k two blocks make only their k first
+    pairs (ids break ties of similarities equal to `digits` places).
     """
     if fresh:
         return _fresh_pairs(df, low, within, block, col, fresh)
     keys = [F.col(within).alias("g")] if within else [F.lit(0).alias("g")]
     rows = df.where(F.col(col).isNotNull()).select(*keys, F.col("id"), F.col(col).alias("v"))
-    sizes = rows.groupBy(F.col("g").alias("h")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
+    sizes = rows.groupBy(F.col("g").alias("h")).agg(_blocks(block).alias("k"))
     rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("h"))).drop("h")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
 
     kind = df.schema["id"].dataType.simpleString()
-    return rows.groupBy("g", "lo", "hi").applyInPandas(_block_pairs(low), f"a {kind}, b {kind}, similarity double")
+    return rows.groupBy("g", "lo", "hi").applyInPandas(_block_pairs(low, k, digits), f"a {kind}, b {kind}, similarity double")
 
 
 def top_pairs(df: DataFrame, low: float = CLUSTER, k: int = 20, within: str | None = None, digits: int = 12) -> DataFrame:
     """The k most similar pairs of similar_pairs(), as a report shows them; ids break ties."""
-    return similar_pairs(df, low, within).orderBy(F.desc(F.round("similarity", digits)), "a", "b").limit(k)
+    return similar_pairs(df, low, within, k=k, digits=digits).orderBy(F.desc(F.round("similarity", digits)), "a", "b").limit(k)
 
 
-def _fresh_pairs(df: DataFrame, low: float, within: str | None, block: int, col: str, fresh: str) -> DataFrame:
+def _fresh_pairs(df: DataFrame, low: float, within: str | None, block: int | None, col: str, fresh: str) -> DataFrame:
     rows = df.where(F.col(col).isNotNull()).select((F.col(within) if within else F.lit(0)).alias("g"), "id", F.col(col).alias("v"), F.col(fresh).alias("fresh"))
-    blocks = lambda c, name: F.ceil(F.count_if(c) / block).cast("int").alias(name)
-    sizes = rows.groupBy(F.col("g").alias("h")).agg(blocks(F.col("fresh"), "kn"), blocks(~F.col("fresh"), "ko")).where("kn > 0")
+    sizes = rows.groupBy(F.col("g").alias("h"), "fresh").agg(_blocks(block).alias("k"))
+    most = lambda c, name: F.coalesce(F.max(F.when(c, F.col("k"))), F.lit(0)).alias(name)
+    sizes = sizes.groupBy("h").agg(most(F.col("fresh"), "kn"), most(~F.col("fresh"), "ko")).where("kn > 0")
     rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("h"))).drop("h")
     # blocks 0..kn-1 are fresh, kn..kn+ko-1 are not; a fresh block meets all, another the fresh ones
     own = F.when(F.col("fresh"), F.pmod(F.xxhash64("id"), F.col("kn"))).otherwise(F.col("kn") + F.pmod(F.xxhash64("id"), F.col("ko"))).cast("int")
@@ -99,41 +148,71 @@ def _fresh_pairs(df: DataFrame, low: float, within: str | None, block: int, col:
     return rows.groupBy("g", "lo", "hi").applyInPandas(_block_pairs(low), f"a {kind}, b {kind}, similarity double")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, others: bool = False, block: int = 1024, col: str = "embedding", within: str | None = None, digits: int = 12) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, others: bool = False, block: int | None = None, col: str = "embedding", within: str | None = None, digits: int = 12) -> DataFrame:
     """(query_id, id, score, rank): for each row of queries the k rows of highest cosine; `others` leaves out its own id.
 
-    Both sides are cut into blocks of bounded size by a hash; a task multiplies two blocks and sends on k rows a query.
-    With `within` only rows of the query's own group are looked at, by blocks of the group. Exact; the id breaks ties (of
-    cosines equal to `digits` places); null vectors are left out.
+    Equal vectors of a group are asked for once and of equal rows only the first ids stand, so copies cost no comparisons.
+    Both sides are cut into blocks of bounded size by a hash; a task compares two blocks and sends on k rows a vector that
+    is asked for. With `within` only rows of the query's own group are looked at, by blocks of the group. Exact; the id
+    breaks ties (of cosines equal to `digits` places); null vectors are left out.
     """
+    most = k + 1 if others else k
     sides = [df.where(F.col(col).isNotNull()).select((F.col(within) if within else F.lit(0)).alias("g"), "id", F.col(col).alias("v")) for df in (queries, rows)]
-    sizes = [d.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n)) for d, n in zip(sides, ("kq", "kr"), strict=True)]
+    # a vector that is asked for is known by the least id that has it; of equal rows no more than `most` can be among the first
+    alike = Window.partitionBy("g", "v").orderBy("id")
+    members = sides[0].select("id", F.first("id").over(alike).alias("rep"), F.row_number().over(alike).alias("at"), "g", "v")
+    firsts = members.where(F.col("at") == 1).select("g", "id", "v")
+    held = sides[1].withColumn("at", F.row_number().over(Window.partitionBy("g", "v").orderBy("id"))).where(F.col("at") <= most).drop("at")
+    sizes = [d.groupBy("g").agg(_blocks(block).alias(n)) for d, n in ((firsts, "kq"), (held, "kr"))]
     many = sizes[0].join(sizes[1], "g")  # a row a group that has both
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    asked = sides[0].join(many, "g").select("g", F.lit(True).alias("asks"), "id", "v", own("kq").alias("left"), every("kr").alias("right"))
-    held = sides[1].join(many, "g").select("g", F.lit(False).alias("asks"), "id", "v", own("kr").alias("right"), every("kq").alias("left"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        asks, ids = pdf["asks"].to_numpy(dtype=bool), pdf["id"].to_numpy()
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": ids[:0], "id": ids[:0], "score": np.empty(0)})
-        m = np.array(pdf["v"].tolist(), dtype=np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        s = np.round(m[asks] @ m[~asks].T, digits)
-        if others:
-            s[ids[asks][:, None] == ids[~asks][None, :]] = -np.inf
-        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        score = np.take_along_axis(s, at, axis=1).ravel()
-        found = pd.DataFrame({"query_id": np.repeat(ids[asks], at.shape[1]), "id": ids[~asks][at.ravel()], "score": score})
-        return found[score > -np.inf]
-
-    kind = rows.schema["id"].dataType.simpleString()
-    near = asked.unionByName(held).groupBy("g", "left", "right").applyInPandas(best, f"query_id {kind}, id {kind}, score double")
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return near.where(F.col("rank") <= k)
+    left = firsts.join(many, "g").select("g", F.lit(True).alias("asks"), "id", "v", own("kq").alias("left"), every("kr").alias("right"))
+    right = held.join(many, "g").select("g", F.lit(False).alias("asks"), "id", "v", own("kr").alias("right"), every("kq").alias("left"))
+
+    kind, query_kind = (df.schema["id"].dataType.simpleString() for df in (rows, queries))
+    near = left.unionByName(right).groupBy("g", "left", "right").applyInPandas(_block_nearest(most, digits), f"rep {query_kind}, id {kind}, score double")
+    first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id")))  # `most` a block at most
+    top = near.groupBy("rep").agg(F.slice(first, 1, most).alias("top"))
+    found = members.select(F.col("id").alias("query_id"), "rep").join(top, "rep")
+    mine = F.filter("top", lambda x: x["id"] != F.col("query_id")) if others else F.col("top")
+    found = found.select("query_id", F.posexplode(F.slice(mine, 1, k)).alias("at", "x"))
+    return found.select("query_id", "x.id", (-F.col("x.s")).alias("score"), (F.col("at") + 1).alias("rank"))
+
+
+def _block_nearest(k: int, digits: int):
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values("id", ignore_index=True)
+        m = _unit(pdf["v"])
+        fit = np.isfinite(m).all(axis=1)
+        asks, ids, m = pdf["asks"].to_numpy(dtype=bool)[fit], pdf["id"].to_numpy()[fit], m[fit]
+        q, r, asked, known = m[asks], m[~asks], ids[asks], ids[~asks]
+        n = min(k, len(r))
+        if not len(q) or not n:
+            return
+        slim, slack = r.astype(np.float32), 2 * _slack(m.shape[1]) + 10.0**-digits
+        for x in range(0, len(q), TILE):
+            mine = q[x : x + TILE].astype(np.float32)
+            least, found = np.full(len(mine), -np.inf, dtype=np.float32), []
+            for y in range(0, len(r), TILE):
+                s = mine @ slim[y : y + TILE].T
+                if y == 0 and s.shape[1] >= n:  # later tiles need only what reaches the first one's k-th
+                    least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n] - np.float32(slack)
+                i, j = np.nonzero(s >= least[:, None])
+                found.append((i, j + y, s[i, j]))
+            i, j, s = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((-s, i))
+            i, j, s = i[order], j[order], s[order]
+            start = np.searchsorted(i, np.arange(len(mine)))
+            near = s >= s[start + n - 1][i] - np.float32(slack)
+            i, j = i[near], j[near]
+            s = np.round(_dots(q, i + x, r, j), digits)
+            order = np.lexsort((j, -s, i))
+            i, j, s = i[order], j[order], s[order]
+            first = np.arange(len(i)) - np.searchsorted(i, np.arange(len(mine)))[i] < n
+            yield pd.DataFrame({"rep": asked[i[first] + x], "id": known[j[first]], "score": s[first]})
+
+    return best
 
 
 # -- full text --------------------------------------------------------------------------------------------------------
