@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import retrieval
+
 #: Rows that the model is fitted on at most (those of least hash), cells and entries of a codebook at most.
 SAMPLE, MOST_CELLS, ENTRIES = 65_536, 4096, 256
 PARTS, ROUNDS = 16, 12
@@ -22,6 +24,8 @@ PARTS, ROUNDS = 16, 12
 TARGET, TRIALS, NEIGHBOURS = 0.96, 512, 10
 #: Rows of a cell, and queries, that a task multiplies at a time.
 BLOCK = 4096
+#: Products that a task holds at a time.
+STEP = 1 << 20
 #: Rows of a broadcast table at most.
 BROADCAST_ROWS = 100_000
 
@@ -34,7 +38,9 @@ def unit(vectors: Sequence) -> np.ndarray:
 
 
 def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+    """The nearest centre of each row, so many rows at a time that the products stay within STEP."""
+    own, n = (centres * centres).sum(axis=1), max(1, STEP // max(1, len(centres)))
+    return np.concatenate([np.empty(0, dtype=np.int64), *((own - 2 * x[a : a + n] @ centres.T).argmin(axis=1) for a in range(0, len(x), n))])
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -80,12 +86,15 @@ class Model:
 def _probes(x: np.ndarray, centres: np.ndarray) -> int:
     """In how many of a query's nearest cells TARGET of its neighbours are, over the sample."""
     q = x[:TRIALS]
-    s = q @ x.T
-    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     n = min(NEIGHBOURS, len(x) - 1)
     if n < 1:
         return len(centres)
-    near = np.argpartition(-s, n - 1, axis=1)[:, :n]
+    near, step = [], max(1, STEP // len(x))
+    for a in range(0, len(q), step):
+        s = q[a : a + step] @ x.T
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
+        near.append(np.argpartition(-s, n - 1, axis=1)[:, :n])
+    near = np.concatenate(near)
     place = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)
     ranks = np.take_along_axis(place, nearest_centre(x, centres)[near], axis=1)
     return int(np.quantile(ranks, TARGET, method="higher")) + 1
@@ -222,6 +231,11 @@ class VectorIndex:
         probes: as many as the sample needed where not given. `where` filters rows inside the cells, before any is scored; `others` leaves out the query's own id. With all
         cells probed and a shortlist as long as the table it is exact. The shortlist has 20 times k rows at least.
         """
+        if self.model and shortlist and (probes or self.probes) >= len(self.model.centres):
+            held = self.rows() if where is None else self.rows().where(where)
+            if held.count() <= shortlist:  # nothing is left out, so codes tell nothing and no pair needs to be written
+                asked = queries.select("id", F.col(col).cast("array<float>").alias("vector")).dropDuplicates(["id"])
+                return retrieval.nearest(asked, held.select("id", "vector"), k, others, col="vector")
         short = shortlist or max(20 * k, 100)
         asked = self.probed(queries, probes or self.probes, col)
         wanted = sorted(r["cell"] for r in asked.select("cell").distinct().collect())  # MOST_CELLS at most
@@ -240,10 +254,13 @@ class VectorIndex:
         def best(key: tuple, asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             if not len(asks) or not len(rows):
                 return pd.DataFrame({"query_id": asks["query_id"][:0], "id": rows["id"][:0], "cell": np.empty(0, dtype=np.int32), "about": np.empty(0)})
-            s = model.scores(np.array(asks["v"].tolist(), dtype=np.float32), key[0], np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1))
-            n = min(short, len(rows))
-            at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            return pd.DataFrame({"query_id": np.repeat(asks["query_id"].to_numpy(), n), "id": rows["id"].to_numpy()[at.ravel()], "cell": np.int32(key[0]), "about": np.take_along_axis(s, at, axis=1).ravel().astype(float)})
+            q, codes = np.array(asks["v"].tolist(), dtype=np.float32), np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+            n, step, at, about = min(short, len(rows)), max(1, STEP // len(rows)), [], []
+            for a in range(0, len(q), step):
+                s = model.scores(q[a : a + step], key[0], codes)
+                at.append(np.argpartition(-s, n - 1, axis=1)[:, :n])
+                about.append(np.take_along_axis(s, at[-1], axis=1))
+            return pd.DataFrame({"query_id": np.repeat(asks["query_id"].to_numpy(), n), "id": rows["id"].to_numpy()[np.concatenate(at).ravel()], "cell": np.int32(key[0]), "about": np.concatenate(about).ravel().astype(float)})
 
         keys = ["cell", "l", "r"]
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {query_kind}, id {id_kind}, cell int, about double")

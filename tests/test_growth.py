@@ -84,3 +84,29 @@ def test_edges_stay_where_they_are(spark):
     assert sorted({r["degree"] for r in graph.degrees(e, simple=True).collect()}) == [2]
     com = graph.degrees(e).selectExpr("node", "cast(substring(node, 2) as long) div 1500 AS community_id")
     assert graph.modularity(e, com, simple=True).first()[0] == pytest.approx(graph.modularity(e, com).first()[0])
+
+
+def test_an_index_that_leaves_nothing_out_makes_no_pairs(spark, tmp_path):
+    from tessera.operators.vector_index import VectorIndex
+
+    df = vectors(spark, np.random.default_rng(6).normal(size=(600, 8)), 2)
+    index = VectorIndex.build(df, str(tmp_path / "index"), carry=["p"])
+    found = index.search(df, 3, probes=1 << 12, shortlist=1 << 30, where="p = 1", others=True)
+    want = retrieval.nearest(df, df.where("p = 1"), 3, others=True)
+    pick = lambda d: sorted((r["query_id"], r["id"], r["rank"]) for r in d.collect())
+    assert pick(found) == pick(want)
+    assert shuffled(found) < 20 * 600  # and not the 180,000 pairs
+
+
+def test_products_are_made_in_steps():
+    import tracemalloc
+
+    from tessera.operators import vector_index
+
+    rng = np.random.default_rng(7)
+    x, c = rng.normal(size=(20_000, 16)).astype(np.float32), rng.normal(size=(1000, 16)).astype(np.float32)
+    tracemalloc.start()
+    got = vector_index.nearest_centre(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and (got[:50] == ((x[:50, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
