@@ -51,18 +51,50 @@ def decode(ids: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.nda
     return np.cumsum(np.frombuffer(ids, dtype=np.uint16).astype(np.int64)), ends, total - np.repeat(before, n)
 
 
-def _merged(rows: list[tuple]) -> tuple:
-    """One block of the parts of a block; an id that is in several has the places of all."""
-    if len(rows) == 1:
-        return rows[0]
-    found: dict[int, list[np.ndarray]] = {}
-    for *_, ids, counts, places in rows:
-        at, ends, where = decode(ids, counts, places)
-        for k, i in enumerate(at.tolist()):
-            found.setdefault(i, []).append(where[ends[k] : ends[k + 1]])
-    order = sorted(found)
-    each = [np.unique(np.concatenate(found[i])) if len(found[i]) > 1 else found[i][0] for i in order]
-    return (*rows[0][:3], len(order), max(len(p) for p in each), *encode(np.array(order), each))
+def _packed(term: np.ndarray, ids: np.ndarray, places: np.ndarray, span: int) -> Iterator[tuple]:
+    """(term, block, n, most, ids, counts, places) of a block of `span` ids each, from tokens in any order; a place of a text
+    counts once."""
+    order = np.lexsort((places, ids, term))
+    term, ids, places = term[order], ids[order], places[order]
+    if not len(ids):
+        return
+    starts = lambda *cols: np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]))
+    once = starts(term, ids, places)
+    term, ids, places = term[once], ids[once], places[once]
+    text = starts(term, ids)  # where a text's places begin
+    counts = np.diff(text, append=len(ids)).astype(np.uint32)
+    gaps = np.diff(places, prepend=0)
+    gaps[text] = places[text]
+    gaps = gaps.astype(np.uint32)
+    term, ids = term[text], ids[text]
+    first = starts(term, ids // span)  # where a block's texts begin
+    jumps = np.diff(ids % span, prepend=0)
+    jumps[first] = ids[first] % span
+    jumps = jumps.astype(np.uint16)
+    ends, most = [*first[1:].tolist(), len(ids)], np.maximum.reduceat(counts, first).tolist()
+    at = [*text.tolist(), len(places)]
+    for a, b, t, block, m in zip(first.tolist(), ends, term[first].tolist(), (ids[first] // span).tolist(), most, strict=True):
+        yield t, block, b - a, m, jumps[a:b].tobytes(), counts[a:b].tobytes(), gaps[at[a] : at[b]].tobytes()
+
+
+def _merged(rows: pd.DataFrame, span: int) -> pd.DataFrame:
+    """A row a block from sorted parts of blocks; an id that is in several parts has the places of all."""
+    key = rows[["bucket", "term", "block"]]
+    part = (key != key.shift()).any(axis=1).cumsum().to_numpy() - 1  # the number of the block that a row is of
+    if not len(rows) or part[-1] == len(rows) - 1:
+        return rows
+    whole = lambda c, kind: np.frombuffer(b"".join(rows[c]), dtype=kind).astype(np.int64)
+
+    def summed(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What differences come to, from 0 again after each of the sizes, none of which is 0."""
+        total, first = np.cumsum(steps), np.cumsum(sizes) - sizes
+        return total - np.repeat(total[first] - steps[first], sizes)
+
+    texts, counts = rows["n"].to_numpy(dtype=np.int64), whole("counts", np.uint32)
+    ids, places = summed(whole("ids", np.uint16), texts), summed(whole("places", np.uint32), counts)
+    packed = _packed(np.repeat(np.repeat(part, texts), counts), np.repeat(ids, counts), places, span)
+    first = rows[np.diff(part, prepend=-1) > 0].reset_index(drop=True)
+    return first.assign(**dict(zip(["n", "most", "ids", "counts", "places"], zip(*(row[2:] for row in packed), strict=True), strict=True)))
 
 
 class TextIndex:
@@ -90,30 +122,26 @@ class TextIndex:
         def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for a in range(0, len(pdf), 500):
-                    found: dict[tuple[str, int], dict[int, list[int]]] = {}
-                    for i, text in zip(pdf["id"].iloc[a : a + 500].tolist(), pdf["text"].iloc[a : a + 500].tolist(), strict=True):
-                        for place, term in enumerate(split(text)):
-                            if term is not None:
-                                found.setdefault((term, i // SPAN), {}).setdefault(i % SPAN, []).append(place)
-                    rows = []
-                    for (term, block), of in found.items():
-                        ids = sorted(of)
-                        places = [np.array(sorted(of[i])) for i in ids]
-                        rows.append((0, term, block, len(ids), max(map(len, places)), *encode(np.array(ids), places)))
+                    code: dict[str | None, int] = {None: -1}  # a place that has no term
+                    texts = [[code.setdefault(t, len(code) - 1) for t in split(text)] for text in pdf["text"].iloc[a : a + 500].tolist()]
+                    sizes = np.array([len(t) for t in texts])
+                    term = np.fromiter((t for each in texts for t in each), dtype=np.int64, count=sizes.sum())
+                    ids = np.repeat(pdf["id"].iloc[a : a + 500].to_numpy(), sizes)
+                    places = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    said, names = term >= 0, list(code)[1:]
+                    rows = [(0, names[t], *rest) for t, *rest in _packed(term[said], ids[said], places[said], SPAN)]
                     yield pd.DataFrame(rows, columns=["bucket", "term", "block", "n", "most", "ids", "counts", "places"])
 
         def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: list[tuple] = []
+            held = None
             for pdf in batches:
-                out = []
-                for row in pdf.itertuples(index=False, name=None):
-                    if held and held[0][:3] != row[:3]:
-                        out.append(_merged(held))
-                        held = []
-                    held.append(row)
-                yield pd.DataFrame(out, columns=pdf.columns)
-            if held:
-                yield pd.DataFrame([_merged(held)], columns=["bucket", "term", "block", "n", "most", "ids", "counts", "places"])
+                pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                if len(pdf):
+                    done = _merged(pdf, SPAN)
+                    yield done.iloc[:-1]
+                    held = done.iloc[-1:]  # the next batch may have more of it
+            if held is not None:
+                yield held
 
         rows = docs.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col(col).alias("text")).mapInPandas(parts, _BLOCK)
         rows = rows.withColumn("bucket", _bucket(F.col("term")))

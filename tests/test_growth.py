@@ -110,3 +110,23 @@ def test_products_are_made_in_steps():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 30e6 and (got[:50] == ((x[:50, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+
+
+def test_parts_of_blocks_are_merged_together():
+    import pandas as pd
+
+    from tessera.operators import text_index as ti
+
+    rng = np.random.default_rng(8)
+    term, ids, places = rng.integers(0, 40, 4000), rng.integers(0, 300, 4000), rng.integers(0, 60, 4000)
+    parts = [(0, t, *rest) for a in range(0, 4000, 500) for t, *rest in ti._packed(term[a : a + 500], ids[a : a + 500], places[a : a + 500], 128)]
+    rows = pd.DataFrame(parts, columns=["bucket", "term", "block", "n", "most", "ids", "counts", "places"]).sort_values(["bucket", "term", "block"], ignore_index=True)
+    got = list(ti._merged(rows, 128).itertuples(index=False, name=None))
+    assert got == [(0, t, *rest) for t, *rest in ti._packed(term, ids, places, 128)]
+    want = {}
+    for t, i, p in zip(term.tolist(), ids.tolist(), places.tolist(), strict=True):
+        want.setdefault((t, i // 128), {}).setdefault(i % 128, set()).add(p)
+    for _, t, block, n, most, *packed in got:
+        at, ends, where = ti.decode(*packed)
+        held = {i: where[ends[k] : ends[k + 1]].tolist() for k, i in enumerate(at.tolist())}
+        assert held == {i: sorted(p) for i, p in want[t, block].items()} and n == len(held) and most == max(map(len, held.values()))
