@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 def hashed(text: str, dim: int = 384) -> np.ndarray:
     """A unit vector made of SHA-256(text, counter) words, each scaled to [-1, 1]: portable and the same everywhere."""
     words: list[int] = []
-    counter = 0
+    counter, read = 0, hashlib.sha256(text.encode())
     while len(words) < dim:
-        words += struct.unpack("<8I", hashlib.sha256(text.encode() + struct.pack("<I", counter)).digest())
+        each = read.copy()  # the text is read once
+        each.update(struct.pack("<I", counter))
+        words += struct.unpack("<8I", each.digest())
         counter += 1
     v = (np.array(words[:dim], dtype=np.float64) / 0xFFFFFFFF * 2 - 1).astype(np.float32)
     n = np.linalg.norm(v)

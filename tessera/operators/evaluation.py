@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,12 +131,63 @@ CASES = """id string, dataset string, events array<struct<kind:string,task_ref:s
     content:string,category:string,label:string,always_inject:boolean,query:string,expected_hits:array<string>,expected_procedural_labels:array<string>>>"""
 
 
+def _opened(cases: DataFrame) -> DataFrame:
+    """The events of cases (see CASES), a row each: case_id, dataset, seq (from 0) and what the event has, and with a rule
+    what is asked after it in its case: asks (at, number: from 1 within the case, query)."""
+    every = F.filter(F.transform("events", lambda e, i: F.named_struct(F.lit("at"), i, F.lit("query"), e["query"], F.lit("kind"), e["kind"])), lambda a: a["kind"] == "recall_rules")
+    asks = F.transform(every, lambda a, i: F.named_struct(F.lit("at"), a["at"], F.lit("number"), i + 1, F.lit("query"), a["query"]))
+    rows = cases.select(F.col("id").alias("case_id"), "dataset", asks.alias("asks"), F.posexplode("events").alias("seq", "e"))
+    later = F.when(F.col("e.kind") == "remember_rule", F.filter("asks", lambda a: a["at"] > F.col("seq")))
+    return rows.select("case_id", "dataset", "seq", "e.*", later.alias("asks"))
+
+
+def _referenced(rows: DataFrame) -> DataFrame:
+    """Events with the reference that an attempt gets: '<task>-a<N>', N from 1. Only attempts are brought together."""
+    is_try = F.col("kind").eqNullSafe("propose_attempt")
+    own = Window.partitionBy("case_id", "task_ref").orderBy("seq")
+    tries = rows.where(is_try).withColumn("own_ref", F.concat("task_ref", F.lit("-a"), F.row_number().over(own).cast("string")))
+    return rows.where(~is_try).withColumn("own_ref", F.lit(None).cast("string")).unionByName(tries)
+
+
 def taped(cases: DataFrame) -> DataFrame:
     """The events of cases (see CASES), a row each: case_id, dataset, seq (from 0), what the event has, and the reference
     that an attempt gets: '<task>-a<N>', N from 1."""
-    rows = cases.select(F.col("id").alias("case_id"), "dataset", F.posexplode("events").alias("seq", "e")).select("case_id", "dataset", "seq", "e.*")
-    own = Window.partitionBy("case_id", "task_ref", "kind").orderBy("seq")
-    return rows.withColumn("own_ref", F.when(F.col("kind") == "propose_attempt", F.concat("task_ref", F.lit("-a"), F.row_number().over(own).cast("string"))))
+    return _referenced(_opened(cases).drop("asks"))
+
+
+def _heard(make: Callable) -> Callable:
+    """A function of a rule's text and of the queries after it: its vector, and each query's cosine and cover density.
+
+    Worked out where the text is, so neither texts nor vectors of queries travel. Equal texts of a batch are embedded once;
+    make() is called once in each task.
+    """
+    from tessera.functions.english import density_at, stems, wanted
+
+    def close(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
+        if a is None or b is None:
+            return None
+        n = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()) if len(a) == len(b) else 0.0
+        return float((a * b).sum() / n) if n else 0.0
+
+    @F.pandas_udf("embedding array<float>, sims array<double>, said array<double>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encode = make()
+        for contents, queries in batches:
+            asked = {q: wanted(q or "") for qs in queries if qs is not None for q in qs}
+            distinct = list(dict.fromkeys(t for t in [*contents, *asked] if t is not None))
+            vectors = dict(zip(distinct, encode(distinct), strict=True)) if distinct else {}
+            wide = {q: vectors[q].astype(np.float64) for q in asked if q is not None}
+            out = []
+            for text, qs in zip(contents, queries, strict=True):
+                v = vectors.get(text)
+                if qs is None or not len(qs):
+                    out.append((v, None if qs is None else [], None if qs is None else []))
+                    continue
+                mine, words = None if v is None else v.astype(np.float64), list(enumerate(stems(text)))
+                out.append((v, [close(mine, wide.get(q)) for q in qs], [density_at([x for x in words if x[1] in asked[q]], asked[q]) for q in qs]))
+            yield pd.DataFrame(out, columns=["embedding", "sims", "said"])
+
+    return run
 
 
 def tape_problems(events: DataFrame) -> DataFrame:
@@ -169,36 +222,37 @@ def replay(cases: DataFrame, as_of: str, k: int = 10, dim: int = 384, procedural
     before it, and adds a hit to those it returns, which later searches of the case weigh. Labels that no stored rule has
     are misses. Contexts are the standing rules if `procedural`, else empty. All cases go together: rules are decided in
     rounds, searches by their number within a case, of which there are few. A tape with problems fails, saying the first.
+    A rule's likeness to the queries after it is worked out where its text is read, so texts stay there; vectors travel
+    once, to be compared with those of their case.
     """
-    from tessera.functions.english import cover_density_of
-    from tessera.functions.vectors import cosine
     from tessera.operators import embed, ledger, retrieval
     from tessera.operators.filters import at
 
-    events = stored(taped(cases), "tape")
+    opened = _opened(cases).withColumn("heard", _heard(make or (lambda: embed.provider("hashed", dim)))(F.when(F.col("kind") == "remember_rule", F.col("content")), F.col("asks.query")))
+    has_words = lambda q: F.regexp_replace(q, r"['\\\\:&|!()\s]", "") != ""
+    asks = F.transform("asks", lambda a, i: F.named_struct(F.lit("at"), a["at"], F.lit("number"), a["number"], F.lit("words"), has_words(a["query"]), F.lit("sim"), F.get("heard.sims", i), F.lit("said"), F.get("heard.said", i)))
+    text = [] if procedural else ["content"]
+    rows = stored(opened.withColumns({"embedding": F.col("heard.embedding"), "asks": asks}).drop("heard", *text), "tape")
+    events = _referenced(rows.drop("asks", "embedding"))
     for p in tape_problems(events).orderBy("case_id", "seq").limit(1).collect():
         raise ValueError(f"case {p['case_id']}, event {p['seq']}: {p['problem']}")
-    make = make or (lambda: embed.provider("hashed", dim))
-    said = events.where("kind = 'remember_rule'").select("case_id", "seq", "label", "content", "category", F.coalesce("always_inject", F.col("category") == "instruction").alias("is_always_injected"))
     # an id a rule: cases in the order of their ids, events in theirs
-    numbered = events.select("case_id").distinct().select("case_id", F.xxhash64("case_id").alias("project_id"))
-    rules = embed.embed(said.join(numbered, "case_id"), make=make).withColumn("id", F.concat("case_id", F.lit("#"), F.lpad(F.col("seq").cast("string"), 10, "0")))
-    rules = stored(rules, "tape-rules")
+    rules = rows.where("kind = 'remember_rule'").withColumns({
+        "id": F.concat("case_id", F.lit("#"), F.lpad(F.col("seq").cast("string"), 10, "0")), "project_id": F.xxhash64("case_id"), "is_always_injected": F.coalesce("always_inject", F.col("category") == "instruction"),
+    })
     near = retrieval.similar_pairs(rules.select("id", "project_id", "embedding"), retrieval.DUPLICATE, "project_id")
     taken = retrieval.first_independent(rules.select("id"), near.select(F.col("b").alias("id"), F.col("a").alias("earlier")))
-    rules = stored(rules.join(taken, "id"), "taped-rules")
+    slim = rules.select("id", "case_id", "seq", "label", "category", "is_always_injected", "asks", *(["content"] if procedural else []))
+    rules = stored(slim.join(taken, "id"), "taped-rules")
     kept_rules, copies = rules.where("stored").drop("stored", "id"), rules.where("NOT stored").select("case_id", "label")
 
-    order = Window.partitionBy("case_id").orderBy("seq")
-    asked = events.where("kind = 'recall_rules'").select("case_id", "dataset", "seq", "query", F.col("expected_hits").alias("expected"), F.row_number().over(order).alias("number"))
-    asked = stored(embed.embed(asked, "query", "asked", make), "tape-recalls")
-    most = asked.agg(F.max("number")).first()[0] or 0
-    hits = kept_rules.select("case_id", F.col("seq").alias("rule"), F.lit(0).cast("long").alias("hits"))
-    found = []
+    asked = rows.where("kind = 'recall_rules'").select("case_id", "dataset", "seq", F.col("expected_hits").alias("expected"))
+    most = asked.groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
+    heard = stored(kept_rules.select("case_id", F.col("seq").alias("rule"), "category", F.explode("asks").alias("a")).select("case_id", "rule", "category", "a.*"), "tape-pairs")
+    found, hits = [], None
     for number in range(1, most + 1):
-        q = asked.where(F.col("number") == number).select("case_id", F.col("seq").alias("at"), "query", "asked")
-        pairs = kept_rules.join(q, "case_id").where("seq < at").withColumnRenamed("seq", "rule").join(hits, ["case_id", "rule"])
-        pairs = pairs.withColumns({"sim": cosine("embedding", "asked"), "said": cover_density_of("content", "query")})
+        pairs = heard.where(F.col("number") == number)
+        pairs = pairs.join(hits, ["case_id", "rule"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))) if hits is not None else pairs.withColumn("hits", F.lit(0).cast("long"))
         within = Window.partitionBy("case_id")
         rank = lambda by: F.when(by.isNotNull(), F.row_number().over(within.orderBy(by.asc_nulls_last(), "rule")))
         pairs = pairs.withColumns({"v": rank(-F.col("sim")), "t": rank(-F.col("said")), "most": F.greatest(F.max("hits").over(within), F.lit(1))})
@@ -206,21 +260,20 @@ def replay(cases: DataFrame, as_of: str, k: int = 10, dim: int = 384, procedural
         weight = F.element_at(F.create_map(*[F.lit(x) for p in retrieval.CATEGORY.items() for x in p]), F.col("category"))
         w = retrieval.WEIGHT
         fused = w["vector"] * part("v") + w["text"] * part("t") + w["category"] * weight + w["age"] + w["hits"] * F.log1p("hits") / F.log1p("most")
-        words = F.regexp_replace("query", r"['\\\\:&|!()\s]", "") != ""
         either = (F.coalesce("v", F.lit(1 << 30)) <= k * retrieval.OVERFETCH) | (F.coalesce("t", F.lit(1 << 30)) <= k * retrieval.OVERFETCH)
-        pairs = pairs.withColumn("score", F.when(words, fused).otherwise(F.col("sim"))).where(either)
+        pairs = pairs.withColumn("score", F.when(F.col("words"), fused).otherwise(F.col("sim"))).where(either)
         pairs = pairs.withColumn("rank", F.row_number().over(within.orderBy(F.desc("score"), "rule"))).where(F.col("rank") <= k)
-        got = stored(pairs.select("case_id", "at", "rule", "rank"), "tape-hits")
-        found.append(got)
+        found.append(stored(pairs.select("case_id", "at", "rule", "rank"), "tape-hits"))
         if number < most:
-            more = got.select("case_id", "rule", F.lit(1).alias("one"))
-            hits = stored(hits.join(more, ["case_id", "rule"], "left").select("case_id", "rule", (F.col("hits") + F.coalesce("one", F.lit(0))).alias("hits")), "tape-counts")
+            more = found[-1].select("case_id", "rule", F.lit(1).cast("long").alias("hits"))
+            hits = stored((more if hits is None else hits.unionByName(more)).groupBy("case_id", "rule").agg(F.sum("hits").alias("hits")), "tape-counts")
     kind = "case_id string, at int, rule int, rank int"
     returned = reduce(DataFrame.unionByName, found, cases.sparkSession.createDataFrame([], kind))
 
-    contexts = events.where("kind = 'get_active_context'").select("case_id", "dataset", "seq", F.col("expected_procedural_labels").alias("expected"))
+    contexts = rows.where("kind = 'get_active_context'").select("case_id", "dataset", "seq", F.col("expected_procedural_labels").alias("expected"))
     standing = kept_rules.join(contexts.select("case_id", F.col("seq").alias("at")), "case_id").where("seq < at" if procedural else "false")
     now = {"created_at": at(as_of), "valid_from": at(as_of), "valid_until": F.lit(None).cast("timestamp_ntz"), "expires_at": F.lit(None).cast("timestamp_ntz")}
+    standing = standing if procedural else standing.withColumn("content", F.lit(None).cast("string"))
     standing = standing.withColumns(now | {"project_id": F.struct("case_id", "at"), "id": F.col("seq")})
     given = ledger.injected(standing, as_of).select("project_id.case_id", "project_id.at", F.col("id").alias("rule"), F.col("id").alias("rank"))
 
@@ -237,7 +290,7 @@ def replay(cases: DataFrame, as_of: str, k: int = 10, dim: int = 384, procedural
         back = answers.groupBy("case_id", F.col("at").alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("rule").cast("long").alias("rule")))), lambda x: x["rule"]).alias("returned"))
         return wanted.join(back, ["case_id", "seq"], "left").withColumn("returned", F.coalesce("returned", F.array().cast("array<long>")))
 
-    outcomes = events.where("kind = 'log_outcome'").select("case_id", F.col("attempt_ref").alias("own_ref"), "seq", "outcome", "reasoning")
+    outcomes = rows.where("kind = 'log_outcome'").select("case_id", F.col("attempt_ref").alias("own_ref"), "seq", "outcome", "reasoning")
     newest = Window.partitionBy("case_id", "own_ref").orderBy(F.desc("seq"))
     outcomes = outcomes.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "seq")
     attempts = events.where("kind = 'propose_attempt'").select("case_id", "task_ref", "own_ref", "approach").join(outcomes, ["case_id", "own_ref"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("pending")))

@@ -25,6 +25,8 @@ BOOST = 2.0
 #: Components of the vectors of a block at most; blocks a group at least, so far as each has TILE rows; rows and columns of a
 #: product at a time, and pairs worked out at a time.
 HELD, SOME, TILE, CHUNK = 1 << 22, 8, 2048, 1 << 15
+#: Groups of several blocks whose numbers of blocks are sent to all tasks at most.
+BROADCAST_ROWS = 100_000
 
 
 def vector_top_k(df: DataFrame, vector: Sequence[float], k: int, project: int | None = None, col: str = "embedding") -> DataFrame:
@@ -119,8 +121,10 @@ def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: i
         return _fresh_pairs(df, low, within, block, col, fresh)
     keys = [F.col(within).alias("g")] if within else [F.lit(0).alias("g")]
     rows = df.where(F.col(col).isNotNull()).select(*keys, F.col("id"), F.col(col).alias("v"))
-    sizes = rows.groupBy(F.col("g").alias("h")).agg(_blocks(block).alias("k"))
-    rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("h"))).drop("h")
+    # only groups of several blocks are looked up, so that vectors need not be dealt by group for it
+    sizes = stored(rows.groupBy(F.col("g").alias("h")).agg(_blocks(block).alias("k")).where("k > 1"), "block-counts")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+    rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("h")), "left").drop("h").withColumn("k", F.coalesce("k", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
 
@@ -435,8 +439,8 @@ def first_independent(nodes: DataFrame, before: DataFrame) -> DataFrame:
     nodes at once: a node is out as soon as one before it is in, and in when all before it are out; what is decided is
     joined no more. The rounds are as many as the longest chain of neighbours that alternate, not as the nodes.
     """
-    state = nodes.select("id", F.lit(True).alias("stored")).join(before.select("id").distinct(), "id", "left_anti")
-    open_ = stored(before, "open-pairs")
+    open_ = stored(before, "open-pairs")  # first, as pairs cost much to find
+    state = nodes.select("id", F.lit(True).alias("stored")).join(open_.select("id").distinct(), "id", "left_anti")
     taken = stored(state, "taken")
     done = [taken]
     while not open_.isEmpty():

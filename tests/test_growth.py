@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import graph, retrieval
+from tessera.operators import evaluation, graph, retrieval
 
 
 def vectors(spark, v, p=1):
@@ -130,3 +130,21 @@ def test_parts_of_blocks_are_merged_together():
         at, ends, where = ti.decode(*packed)
         held = {i: where[ends[k] : ends[k + 1]].tolist() for k, i in enumerate(at.tolist())}
         assert held == {i: sorted(p) for i, p in want[t, block].items()} and n == len(held) and most == max(map(len, held.values()))
+
+
+def test_texts_of_a_tape_stay_where_they_are(spark):
+    rng = np.random.default_rng(6)
+    event = lambda kind, **x: {**dict.fromkeys(n.split(":")[0].strip() for n in evaluation.CASES.split("struct<")[1].split(">>")[0].replace("array<string", "").replace(">", "").split(",")), "kind": kind, **x}
+    tape = [{"id": f"c{c}", "dataset": "d", "events": [event("remember_rule", content=rng.bytes(50_000).hex(), category="fact", label="a"), event("recall_rules", query="x y", expected_hits=["a"]), event("recall_rules", query="z", expected_hits=["a"])]} for c in range(8)]
+    cases = spark.createDataFrame(tape, evaluation.CASES)
+    sc = spark.sparkContext
+    sc.setJobGroup("tape", "tape")
+    run = evaluation.replay(cases, "2026-01-01 00:00:00")
+    got = run.recalls.collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    ids = {s for j in tracker.getJobIdsForGroup("tape") for s in tracker.getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    moved = [store.lastStageAttempt(s) for s in ids]
+    assert sorted((r["seq"], list(r["returned"])) for r in got) == [(1, [0])] * 8 + [(2, [0])] * 8
+    assert sum(s.shuffleWriteBytes() + s.outputBytes() + s.diskBytesSpilled() for s in moved) < 8 * 100_000 / 2
