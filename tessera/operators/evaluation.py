@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.batches import settle
 from tessera.plans.lineage import stored
 
 TOLERANCE = 0.02  # fixed value: a metric may fall by so much
@@ -228,6 +229,7 @@ def replay(cases: DataFrame, as_of: str, k: int = 10, dim: int = 384, procedural
     from tessera.operators import embed, ledger, retrieval
     from tessera.operators.filters import at
 
+    settle(cases.sparkSession)
     opened = _opened(cases).withColumn("heard", _heard(make or (lambda: embed.provider("hashed", dim)))(F.when(F.col("kind") == "remember_rule", F.col("content")), F.col("asks.query")))
     has_words = lambda q: F.regexp_replace(q, r"['\\\\:&|!()\s]", "") != ""
     asks = F.transform("asks", lambda a, i: F.named_struct(F.lit("at"), a["at"], F.lit("number"), a["number"], F.lit("words"), has_words(a["query"]), F.lit("sim"), F.get("heard.sims", i), F.lit("said"), F.get("heard.said", i)))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.batches import settle, tidy
 from tessera.functions import text as tx
 from tessera.functions.outline import BRACES, Chunk, Outline, outline
 
@@ -208,12 +209,15 @@ def _python_outline(path: str, source: str) -> Outline:
     return Outline(chunks, [(s, t) for s, t, k in found.edges if k == "calls"], [f"from {t} import" for _, t, k in found.edges if k == "uses"])
 
 
-def outlines(files: DataFrame) -> DataFrame:
+def outlines(files: DataFrame, texts: bool = True) -> DataFrame:
     """What is in files (project_id, file_path, content), a row an item: definitions ('chunk'), calls ('call': `name` is the
     function, `target` what it calls), imports ('import': `target` is the statement), and, of a file without definitions or
     of a language that has no outline, the file ('file'). Each file is read once, within its row's batch; nothing is shuffled.
+    Without `texts` the content of chunks and files is null. A batch has a bounded size, whatever the table's.
     """
+    settle(files.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -226,12 +230,12 @@ def outlines(files: DataFrame) -> DataFrame:
                         found = outline(source, language)
                 except (SyntaxError, ValueError, RecursionError):
                     pass  # a file that doesn't parse as Python is cut by lines
-                head, lines = (project, path, language), source.split("\n")
-                out += [(*head, "chunk", c.name, c.kind, c.visibility, c.start_line, c.end_line, None, "\n".join(lines[c.start_line - 1 : c.end_line])) for c in found.chunks]
+                head, lines = (project, path, language), source.split("\n") if texts and found.chunks else []
+                out += [(*head, "chunk", c.name, c.kind, c.visibility, c.start_line, c.end_line, None, "\n".join(lines[c.start_line - 1 : c.end_line]) if texts else None) for c in found.chunks]
                 out += [(*head, "call", s, None, None, None, None, t, None) for s, t in found.calls]
                 out += [(*head, "import", None, None, None, None, None, t, None) for t in found.imports]
                 if not found.chunks:
-                    out.append((*head, "file", None, None, None, None, None, None, source))
+                    out.append((*head, "file", None, None, None, None, None, None, source if texts else None))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in _ITEMS.split(", ")])
             yield frame.astype({"start_line": "Int32", "end_line": "Int32"})
 
@@ -250,7 +254,7 @@ def code_chunks(files: DataFrame) -> DataFrame:
 def code_edges(files: DataFrame) -> DataFrame:
     """(project_id, source_entity, target_entity, edge_type, source_file): calls by the function that they stand in, or
     <module>, and imports by the file."""
-    items = outlines(files)
+    items = outlines(files, texts=False)
     is_call = F.col("what") == "call"
     target = F.when(is_call, F.col("target")).otherwise(tx.import_path(F.regexp_replace("target", r"^pub(\([^)]*\))?\s+", "")))
     rows = items.where("what IN ('call', 'import')").select(
@@ -262,7 +266,7 @@ def code_edges(files: DataFrame) -> DataFrame:
 def definitions(files: DataFrame) -> DataFrame:
     """(project_id, file_path, chunk_name, chunk_kind, visibility, start_line, end_line) of named chunks. 'public' is what
     the source says, in Go a capital, in Python no leading underscore, in C and C++ always; otherwise 'private'."""
-    rows = outlines(files).where("what = 'chunk' AND name IS NOT NULL")
+    rows = outlines(files, texts=False).where("what = 'chunk' AND name IS NOT NULL")
     said = F.coalesce(F.col("visibility").isin("public", "open") | F.col("visibility").startswith("pub"), F.lit(False)) | (F.col("kind") == "export")
     shown = F.when(F.col("language") == "go", F.col("name").rlike("^[A-Z]")).when(F.col("language") == "python", ~F.col("name").startswith("_")).when(F.col("language").isin("c", "cpp"), F.lit(True)).otherwise(said)
     return rows.select("project_id", "file_path", F.col("name").alias("chunk_name"), F.col("kind").alias("chunk_kind"), F.when(shown, "public").otherwise("private").alias("visibility"), "start_line", "end_line")

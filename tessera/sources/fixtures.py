@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.batches import settle
+
 RULES_AS_OF, LEDGER_AS_OF, EVENTS_AS_OF = "2025-01-01 00:00:00", "2001-10-01 00:00:00", "2024-01-20 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,8 +1,10 @@
 """Outlines of source files: worked examples of each language, and that nothing breaks the reader."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.functions.outline import BRACES, outline
 from tessera.operators import ingest
@@ -69,3 +71,17 @@ def test_chunks_and_edges_of_files(spark):
     plan = ingest.code_chunks(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert ingest.code_edges(df.limit(0)).count() == 0
+
+
+def test_batches_of_files_have_a_bounded_size(spark):
+    rows = spark.newSession().range(0, 3000, 1, 1).select(F.lit(1).cast("long").alias("project_id"), F.concat(F.lit("a/"), "id", F.lit(".py")).alias("file_path"), F.concat(F.lit("x("), "id", F.lit(")")).alias("content"))
+    sizes = []
+    for texts in (True, False):
+        items = ingest.outlines(rows, texts)
+        sizes.append({(r["what"], r["content"] is None) for r in items.select("what", "content").distinct().collect()})
+    assert sizes == [{("call", True), ("file", False)}, {("call", True), ("file", True)}]
+    many = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert max(r["n"] for r in many.collect()) <= 2000
+    large = rows.limit(100).withColumn("content", F.repeat("content", 20_000)).coalesce(1)
+    held = large.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    assert max(r["n"] for r in held.collect()) <= 6 << 20
