@@ -180,10 +180,12 @@ def word_hashes(texts: pa.Array, by: bytes = WORDS, seed: int = 0) -> tuple[np.n
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit words (the splitmix64 finaliser)."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x.astype(np.uint64)  # a copy, changed in place
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def odd_constants(n: int, seed: int, bits: int = 64) -> np.ndarray:

@@ -787,3 +787,24 @@ def test_drop_near_duplicates_by_row(spark):
     docs = spark.createDataFrame([(5, a), (7, a), (5, b), (3, b), (3, b), (3, "i j k l m n o")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["text"]) for r in ngram_join.drop_near_duplicates(docs).collect())
     assert got == [(3, "i j k l m n o"), (3, b), (5, a)]
+
+
+def test_lm_steps_and_chosen_branches_are_those_of_plain_sums():
+    rng = np.random.default_rng(8)
+    n, size = maxent.CACHED + 77, 1 << 13
+    rows, branch = rng.integers(0, size // 2, (n, maxent.FEATURES)), rng.integers(0, maxent.WIDTH, n)
+    w, bias = rng.normal(size=(size, maxent.WIDTH)).astype(np.float32), -rng.random((n, maxent.WIDTH)).astype(np.float32)
+    z = bias.astype(float) + w[rows].astype(float).sum(axis=1)
+    want = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    p = maxent._probability(w, rows, bias.copy())
+    assert np.allclose(p, want, atol=1e-6)
+    assert np.allclose(maxent._log_chosen(w, rows, bias.copy(), branch), np.log(want[np.arange(n), branch]), atol=1e-5)
+    p[np.arange(n), branch] -= 1
+    made, g = maxent.Learner(w), np.zeros((size, maxent.WIDTH))
+    made.step(rows, p)
+    for k in range(maxent.FEATURES):
+        np.add.at(g, rows[:, k], p.astype(float))
+    met = np.bincount(rows.ravel(), minlength=size)
+    squares = 0.5 * maxent.WIDTH + (g * g).sum(axis=1) / np.maximum(met, 1)
+    rate = maxent.RATE * np.sqrt(maxent.WIDTH / (np.maximum(met, 1) * squares))
+    assert (made.seen == met).all() and np.allclose(made.w, w - g * rate[:, None], atol=1e-5) and (made.w[size // 2 :] == w[size // 2 :]).all()
