@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -37,26 +37,28 @@ def _default_tokenizer() -> str:
 class WordTokenizer:
     """Token ids of whole texts by a `tokenizers` file whose pre-tokenizer drops white space.
 
-    Such a tokenizer treats what stands between white space alone, so each distinct word is encoded once and kept
-    (up to `most` words, then the store is emptied). Texts are cut at ASCII white space only, which is safe as any other
-    stays inside a word. Plain words, of letters whose normal form is themselves, go to the tokenizer's model directly;
-    anything else goes through the whole tokenizer. Ids are kept as characters of a string, which takes little memory.
+    Such a tokenizer treats what stands between white space alone, so each distinct word is looked up once a call. Texts
+    are cut at ASCII white space only, which is safe as any other stays inside a word. Plain words, of letters whose normal
+    form is themselves and perhaps signs after them, are cut into these two; letters and signs go to the tokenizer's model
+    directly, anything else goes through the whole tokenizer. The ids of up to `most` such parts are kept from call to
+    call, and then the store starts anew: it has to hold a few times the parts of a batch of texts, or all are encoded
+    again in each.
     """
 
     #: ASCII and precomposed Latin letters, then ASCII signs: lower-casing and NFC leave no doubt about them.
-    PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
-    BASE = 0x10000  # past the surrogates
+    PARTS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:;=?@\[-`{-~]*)$"
 
-    def __init__(self, path: str, most: int = 1 << 17):
+    def __init__(self, path: str, most: int = 1 << 19):
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.words, self.runs = Tokenizer.from_file(path), most, {}, {}
+        self.tok, self.most = Tokenizer.from_file(path), most
         self.split = self._is_word_level(path)
         self.bytes = self._byte_letters() if self.split else {}
+        self._forget()
 
     def _is_word_level(self, path: str) -> bool:
         """Whether words can be looked up one by one: tried on a text with all the cases that matter."""
-        text = "It's  the\tÉtat's\n'Tis 12 a1b, naïve?! <x>　é Straße…"
+        text = "It's  the\tÉtat's\n'Tis 12 a1b, naïve?! <x>　é Straße…"
         whole = self.tok.encode(text, add_special_tokens=False).ids
         return whole == [i for w in text.split() for i in self.tok.encode(w, add_special_tokens=False).ids]
 
@@ -70,22 +72,49 @@ class WordTokenizer:
                     out[c] = got[0][0]
         return out
 
-    def _chars(self, ids: Iterable[int]) -> str:
-        return "".join(map(chr, (i + self.BASE for i in ids)))
-
-    def _run(self, s: str) -> str:
-        got = self.runs.get(s)
-        if got is None:
-            if len(self.runs) >= self.most:
-                self.runs.clear()
-            got = self.runs[s] = self._chars(t.id for t in self.tok.model.tokenize(s.translate(self.bytes)))
-        return got
+    def _forget(self) -> None:
+        """An empty store: part -> its number, where the ids of each number end, ids. Number 0 has none."""
+        self.known, self.ends, self.kept = {}, array("q", [0]), array("I")
+
+    def _numbers(self, runs: list[str], words: list[str]) -> np.ndarray:
+        """The store's numbers of runs (of letters or of signs, for the model) and then of words (for the whole tokenizer)."""
+        parts = [*runs, *words]
+        at = [self.known.get(s) for s in parts]
+        if len(self.known) + at.count(None) > self.most:
+            self._forget()
+            at = [None] * len(parts)
+        for i in [i for i, k in enumerate(at) if k is None]:
+            s = parts[i]
+            if i < len(runs):
+                self.kept.extend([t.id for t in self.tok.model.tokenize(s if s.isascii() else s.translate(self.bytes))])
+            else:
+                self.kept.extend(self.tok.encode(s, add_special_tokens=False).ids)
+            at[i] = self.known[s] = len(self.ends)
+            self.ends.append(len(self.kept))
+        return np.array(at, dtype=np.int64)
+
+    def _word_numbers(self, words: pa.Array) -> np.ndarray:
+        """The store's numbers of what each distinct word consists of: two a word."""
+        cut = pc.extract_regex(words, self.PARTS)
+        plain = pc.and_(cut.is_valid(), pc.less(pc.binary_length(words), 200))  # letters, then perhaps a run of signs
+        where = plain.to_numpy(zero_copy_only=False)
+        letters, signs = (pc.struct_field(cut, i).filter(plain) for i in range(2))
+        letters, signs = pc.utf8_lower(letters).dictionary_encode(), signs.dictionary_encode()
+        runs, others = [*letters.dictionary.to_pylist(), *signs.dictionary.to_pylist()], words.filter(pc.invert(plain)).to_pylist()
+        number = self._numbers(runs, others)
+        n = len(letters.dictionary)
+        out = np.zeros((len(words), 2), dtype=np.int64)
+        out[where, 0] = number[:n][letters.indices.to_numpy()]
+        out[where, 1] = number[n : len(runs)][signs.indices.to_numpy()]
+        out[~where, 0] = number[len(runs) :]
+        return out
 
-    def word(self, w: str) -> str:
-        m = self.PARTS.fullmatch(w)
-        if m and len(w) < 200:  # letters, then perhaps a run of ASCII signs: two pre-tokens at most
-            return self._run(m[1].lower()) + (self._run(m[2]) if m[2] else "")
-        return self._chars(self.tok.encode(w, add_special_tokens=False).ids)
+    @staticmethod
+    def _joined(ends: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the entries `at` of flat, which end at ends[1:], begins when joined (and the end); these joined."""
+        size = np.diff(ends)[at]
+        past = np.concatenate([[0], np.cumsum(size)])
+        return past, flat[np.repeat(ends[at] - past[:-1], size) + np.arange(past[-1])]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (and the end), and the ids of the whole texts as uint32."""
@@ -94,20 +123,11 @@ class WordTokenizer:
             each = [e.ids for e in self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.cumsum([0, *map(len, each)]), np.array([i for e in each for i in e], dtype=np.uint32)
         first, codes, words = split_words(texts)
-        known, words = self.words, words.to_pylist()
-        if len(known) + len(words) > self.most:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.word(w)
-        each = [known[w] for w in words]
-        flat = np.frombuffer("".join(each).encode("utf-32-le"), dtype=np.uint32) - np.uint32(self.BASE)
-        size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        begin = np.cumsum(size) - size
-        n = size[codes]
-        past = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(begin[codes] - past[:-1], n) + np.arange(past[-1])
-        return past[first], flat[at]
+        numbers = self._word_numbers(words).ravel()
+        ends, kept = np.array(self.ends, dtype=np.int64), np.array(self.kept, dtype=np.uint32)
+        past, flat = self._joined(np.concatenate([[0], ends]), kept, numbers)
+        past, flat = self._joined(past[::2], flat, codes)
+        return past[first], flat
 
 
 @cache

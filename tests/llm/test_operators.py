@@ -466,6 +466,37 @@ def test_word_tokenizer_is_exact(real_tokenizer, texts):
         assert flat[a:b].tolist() == real_tokenizer.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_word_tokenizer_keeps_parts_from_batch_to_batch():
+    """A batch has more than 131,072 different words: those of the one before are known all the same."""
+
+    class Counted:
+        def __init__(self, own):
+            self.own, self.calls = own, 0
+
+        def __getattr__(self, name):
+            got = getattr(self.own, name)
+            if name == "model":
+                got = Counted(got)
+                got.tokenize = self.count(got.own.tokenize)
+            return self.count(got) if name == "encode" else got
+
+        def count(self, f):
+            def run(*args, **kw):
+                self.calls += 1
+                return f(*args, **kw)
+
+            return run
+
+    tok = packing.WordTokenizer(packing._default_tokenizer())
+    tok.tok = Counted(tok.tok)
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnopqrst", repeat=4), 140_000)]
+    first, flat = tok.ids(pa.array([" ".join(words)]))
+    assert tok.tok.calls >= len(words)
+    tok.tok.calls = 0
+    again, same = tok.ids(pa.array([" ".join(w.upper() + "," for w in words), " ".join(words)]))
+    assert tok.tok.calls <= 1 and same[again[1] :].tolist() == flat.tolist() and again[1] == len(flat) + len(words)
+
+
 @given(st.lists(st.integers(1, 100), max_size=120))
 @settings(max_examples=150, deadline=None)
 def test_pack_lengths(lengths):
