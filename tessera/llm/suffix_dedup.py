@@ -5,12 +5,15 @@ passage of `length` bytes, the one of least hash is its anchor, which depends on
 passages have equal anchors. Neighbouring passages with one anchor are one string (a run); runs whose anchor occurs
 once can't repeat and stay behind. All runs of an anchor meet in one task, which sorts their suffixes in two stages and
 compares neighbours. (A run whose anchor stands in it twice may repeat by itself, as periodic text does, and goes along.)
+Equal runs are one with a number of copies, of which every start repeats; where all runs of an anchor have copies there is
+nothing left to find, and they are not sorted.
 An anchor with more different runs than a task shall hold is cut up by a longer anchor, and at last
 by the whole passage, so no group is unbounded and none is cut off.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -195,33 +198,42 @@ def _spans(mark: np.ndarray) -> list[dict[str, int]]:
 def _sorted_spans(distinct: DataFrame, length: int) -> DataFrame:
     """For each run (anchor, c1, c2, copies, bytes) the starts that repeat, as spans; runs without any are left out.
 
-    All runs of an anchor are in one task, and whole anchors are sorted together up to PIECE bytes.
+    All runs of an anchor are in one task, and whole anchors are sorted together up to PIECE bytes. Every start of a run
+    with copies repeats as it is; such runs are sorted for what they have in common with others of their anchor, and an
+    anchor with no others is settled without.
     """
 
+    def batch(got: list[tuple]) -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(3)] + [pa.array([g[3] for g in got], kind)], names=[*_RUN, "spans"])
+
     def solved(rows: list[tuple]) -> pa.RecordBatch:
         marks = repeated_starts([r[4] for r in rows], length)
         for r, m in zip(rows, marks, strict=True):
             m |= r[3] > 1
-        got = [(*r[:3], _spans(m)) for r, m in zip(rows, marks, strict=True) if m.any()]
-        kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(3)] + [pa.array([g[3] for g in got], kind)], names=[*_RUN, "spans"])
+        return batch([(*r[:3], _spans(m)) for r, m in zip(rows, marks, strict=True) if m.any()])
 
     @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, held_size, group_size = [], [], 0, 0
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if group and group[-1][0] != row[0]:
-                    held += group
-                    held_size += group_size
-                    group, group_size = [], 0
-                    if held_size >= PIECE:
-                        yield solved(held)
-                        held, held_size = [], 0
-                group.append(row)
-                group_size += len(row[4])
-        if held or group:
-            yield solved(held + group)
+        rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))
+        held, held_size, settled = [], 0, []
+        for _, group in itertools.groupby(rows, key=lambda row: row[0]):
+            group = list(group)
+            if all(r[3] > 1 for r in group):
+                settled += [(*r[:3], [{"low": 0, "high": len(r[4]) - length + 1}]) for r in group]
+                if len(settled) >= 8192:
+                    yield batch(settled)
+                    settled = []
+                continue
+            held += group
+            held_size += sum(len(r[4]) for r in group)
+            if held_size >= PIECE:
+                yield solved(held)
+                held, held_size = [], 0
+        if held:
+            yield solved(held)
+        if settled:
+            yield batch(settled)
 
     rows = distinct.select(*_RUN, "copies", "bytes").repartition(parallelism(distinct.sparkSession), "anchor").sortWithinPartitions(*_RUN)
     return rows.mapInArrow(run, _SPANS)

@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,6 +121,27 @@ def test_suffix_dedup_without_broadcast(spark, monkeypatch):
     assert {r["doc_id"]: hashlib.sha256(r["kept"]).hexdigest() for r in left} == {i: w[3] for i, w in enumerate(want)}
 
 
+def test_runs_that_are_settled_are_not_sorted(spark, monkeypatch):
+    """Anchors whose runs all have copies need no suffixes; the others are sorted with all their runs."""
+
+    class Frame:
+        sparkSession = spark
+        select = repartition = sortWithinPartitions = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", lambda strings, length: seen.extend(strings) or repeated_starts(strings, length))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 8)
+    table = [(1, 0, 1, 2, b"abcdef"), (2, 0, 1, 1, b"uvwxy"), (2, 0, 2, 3, b"tuvwx"), (3, 0, 1, 1, b"ababab"), (4, 0, 1, 4, b"mnop"), (4, 0, 2, 2, b"mnoq"), (5, 0, 1, 1, b"hijk")]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*table, strict=True)], names=["anchor", "c1", "c2", "copies", "bytes"])
+    got = {}
+    for b in suffix_dedup._sorted_spans(Frame(), 4)(iter([batch.slice(0, 5), batch.slice(5)])):
+        for r in b.to_pylist():
+            got[r["anchor"], r["c2"]] = {x for s in r["spans"] for x in range(s["low"], s["high"])}
+    assert got == {(1, 1): {0, 1, 2}, (2, 1): {0}, (2, 2): {0, 1}, (3, 1): {0, 2}, (4, 1): {0}, (4, 2): {0}}
+    assert sorted(seen) == sorted(r[4] for r in table if r[0] in (2, 3, 5))
+
+
 def test_suffix_dedup_awkward_and_empty(spark):
     df = spark.createDataFrame(rows([*AWKWARD, (11, AWKWARD[8][1][5000:])]), SCHEMA)
     texts = [r["text"] for r in df.collect()]
