@@ -27,6 +27,8 @@ BOOST = 2.0
 HELD, SOME, TILE, CHUNK = 1 << 22, 8, 2048, 1 << 15
 #: Groups of several blocks whose numbers of blocks are sent to all tasks at most.
 BROADCAST_ROWS = 100_000
+#: Copies of a vector that are one list at most, ids of a list that is turned into pairs, pairs a task makes of lists, such tasks.
+COPIES, LISTED, MADE, MAKERS = 1 << 20, 512, 1 << 20, 2000
 
 
 def vector_top_k(df: DataFrame, vector: Sequence[float], k: int, project: int | None = None, col: str = "embedding") -> DataFrame:
@@ -74,8 +76,11 @@ def _slack(width: int) -> float:
     return 1e-6 + width * 1.2e-7
 
 
-def _block_pairs(low: float, k: int | None = None, digits: int = 12):
-    """The pairs of two blocks from `low` on, tile by tile; with k only the k first, so the limit rises with what is found."""
+def _block_pairs(low: float, k: int | None = None, digits: int = 12, copies: bool = False):
+    """The pairs of two blocks from `low` on, tile by tile; with k only the k first, so the limit rises with what is found.
+
+    With `copies` an id is a number, each is there once, and one whose `many` is set pairs with itself, too.
+    """
 
     def pairs(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least, best = low, pd.DataFrame({"a": [], "b": [], "similarity": []})
@@ -101,35 +106,75 @@ def _block_pairs(low: float, k: int | None = None, digits: int = 12):
                     best = pd.concat([best, found]) if len(best) else found
                     best = best.assign(by=-best["similarity"].round(digits)).sort_values(["by", "a", "b"]).head(k).drop(columns="by")
                     least = max(low, best["similarity"].min() - 2 * 10.0**-digits) if len(best) == k else low
+        if copies and key[1] == key[2]:
+            i = left[pdf["many"].to_numpy(dtype=bool)[left]]
+            s = _dots(m, i, m, i)
+            near = s >= low - 1e-12
+            yield pd.DataFrame({"a": ids[i[near]], "b": ids[i[near]], "similarity": s[near]})
         if len(best):
             yield best
 
     return pairs
 
 
-def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: int | None = None, col: str = "embedding", fresh: str | None = None, k: int | None = None, digits: int = 12) -> DataFrame:
+def similar_pairs(df: DataFrame, low: float, within: str | None = None, block: int | None = None, col: str = "embedding", fresh: str | None = None, k: int | None = None, digits: int = 12, places: int | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs a < b with cosine >= low, of equal `within` where one is given.
 
     Rows are cut into blocks of bounded size by a hash; a task compares two blocks of one group tile by tile, so no task
     holds more than two and each pair is met once. A vector is copied once for each block of its group, and a block has
     HELD components. Exact: what a single-precision product finds is worked out in double precision, pair by pair. Null
-    and zero vectors pair with nothing. With `fresh`, a boolean column, pairs of which neither is fresh are neither asked
-    for nor made: blocks are of fresh rows or of others, and others meet fresh blocks only. With k two blocks make only their k first
-    pairs (ids break ties of similarities equal to `digits` places).
+    and zero vectors pair with nothing. Equal vectors of a group are compared once; the pairs of their ids are made of lists
+    afterwards, where most pairs are those of copies. Similarities are rounded to `places`, if given, before that. With
+    `fresh`, a boolean column, pairs of which neither is fresh are neither asked for nor made: blocks are of fresh rows or
+    of others, and others meet fresh blocks only. With k two blocks make only their k first pairs (ids break ties of
+    similarities equal to `digits` places).
     """
+    shown = lambda d: d if places is None else d.withColumn("similarity", F.round("similarity", places))
     if fresh:
-        return _fresh_pairs(df, low, within, block, col, fresh)
+        return shown(_fresh_pairs(df, low, within, block, col, fresh))
     keys = [F.col(within).alias("g")] if within else [F.lit(0).alias("g")]
     rows = df.where(F.col(col).isNotNull()).select(*keys, F.col("id"), F.col(col).alias("v"))
+    if k is None:
+        # a list has the ids of one vector, or of a part of its copies if there may be more than COPIES
+        parts = F.ceil(F.lit(rows.count() / COPIES)).cast("long")
+        lists = rows.groupBy("g", "v", F.pmod(F.xxhash64("id"), F.greatest(parts, F.lit(1))).alias("part")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        lists = stored(lists.select("g", "v", "ids", (F.size("ids") > 1).alias("many"), F.monotonically_increasing_id().alias("at")), "equal-vectors")
+        if not lists.where("many").isEmpty():
+            return _listed_pairs(lists, shown(_compared(lists.select("g", F.col("at").alias("id"), "v", "many"), low, block, digits=digits, copies=True)))
+        rows = lists.select("g", F.col("ids")[0].alias("id"), "v")
+    return shown(_compared(rows, low, block, k, digits))
+
+
+def _compared(rows: DataFrame, low: float, block: int | None, k: int | None = None, digits: int = 12, copies: bool = False) -> DataFrame:
+    """(a, b, similarity) of rows (g, id, v), by _block_pairs on two blocks of a group."""
     # only groups of several blocks are looked up, so that vectors need not be dealt by group for it
     sizes = stored(rows.groupBy(F.col("g").alias("h")).agg(_blocks(block).alias("k")).where("k > 1"), "block-counts")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("h")), "left").drop("h").withColumn("k", F.coalesce("k", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
+    rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v", *["many"] * copies)
 
-    kind = df.schema["id"].dataType.simpleString()
-    return rows.groupBy("g", "lo", "hi").applyInPandas(_block_pairs(low, k, digits), f"a {kind}, b {kind}, similarity double")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.groupBy("g", "lo", "hi").applyInPandas(_block_pairs(low, k, digits, copies), f"a {kind}, b {kind}, similarity double")
+
+
+def _listed_pairs(lists: DataFrame, alike: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the ids in lists (at, ids) whose numbers are `alike`.
+
+    Lists are cut into pieces of LISTED ids, pairs of pieces are dealt to tasks by a hash, and each makes its pairs as it
+    goes, so that neither a long list nor the many pairs are held anywhere.
+    """
+    alike = stored(alike, "alike-vectors")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / LISTED).cast("int")), lambda i: F.slice("ids", i * LISTED + 1, LISTED))
+    piece = lambda n: lists.select(F.col("at").alias(n), F.posexplode(cut).alias(f"{n}_piece", f"{n}_ids"))
+    both = alike.join(piece("a"), "a").join(piece("b"), "b").where("a <> b OR a_piece <= b_piece")
+    long = lists.select("at", F.size("ids").cast("double").alias("n"))
+    made = alike.join(long.withColumnRenamed("at", "a"), "a").join(long.select(F.col("at").alias("b"), F.col("n").alias("m")), "b")
+    made = made.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("n") * F.col("m") / 2).otherwise(F.col("n") * F.col("m")))).first()[0] or 0
+    both = both.repartition(max(1, min(MAKERS, round(made / MADE))), F.xxhash64("a", "b", "a_piece", "b_piece"))
+    both = both.withColumn("own", F.expr("a = b AND a_piece = b_piece"))
+    each = both.select("similarity", "own", "b_ids", F.explode("a_ids").alias("x")).select("similarity", "own", "x", F.explode("b_ids").alias("y"))
+    return each.where("x < y OR (x > y AND NOT own)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def top_pairs(df: DataFrame, low: float = CLUSTER, k: int = 20, within: str | None = None, digits: int = 12) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, graph, retrieval
 
@@ -31,6 +32,25 @@ def test_equal_pairs_are_equally_similar(spark):
     assert len(seen) > 20 and {len(s) for s in seen.values()} == {1}
 
 
+def test_pairs_of_copies_are_made_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "LISTED", 64)
+    base = np.random.default_rng(3).normal(size=(6, 4))
+    base[4], base[5] = 0, np.nan
+    n = 1200
+    df = vectors(spark, base[np.arange(n) % 6], 2).withColumn("p", F.expr("nullif(p, 1)"))
+    u = base[:4] / np.linalg.norm(base[:4], axis=1, keepdims=True)
+    kind = np.arange(n) % 6
+    for within, copies in ((None, retrieval.COPIES), ("p", retrieval.COPIES), ("p", 300)):
+        monkeypatch.setattr(retrieval, "COPIES", copies)
+        found = retrieval.similar_pairs(df, 0.1, within, places=6)
+        got = {(r["a"], r["b"]): r["similarity"] for r in found.collect()}
+        want = {(a, b): round(float(u[kind[a]] @ u[kind[b]]), 6) for a in range(n) for b in range(a + 1, n) if max(kind[a], kind[b]) < 4 and (within is None or a % 2 == b % 2) and u[kind[a]] @ u[kind[b]] >= 0.1}
+        assert got == want and found.count() == len(want) > 50_000
+        assert shuffled(found) < n / 2  # pieces of lists, and neither vectors nor pairs
+    single = retrieval.similar_pairs(vectors(spark, np.concatenate([base[:4], base[:1]])), 0.1).collect()
+    assert {(r["a"], r["b"]) for r in single} >= {(0, 4)} and len({(r["a"], r["b"]) for r in single}) == len(single)
+
+
 def test_first_pairs_are_those_of_all(spark):
     df = vectors(spark, np.random.default_rng(2).normal(size=(90, 4)).round(0), 2)
     for within in (None, "p"):
